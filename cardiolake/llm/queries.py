@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, lm_scoring, token_output
 from .jaccard_join import jaccard_components
 
 
@@ -15,5 +18,21 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op9_jaccard_join,)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = "crc32(cast(doc_id AS string)) % 4 = 2"
+    model = language_id.fit(docs, f"NOT ({held_out})")
+    rows = docs.select("doc_id", "text", F.expr(held_out).alias("held_out"))
+    return language_id.predict(rows, model, ["doc_id", "held_out"])
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
+
+
+QUERIES = {f.__name__: f for f in (op5_language_id, op6_token_output, op8_lm_scoring, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
