@@ -15,7 +15,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a folder of our own only where that setting is absent (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
-        return set_dir.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(set_dir)
+        full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="cardiolake-")

@@ -6,16 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, token_output
+from . import decontaminate, html_text, language_id, lm_scoring, mixing, token_output, url_filters, vp_tree, warc_derivatives
 from .jaccard_join import jaccard_components
 
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_tree.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,9 +44,37 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_derivatives.build_derivatives(warc_derivatives.responses_of_pages(table(spark, sf_dir, "pages")))
+    return records.withColumn("page_id", F.col("source_key").cast("long")).drop("source_key")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
 
 
-QUERIES = {f.__name__: f for f in (op5_language_id, op6_token_output, op8_lm_scoring, op9_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_vp_tree, op2_html_text, op3_url_filters, op4_mixing, op5_language_id, op6_token_output, op7_warc_derivatives, op8_lm_scoring, op9_jaccard_join, op10_decontaminate)}
+
+# Links and components can't be followed in the check data's SQL without recursion over the markup; the pages hold none, so
+# rules decide alone there, and tests on small tables cover the propagation.
+ORACLE_SQL = {
+    "op3_url_filters": r"""
+WITH u AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict, false AS alias_blocked
+FROM (SELECT u.*, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST, h || p) AS k
+      FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+WHERE k = 1
+""",
+}
