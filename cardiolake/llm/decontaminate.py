@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows and a multi-index Hamming search.
 
 A benchmark item is a bag of ``k``-word shingles (its whole text as one, when shorter), weighted by how rare a shingle is
-among the items. Windows of an item's number of words slide over every document; a window's 64-bit SimHash is the sign of
+among the items (other shingles weigh as much as those of one item). Windows of an item's number of words slide over every document; a window's 64-bit SimHash is the sign of
 the weighted sum of its shingles' bits. Fingerprints are cut into ``blocks`` blocks; two fingerprints within
 ``radius`` bits differ by at most ``radius // blocks`` bits in some block, so tables over all block values within that many
 bits find every item within the radius. Candidates are then compared exactly: weighted Jaccard similarity of the bags
@@ -21,6 +21,7 @@ and ASCII punctuation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words
 class Items:
     """The tables of one block of items: shingle -> items, and per item its length, weights and fingerprint."""
 
-    def __init__(self, ids: list[int], bags: list[np.ndarray], lengths: list[int], weight: dict[int, float], radius: int, blocks: int):
+    def __init__(self, ids: list[int], bags: list[np.ndarray], lengths: list[int], weight: dict[int, float], default: float, radius: int, blocks: int):
         self.ids, self.lengths, self.radius, self.blocks = ids, lengths, radius, blocks
         self.bags = []
         for bag in bags:
@@ -49,7 +50,7 @@ class Items:
         self.shingles, self.owner = flat[order], owner[order]
         self.vocabulary = np.unique(flat)
         self.weights = np.array([weight[int(v)] for v in self.vocabulary])
-        self.default = max(weight.values(), default=1.0)
+        self.default = default
         # a coarse bit table answers most look-ups
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocabulary >> U(44)).astype(np.int64)] = True
@@ -128,14 +129,14 @@ def similarity(bag: tuple, shingles: np.ndarray, weights: np.ndarray) -> float:
     return float(both / (total + weights.sum() - both))
 
 
-def _search(shared, k: int, threshold: float):
+def _search(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
         for batch in batches:
             ids, rows = batch.column(0), []
             for row, words in documents(batch.column(1), strip=True):
-                for item, sim, start, length, apart in _windows(items, shingle_hashes(words, k), k, threshold, len(words)):
-                    rows.append((ids[row].as_py(), items.ids[item], sim, start, length, apart))
+                for own, items in shared.value:
+                    for item, sim, start, length, apart in _windows(items, shingle_hashes(words, own), own, threshold, len(words)):
+                        rows.append((ids[row].as_py(), items.ids[item], sim, start, length, apart))
             if rows:
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["doc_id", "item_id", "similarity", "start_word", "n_words", "hamming"])
 
@@ -169,8 +170,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
             continue
         weight = {r["s"] & 0xFFFFFFFFFFFFFFFF: r["w"] for r in rarity.join(part.select(F.explode("bag").alias("s")).distinct(), "s").collect()}
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["bag"]))
-        items = Items([r["item_id"] for r in rows], [np.array(r["bag"], np.int64).view(U) for r in rows], [r["words"] for r in rows], weight, radius, blocks)
-        got = docs.mapInArrow(_search(spark.sparkContext.broadcast(items), k, threshold), SCHEMA)
+        # items of fewer than k words have shingles of their own length
+        alike = [(own, [r for r in rows if min(k, r["words"]) == own]) for own in range(1, k + 1)]
+        items = [(own, Items([r["item_id"] for r in some], [np.array(r["bag"], np.int64).view(U) for r in some], [r["words"] for r in some], weight, 1 + math.log2(n), radius, blocks)) for own, some in alike if some]
+        got = docs.mapInArrow(_search(spark.sparkContext.broadcast(items), threshold), SCHEMA)
         found = got if found is None else found.union(got)
     bags.unpersist()
     if found is None:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 DEEPEST = 120
 
 _TOKEN = re.compile(
-    r"""([^<]++)|<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|(<)""",
+    r"""([^<]++)|<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^<>]*+\Z|(<)""",
     re.S,
 )
 _HIDING = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)

@@ -101,7 +101,8 @@ def _ask(parts: int):
                     counts = np.bincount(at[train], minlength=len(grams)).astype(np.int64)
                     cut = np.concatenate(([0], np.searchsorted(grams, edges), [len(grams)]))
                     rows += [(p * 2 + order - 1, row["block"], order, pack(grams[a:b], True), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], names=["part", "block", "ngram", "grams", "counts"])
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "ngram", "grams", "counts"])
 
     return run
 

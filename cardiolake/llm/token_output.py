@@ -249,7 +249,7 @@ def _write(folder: str, tokenizer: str, end: int, percentile: float, file_tokens
             path = f"{store[1]}/{task:06d}-{count:04d}-{name}.pfor"
             with store[0].open_output_stream(path) as out:
                 out.write(file_bytes(docs, n, np.concatenate(ids), percentile))
-            row = pa.record_batch([pa.array([task]), pa.array([count]), pa.array([path.rsplit("/", 1)[1]]), pa.array([int(n.sum())])], names=["task", "seq", "file", "ids"])
+            row = pa.record_batch([pa.array([task], pa.int32()), pa.array([count], pa.int32()), pa.array([path.rsplit("/", 1)[1]]), pa.array([int(n.sum())])], names=["task", "seq", "file", "ids"])
             count, held = count + 1, 0
             for x in (ids, sizes, docs):
                 x.clear()
