@@ -1,10 +1,447 @@
-"""Queries over the driver's tables, each with the SQL that it must equal."""
+"""Queries over the driver's tables, each with the SQL that it must equal. Doubles are rounded to six decimals."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import series, spectral
+from ..operators import compare, quality, reference, study, vitals, windows
+from ..sources import sinks
+from . import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name; with its SQL where that can express it."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*[F.round(F.col(f"`{x.name}`"), 6).alias(x.name) if isinstance(x.dataType, T.DoubleType) else F.col(f"`{x.name}`") for x in df.schema.fields])
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return run
+
+    return add
+
+
+EVENTS = """ev AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_utc, event_type, user_id, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)"""
+STREAM = EVENTS + """, st AS (SELECT event_id, epoch_utc, value AS pr_bpm, value / 4 AS rr_bpm, k / 50 AS pi, user_id AS session FROM ev)"""
+# round half to even at one decimal, as the stream's merge does
+EVEN = lambda x: f"(CASE WHEN abs({x} * 10 - floor({x} * 10) - 0.5) < 1e-9 THEN 2 * round({x} * 5) / 10 ELSE round({x}, 1) END)"
+MERGED = STREAM + f""", me AS (SELECT epoch_utc, round_even(avg(pr_bpm), 1) AS pr_bpm, round_even(avg(rr_bpm), 1) AS rr_bpm, round_even(avg(pi), 1) AS pi, arg_min(session, event_id) AS session FROM st GROUP BY epoch_utc)"""
+GRID = """w AS (SELECT i AS window_index, 1 + i AS start_frame, 7 + i AS end_frame, 1704067200.0 + (1 + i) * 3600 AS start_epoch, 1704067200.0 + (7 + i) * 3600 AS end_epoch FROM range(0, 714) t(i))"""
+GATED = MERGED + ", " + GRID + """, g AS (
+  SELECT window_index, start_epoch, coalesce(avg(pr_bpm) FILTER (WHERE pi >= 0.5), avg(pr_bpm)) AS pr_bpm_mean, coalesce(stddev_pop(pr_bpm) FILTER (WHERE pi >= 0.5), stddev_pop(pr_bpm)) AS pr_bpm_std,
+         avg(rr_bpm) AS rr_bpm_mean, count(epoch_utc) AS n_total, count(*) FILTER (WHERE pi >= 0.5) AS n_good_pi, count(*) FILTER (WHERE pi >= 0.5) < 0.8 * count(epoch_utc) AS low_quality
+  FROM w LEFT JOIN me ON epoch_utc >= start_epoch AND epoch_utc < end_epoch GROUP BY ALL)"""
+PAIRS = EVENTS + """, cw AS (SELECT c AS center_frame, n AS condition, 1704067200 + (c - h / 2) * 3600 AS s, 1704067200 + (c + h / 2) * 3600 AS e FROM range(12, 709) t(c), (VALUES ('6h', 6), ('12h', 12), ('24h', 24)) l(n, h)),
+pa AS (SELECT condition, center_frame, 'cap' || CAST((center_frame // 24) % 3 AS VARCHAR) AS capture, avg(value) FILTER (WHERE user_id % 16 = 0 AND event_type = 'click') AS radar_hr, avg(value) FILTER (WHERE event_type = 'view') AS reference_pr,
+       count(*) FILTER (WHERE user_id % 16 = 0 AND event_type = 'click') >= 2 AS ahet_verified
+  FROM cw LEFT JOIN ev ON epoch_utc >= s AND epoch_utc < e GROUP BY ALL),
+er AS (SELECT *, radar_hr - reference_pr AS err FROM pa),
+cc AS (SELECT center_frame FROM er GROUP BY 1 HAVING count(err) = 3),
+ix AS (SELECT er.* FROM er JOIN cc USING (center_frame))"""
+METRICS = "round(avg(abs({e})), 6) AS mae_bpm, round(sqrt(avg({e} * {e})), 6) AS rmse_bpm, round(avg({e}), 6) AS bias_bpm"
+PER = ", pc AS (SELECT condition AS length, capture, count(*) AS n, avg(abs(err)) AS mae_bpm, sqrt(avg(err * err)) AS rmse_bpm, avg(err) AS bias_bpm FROM ix GROUP BY ALL)"
+FRAMES = """fr AS (SELECT CAST(label AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, [CAST(embedding[2 * i - 1] AS DOUBLE) for i in range(1, 33)] AS re, [CAST(embedding[2 * i] AS DOUBLE) for i in range(1, 33)] AS im FROM embeddings)"""
+PHASOR = FRAMES + """, ph AS (SELECT session_id, frame_idx, re[1] AS re, im[1] AS im, re AS res, im AS ims, atan2(im[1], re[1]) AS angle FROM fr)"""
+UNWRAP = PHASOR + """, d0 AS (SELECT *, angle - lag(angle) OVER w AS step FROM ph WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx)),
+d1 AS (SELECT *, CASE WHEN step > pi() THEN -2 * pi() WHEN step < -pi() THEN 2 * pi() ELSE 0.0 END AS fix FROM d0),
+uw AS (SELECT session_id, frame_idx, angle, angle + sum(coalesce(fix, 0.0)) OVER (PARTITION BY session_id ORDER BY frame_idx) AS unwrapped FROM d1)"""
+# long form of the samples: a in 0..3 numbers chirp and receiver, s the sample
+SAMPLES = FRAMES + """, sm AS (SELECT session_id, frame_idx, i // 8 AS a, i % 8 AS s, re[i + 1] AS re, im[i + 1] AS im FROM fr, range(0, 32) t(i)),
+zz AS (SELECT session_id, frame_idx, a, k, sum(re * cos(2 * pi() * k * s / 8) + im * sin(2 * pi() * k * s / 8)) AS zr, sum(im * cos(2 * pi() * k * s / 8) - re * sin(2 * pi() * k * s / 8)) AS zi FROM sm, range(0, 8) u(k) GROUP BY ALL),
+be AS (SELECT session_id, frame_idx, k AS bin_idx, avg(zr * zr + zi * zi) AS energy, avg(zr) AS mr, avg(zi) AS mi FROM zz GROUP BY ALL),
+rx AS (SELECT session_id, frame_idx, a % 2 AS r, avg(re * re + im * im) AS e FROM sm GROUP BY ALL),
+ft AS (SELECT session_id, frame_idx, max(greatest(abs(re), abs(im))) AS max_abs_adc, avg(re * re + im * im) AS frame_energy FROM sm GROUP BY ALL)"""
+MASK = SAMPLES + """, sb AS (SELECT session_id, frame_idx, energy AS e2 FROM be WHERE bin_idx = 2),
+n AS (SELECT session_id, count(*) AS n FROM sb GROUP BY 1),
+pad AS (SELECT session_id, p, e2 FROM (SELECT sb.session_id, unnest([frame_idx, -1 - frame_idx, 2 * n - 1 - frame_idx]) AS p, e2, n FROM sb JOIN n USING (session_id)) WHERE p >= -3 AND p < n + 3),
+rm AS (SELECT session_id, p AS frame_idx, median(e2) OVER (PARTITION BY session_id ORDER BY p ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS roll FROM pad),
+bg AS (SELECT session_id, frame_idx, median(energy) AS m FROM be WHERE abs(bin_idx - 2) > 1 GROUP BY ALL),
+im AS (SELECT session_id, frame_idx, max(e) / min(e) AS ratio FROM rx GROUP BY ALL),
+md AS (SELECT session_id, median(frame_energy) AS m FROM ft GROUP BY 1),
+pm AS (SELECT session_id, frame_idx, mr, mi, lag(mr) OVER w AS lr, lag(mi) OVER w AS li FROM be WHERE bin_idx = 2 WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx)),
+qm AS (SELECT ft.session_id, ft.frame_idx, max_abs_adc >= 0.35 AS clip_flagged, frame_energy < 0.8 * md.m AS dead_flagged, ratio AS rx_energy_ratio, ratio > 1.8 AS rx_imbalance_flagged,
+         e2 AS subject_bin_energy, e2 > 1.6 * greatest(roll, 1e-12) AS motion_spike_flagged, roll > 1e-12 AND e2 < 0.5 * roll AS subject_bin_dropout_flagged, e2 / greatest(bg.m, 1e-12) AS subject_bin_snr, e2 / greatest(bg.m, 1e-12) < 0.8 AS snr_flagged,
+         coalesce(atan2(mi * lr - mr * li, mr * lr + mi * li), 0.0) AS phase_delta, abs(coalesce(atan2(mi * lr - mr * li, mr * lr + mi * li), 0.0)) > 1.5 AS phase_jump_flagged
+  FROM ft JOIN md USING (session_id) JOIN im USING (session_id, frame_idx) JOIN sb USING (session_id, frame_idx) JOIN rm USING (session_id, frame_idx) JOIN bg USING (session_id, frame_idx) JOIN pm USING (session_id, frame_idx)),
+qq AS (SELECT *, NOT (clip_flagged OR dead_flagged OR rx_imbalance_flagged OR motion_spike_flagged) AS quality_mask FROM qm)"""
+CHECKS = {
+    "clip": {"full_scale": 0.35}, "dead": {"fraction": 0.8}, "rx_imbalance": {"enabled": True, "max_ratio": 1.8}, "motion_spike": {"enabled": True, "bin": 2, "factor": 1.6, "half_window": 3},
+    "subject_bin_dropout": {"bin": 2, "fraction": 0.5, "half_window": 3}, "snr": {"bin": 2, "guard": 1, "min_snr": 0.8}, "phase_jump": {"threshold_rad": 1.5},
+}
+HOURLY = EVENTS + """, hh AS (SELECT h AS hour, coalesce(sum(value), 0.0) AS v FROM range(0, 720) t(h) LEFT JOIN ev ON (epoch_utc - 1704067200) // 3600 = h GROUP BY 1),
+dy AS (SELECT hour // 24 AS day, hour % 24 AS i, v * (0.5 - 0.5 * cos(2 * pi() * (hour % 24) / 23)) AS x FROM hh),
+sp AS (SELECT day, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 24)), 2) + pow(sum(x * sin(2 * pi() * k * i / 24)), 2)) AS m FROM dy, range(0, 13) u(k) GROUP BY ALL)"""
+
+
+def S(ctes: str, select: str, macro: str = "") -> str:
+    text = f"WITH {ctes} {select}"
+    for c in ("pr_bpm", "rr_bpm", "pi"):
+        text = text.replace(f"round_even(avg({c}), 1)", EVEN(f"avg({c})"))
+    return text
+
+
+# -- reference stream -----------------------------------------------------------------------------------------------------
+
+
+@query(S(MERGED, "SELECT epoch_utc, round(pr_bpm, 6) AS pr_bpm, round(rr_bpm, 6) AS rr_bpm, round(pi, 6) AS pi, session FROM me"))
+def reference_duplicate_merge(spark, sf_dir):
+    return views.merged(spark, sf_dir).select("epoch_utc", "pr_bpm", "rr_bpm", "pi", "session")
+
+
+@query(S(STREAM, "SELECT count(*) AS n_raw, count(DISTINCT epoch_utc) AS n_unique, count(*) - count(DISTINCT epoch_utc) AS n_merged, max(epoch_utc) - min(epoch_utc) + 1 - count(DISTINCT epoch_utc) AS n_missing FROM st"))
+def reference_coverage(spark, sf_dir):
+    return reference.coverage(views.stream(spark, sf_dir))
+
+
+@query(S(STREAM, "SELECT event_id, epoch_utc FROM st WHERE epoch_utc >= 1704500000 AND epoch_utc < 1705000000"))
+def interval_crop(spark, sf_dir):
+    return reference.crop(views.stream(spark, sf_dir), 1_704_500_000, 1_705_000_000).select("event_id", "epoch_utc")
+
+
+@query(S(GATED, "SELECT window_index, round(pr_bpm_mean, 6) AS pr_bpm_mean, round(pr_bpm_std, 6) AS pr_bpm_std, round(rr_bpm_mean, 6) AS rr_bpm_mean, n_total, n_good_pi, low_quality FROM g"))
+def interval_join_gated_stats(spark, sf_dir):
+    return reference.window_reference(views.hour_windows(spark), views.merged(spark, sf_dir), ["window_index"], 3600).drop("rr_bpm_gated")
+
+
+@query(S(STREAM + ", o AS (SELECT *, row_number() OVER (PARTITION BY epoch_utc ORDER BY event_id) AS k FROM st), f AS (SELECT * FROM o WHERE k = 1)", """
+SELECT count(*) AS n_unique, count(*) FILTER (WHERE pi >= 0.5) AS n_used, count(*) - count(*) FILTER (WHERE pi >= 0.5) AS n_filtered, """ + ", ".join(f"round({f}({c}) FILTER (WHERE pi >= 0.5), 6) AS {c}_{n}" for c in ("pr_bpm", "rr_bpm", "pi") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + """,
+round(avg(CASE WHEN pr_bpm > 100 THEN 1.0 ELSE 0.0 END) FILTER (WHERE pi >= 0.5), 6) AS fraction_above FROM f"""))
+def reference_summary(spark, sf_dir):
+    return reference.reference_summary(views.stream(spark, sf_dir), "event_id", 0.5, 100.0)
+
+
+def _estimates(spark, sf_dir) -> DataFrame:
+    """Windows with an estimate (mean of one event type) joined to the gated reference."""
+    w = views.hour_windows(spark)
+    e = views.events(spark, sf_dir).where("event_type = 'click' AND user_id % 8 = 0").select("epoch_utc", "value")
+    hr = reference.interval_join(w, e, 3600).groupBy("window_index", "start_frame", "end_frame").agg(F.avg("value").alias("hr_bpm"), F.count("value").alias("n_click"))
+    ref = reference.window_reference(w, views.merged(spark, sf_dir), ["window_index"], 3600)
+    return compare.compare(hr, ref, ["window_index"]).withColumn("ahet_verified", F.col("n_click") >= 2)
+
+
+ESTIMATES = GATED + """, hr AS (SELECT window_index, start_frame, end_frame, avg(value) AS hr_bpm, count(value) AS n_click FROM w LEFT JOIN (SELECT * FROM ev WHERE event_type = 'click' AND user_id % 8 = 0) x ON epoch_utc >= start_epoch AND epoch_utc < end_epoch GROUP BY ALL),
+es AS (SELECT hr.*, pr_bpm_mean, low_quality, hr_bpm - pr_bpm_mean AS error_bpm, abs(hr_bpm - pr_bpm_mean) AS abs_error_bpm, n_click >= 2 AS ahet_verified FROM hr JOIN g USING (window_index))"""
+
+
+@query(S(ESTIMATES, "SELECT window_index // 24 AS day, count(hr_bpm) AS n_windows, count(*) - count(hr_bpm) AS n_nan_windows, " + METRICS.format(e="error_bpm") + " FROM es GROUP BY 1 HAVING count(hr_bpm) > 0"))
+def window_accuracy_metrics(spark, sf_dir):
+    return compare.accuracy(_estimates(spark, sf_dir).withColumn("day", F.expr("cast(window_index div 24 AS bigint)")), "day", drop_low_quality=False)
+
+
+@query(S(ESTIMATES, "SELECT count(hr_bpm) AS n_windows, count(*) - count(hr_bpm) AS n_nan_windows, " + METRICS.format(e="error_bpm") + " FROM es WHERE NOT low_quality HAVING count(hr_bpm) > 0"))
+def accuracy_of_good_windows(spark, sf_dir):
+    return compare.accuracy(_estimates(spark, sf_dir))
+
+
+@query(S(ESTIMATES, "SELECT ahet_verified, count(error_bpm) AS n_windows, " + METRICS.format(e="error_bpm") + " FROM es GROUP BY 1"))
+def accuracy_by_verification(spark, sf_dir):
+    return compare.finite_error_metrics(_estimates(spark, sf_dir), "ahet_verified")
+
+
+@query(S(ESTIMATES, "SELECT day, rank, window_index, round(abs_error_bpm, 6) AS abs_error_bpm FROM (SELECT window_index // 24 AS day, window_index, abs_error_bpm, CAST(row_number() OVER (PARTITION BY window_index // 24 ORDER BY abs_error_bpm DESC NULLS LAST, window_index) AS INTEGER) AS rank FROM es) WHERE rank <= 3"))
+def worst_windows(spark, sf_dir):
+    d = _estimates(spark, sf_dir).withColumn("day", F.expr("cast(window_index div 24 AS bigint)"))
+    return study.worst(d, 3, "day", tie="window_index").select("day", "rank", "window_index", "abs_error_bpm")
+
+
+@query(S(ESTIMATES, "SELECT window_index // 24 AS day, count(*) AS n, string_agg(CAST(window_index AS VARCHAR), ',' ORDER BY window_index) AS windows FROM es WHERE abs_error_bpm > 20 GROUP BY 1"))
+def flagged_windows(spark, sf_dir):
+    d = _estimates(spark, sf_dir).withColumn("day", F.expr("cast(window_index div 24 AS bigint)"))
+    got = study.flagged_windows(d, 20.0, "day", "window_index")
+    return got.withColumn("windows", F.array_join(F.col("windows").cast("array<string>"), ","))
+
+
+@query(S(ESTIMATES + ", b AS (SELECT (start_frame + end_frame) // 2 AS center_frame, error_bpm AS e FROM es WHERE window_index % 2 = 0), c AS (SELECT (start_frame + end_frame) // 2 AS center_frame, error_bpm AS e FROM es WHERE window_index % 3 = 0)", "SELECT center_frame, round(b.e, 6) AS error_a, round(c.e, 6) AS error_b FROM b JOIN c USING (center_frame)"))
+def aligned_centers(spark, sf_dir):
+    d = _estimates(spark, sf_dir)
+    return compare.align_centers(d.where("window_index % 2 = 0"), d.where("window_index % 3 = 0"), ("a", "b"))
+
+
+@query(S(ESTIMATES, "SELECT window_index, '{\"window_index\":' || window_index || ',\"low_quality\":' || low_quality || ',\"n_click\":' || n_click || ',\"ratio\":' || CASE WHEN n_click = 0 THEN 'null' ELSE CAST(n_click AS VARCHAR) || '.0' END || '}' AS json FROM es"))
+def nan_safe_json(spark, sf_dir):
+    ratio = F.when(F.col("n_click") == 0, F.lit(float("nan"))).otherwise(F.col("n_click").cast("double"))
+    d = _estimates(spark, sf_dir).select("window_index", "low_quality", "n_click", ratio.alias("ratio"))
+    return sinks.to_json_rows(d).select(F.get_json_object("json", "$.window_index").cast("int").alias("window_index"), "json")
+
+
+# -- grids ----------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'all' AS session_id, i AS window_index, CAST(1 + i AS BIGINT) AS start_frame, CAST(7 + i AS BIGINT) AS end_frame, 1704067200.0 + (1 + i) * 3600 AS start_epoch, 1704067200.0 + (7 + i) * 3600 AS end_epoch FROM range(0, 714) t(i)")
+def sliding_window_grid(spark, sf_dir):
+    return views.hour_windows(spark)
+
+
+@query("SELECT 'all' AS session_id, h AS window_frames, c - 12 AS window_index, c AS center_frame, c - h // 2 AS start_frame, c + h - h // 2 AS end_frame FROM range(12, 709) t(c), (VALUES (6), (12), (24)) l(h)")
+def common_center_grid(spark, sf_dir):
+    return windows.common_center_grid(views.session(spark), [6, 12, 24], 1, 12, 0)
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS session_id, i AS window_index, 2 * i AS start_frame, 2 * i + 4 AS end_frame FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 4), range(0, 200) t(i) WHERE 2 * i + 4 <= n")
+def pipeline_grid(spark, sf_dir):
+    s = views.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("session_id")).agg(F.count("*").alias("total_frames"))
+    return windows.pipeline_grid(s, 4, 2)
+
+
+# -- paired studies -------------------------------------------------------------------------------------------------------
+
+
+@query(S(PAIRS, "SELECT condition, count(*) AS n_total, count(err) AS n_finite, count(*) - count(radar_hr) AS n_nan_radar, count(*) - count(reference_pr) AS n_nan_ref, count(*) FILTER (WHERE ahet_verified) AS n_ahet_verified, " + METRICS.format(e="err") + " FROM er GROUP BY 1"))
+def condition_coverage(spark, sf_dir):
+    return compare.condition_coverage(views.pairs(spark, sf_dir), "condition")
+
+
+@query(S(PAIRS, "SELECT center_frame FROM cc"))
+def common_centers(spark, sf_dir):
+    return compare.common_centers(views.pairs(spark, sf_dir), 3)
+
+
+@query(S(PAIRS, "SELECT condition, count(*) AS n_centers, count(*) FILTER (WHERE ahet_verified) AS n_ahet, " + METRICS.format(e="err") + ", round(arg_min(err, center_frame), 6) AS first_error, round(arg_max(err, center_frame), 6) AS last_error FROM ix GROUP BY 1"))
+def paired_intersection(spark, sf_dir):
+    got = compare.paired_intersection(views.pairs(spark, sf_dir), 3)
+    return got.withColumn("first_error", F.element_at("error_vector", 1)).withColumn("last_error", F.element_at("error_vector", -1)).drop("error_vector")
+
+
+@query(S(PAIRS + ", o AS (SELECT *, CASE condition WHEN '6h' THEN 0 WHEN '12h' THEN 1 ELSE 2 END AS k FROM ix)", """SELECT a.condition AS condition_a, b.condition AS condition_b, count(*) AS n_pairs, round(avg(a.err - b.err), 6) AS mean_error_diff, round(avg(abs(a.err) - abs(b.err)), 6) AS mean_abs_error_diff,
+round(median(abs(a.err) - abs(b.err)), 6) AS median_abs_error_diff, count(*) FILTER (WHERE a.ahet_verified AND b.ahet_verified) AS both_pass, count(*) FILTER (WHERE a.ahet_verified AND NOT b.ahet_verified) AS only_a_passes,
+count(*) FILTER (WHERE NOT a.ahet_verified AND b.ahet_verified) AS only_b_passes, count(*) FILTER (WHERE NOT a.ahet_verified AND NOT b.ahet_verified) AS neither_passes FROM o a JOIN o b ON a.center_frame = b.center_frame AND a.k < b.k GROUP BY ALL"""))
+def pairwise_conditions(spark, sf_dir):
+    return compare.pairwise(views.pairs(spark, sf_dir), list(views.LENGTHS)).drop("error_diff_vector")
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    p = views.pairs(spark, sf_dir)
+    return p.join(compare.common_centers(p, 3), "center_frame").select("capture", F.col("condition").alias("length"), (F.col("radar_hr") - F.col("reference_pr")).alias("error"))
+
+
+def _as_lengths(df: DataFrame) -> DataFrame:
+    """The study's names of the three lengths, in their order."""
+    return df.withColumn("length", F.element_at(F.create_map(*[F.lit(x) for pair in zip(views.LENGTHS, study.LENGTHS) for x in pair]), F.col("length")))
+
+
+@query(S(PAIRS, "SELECT condition AS length, count(*) AS n, " + METRICS.format(e="err") + " FROM ix GROUP BY 1"))
+def pooled_micro(spark, sf_dir):
+    return study.pooled(_errors(spark, sf_dir))[0]
+
+
+@query(S(PAIRS + PER, "SELECT length, round(avg(mae_bpm), 6) AS mae_mean, round(min(mae_bpm), 6) AS mae_min, round(max(mae_bpm), 6) AS mae_max, round(avg(rmse_bpm), 6) AS rmse_mean, round(avg(bias_bpm), 6) AS bias_mean FROM pc GROUP BY 1"))
+def pooled_macro(spark, sf_dir):
+    return study.pooled(_errors(spark, sf_dir))[2]
+
+
+@query(S(PAIRS + PER + ", p AS (SELECT capture, max(mae_bpm) FILTER (WHERE length = '6h') AS a, max(mae_bpm) FILTER (WHERE length = '12h') AS b, max(mae_bpm) FILTER (WHERE length = '24h') AS c FROM pc GROUP BY 1)", """SELECT capture, round(a, 6) AS mae_20s, round(b, 6) AS mae_25s, round(c, 6) AS mae_30s,
+CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'unavailable' WHEN a >= b AND b >= c THEN 'monotonic_improvement' WHEN a >= b OR b >= c THEN 'partial_improvement' ELSE 'no_improvement' END AS trend,
+CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN 'n/a' WHEN a > b AND b > c THEN 'YES' WHEN a > c THEN 'PART' ELSE 'NO' END AS strict_trend FROM p"""))
+def capture_trends(spark, sf_dir):
+    return study.capture_trends(_as_lengths(study.pooled(_errors(spark, sf_dir))[1]))
+
+
+@query(S(PAIRS + PER, "SELECT a.length, round(a.mae_bpm, 6) AS mae_0, round(a.rmse_bpm, 6) AS rmse_0, round(b.mae_bpm, 6) AS mae_1, round(b.rmse_bpm, 6) AS rmse_1, round(b.mae_bpm - a.mae_bpm, 6) AS mae_diff, round(b.rmse_bpm - a.rmse_bpm, 6) AS rmse_diff FROM pc a JOIN pc b USING (length) WHERE a.capture = 'cap0' AND b.capture = 'cap1'"))
+def two_capture_summary(spark, sf_dir):
+    return study.two_capture_summary(study.pooled(_errors(spark, sf_dir))[1], "cap0", "cap1")
+
+
+@query(S(PAIRS + PER, "SELECT count(*) AS n_sessions, round(avg(mae_bpm), 6) AS mean_mae_bpm FROM pc WHERE length = '6h'"))
+def mean_session_mae(spark, sf_dir):
+    return study.mean_session_mae(study.pooled(_errors(spark, sf_dir))[1].where("length = '6h'"))
+
+
+@query(S(PAIRS + PER, "SELECT length, CASE WHEN bool_and(mae_bpm <= 30) THEN 'STRONG PASS' WHEN bool_or(mae_bpm <= 30) THEN 'PASS' WHEN bool_and(mae_bpm <= 40) THEN 'MARGINAL' WHEN bool_or(mae_bpm <= 40) THEN 'MIXED' ELSE 'FAIL' END AS verdict FROM pc GROUP BY 1"))
+def acceptance_verdict(spark, sf_dir):
+    return study.verdict(study.pooled(_errors(spark, sf_dir))[1], "length", good=30.0, fair=40.0)
+
+
+# -- respiration reports: a breathing rate per customer ---------------------------------------------------------------------
+
+RATES = "ra AS (SELECT c_custkey, 0.1 + (c_custkey % 50) / 100.0 AS f_r_hz, 50 + c_custkey % 60 AS pr_bpm_mean, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey), rk AS (SELECT *, greatest(1, least(CAST(floor((0.833 - 0.083) / f_r_hz) AS INTEGER), 6)) AS k_max FROM ra)"
+
+
+def _rates(spark, sf_dir) -> DataFrame:
+    c, n = views.table(spark, sf_dir, "customer"), views.table(spark, sf_dir, "nation")
+    d = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    d = d.select("c_custkey", (F.lit(0.1) + (F.col("c_custkey") % 50) / 100.0).alias("f_r_hz"), (50 + F.col("c_custkey") % 60).alias("pr_bpm_mean"), "n_name")
+    return d.withColumn("k_max", study.adaptive_k_max(F.col("f_r_hz")))
+
+
+@query(S(RATES, "SELECT k_max, count(*) AS n FROM rk GROUP BY 1"))
+def k_max_histogram(spark, sf_dir):
+    return _rates(spark, sf_dir).groupBy("k_max").agg(F.count("*").alias("n"))
+
+
+@query(S(RATES, "SELECT c_custkey, k, round(k * f_r_hz * 60, 6) AS harmonic_bpm, k * f_r_hz * 60 BETWEEN 50 AND 100 AS in_band, k <= k_max AS suppressed FROM rk, range(1, 9) t(k) WHERE k <= k_max + 2 AND c_custkey % 7 = 3"))
+def suppressed_harmonics(spark, sf_dir):
+    return study.suppressed_harmonics(_rates(spark, sf_dir).where("c_custkey % 7 = 3")).select("c_custkey", "k", "harmonic_bpm", "in_band", "suppressed")
+
+
+@query(S(RATES, "SELECT n_name, CAST(k AS INTEGER) AS k, count(*) AS n, count(*) FILTER (WHERE k * f_r_hz * 60 BETWEEN 50 AND 100) AS n_in_band, count(*) FILTER (WHERE abs(k * f_r_hz * 60 - pr_bpm_mean) < 5) AS n_near_reference FROM ra, range(2, 7) t(k) GROUP BY 1, 2"))
+def harmonic_intruders(spark, sf_dir):
+    return study.harmonic_intruders(_rates(spark, sf_dir), "n_name")
+
+
+@query(S(RATES + ", h AS (SELECT n_name, k, count(*) AS n, count(*) FILTER (WHERE k * f_r_hz * 60 BETWEEN 50 AND 100) AS b FROM ra, range(2, 7) t(k) GROUP BY 1, 2)", "SELECT n_name, CAST(min(k) FILTER (WHERE b > 0.5 * n) AS INTEGER) AS primary_k FROM h GROUP BY 1"))
+def primary_intruder(spark, sf_dir):
+    return study.primary_intruder(study.harmonic_intruders(_rates(spark, sf_dir), "n_name"), "n_name")
+
+
+@query(S(RATES, "SELECT n_name, count(*) AS n, round(avg(f_r_hz), 6) AS f_r_mean, round(stddev_pop(f_r_hz), 6) AS f_r_std, round(min(f_r_hz), 6) AS f_r_min, round(max(f_r_hz), 6) AS f_r_max FROM ra GROUP BY 1"))
+def respiration_track(spark, sf_dir):
+    return study.respiration_track(_rates(spark, sf_dir), "n_name")
+
+
+# -- ordered series -------------------------------------------------------------------------------------------------------
+
+
+@query(S(UNWRAP, "SELECT session_id, frame_idx, round(unwrapped, 6) AS unwrapped FROM uw"))
+def phase_unwrap(spark, sf_dir):
+    return series.unwrap(views.phasors(spark, sf_dir), "angle", "unwrapped", ["session_id"], "frame_idx").select("session_id", "frame_idx", "unwrapped")
+
+
+@query(S(UNWRAP + ", s AS (SELECT *, coalesce(unwrapped - lag(unwrapped) OVER (PARTITION BY session_id ORDER BY frame_idx), 0.0) AS d FROM uw)", "SELECT session_id, frame_idx, round(sum(greatest(-1.5, least(1.5, d))) OVER (PARTITION BY session_id ORDER BY frame_idx), 6) AS phase FROM s"))
+def phase_impulse_clip(spark, sf_dir):
+    u = series.unwrap(views.phasors(spark, sf_dir), "angle", "unwrapped", ["session_id"], "frame_idx")
+    return series.impulse_clip(u, "unwrapped", "phase", ["session_id"], "frame_idx").select("session_id", "frame_idx", "phase")
+
+
+@query(S(PHASOR + ", l AS (SELECT session_id, frame_idx, re, im, lag(re) OVER w AS r, lag(im) OVER w AS i FROM ph WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx))", "SELECT session_id, frame_idx, round(coalesce(atan2(im * r - re * i, re * r + im * i), 0.0), 6) AS delta FROM l"))
+def phase_delta(spark, sf_dir):
+    return series.phase_delta(views.phasors(spark, sf_dir), "re", "im", "delta", ["session_id"], "frame_idx").select("session_id", "frame_idx", "delta")
+
+
+@query(S(SAMPLES + ", l AS (SELECT session_id, frame_idx, re, im, lag(re) OVER w AS r, lag(im) OVER w AS i FROM sm WINDOW w AS (PARTITION BY session_id, a, s ORDER BY frame_idx))", "SELECT session_id, frame_idx, round(coalesce(atan2(sum(im * r - re * i), sum(re * r + im * i)), 0.0), 6) AS delta FROM l GROUP BY ALL"))
+def phase_delta_before_mean(spark, sf_dir):
+    return series.phase_delta_before_mean(views.phasors(spark, sf_dir), "res", "ims", "delta", ["session_id"], "frame_idx").select("session_id", "frame_idx", "delta")
+
+
+@query(S(MASK, "SELECT sb.session_id, sb.frame_idx, round(roll, 6) AS roll FROM sb JOIN rm USING (session_id, frame_idx)"))
+def rolling_median_reflect(spark, sf_dir):
+    f = views.features(spark, sf_dir).withColumn("e", F.get("bin_energy", F.lit(2)))
+    return series.rolling_median(f, "e", "roll", ["session_id"], "frame_idx", 3).select("session_id", "frame_idx", "roll")
+
+
+# -- frames, spectra and quality --------------------------------------------------------------------------------------------
+
+
+@query(S(SAMPLES, "SELECT session_id, bin_idx, round(avg(energy), 6) AS energy FROM be GROUP BY ALL"))
+def mean_range_energy(spark, sf_dir):
+    return vitals.mean_range_energy(views.features(spark, sf_dir)).withColumn("bin_idx", F.col("bin_idx").cast("long"))
+
+
+GATE = SAMPLES + ", mb AS (SELECT session_id, bin_idx, avg(energy) AS energy FROM be GROUP BY ALL)"
+
+
+@query(S(GATE, "SELECT session_id, bin_idx, round(bin_idx * 0.25, 6) AS range_m, round(energy, 6) AS energy FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY energy DESC, bin_idx) AS k FROM mb WHERE bin_idx * 0.25 BETWEEN 0.5 AND 1.5) WHERE k = 1"))
+def select_range_bin(spark, sf_dir):
+    bins = vitals.mean_range_energy(views.features(spark, sf_dir))
+    return vitals.select_bin(vitals.in_gate(bins, 0.25, (F.lit(0.5), F.lit(1.5)))).withColumn("bin_idx", F.col("bin_idx").cast("long"))
+
+
+@query(S(GATE, "SELECT session_id, CAST(k AS INTEGER) AS rank, bin_idx, round(energy, 6) AS energy FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY energy DESC, bin_idx) AS k FROM mb WHERE bin_idx > 0) WHERE k <= 5"))
+def top_range_bins(spark, sf_dir):
+    return vitals.top_bins(vitals.mean_range_energy(views.features(spark, sf_dir))).select("session_id", "rank", F.col("bin_idx").cast("long").alias("bin_idx"), "energy")
+
+
+@query(S(SAMPLES, "SELECT session_id, frame_idx, bin_idx, round(20 * log10(sqrt(mr * mr + mi * mi) + 1e-10), 6) AS db FROM be WHERE bin_idx < 4"))
+def range_profile_db(spark, sf_dir):
+    f = views.features(spark, sf_dir).select("session_id", "frame_idx", F.posexplode(F.zip_with("mean_re", "mean_im", lambda a, b: F.sqrt(a * a + b * b))).alias("bin_idx", "m"))
+    return f.where(f"bin_idx < {views.SAMPLES // 2}").select("session_id", "frame_idx", F.col("bin_idx").cast("long").alias("bin_idx"), spectral.to_db(F.col("m")).alias("db"))
+
+
+@query(S(MASK, "SELECT session_id, frame_idx, clip_flagged, dead_flagged, round(rx_energy_ratio, 6) AS rx_energy_ratio, rx_imbalance_flagged, round(subject_bin_energy, 6) AS subject_bin_energy, motion_spike_flagged, subject_bin_dropout_flagged, round(subject_bin_snr, 6) AS subject_bin_snr, snr_flagged, round(phase_delta, 6) AS phase_delta, phase_jump_flagged, quality_mask FROM qq"))
+def frame_quality_mask(spark, sf_dir):
+    keep = ["session_id", "frame_idx", "clip_flagged", "dead_flagged", "rx_energy_ratio", "rx_imbalance_flagged", "subject_bin_energy", "motion_spike_flagged", "subject_bin_dropout_flagged", "subject_bin_snr", "snr_flagged", "phase_delta", "phase_jump_flagged", "quality_mask"]
+    return quality.quality_mask(views.features(spark, sf_dir), CHECKS).select(*keep)
+
+
+FLAGS = ["motion_spike_flagged", "snr_flagged", "subject_bin_dropout_flagged", "phase_jump_flagged"]
+
+
+@query(S(MASK, "SELECT session_id, count(*) AS n_frames, count(*) FILTER (WHERE NOT quality_mask) AS n_flagged, round(100.0 * count(*) FILTER (WHERE NOT quality_mask) / count(*), 6) AS pct_flagged, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS n_{c}" for c in ["clip_flagged", "dead_flagged", "rx_imbalance_flagged", "motion_spike_flagged", "subject_bin_dropout_flagged", "snr_flagged", "phase_jump_flagged"]) + " FROM qq GROUP BY 1"))
+def quality_mask_stats(spark, sf_dir):
+    return quality.mask_stats(quality.quality_mask(views.features(spark, sf_dir), CHECKS))
+
+
+@query(S(MASK, "SELECT session_id, motion, both_flags, motion_only, any_of FROM (SELECT session_id, count(*) FILTER (WHERE motion_spike_flagged) AS motion, count(*) FILTER (WHERE motion_spike_flagged AND phase_jump_flagged) AS both_flags, count(*) FILTER (WHERE motion_spike_flagged AND NOT (snr_flagged OR subject_bin_dropout_flagged OR phase_jump_flagged)) AS motion_only, count(*) FILTER (WHERE motion_spike_flagged OR snr_flagged OR subject_bin_dropout_flagged OR phase_jump_flagged) AS any_of FROM qq GROUP BY 1)"))
+def soft_flag_overlaps(spark, sf_dir):
+    o = quality.flag_overlaps(quality.quality_mask(views.features(spark, sf_dir), CHECKS), FLAGS)
+    return o.select("session_id", F.col("motion_spike_flagged").alias("motion"), F.col("motion_spike_flagged_and_phase_jump_flagged").alias("both_flags"), F.col("motion_spike_flagged_only").alias("motion_only"), F.col("any").alias("any_of"))
+
+
+@query(S(MASK, "SELECT session_id, " + ", ".join(f"round(quantile_cont(phase_delta, {q}), 6) AS {n}" for q, n in ((0.0, "min"), (0.5, "p50"), (0.9, "p90"), (0.95, "p95"), (0.99, "p99"), (1.0, "max"))) + ", round(avg(phase_delta), 6) AS mean FROM qq GROUP BY 1"))
+def phase_delta_summary(spark, sf_dir):
+    return quality.phase_summary(quality.quality_mask(views.features(spark, sf_dir), CHECKS))
+
+
+ISLANDS = MASK + ", il AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY session_id, quality_mask ORDER BY frame_idx) AS g FROM qq), ru AS (SELECT session_id, quality_mask, min(frame_idx) AS a, max(frame_idx) AS b, count(*) AS n FROM il GROUP BY session_id, quality_mask, g)"
+
+
+@query(S(ISLANDS, "SELECT session_id, coalesce(max(n) FILTER (WHERE quality_mask), 0) AS longest_true, coalesce(max(n) FILTER (WHERE NOT quality_mask), 0) AS longest_false FROM ru GROUP BY 1"))
+def longest_runs(spark, sf_dir):
+    return series.longest_runs(quality.quality_mask(views.features(spark, sf_dir), CHECKS), "quality_mask", ["session_id"], "frame_idx")
+
+
+@query(S(ISLANDS, "SELECT session_id, a / 20.0 AS t_start, (b + 1) / 20.0 AS t_end, n AS length FROM ru WHERE NOT quality_mask"))
+def flagged_spans(spark, sf_dir):
+    q = quality.quality_mask(views.features(spark, sf_dir), CHECKS).withColumn("bad", ~F.col("quality_mask"))
+    return quality.flagged_spans(q, "bad", 20.0)
+
+
+def _days(spark, sf_dir) -> DataFrame:
+    h = views.hourly(spark, sf_dir)
+    x = F.transform(F.array_sort(F.collect_list(F.struct("hour", "v"))), lambda s: s["v"])
+    return h.groupBy(F.expr("hour div 24").alias("day")).agg(x.alias("x")).withColumn("s", spectral.amplitude_spectrum(F.col("x"), 24))
+
+
+@query(S(HOURLY, "SELECT day, k, round(m, 6) AS m FROM sp"))
+def amplitude_spectrum(spark, sf_dir):
+    return _days(spark, sf_dir).select("day", F.posexplode("s").alias("k", "m")).withColumn("k", F.col("k").cast("long"))
+
+
+PEAK = HOURLY + """, tp AS (SELECT day, arg_max(k, (m, -k)) AS i FROM sp WHERE k BETWEEN 2 AND 10 GROUP BY 1),
+nb AS (SELECT tp.day, i, max(m) FILTER (WHERE k = i - 1) AS a, max(m) FILTER (WHERE k = i) AS b, max(m) FILTER (WHERE k = i + 1) AS c, median(m) FILTER (WHERE k BETWEEN 2 AND 10) AS f FROM tp JOIN sp USING (day) GROUP BY ALL)"""
+
+
+@query(S(PEAK, "SELECT day, i AS peak_bin, round(i / 24.0 + CASE WHEN abs(0.5 * (a - c) / (a - 2 * b + c)) <= 1 THEN 0.5 * (a - c) / (a - 2 * b + c) / 24.0 ELSE 0 END, 6) AS peak_index_form, round(i / 24.0 + 0.5 * (a - c) / (a - 2 * b + c) / 24.0, 6) AS peak_freqs_form, round(b / f, 6) AS peak_to_floor, round(20 * log10(b / f), 6) AS peak_to_floor_db FROM nb"))
+def spectral_peaks(spark, sf_dir):
+    d = _days(spark, sf_dir).withColumn("i", (F.lit(2) + spectral.argmax(F.slice("s", 3, 9))).cast("int"))
+    freqs = F.array(*[F.lit(k / 24.0) for k in range(13)])
+    part = F.array_sort(F.slice("s", 3, 9))
+    ratio, db = spectral.peak_to_floor(F.get("s", F.col("i")), F.get(part, F.lit(4)))
+    return d.select("day", F.col("i").cast("long").alias("peak_bin"), spectral.refine_by_index(F.col("s"), F.col("i"), F.lit(1 / 24.0)).alias("peak_index_form"), spectral.refine_by_frequency(F.col("s"), freqs, F.col("i")).alias("peak_freqs_form"), ratio.alias("peak_to_floor"), db.alias("peak_to_floor_db"))
+
+
+# -- kernels without a SQL form: tests compare them with NumPy and by their properties ----------------------------------------
+
+
+@query()
+def estimated_rates(spark, sf_dir):
+    """Breathing and heart rates of sliding windows over the hourly signal, read as a 20 Hz phase."""
+    h = views.hourly(spark, sf_dir).select(F.lit("all").alias("session_id"), F.col("hour").alias("frame_idx"), (F.col("v") / 1000).alias("phase"))
+    grid = windows.sliding_grid(views.session(spark), 300, 100, 20)
+    got = vitals.estimate_windows(windows.slices(grid, vitals.as_arrays(h)), 20.0)
+    return got.select("session_id", "window_index", "start_frame", "end_frame", "rr_bpm", "hr_bpm", "heart_spectrum_stage", "ahet_verified", "harmonic_suspect", "f_r_outlier")
+
+
+@query()
+def manifest_lookup(spark, sf_dir):
+    """Bins per session joined to the manifest (nations as sessions)."""
+    from ..sources import tables
+
+    n = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("session_id"), F.lit(None).cast("int").alias("locked_bin"), "n_name")
+    bins = vitals.select_bin(vitals.in_gate(vitals.mean_range_energy(views.features(spark, sf_dir)), 0.25, (F.lit(0.5), F.lit(1.5))))
+    return tables.updated_manifest(n, bins)
+
+
+ORACLE_SQL["manifest_lookup"] = S(GATE, "SELECT CAST(n_nationkey AS VARCHAR) AS session_id, CAST(bin_idx AS INTEGER) AS locked_bin, n_name FROM nation LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY energy DESC, bin_idx) AS k FROM mb WHERE bin_idx * 0.25 BETWEEN 0.5 AND 1.5) b ON b.session_id = CAST(n_nationkey AS VARCHAR) AND k = 1")
