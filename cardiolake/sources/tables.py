@@ -24,7 +24,7 @@ def capture_log(spark: SparkSession, path: str, utc_offset_hours: int = 3) -> Da
     last = {n: F.max_by(F.when(F.col("name") == n, F.col("v")), F.when(F.col("name") == n, F.col("at"))) for n in MARKERS.values()}
     need = lambda n: F.coalesce(last[n], F.raise_error(F.lit(f"the log lacks its {n} line")).cast("string"))
     # the weekday is dropped: its letter is no pattern of to_timestamp
-    epoch = lambda c: F.unix_seconds(F.to_timestamp(F.substring(c, 5, 40), F.lit("MMM dd HH:mm:ss yyyy"))) - 3600 * utc_offset_hours
+    epoch = lambda c: F.unix_seconds(F.to_timestamp(F.substring(c, 5, 40), "MMM dd HH:mm:ss yyyy")) - 3600 * utc_offset_hours
     row = found.agg(*[need(n).alias(n) for n in MARKERS.values()])
     return row.select(epoch(F.col("start")).alias("start_epoch_utc"), epoch(F.col("end")).alias("end_epoch_utc"), F.col("duration").cast("int").alias("duration_s"))
 
