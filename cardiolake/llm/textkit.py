@@ -36,7 +36,7 @@ def _codes(strip: bool) -> np.ndarray:
 
 
 @cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def byte_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     p = np.full(1 << bits, _P, dtype=U)
     q = np.full(1 << bits, U(pow(int(_P), -1, 1 << 64)), dtype=U)
     p[0] = q[0] = 1
@@ -93,7 +93,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, strip: bool = False) -> tu
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     starts, ends = word_spans(raw, offsets)
-    powers, inverse = _powers(max(10, int(len(raw)).bit_length()))
+    powers, inverse = byte_powers(max(10, int(len(raw)).bit_length()))
     if strip:
         # positions count only the bytes that are kept, so that a word hashes alike with and without its punctuation
         terms = _codes(True)[raw]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stash
-from .textkit import buffers, slices
+from .textkit import U, byte_powers, buffers, mix, slices
 
 BLOCK = 1024
 MAGIC = b"PFOR1\0\0\0"
@@ -45,31 +45,85 @@ _WIDE_SPACE = regex.compile(r"[\s--[\x20\x09-\x0D]]", regex.V1)
 
 
 class Encoder:
-    """Byte-level BPE through the tokenizers library, with the ids of distinct pieces of text kept.
+    """Byte-level BPE through the tokenizers library, with the ids of distinct pieces of text kept by 64-bit hash.
 
-    The pre-tokeniser never joins a non-space with the white space after it, so a text is cut before each run of white
-    space; a distinct piece is encoded once. ``most`` bounds the kept pieces."""
+    The pre-tokeniser never joins a non-space with the white space after it, nor a letter with the punctuation after it, so
+    texts are cut there and a distinct piece is encoded once. ``most`` bounds the kept pieces (about 25 bytes each)."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.kept = most, {}
+        self.tokenizer.no_truncation()
+        # in a byte-level vocabulary a token has one character per byte
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token)
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def pieces(self, found: list[bytes]) -> list[np.ndarray]:
-        kept = self.kept
-        if len(kept) > self.most:
-            kept.clear()
-        new = [p for p in found if p not in kept]
-        if new:
-            coded = self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in new], add_special_tokens=False)
-            for p, e in zip(new, coded, strict=True):
-                kept[p] = np.array(e.ids, np.uint32)
-        return [kept[p] for p in found]
+    def pieces(self, keys: np.ndarray, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each distinct piece lie in ``flat``: (begin, size). ``keys`` ascend."""
+        if len(self.keys) > self.most:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        new[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] != keys[at < len(self.keys)]
+        if new.any():
+            ids, sizes = self._encode(blob, starts[new], stops[new])
+            every = np.concatenate((self.keys, keys[new]))
+            begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
+            size = np.concatenate((self.size, sizes))
+            order = np.argsort(every, kind="stable")
+            self.keys, self.begin, self.size = every[order], begin[order], size[order]
+            self.flat = np.concatenate((self.flat, ids))
+            at = np.searchsorted(self.keys, keys)
+        return self.begin[at], self.size[at]
+
+    def _encode(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces. Pieces that begin with white space and end without are encoded in runs, as one text: the cuts
+        between them are cuts of the pre-tokeniser, and the tokens' widths tell them apart."""
+        text = [blob[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        white = b" \t\n\v\f\r"
+        runs = [i for i, p in enumerate(text) if p[0] in white and p[-1] not in white]
+        alone = [i for i, p in enumerate(text) if p[0] not in white or p[-1] in white]
+        out = np.zeros(len(text), np.int64)
+        found = []
+        places = []
+        for a in range(0, len(runs), 2048):
+            some = runs[a : a + 2048]
+            ids = self.whole(b"".join(text[i] for i in some).decode("utf-8"))
+            ends = np.cumsum([len(text[i]) for i in some])
+            place = np.cumsum(self.width[ids])
+            cut = np.searchsorted(place, ends)
+            if not (place[cut] == ends).all():
+                raise RuntimeError("token widths don't add up to the text")
+            out[some] = np.diff(np.concatenate(([-1], cut)))
+            found.append(ids)
+            places += some
+        if alone:
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast([text[i].decode("utf-8") for i in alone], add_special_tokens=False)]
+            out[alone] = [len(x) for x in coded]
+            found.append(np.fromiter((i for x in coded for i in x), np.uint32))
+            places += alone
+        flat = np.concatenate(found)
+        # back into the order of the pieces
+        sizes = out[places]
+        begin = np.empty(len(text), np.int64)
+        begin[places] = np.cumsum(sizes) - sizes
+        return flat[_ranges(begin, out)], out
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of consecutive ranges ``begin .. begin + size``."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -81,39 +135,35 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+_KIND = np.zeros(256, np.uint8)  # 1 white space, 2 ASCII letter, 3 ASCII punctuation
+_KIND[[0x20, *range(0x09, 0x0E)]] = 1
+_KIND[[*range(65, 91), *range(97, 123)]] = 2
+_KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 3
+
+
 def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, ids of these rows with an end id each, number of ids of each row)."""
-    from .textkit import mix, word_hashes, word_spans
-
     raw, offsets = buffers(column)
-    for i, j in slices(offsets, 1 << 20):
+    for i, j in slices(offsets, 1 << 21):
         base = int(offsets[i])
         data, off = raw[base : int(offsets[j])], offsets[i : j + 1] - base
-        odd = {d for d in range(j - i) if (data[off[d] : off[d + 1]] >= 0x80).any() and _WIDE_SPACE.search(data[off[d] : off[d + 1]].tobytes().decode("utf-8"))}
-        _, stops = word_spans(data, off)
-        # a piece: white space and the word after it; what follows the last word is a piece too
-        rows = np.searchsorted(off, stops, side="left") - 1
-        tails = off[1:][(off[1:] > off[:-1])]
-        stops = np.union1d(stops, tails)
-        rows = np.searchsorted(off, stops, side="left") - 1
-        starts = np.concatenate(([0], stops[:-1]))
-        plain = np.ones(len(stops), bool)
+        wide = np.concatenate(([0], np.cumsum(data >= 0x80)))
+        odd = [d for d in np.flatnonzero(wide[off[1:]] > wide[off[:-1]]).tolist() if _WIDE_SPACE.search(data[off[d] : off[d + 1]].tobytes().decode("utf-8"))]
+        kind = _KIND[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = ((kind[1:] == 1) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 2))
+        cut[off[:-1][off[:-1] < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        stops = np.append(starts[1:], len(data))
+        rows = np.searchsorted(off, starts, side="right") - 1
         if odd:
-            plain = ~np.isin(rows, list(odd))
-        h = _piece_hashes(data, starts, stops)
-        _, first, at = np.unique(h, return_index=True, return_inverse=True)
+            plain = ~np.isin(rows, odd)
+            starts, stops, rows = starts[plain], stops[plain], rows[plain]
         blob = data.tobytes()
-        used = np.zeros(len(first), bool)
-        used[at[plain]] = True
-        ids = [np.zeros(0, np.uint32)] * len(first)
-        keys = np.flatnonzero(used)
-        for k, got in zip(keys, enc.pieces([blob[starts[first[k]] : stops[first[k]]] for k in keys]), strict=True):
-            ids[k] = got
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-        n = np.where(plain, size[at], 0)
-        per_row = np.bincount(rows, weights=n, minlength=j - i).astype(np.int64) if len(rows) else np.zeros(j - i, np.int64)
+        keys, first, at = np.unique(_piece_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        begin, size = enc.pieces(keys, blob, starts[first], stops[first])
+        n = size[at]
+        per_row = np.bincount(rows, weights=n, minlength=j - i).astype(np.int64)
         whole = {d: enc.whole(blob[off[d] : off[d + 1]].decode("utf-8")) for d in odd}
         for d, x in whole.items():
             per_row[d] = len(x)
@@ -125,16 +175,14 @@ def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int
         for d, x in whole.items():
             out[stop[d] - per_row[d] : stop[d] - 1] = x
             room[stop[d] - per_row[d] : stop[d] - 1] = False
-        total = int(n.sum())
-        take = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at], n)
-        out[room] = flat[take]
+        out[room] = enc.flat[_ranges(begin[at], n)]
         yield i, j, out, per_row
 
 
 def _piece_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    from .textkit import U, _powers, mix
-
-    powers, inverse = _powers(max(10, int(len(data)).bit_length()))
+    if not len(starts):
+        return np.zeros(0, U)
+    powers, inverse = byte_powers(max(10, int(len(data)).bit_length()))
     terms = mix(np.arange(1, 257, dtype=U), 5)[data] * powers[: len(data)]
     sums = np.concatenate((np.zeros(1, U), np.cumsum(terms)))
     return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(U) * U(0xD1342543DE82EF95))
