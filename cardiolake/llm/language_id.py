@@ -138,7 +138,10 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     order = Window.partitionBy("lang").orderBy("rank", "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("rank", F.xxhash64("doc_id")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
+    # ids with small hashes only: about twice the sample of each language meets for ranking
+    bound = F.create_map(*[F.lit(x) for r in langs for x in (r[0], int(min(1.0, 2 * sample / r[1]) * (1 << 30)) + 1)])
+    ids = rows.select("lang", "doc_id").withColumn("rank", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).where(F.col("rank") < bound[F.col("lang")])
+    ids = ids.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
     picked = ids.select("lang", "doc_id", "rank").distinct()
     chosen = F.broadcast(picked) if len(langs) * sample <= 500_000 else picked
     texts = rows.join(chosen, ["lang", "doc_id"])
