@@ -160,7 +160,7 @@ def _score(n: int, v: int, n1: int, n2: int, prior: float):
     return run
 
 
-def score_documents(docs: DataFrame, train: str, prior: float = 200.0, block_bytes: int = 2 << 20, part_grams: int = 1_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, train: str, prior: float = 400.0, block_bytes: int = 2 << 20, part_grams: int = 1_500_000) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs(doc_id, text)``.
 
     ``train``: SQL condition that picks the training rows. ``base_score`` sums ``log10((c + 1) / (N + V + 1))``.

@@ -182,7 +182,7 @@ def test_lm_base_counts_and_score(docs):
             two.update(zip(t, t[1:]))
     n, v = sum(one.values()), len(one)
     n1, n2 = (sum(c == k for c in one.values()) for k in (1, 2))
-    d, prior = n1 / (n1 + 2 * n2), 200.0
+    d, prior = n1 / (n1 + 2 * n2), 400.0
     p1 = lambda w: (one[w] - d) / n if one[w] else d * v / n
     assert math.isclose(sum(p1(w) for w in one) + d * v / n, 1, rel_tol=1e-9)
     got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs.repartition(3), rule, block_bytes=50_000).collect()}
