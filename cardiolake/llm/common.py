@@ -47,6 +47,17 @@ def unstash(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of (id, number) up to which a lookup side is broadcast (about 16 MB); beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_wide(wide: DataFrame, narrow: DataFrame, on: str, how: str) -> DataFrame:
+    """Joins rows with whole texts to a written table of ids. Up to ``BROADCAST_ROWS`` counted rows the ids go to the texts,
+    so that texts aren't shuffled; a larger table meets them in a sort-merge join."""
+    small = narrow.count() <= BROADCAST_ROWS
+    return wide.join(F.broadcast(narrow) if small else narrow, on, how)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph given as ``edges(src, dst)``; returns ``(node, component)`` with the smallest
     node of each component, for every node that has an edge to another node.

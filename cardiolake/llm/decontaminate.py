@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_wide, stash
 from .textkit import U, documents, shingle_hashes
 
 SCHEMA = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming int"
@@ -184,4 +185,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float =
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark passage; rows without an id are kept."""
-    return docs.join(leaks(docs, benchmark, **options).select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = stash(leaks(docs, benchmark, **options).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaks")
+    return join_wide(docs, found, "doc_id", "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import join_wide, stash
 
 GOLDEN = 2654435769  # 2^32 / golden ratio
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,5 +106,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, as often as the mix takes them: ``taken / size`` rounded, up to the number of
     passes; documents without words and rows without an id stay once."""
     mix = mix_sources(docs, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
+    mix = stash(mix, "mix")
     times = F.when(F.coalesce("__size", F.lit(0)) == 0, 1).otherwise(F.expr("(2 * __taken + __size) div (2 * __size)"))
-    return docs.join(mix, "doc_id", "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    return join_wide(docs, mix, "doc_id", "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
