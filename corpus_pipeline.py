@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.llm import decontaminate, language_id, mixing, token_output
-from cardiolake.llm.common import stash
+from cardiolake.llm.common import join_wide, stash
 from cardiolake.llm.jaccard_join import jaccard_components
 
 
@@ -26,8 +26,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group that five-word shingles link at a similarity of 0.8; documents without
     words or ids stay."""
-    keep = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_anti").select(*docs.columns)
+    more = stash(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return join_wide(docs, more, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
