@@ -50,7 +50,8 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
+    got = lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
+    return got.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +77,36 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict, false AS alia
 FROM (SELECT u.*, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST, h || p) AS k
       FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 WHERE k = 1
+""",
+    # crc32 by its table, then counts of tokens and pairs of the training rows; the automaton's weights in closed form
+    "op8_lm_scoring": r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT CAST(range AS UBIGINT), CAST(range AS UBIGINT), 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc(id, s, p, c) AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR), 1, CAST(4294967295 AS UBIGINT) FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL SELECT id, s, p + 1, xor(crc.c >> 8, bits.c) FROM crc JOIN bits ON bits.k = 8 AND bits.i = xor(crc.c, CAST(ascii(substr(s, p, 1)) AS UBIGINT)) & 255 WHERE p <= length(s)),
+split AS (SELECT id, xor(c, CAST(4294967295 AS UBIGINT)) % 7 = 2 AS held_out FROM crc WHERE p = length(s) + 1),
+words AS (SELECT doc_id, held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), NULL) AS w FROM documents JOIN split ON id = doc_id),
+tok AS (SELECT doc_id, held_out, i, coalesce(w[i], ' ') AS t, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
+one AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY 1),
+two AS (SELECT u, t, count(*) AS c FROM tok WHERE NOT held_out AND u IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT sum(c) AS n, count(*) AS v, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2 FROM one),
+d AS (SELECT CAST(n AS BIGINT) AS n, v, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS d FROM m),
+x AS (SELECT doc_id, held_out, coalesce(one.c, 0) AS c, coalesce(ctx.c, 0) AS cu, coalesce(two.c, 0) AS cut, n, v, CASE WHEN coalesce(one.c, 0) > 0 THEN (one.c - d) / n ELSE d * v / n END AS p1
+      FROM tok CROSS JOIN d LEFT JOIN one ON one.t = tok.t LEFT JOIN one ctx ON ctx.t = tok.u LEFT JOIN two ON two.u = tok.u AND two.t = tok.t)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, any_value(n) AS train_tokens,
+       round(sum(log10((c + 1) / (n + v + 1))), 6) AS base_score, round(sum(log10(CASE WHEN cu > 0 THEN (cut + 400 * p1) / (cu + 400) ELSE p1 END)), 6) AS score
+FROM x GROUP BY doc_id, held_out
+""",
+    "op9_jaccard_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM words)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(c) AS component_id FROM r GROUP BY 1) ON node = doc_id
 """,
 }

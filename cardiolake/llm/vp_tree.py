@@ -32,6 +32,14 @@ from .common import stash
 LEAF = 48
 
 
+def _vantage(vectors: np.ndarray, points: np.ndarray, rng: np.random.Generator, tries: int = 12, sample: int = 96) -> int:
+    """Of some points, the one whose distances to a sample spread most."""
+    some = rng.integers(len(points), size=tries)
+    near = vectors[points[rng.integers(len(points), size=sample)]]
+    spread = [np.sqrt(((near - vectors[points[i]]) ** 2).sum(axis=1)).std() for i in some]
+    return int(some[int(np.argmax(spread))])
+
+
 def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
     """Points in tree order and nodes ``(begin, end, mu, near, far)``; the first point of a node is its vantage point."""
     order = np.arange(len(ids))
@@ -46,7 +54,7 @@ def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
         nodes.append([a, b, -1.0, -1, -1])
         if b - a <= LEAF:
             continue
-        pick = a + int(rng.integers(b - a))
+        pick = _vantage(vectors, order[a:b], rng) + a
         order[[a, pick]] = order[[pick, a]]
         rest = order[a + 1 : b]
         d = np.sqrt(((vectors[rest] - vectors[order[a]]) ** 2).sum(axis=1))
@@ -141,7 +149,7 @@ def valid_vectors(rows: DataFrame, dims: int | None = None) -> tuple[DataFrame,
     return rows.where(F.size("embedding") == dims), dims
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.55, shard_rows: int = 8192, query_rows: int = 256) -> DataFrame:
+def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.18, shard_rows: int = 8192, query_rows: int = 256) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found among all rows for each row that ``is_query`` picks."""
     spark = rows.sparkSession
     valid, dims = valid_vectors(rows)
