@@ -38,12 +38,13 @@ def decode(raw: bytes, g: Geometry) -> np.ndarray:
     return (words[:, 0, :] + 1j * words[:, 1, :]).reshape(g.chirps, g.rx, g.samples)
 
 
-def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_bin: int | None = None) -> DataFrame:
+def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_bin: int | None = None, real: bool = False) -> DataFrame:
     """One row of small features per frame; the cube and its transform stay inside the task.
 
     ``frames(session_id, frame_idx, raw)``. ``bin_energy``: mean squared magnitude per bin; ``mean_re/mean_im``: mean phasor
     per bin; ``phasor_re/phasor_im``: the phasors of ``phase_bin`` per chirp and receiver (null without one). Double
-    precision throughout. With ``windowed`` a Hann window precedes the transform."""
+    precision throughout. With ``windowed`` a Hann window precedes the transform; ``real`` drops the quadrature part and gives
+    ``samples // 2 + 1`` bins."""
     window = np.hanning(g.samples) if windowed else np.ones(g.samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +53,10 @@ def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_
             rows = []
             for session, index, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 cube = decode(raw, g)
+                if real:
+                    cube = cube.real
                 power = np.abs(cube) ** 2
-                z = np.fft.fft(cube * window, axis=2)
+                z = (np.fft.rfft if real else np.fft.fft)(cube * window, axis=2)
                 mean = z.mean(axis=(0, 1))
                 one = z[:, :, phase_bin].ravel() if phase_bin is not None else None
                 peak = max(np.abs(cube.real).max(), np.abs(cube.imag).max())
@@ -93,6 +96,15 @@ def top_bins(bins: DataFrame, n: int = 5) -> DataFrame:
     return bins.where("bin_idx > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
+def range_profile_db(features: DataFrame, g: Geometry, max_range_m: float) -> DataFrame:
+    """Range profile per frame in decibels, positive half up to ``max_range_m``; the features come without a window (the mean
+    over chirps and receivers commutes with the transform)."""
+    m = F.zip_with("mean_re", "mean_im", lambda a, b: F.sqrt(a * a + b * b))
+    rows = features.select("session_id", "frame_idx", F.posexplode(F.slice(m, 1, g.samples // 2)).alias("bin_idx", "m"))
+    at = rows.withColumn("range_m", F.col("bin_idx") * F.lit(g.range_resolution_m)).where(F.col("range_m") <= max_range_m)
+    return at.select("session_id", "frame_idx", "bin_idx", "range_m", (20 * F.log10(F.col("m") + 1e-10)).alias("db"))
+
+
 def phase_series(features: DataFrame, bins: DataFrame, limit: float = 1.5) -> DataFrame:
     """``(session_id, frame_idx, phase)``: angle of the mean phasor at each session's bin, unwrapped and clipped."""
     at = features.select("session_id", "frame_idx", "mean_re", "mean_im").join(bins.select("session_id", "bin_idx"), "session_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp, series, spectral
 from cardiolake.operators import evidence, quality, vitals, windows
+from cardiolake.plans import capture
 from cardiolake.sources import adc
 from cardiolake.streaming import live_phase
 
@@ -307,6 +308,28 @@ def test_capture_to_rates(spark, tmp_path):
     rates = vitals.estimate_windows(windows.slices(grid, vitals.as_arrays(vitals.phase_series(features, bins))), FS).collect()
     assert len(rates) == 3 and all(abs(r["rr_bpm"] - 15) < 1 for r in rates) and all(np.isnan(r["hr_bpm"]) or abs(r["hr_bpm"] - 71) < 2 for r in rates)
     assert any(r["ahet_verified"] for r in rates)
+    # the same through the plans, with a trim, the reference stream and two lengths
+    g20 = vitals.Geometry(chirps=2, rx=2, samples=16, range_resolution_m=0.1, frame_rate_hz=FS)
+    f = capture.capture_features(spark, [str(tmp_path / "s.bin")], "s", g20, trim_s=1.0, expected_frames=n)
+    picked, series_ = capture.capture_phase(f, g20, (0.3, 0.8))
+    assert picked.first()["bin_idx"] == bin_ and series_.agg(F.min("frame_idx")).first()[0] == 20
+    total = spark.createDataFrame([("s", n)], "session_id string, total_frames long")
+    stream = spark.createDataFrame([(1000 + i, 71.0, 15.0, 1.0) for i in range(30)], "epoch_utc long, pr_bpm double, rr_bpm double, pi double")
+    est = capture.rates(series_, g20, windows.sliding_grid(total, N, 40, 20), 1000.0)
+    merged, every, verified = capture.agreement(est, stream)
+    assert merged.count() == 3 and verified.first()["mae_bpm"] < 2 and every.first()["n_windows"] >= verified.first()["n_windows"]
+    pairs = capture.length_study(series_, g20, total, stream, [15, 20], 20, 220, 20, 1000.0)
+    assert {r["condition"]: r["count"] for r in pairs.groupBy("condition").count().collect()} == {"15s": 5, "20s": 5}
+    whole = capture.whole_capture_rate(series_, g20).first()
+    assert abs(whole["rr_bpm"] - 15) < 1 and not whole["eca_applied"]
+    assert capture.capture_phase(f, g20, (0, 1), locked_bin=4)[0].first()["bin_idx"] == 4
+    with pytest.raises(ValueError):
+        capture.capture_phase(f, g20, (0, 1), locked_bin=16)
+    masked, stats, runs = capture.session_quality(vitals.range_features(frames, g20, False, phase_bin=bin_), {"snr": {"bin": bin_, "enabled": True}, "phase_jump": {"enabled": True}})
+    assert stats.first()["n_flagged"] == 0 and runs.first()["longest_true"] == n
+    db = vitals.range_profile_db(vitals.range_features(frames, g20, windowed=False), g20, 0.75)
+    assert db.groupBy("bin_idx").agg(F.avg("db").alias("m")).orderBy(F.desc("m")).first()["bin_idx"] == bin_
+    assert len(vitals.range_features(frames, g20, real=True).first()["bin_energy"]) == 9
 
 
 def test_stream_equals_batch(spark, tmp_path):
