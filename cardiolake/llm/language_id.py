@@ -25,6 +25,12 @@ from pyspark.sql import functions as F
 from .textkit import U, buffers, slices
 
 UND = "und"
+LENGTHS = 40
+
+
+def size_class(grams: np.ndarray) -> np.ndarray:
+    """Class of a text by the binary logarithm of its number of n-grams."""
+    return np.log2(grams + 1).astype(np.int64)
 
 
 def _fold() -> np.ndarray:
@@ -101,24 +107,23 @@ def _fit(dims: int, idf: np.ndarray, clusters: int, rounds: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "doc_id"], kind="stable")
         raw, offsets = buffers(pa.array(pdf["text"], pa.large_string()))
-        v = np.concatenate([_vectors(gram_counts(raw, offsets[a : min(a + 64, len(pdf)) + 1], dims), idf) for a in range(0, len(pdf), 64)])
-        v = v[np.linalg.norm(v, axis=1) > 0]
+        counts = np.concatenate([gram_counts(raw, offsets[a : min(a + 64, len(pdf)) + 1], dims).astype(np.float32) for a in range(0, len(pdf), 64)])
+        grams = counts.sum(axis=1)
+        v, grams = _vectors(counts[grams > 0], idf), grams[grams > 0]
         if not len(v):
             return pd.DataFrame({"lang": [], "cluster": [], "centroid": [], "least": []})
-        # farthest-first seeds: the mean's nearest row, then each time the row that is least like the seeds so far
-        mean = v.mean(axis=0)
-        chosen = [int(np.argmax(v @ mean))]
-        while len(chosen) < min(clusters, len(v)):
-            chosen.append(int(np.argmin((v @ v[chosen].T).max(axis=1))))
-        centroids = v[chosen]
+        # the sample is in the order of a hash, so its first rows are random seeds; clusters of under 5 % are given up
+        centroids = v[:clusters]
         for _ in range(rounds):
             near = (v @ centroids.T).argmax(axis=1)
-            sums = np.stack([v[near == c].sum(axis=0) if (near == c).any() else centroids[c] for c in range(len(centroids))])
+            share = np.bincount(near, minlength=len(centroids))
+            kept = np.flatnonzero(share >= max(1, 0.05 * len(v)))
+            sums = np.stack([v[near == c].sum(axis=0) for c in (kept if len(kept) else [share.argmax()])])
             centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        cos = v @ centroids.T
-        near = cos.argmax(axis=1)
-        least = [float(cos[near == c, c].min()) if (near == c).any() else 1.0 for c in range(len(centroids))]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(centroids)), "centroid": [c.tolist() for c in centroids], "least": least})
+        best = (v @ centroids.T).max(axis=1)
+        least = np.full(LENGTHS, np.inf, np.float32)
+        np.minimum.at(least, size_class(grams), best)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(centroids)), "centroid": [c.tolist() for c in centroids], "least": [least.tolist()] * len(centroids)})
 
     return run
 
@@ -130,7 +135,7 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     df = {r[0]: r[1] for r in counted.collect()}  # at most dims + 1 rows
     n = df.pop(-1, 0)
     if not n:
-        return np.ones(dims, np.float32), [], np.zeros((0, dims), np.float32), np.zeros(0, np.float32)
+        return np.ones(dims, np.float32), [], np.zeros((0, dims), np.float32), np.zeros(LENGTHS, np.float32)
     idf = np.full(dims, np.log(1.0 + n), np.float32)
     for g, c in df.items():
         idf[g] = np.log((1.0 + n) / (1.0 + c)) + 0.05
@@ -145,14 +150,18 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     picked = ids.select("lang", "doc_id", "rank").distinct()
     chosen = F.broadcast(picked) if len(langs) * sample <= 500_000 else picked
     texts = rows.join(chosen, ["lang", "doc_id"])
-    got = texts.groupBy("lang").applyInPandas(_fit(dims, idf, clusters, rounds), "lang string, cluster int, centroid array<float>, least float")
+    got = texts.groupBy("lang").applyInPandas(_fit(dims, idf, clusters, rounds), "lang string, cluster int, centroid array<float>, least array<float>")
     got = sorted(got.collect(), key=lambda r: (r["lang"], r["cluster"]))  # at most max_langs * clusters rows
-    return idf, [r["lang"] for r in got], np.array([r["centroid"] for r in got], np.float32).reshape(-1, dims), np.array([r["least"] for r in got], np.float32)
+    # a limit holds for all longer texts too, so it never falls as texts grow; beyond the longest sampled, the last one holds
+    least = np.min([r["least"] for r in got], axis=0) if got else np.zeros(LENGTHS)
+    limits = np.minimum.accumulate(least[::-1])[::-1]
+    limits[np.isinf(limits)] = limits[np.isfinite(limits)].max(initial=0.0)
+    return idf, [r["lang"] for r in got], np.array([r["centroid"] for r in got], np.float32).reshape(-1, dims), limits.astype(np.float32)
 
 
 def _predict(model, dims: int, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, langs, centroids, least = model.value
+        idf, langs, centroids, limits = model.value
         names = np.array([*langs, UND], dtype=object)
         for batch in batches:
             column = batch.column(0)
@@ -165,12 +174,13 @@ def _predict(model, dims: int, slack: float):
                     letters = has_letter(raw, offsets[a : b + 1], column, a)
                     if not len(langs) or not letters.any():
                         continue
-                    cos = _vectors(gram_counts(raw, offsets[a : b + 1], dims), idf) @ centroids.T
+                    counts = gram_counts(raw, offsets[a : b + 1], dims)
+                    cos = _vectors(counts, idf) @ centroids.T
                     near = cos.argmax(axis=1)
                     best = cos[np.arange(b - a), near]
                     lang[a:b] = np.where(letters, near, len(langs))
                     score[a:b] = np.where(letters, np.clip(best, 0, 1), 0)
-                    rejected[a:b] = ~letters | (best < slack * least[near])
+                    rejected[a:b] = ~letters | (best < slack * limits[size_class(counts.sum(axis=1))])
             yield pa.record_batch([*batch.columns[1:], pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[1:], "lang_pred", "score", "rejected"])
 
     return run

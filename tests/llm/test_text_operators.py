@@ -124,6 +124,14 @@ def test_language_held_out_accuracy_and_edges(docs, odd, empty):
     assert {r["lang_pred"] for r in language_id.predict(odd, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_rejects_what_is_like_no_language(docs, spark):
+    model = language_id.fit(docs, "true")
+    texts = ["这是一个测试文本我们在这里写一些中文内容" * 20, "Это простой русский текст для проверки языка " * 20, "the of and to in is"]
+    got = {r["i"]: r["rejected"] for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), model, ["i"]).collect()}
+    assert got == {0: True, 1: True, 2: False}
+    assert language_id.predict(docs, model, ["doc_id"]).where("rejected").count() == 0
+
+
 def test_language_ignores_labels_of_the_judged(docs):
     hold = "crc32(cast(doc_id AS string)) % 4 = 2"
     model = language_id.fit(docs, f"NOT ({hold})")
