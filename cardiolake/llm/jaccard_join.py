@@ -9,10 +9,12 @@ rows, but fewer chance agreements on empty or tiny subsets. Every pair that agre
 
 Order of work, each step a Spark job over all rows:
 
-1. ``profile``: size and 128-bit fingerprint of every document's set; equal sets form one class.
+1. ``profile``: size, histogram and 128-bit fingerprint of every document's set; equal sets form one class.
 2. ``signatures``: packed per block of text, one row per (block, hash range); a subset that several documents of a block
    share leaves the block once. Reducers keep only subsets that occur at least twice.
-3. star edges from each bucket's smallest class to its members are verified; connected components follow.
+3. star edges from each bucket's smallest class to its members are verified; connected components follow. Parities and a
+   histogram of each set over hash buckets bound the difference of two sets from below, so most chance agreements end
+   there; all other pairs are verified on the whole sets.
 4. Only buckets that still hold several components are compared further, and only between components; the distances to
    the bucket's pivot prune those pairs by the triangle inequality (Jaccard distance is a metric). Verified again.
 
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stash, unstash
+from .common import connected_components, join_wide, stash, unstash
 from .textkit import U, documents, mix, pack, shingle_hashes, unpack
 
 BLOCK_BYTES = 4 << 20
@@ -54,7 +56,7 @@ def differ_most(size: int, percent: int) -> int:
     return max(s + size - 2 * -(-percent * (s + size) // (100 + percent)) for s in range(size, larger + 1))
 
 
-def allocate(size: float, differ: int, sets: float, verify_cost: float = 200.0) -> tuple[int, int]:
+def allocate(size: float, differ: int, sets: float, pair_cost: float = 0.3) -> tuple[int, int]:
     """(segments, of which with allowance 2) at the least cost: rows emitted plus chance agreements to verify."""
     best = (float("inf"), 1, 0)
     for two in range((differ + 1) // 2 + 1):
@@ -62,7 +64,7 @@ def allocate(size: float, differ: int, sets: float, verify_cost: float = 200.0)
         empty = (1 - 1 / segments) ** size
         single = size / segments * (1 - 1 / segments) ** (size - 1)
         chance = (segments - two) * empty**2 + two * (empty + single) ** 2
-        cost = sets * (segments + two * size / segments) + verify_cost * chance * sets * sets / 2
+        cost = sets * (segments + two * size / segments) + pair_cost * chance * sets * sets / 2
         best = min(best, (cost, segments, two))
     return best[1], best[2]
 
@@ -107,13 +109,19 @@ def _profile(k: int):
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             one, other = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            hist, par = [b""] * batch.num_rows, [None] * batch.num_rows
             for row, words in documents(batch.column(1)):
                 s = np.unique(shingle_hashes(words, k))
                 n[row] = len(s)
                 if len(s):
                     one[row] = mix(s, 11).sum(dtype=U).view(np.int64)
                     other[row] = np.bitwise_xor.reduce(mix(s, 13)).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(one), pa.array(other)], names=["doc_id", "n_shingles", "fp1", "fp2"])
+                    bits = 6 if len(s) < 1024 else 9
+                    hist[row] = np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+                    bits = 9 if len(s) < 1024 else 12
+                    odd = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+                    par[row] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(one), pa.array(other), pa.array(hist, pa.binary()), pa.array(par, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp1", "fp2", "hist", "par"])
 
     return run
 
@@ -200,17 +208,40 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(x.as_buffer()) // 8 for x in left]), pa.array([len(x.as_buffer()) // 8 for x in right]), pa.array(both)], names=["a", "b", "na", "nb", "both"])
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``pairs(a, b)`` with Jaccard distance ``d`` on whole sets and whether they link."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least Jaccard distance of (left, right) by their histograms and sizes. Capped counts differ by no more than counts."""
+    for batch in batches:
+        n = np.array(batch.column(2)) + np.array(batch.column(3))
+        least = np.zeros(batch.num_rows)
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            if len(x) != len(y):
+                x, y = (np.minimum(h.reshape(64, -1).sum(axis=1), 255) for h in (x, y))
+            apart = int(np.abs(x.astype(np.int64) - y).sum())
+            least[i] = 2 * apart / (n[i] + apart)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(least)], names=["a", "b", "least"])
+
+
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``pairs(a, b)`` with bounds of their Jaccard distance (equal where whole sets were compared) and whether they link."""
+    h = classes.select("class_id", "n_shingles", "hist")
+    wide = pairs.join(h.toDF("a", "na", "ha"), "a").join(h.toDF("b", "nb", "hb"), "b").select("a", "b", "na", "nb", "ha", "hb")
+    bounded = stash(wide.mapInArrow(_bound, "a long, b long, least double"), "bounded")
+    near = F.col("least") <= 1 - percent / 100 + 1e-9
+    pairs = bounded.where(near)
+    ids = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    texts = join_wide(docs, ids, "doc_id", "left_semi").select("doc_id", "text")
     sets = stash(texts.mapInArrow(_sets(k), "id long, bytes binary").groupBy("id").agg(F.max("bytes").alias("bytes")), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("bytes").alias("left")), "a")
+    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("bytes").alias("left")), "a")
     full = left.join(sets.select(F.col("id").alias("b"), F.col("bytes").alias("right")), "b")
     got = full.select("a", "b", "left", "right").mapInArrow(_overlap, "a long, b long, na long, nb long, both long")
     union = F.col("na") + F.col("nb") - F.col("both")
-    out = stash(got.select("a", "b", (1 - F.col("both") / union).alias("d"), (F.col("both") * 100 >= union * percent).alias("linked")), "verified")
-    unstash(sets)
+    d = 1 - F.col("both") / union
+    exact = got.select("a", "b", d.alias("lo"), d.alias("hi"), (F.col("both") * 100 >= union * percent).alias("linked"))
+    far = bounded.where(~near).select("a", "b", F.col("least").alias("lo"), F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
+    out = stash(exact.union(far), "verified")
+    for x in (sets, bounded, ids):
+        unstash(x)
     return out
 
 
@@ -219,9 +250,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows
 
     ``part_rows``: about how many signatures one reducer sorts (16 bytes each, unpacked)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prof = stash(docs.mapInArrow(_profile(k), "doc_id long, n_shingles long, fp1 long, fp2 long"), "profile")
+    prof = stash(docs.mapInArrow(_profile(k), "doc_id long, n_shingles long, fp1 long, fp2 long, hist binary, par array<long>"), "profile")
     key = ["n_shingles", "fp1", "fp2"]
-    classes = stash(prof.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = stash(prof.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.max("hist").alias("hist"), F.max("par").alias("par")), "classes")
     top = classes.agg(F.max("n_shingles")).first()[0]
     if top is None:
         return prof.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -238,32 +269,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows
     raw = stash(docs.mapInArrow(_signatures(k, plan, parts), "part int, sig long, doc_id long, sigs binary, docs binary"), "signatures")
     within = raw.where("part IS NULL").select("sig", "doc_id")
     across = raw.where("part IS NOT NULL").select("part", "sigs", "docs").groupBy("part").applyInPandas(_repeated, "sig long, doc_id long")
-    owner = prof.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, key).select("doc_id", "class_id", F.col("n_shingles").alias("size")).distinct()
+    owner = prof.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.drop("hist", "par"), key).select("doc_id", "class_id", F.col("n_shingles").alias("size")).distinct()
     owner = stash(owner, "owners")
-    members = stash(within.union(across).join(owner, "doc_id").select("sig", F.col("class_id").alias("id"), "size").distinct(), "members")
+    members = stash(within.union(across).join(owner, "doc_id").select("sig", F.col("class_id").alias("id"), "size"), "members")
     unstash(raw)
 
-    pivots = members.groupBy("sig").agg(F.min(F.struct("id", "size")).alias("p"), F.count("*").alias("n")).where("n > 1").select("sig", "p")
-    star = stash(members.join(pivots, "sig").select("sig", "id", "size", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size")), "stars")
+    pivots = members.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("size", "id").alias("pivot_size"), F.max("id").alias("top")).where("top > pivot").drop("top")
+    star = stash(members.join(pivots, "sig").select("sig", "id", "size", "pivot", "pivot_size"), "stars")
     unstash(members)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     pairs = star.where(F.col("id") != F.col("pivot")).where(fits(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = _verify(docs, pairs, k, percent)
+    first = _verify(docs, classes, pairs, k, percent)
     edges = first.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     label = stash(connected_components(edges), "components")
 
-    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "d")
+    far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "lo", "hi")
     seen = star.join(far, ["pivot", "id"], "left").join(label.withColumnRenamed("node", "id"), "id", "left")
-    seen = seen.select("sig", "id", "size", F.coalesce("component", "id").alias("comp"), F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
+    seen = seen.select("sig", "id", "size", F.coalesce("component", "id").alias("comp"), *[F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")])
     mixed = seen.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("pivot")).where("c0 <> c1").select("sig", "pivot")
-    left_over = stash(seen.join(mixed, "sig").where("id <> pivot").drop("pivot"), "mixed")
+    left_over = seen.join(mixed, "sig").where("id <> pivot").drop("pivot")
+    left_over = stash(left_over.join(classes.select(F.col("class_id").alias("id"), "par"), "id"), "mixed")
     x, y = left_over.alias("x"), left_over.alias("y")
     more = x.join(y, F.col("x.sig") == F.col("y.sig")).where("x.comp < y.comp").where(fits(F.col("x.size"), F.col("y.size")))
-    more = more.where(F.coalesce(F.abs(F.col("x.d") - F.col("y.d")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
+    few = sum(F.expr(f"bit_count(x.par[{i}] ^ y.par[{i}])") for i in range(8))
+    many = F.expr("aggregate(zip_with(x.par, y.par, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
+    sizes = F.struct(F.size("x.par").alias("a"), F.size("y.par").alias("b"))
+    odd = F.when(sizes["a"] != sizes["b"], 0).when(sizes["a"] == 8, few).otherwise(many)
+    more = more.where(odd * (100 + percent) <= (F.col("x.size") + F.col("y.size")) * (100 - percent))
+    apart = F.greatest(F.col("x.lo") - F.col("y.hi"), F.col("y.lo") - F.col("x.hi"))
+    more = more.where(F.coalesce(apart, F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
     more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = stash(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        second = _verify(docs, more, k, percent)
+        second = _verify(docs, classes, more, k, percent)
         label = stash(connected_components(edges.union(second.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))), "components")
 
     final = classes.join(label, classes["class_id"] == label["node"], "left").select(*key, F.coalesce("component", "class_id").alias("component_id"))
