@@ -80,8 +80,28 @@ def test_jaccard_near_copies_in_a_chain(spark):
         rows.append((i, " ".join(words[: 120 - i % 4])))
     rows += [(100 + i, "the same short line") for i in range(5)] + [(200 + i, " ".join(f"q{x}" for x in rng.integers(0, 40, 9))) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df, 4, 85).collect()}
-    assert got == brute_components([{"doc_id": a, "text": b} for a, b in rows], 4, 85)
+    want = brute_components([{"doc_id": a, "text": b} for a, b in rows], 4, 85)
+    for bucket_rows in (4096, 2):
+        got = jaccard_join.jaccard_components(df, 4, 85, bucket_rows=bucket_rows).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_jaccard_shared_passage_in_large_texts(spark):
+    """Many texts share half of their words, some of them nearly all; sizes on both sides of the wider parities."""
+    rng = np.random.default_rng(6)
+    rows, passage = [], [f"p{x}" for x in range(600)]
+    for i in range(40):
+        rows.append((i, " ".join([f"a{i}x{x}" for x in range(int(rng.integers(350, 560)))] + passage)))
+    for i in range(10):
+        words = rows[i][1].split()
+        for at in rng.integers(0, len(words), 4 + 6 * i):
+            words[at] = f"n{at}"
+        rows.append((50 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_components([{"doc_id": a, "text": b} for a, b in rows], 4, 85)
+    for bucket_rows in (4096, 3):
+        got = jaccard_join.jaccard_components(df, 4, 85, bucket_rows=bucket_rows).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
 def test_jaccard_edge_cases(odd, empty):
