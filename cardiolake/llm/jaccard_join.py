@@ -104,12 +104,18 @@ class Plan:
         return np.unique(np.concatenate(out))
 
 
+def _parities(s: np.ndarray, bits: int) -> bytes:
+    """Whether each of ``2 ** bits`` hash buckets holds an odd number of elements: sets differ at least where these do."""
+    odd = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             one, other = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            hist, par = [b""] * batch.num_rows, [None] * batch.num_rows
+            hist, par, more = [b""] * batch.num_rows, [b""] * batch.num_rows, [None] * batch.num_rows
             for row, words in documents(batch.column(1)):
                 s = np.unique(shingle_hashes(words, k))
                 n[row] = len(s)
@@ -118,10 +124,10 @@ def _profile(k: int):
                     other[row] = np.bitwise_xor.reduce(mix(s, 13)).view(np.int64)
                     bits = 6 if len(s) < 1024 else 9
                     hist[row] = np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
-                    bits = 9 if len(s) < 1024 else 12
-                    odd = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
-                    par[row] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(one), pa.array(other), pa.array(hist, pa.binary()), pa.array(par, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp1", "fp2", "hist", "par"])
+                    par[row] = _parities(s, 9)
+                    if len(s) >= 1024:
+                        more[row] = _parities(s, 12)
+            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(one), pa.array(other), pa.array(hist, pa.binary()), pa.array(par, pa.binary()), pa.array(more, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "hist", "par", "par_more"])
 
     return run
 
@@ -245,14 +251,78 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows: int = 1_000_000) -> DataFrame:
+def _across(percent: int):
+    """Pairs of different components within each bucket whose bounds allow a link; batches come sorted by bucket."""
+    far = 1 - percent / 100 + 1e-9
+
+    def arrays(rows: pa.Table) -> list[np.ndarray]:
+        col = lambda c: rows.column(c).to_numpy()
+        lo, hi = (np.nan_to_num(col(c).astype(float), nan=v) for c, v in (("lo", 0.0), ("hi", 1.0)))
+        par = np.frombuffer(b"".join(rows.column("par").to_pylist()), U).reshape(-1, 8)
+        wide = np.array([*rows.column("par_more").to_pylist(), None], dtype=object)[:-1]
+        return [*(col(c) for c in ("own", "id", "size", "comp", "b0", "b1")), lo, hi, par, wide]
+
+    def pairs(own, ids, size, comp, b0, b1, lo, hi, par, wide) -> pa.RecordBatch | None:
+        within = b0[0] == b1[0]
+        left = np.arange(len(ids)) if within else np.flatnonzero(own == b0[0])
+        right = left if within else np.flatnonzero(own == b1[0])
+        if not len(left) or not len(right):
+            return None
+        step = max(1, 200_000 // len(right))
+        found = []
+        for at in range(0, len(left), step):
+            x = left[at : at + step]
+            odd = np.bitwise_count(par[x][:, None, :] ^ par[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            both = size[x][:, None] + size[right][None, :]
+            ok = odd * (100 + percent) <= both * (100 - percent)
+            ok &= comp[x][:, None] != comp[right][None, :]
+            ok &= np.minimum(size[x][:, None], size[right][None, :]) * 100 >= np.maximum(size[x][:, None], size[right][None, :]) * percent
+            ok &= np.maximum(lo[x][:, None] - hi[right][None, :], lo[right][None, :] - hi[x][:, None]) <= far
+            i, j = np.nonzero(ok)
+            i, j = x[i], right[j]
+            if within:
+                i, j = i[i < j], j[i < j]
+            found.append(np.stack((i, j)))
+        i, j = np.concatenate(found, axis=1)
+        if not len(i):
+            return None
+        keep = np.ones(len(i), bool)
+        for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            if wide[a] is not None and wide[b] is not None:
+                odd = int(np.bitwise_count(np.frombuffer(wide[a], U) ^ np.frombuffer(wide[b], U)).sum())
+                keep[n] = odd * (100 + percent) <= (size[a] + size[b]) * (100 - percent)
+        i, j = ids[i[keep]], ids[j[keep]]
+        return pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(pa.Table.from_batches([batch]))
+            rows = pa.concat_tables(held).combine_chunks()
+            keys = np.stack([rows.column(c).to_numpy() for c in ("sig", "b0", "b1")])
+            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            if len(cut):
+                all_of = arrays(rows.slice(0, cut[-1]))
+                for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
+                    if b - a > 1 and (got := pairs(*(x[a:b] for x in all_of))) is not None:
+                        yield got
+            held = [rows.slice(cut[-1] if len(cut) else 0)]  # the last bucket may go on
+        if held and held[0].num_rows > 1 and (got := pairs(*arrays(held[0]))) is not None:
+            yield got
+
+    return run
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows: int = 1_000_000, bucket_rows: int = 4096) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module's text.
 
-    ``part_rows``: about how many signatures one reducer sorts (16 bytes each, unpacked)."""
+    ``bucket_rows``: about how many members of a bucket meet in one group. ``part_rows``: about how many signatures one reducer sorts (16 bytes each, unpacked)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prof = stash(docs.mapInArrow(_profile(k), "doc_id long, n_shingles long, fp1 long, fp2 long, hist binary, par array<long>"), "profile")
+    prof = stash(docs.mapInArrow(_profile(k), "doc_id long, n_shingles long, fp1 long, fp2 long, hist binary, par binary, par_more binary"), "profile")
     key = ["n_shingles", "fp1", "fp2"]
-    classes = stash(prof.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.max("hist").alias("hist"), F.max("par").alias("par")), "classes")
+    classes = stash(prof.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.max("hist").alias("hist"), F.max("par").alias("par"), F.max("par_more").alias("par_more")), "classes")
     top = classes.agg(F.max("n_shingles")).first()[0]
     if top is None:
         return prof.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -269,7 +339,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows
     raw = stash(docs.mapInArrow(_signatures(k, plan, parts), "part int, sig long, doc_id long, sigs binary, docs binary"), "signatures")
     within = raw.where("part IS NULL").select("sig", "doc_id")
     across = raw.where("part IS NOT NULL").select("part", "sigs", "docs").groupBy("part").applyInPandas(_repeated, "sig long, doc_id long")
-    owner = prof.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.drop("hist", "par"), key).select("doc_id", "class_id", F.col("n_shingles").alias("size")).distinct()
+    owner = prof.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.drop("hist", "par", "par_more"), key).select("doc_id", "class_id", F.col("n_shingles").alias("size")).distinct()
     owner = stash(owner, "owners")
     members = stash(within.union(across).join(owner, "doc_id").select("sig", F.col("class_id").alias("id"), "size"), "members")
     unstash(raw)
@@ -286,19 +356,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows
     far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "lo", "hi")
     seen = star.join(far, ["pivot", "id"], "left").join(label.withColumnRenamed("node", "id"), "id", "left")
     seen = seen.select("sig", "id", "size", F.coalesce("component", "id").alias("comp"), *[F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")])
-    mixed = seen.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("pivot")).where("c0 <> c1").select("sig", "pivot")
+    mixed = seen.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("pivot"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "pivot", "n")
     left_over = seen.join(mixed, "sig").where("id <> pivot").drop("pivot")
-    left_over = stash(left_over.join(classes.select(F.col("class_id").alias("id"), "par"), "id"), "mixed")
-    x, y = left_over.alias("x"), left_over.alias("y")
-    more = x.join(y, F.col("x.sig") == F.col("y.sig")).where("x.comp < y.comp").where(fits(F.col("x.size"), F.col("y.size")))
-    few = sum(F.expr(f"bit_count(x.par[{i}] ^ y.par[{i}])") for i in range(8))
-    many = F.expr("aggregate(zip_with(x.par, y.par, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)")
-    sizes = F.struct(F.size("x.par").alias("a"), F.size("y.par").alias("b"))
-    odd = F.when(sizes["a"] != sizes["b"], 0).when(sizes["a"] == 8, few).otherwise(many)
-    more = more.where(odd * (100 + percent) <= (F.col("x.size") + F.col("y.size")) * (100 - percent))
-    apart = F.greatest(F.col("x.lo") - F.col("y.hi"), F.col("y.lo") - F.col("x.hi"))
-    more = more.where(F.coalesce(apart, F.lit(0.0)) <= 1 - percent / 100 + 1e-9)
-    more = more.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    # a large bucket falls into blocks of about ``bucket_rows``; each pair of blocks is a group of its own
+    own, blocks = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.expr(f"cast(n div {bucket_rows} AS int) + 1")
+    dealt = left_over.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("b0", F.least("own", "other")).withColumn("b1", F.greatest("own", "other")).drop("blocks", "other", "n")
+    dealt = dealt.join(classes.select(F.col("class_id").alias("id"), "par", "par_more"), "id")
+    dealt = dealt.select("sig", "b0", "b1", "own", "id", "size", "comp", "lo", "hi", "par", "par_more")
+    group = ["sig", "b0", "b1"]
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    more = dealt.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_across(percent), "a long, b long").distinct()
     more = stash(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         second = _verify(docs, classes, more, k, percent)
