@@ -24,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[app]
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> SparkSession:
+    """Bounds the Arrow batches of this session by bytes: rows carry whole texts, and the default of 64 MB, twice in the
+    executor and twice in each Python worker, would be most of a small executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    return spark
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

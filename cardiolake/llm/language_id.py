@@ -159,12 +159,12 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     return idf, [r["lang"] for r in got], np.array([r["centroid"] for r in got], np.float32).reshape(-1, dims), limits.astype(np.float32)
 
 
-def _predict(model, dims: int, slack: float):
+def _predict(model, dims: int, slack: float, at: int, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, langs, centroids, limits = model.value
         names = np.array([*langs, UND], dtype=object)
         for batch in batches:
-            column = batch.column(0)
+            column = batch.column(at)
             raw, offsets = buffers(column)
             lang, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
             rejected = np.ones(batch.num_rows, bool)
@@ -181,16 +181,17 @@ def _predict(model, dims: int, slack: float):
                     lang[a:b] = np.where(letters, near, len(langs))
                     score[a:b] = np.where(letters, np.clip(best, 0, 1), 0)
                     rejected[a:b] = ~letters | (best < slack * limits[size_class(counts.sum(axis=1))])
-            yield pa.record_batch([*batch.columns[1:], pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[1:], "lang_pred", "score", "rejected"])
+            yield pa.record_batch([*batch.columns[:kept], pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[:kept], "lang_pred", "score", "rejected"])
 
     return run
 
 
 def predict(docs: DataFrame, model, keep: list[str], slack: float = 0.5) -> DataFrame:
     """Columns ``keep`` of every row with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``."""
-    rows = docs.select("text", *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    kept = rows.drop("text").schema
+    # the text goes to the task once, also where it is kept
+    columns = keep if "text" in keep else [*keep, "text"]
+    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept.fields), "lang_pred string, score double, rejected boolean"])
-    out = rows.mapInArrow(_predict(shared, model[2].shape[1] if len(model[1]) else 1, slack), schema)
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]), "lang_pred string, score double, rejected boolean"])
+    out = rows.mapInArrow(_predict(shared, model[2].shape[1] if len(model[1]) else 1, slack, columns.index("text"), len(keep)), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "rejected")

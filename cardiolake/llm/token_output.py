@@ -50,7 +50,7 @@ class Encoder:
     The pre-tokeniser never joins a non-space with the white space after it, nor a letter with the punctuation after it, so
     texts are cut there and a distinct piece is encoded once. ``most`` bounds the kept pieces (about 25 bytes each)."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -64,7 +64,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -80,12 +80,12 @@ class Encoder:
             ids, sizes = self._encode(blob, starts[new], stops[new])
             every = np.concatenate((self.keys, keys[new]))
             begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
-            size = np.concatenate((self.size, sizes))
+            size = np.concatenate((self.size, sizes.astype(np.int32)))
             order = np.argsort(every, kind="stable")
             self.keys, self.begin, self.size = every[order], begin[order], size[order]
             self.flat = np.concatenate((self.flat, ids))
             at = np.searchsorted(self.keys, keys)
-        return self.begin[at], self.size[at]
+        return self.begin[at], self.size[at].astype(np.int64)
 
     def _encode(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces. Pieces that begin with white space and end without are encoded in runs, as one text: the cuts
