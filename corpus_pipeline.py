@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.llm import decontaminate, language_id, mixing, token_output
-from cardiolake.llm.common import join_wide, stash
+from cardiolake.llm.common import join_wide, small_batches, stash
 from cardiolake.llm.jaccard_join import jaccard_components
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; ``lang`` becomes the predicted one."""
+    small_batches(spark)
     model = language_id.fit(docs, "crc32(cast(doc_id AS string)) % 4 <> 2")
     judged = language_id.predict(docs, model, docs.columns)
     columns = [F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns]
@@ -26,11 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group that five-word shingles link at a similarity of 0.8; documents without
     words or ids stay."""
+    small_batches(spark)
     more = stash(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     return join_wide(docs, more, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -40,6 +43,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` read back from the written token files."""
+    small_batches(spark)
     return token_output.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
 
