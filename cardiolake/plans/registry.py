@@ -39,7 +39,7 @@ STREAM = EVENTS + """, st AS (SELECT event_id, epoch_utc, value AS pr_bpm, value
 # round half to even at one decimal, as the stream's merge does
 EVEN = lambda x: f"(CASE WHEN abs({x} * 10 - floor({x} * 10) - 0.5) < 1e-9 THEN 2 * round({x} * 5) / 10 ELSE round({x}, 1) END)"
 MERGED = STREAM + f""", me AS (SELECT epoch_utc, round_even(avg(pr_bpm), 1) AS pr_bpm, round_even(avg(rr_bpm), 1) AS rr_bpm, round_even(avg(pi), 1) AS pi, arg_min(session, event_id) AS session FROM st GROUP BY epoch_utc)"""
-GRID = """w AS (SELECT i AS window_index, 1 + i AS start_frame, 7 + i AS end_frame, 1704067200.0 + (1 + i) * 3600 AS start_epoch, 1704067200.0 + (7 + i) * 3600 AS end_epoch FROM range(0, 714) t(i))"""
+GRID = """w AS (SELECT i AS window_index, 1 + i AS start_frame, 7 + i AS end_frame, CAST(1704067200 + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(1704067200 + (7 + i) * 3600 AS DOUBLE) AS end_epoch FROM range(0, 714) t(i))"""
 GATED = MERGED + ", " + GRID + """, g AS (
   SELECT window_index, start_epoch, coalesce(avg(pr_bpm) FILTER (WHERE pi >= 0.5), avg(pr_bpm)) AS pr_bpm_mean, coalesce(stddev_pop(pr_bpm) FILTER (WHERE pi >= 0.5), stddev_pop(pr_bpm)) AS pr_bpm_std,
          avg(rr_bpm) AS rr_bpm_mean, count(epoch_utc) AS n_total, count(*) FILTER (WHERE pi >= 0.5) AS n_good_pi, count(*) FILTER (WHERE pi >= 0.5) < 0.8 * count(epoch_utc) AS low_quality
@@ -180,7 +180,7 @@ def nan_safe_json(spark, sf_dir):
 # -- grids ----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'all' AS session_id, i AS window_index, CAST(1 + i AS BIGINT) AS start_frame, CAST(7 + i AS BIGINT) AS end_frame, 1704067200.0 + (1 + i) * 3600 AS start_epoch, 1704067200.0 + (7 + i) * 3600 AS end_epoch FROM range(0, 714) t(i)")
+@query("SELECT 'all' AS session_id, i AS window_index, CAST(1 + i AS BIGINT) AS start_frame, CAST(7 + i AS BIGINT) AS end_frame, CAST(1704067200 + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(1704067200 + (7 + i) * 3600 AS DOUBLE) AS end_epoch FROM range(0, 714) t(i)")
 def sliding_window_grid(spark, sf_dir):
     return views.hour_windows(spark)
 
@@ -342,7 +342,7 @@ def mean_range_energy(spark, sf_dir):
 GATE = SAMPLES + ", mb AS (SELECT session_id, bin_idx, avg(energy) AS energy FROM be GROUP BY ALL)"
 
 
-@query(S(GATE, "SELECT session_id, bin_idx, round(bin_idx * 0.25, 6) AS range_m, round(energy, 6) AS energy FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY energy DESC, bin_idx) AS k FROM mb WHERE bin_idx * 0.25 BETWEEN 0.5 AND 1.5) WHERE k = 1"))
+@query(S(GATE, "SELECT session_id, bin_idx, CAST(bin_idx * 0.25 AS DOUBLE) AS range_m, round(energy, 6) AS energy FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY energy DESC, bin_idx) AS k FROM mb WHERE bin_idx * 0.25 BETWEEN 0.5 AND 1.5) WHERE k = 1"))
 def select_range_bin(spark, sf_dir):
     bins = vitals.mean_range_energy(views.features(spark, sf_dir))
     return vitals.select_bin(vitals.in_gate(bins, 0.25, (F.lit(0.5), F.lit(1.5)))).withColumn("bin_idx", F.col("bin_idx").cast("long"))
