@@ -98,7 +98,7 @@ def _frequencies(dims: int):
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts.astype(np.float32)) * idf
+    v = counts.astype(np.float32) ** 0.75 * idf
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
@@ -136,9 +136,10 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     n = df.pop(-1, 0)
     if not n:
         return np.ones(dims, np.float32), [], np.zeros((0, dims), np.float32), np.zeros(LENGTHS, np.float32)
-    idf = np.full(dims, np.log(1.0 + n), np.float32)
+    # the square root on either side of a cosine weighs it by the smoothed idf once
+    idf = np.full(dims, np.sqrt(1 + np.log(1.0 + n)), np.float32)
     for g, c in df.items():
-        idf[g] = np.log((1.0 + n) / (1.0 + c)) + 0.05
+        idf[g] = np.sqrt(1 + np.log((1.0 + n) / (1.0 + c)))
     langs = rows.groupBy("lang").count().limit(max_langs + 1).collect()
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
