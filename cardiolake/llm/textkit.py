@@ -35,12 +35,17 @@ def _codes(strip: bool) -> np.ndarray:
     return codes
 
 
-@cache
+_TABLE: list[np.ndarray] = []
+
+
 def byte_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    p = np.full(1 << bits, _P, dtype=U)
-    q = np.full(1 << bits, U(pow(int(_P), -1, 1 << 64)), dtype=U)
-    p[0] = q[0] = 1
-    return np.cumprod(p), np.cumprod(q)
+    """Powers of the base and of its inverse, at least ``2 ** bits`` of them; one table per worker, which grows."""
+    if not _TABLE or len(_TABLE[0]) < 1 << bits:
+        p = np.full(1 << bits, _P, dtype=U)
+        q = np.full(1 << bits, U(pow(int(_P), -1, 1 << 64)), dtype=U)
+        p[0] = q[0] = 1
+        _TABLE[:] = [np.cumprod(p), np.cumprod(q)]
+    return _TABLE[0], _TABLE[1]
 
 
 _SPACE = np.zeros(256, dtype=bool)

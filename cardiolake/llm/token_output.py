@@ -50,7 +50,7 @@ class Encoder:
     The pre-tokeniser never joins a non-space with the white space after it, nor a letter with the punctuation after it, so
     texts are cut there and a distinct piece is encoded once. ``most`` bounds the kept pieces (about 25 bytes each)."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -144,7 +144,7 @@ _KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 3
 def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, ids of these rows with an end id each, number of ids of each row)."""
     raw, offsets = buffers(column)
-    for i, j in slices(offsets, 1 << 21):
+    for i, j in slices(offsets, 1 << 20):
         base = int(offsets[i])
         data, off = raw[base : int(offsets[j])], offsets[i : j + 1] - base
         wide = np.concatenate(([0], np.cumsum(data >= 0x80)))
@@ -317,7 +317,7 @@ def _write(folder: str, tokenizer: str, end: int, percentile: float, file_tokens
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, percentile: float = 95.0, file_tokens: int = 2_000_000) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, percentile: float = 95.0, file_tokens: int = 1_000_000) -> tuple[str, DataFrame]:
     """Writes all texts; returns the folder and its manifest ``(task, seq, file, ids, start)``, one row per file."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
