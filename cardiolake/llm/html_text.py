@@ -6,11 +6,12 @@ table section get their parents; an end tag closes up to its match, or nothing.
 flattened into their ancestor, so that no text is lost.
 
 Visibility: head, script, style, template, noscript and embedded objects are invisible, as is any element with ``hidden``,
-``display:none`` or ``visibility:hidden``.
+``display:none`` or ``visibility:hidden`` in its style.
 
 Layout: white space collapses outside ``pre``; blocks start on a line of their own; paragraphs, headings, lists, tables and
 quotes keep one blank line around them; list items carry ``-`` or their number and are indented by level; table cells are
-padded to their column's width and parted by `` | ``; ``br`` breaks the line.
+padded to their column's width and parted by `` | ``, cells that span columns or rows leave the covered places empty; ``br``
+breaks the line.
 
 Defined cases: null HTML gives null text; empty HTML or HTML without visible text gives an empty text; malformed or cut-off
 markup is rendered as far as it goes; repeated rows and further columns don't matter.
@@ -32,8 +33,10 @@ _TOKEN = re.compile(
     r"""([^<]++)|<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^<>]*+\Z|(<)""",
     re.S,
 )
-_HIDING = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-_START = re.compile(r"""(?:^|[\s"'])start\s*=\s*["']?(-?\d+)""", re.I)
+_HIDING = re.compile(r"hidden|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_START = re.compile(r"-?\d+")
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +63,20 @@ HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button"})
 
 
+def attribute(attributes: str, name: str) -> str | None:
+    """The value of an element's first attribute ``name`` (empty without one), or null; names inside other values don't count."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() == name:
+            return html.unescape(m[2] or m[3] or m[4] or "")
+    return None
+
+
+def hidden(attributes: str) -> bool:
+    if not attributes or not _HIDING.search(attributes):
+        return False
+    return attribute(attributes, "hidden") is not None or bool(_HIDING_STYLE.search(attribute(attributes, "style") or ""))
+
+
 def build(markup: str) -> list:
     """Tree of ``[tag, attributes, children]``; texts are strings."""
     root = ["html", "", []]
@@ -193,7 +210,7 @@ def render(node: list, page: Page, level: int = 0, number: list | None = None) -
             elif page.lines and not page.blank:
                 page.blank = True
             continue
-        if tag in INVISIBLE or (attributes and _HIDING.search(attributes)):
+        if tag in INVISIBLE or hidden(attributes):
             continue
         if tag == "pre":
             _pre(child, page)
@@ -202,13 +219,13 @@ def render(node: list, page: Page, level: int = 0, number: list | None = None) -
         elif tag in ("ul", "ol"):
             outer = number is None
             page.space() if outer else page.line()
-            start = _START.search(attributes) if tag == "ol" else None
+            start = _START.match((attribute(attributes, "start") or "").strip()) if tag == "ol" and attributes else None
             keep, mark = page.indent, page.mark
             if mark:
                 page.put("")
                 keep = page.indent
             page.mark = ""
-            render(child, page, level + 1, [int(start[1]) if start else 1] if tag == "ol" else [])
+            render(child, page, level + 1, [int(start[0]) if start else 1] if tag == "ol" else [])
             page.line()
             page.indent = keep
             if outer:
@@ -266,7 +283,7 @@ def _raw(node: list) -> Iterator[str]:
             yield child
         elif child[0] == "br":
             yield "\n"
-        elif child[0] not in INVISIBLE and not (child[1] and _HIDING.search(child[1])):
+        elif child[0] not in INVISIBLE and not hidden(child[1]):
             yield from _raw(child)
 
 
@@ -275,7 +292,7 @@ def _rows(node: list, captions: list) -> Iterator[list]:
         if child.__class__ is str:
             if child.strip():
                 captions.append(["p", "", [child]])
-        elif child[0] in INVISIBLE or (child[1] and _HIDING.search(child[1])):
+        elif child[0] in INVISIBLE or hidden(child[1]):
             continue
         elif child[0] == "tr":
             yield [c for c in child[2] if c.__class__ is not str or c.strip()]
@@ -285,15 +302,30 @@ def _rows(node: list, captions: list) -> Iterator[list]:
             captions.append(child)
 
 
+def _span(attributes: str, name: str) -> int:
+    """How many columns or rows a cell covers: 1 to 1000, the bound of the HTML standard for columns."""
+    value = (attribute(attributes, name) or "").strip() if attributes else ""
+    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
+
+
 def _table(node: list, page: Page, level: int) -> None:
     page.space()
     captions: list = []
     grid = []
+    below: dict[int, int] = {}  # column -> rows that a cell further up still covers
     for row in _rows(node, captions):
         cells = []
+        covered, below = below, {i: n - 1 for i, n in below.items() if n > 1}
+        wide = 1
         for cell in row:
-            if cell.__class__ is not str and (cell[0] in INVISIBLE or (cell[1] and _HIDING.search(cell[1]))):
+            if cell.__class__ is not str and (cell[0] in INVISIBLE or hidden(cell[1])):
                 continue
+            cells += [[""]] * (wide - 1)
+            while len(cells) in covered:
+                cells.append([""])
+            wide, high = (1, 1) if cell.__class__ is str else (_span(cell[1], "colspan"), _span(cell[1], "rowspan"))
+            if high > 1:
+                below |= {len(cells) + i: high - 1 for i in range(wide)}
             inner = Page()
             render(["td", "", [cell]] if cell.__class__ is str else cell, inner, level + 1)
             inner.line()

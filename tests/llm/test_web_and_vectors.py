@@ -96,6 +96,22 @@ def test_html_by_hand(markup, text):
     assert to_text(markup) == text
 
 
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ('<p title="hidden gems" class="hidden lg">seen<p HIDDEN>not<p hidden="">nor<p aria-hidden=true>also', "seen\n\nalso"),
+        ('<p data-style="display:none">a<p style="color:red; DISPLAY : none">b<p style=visibility:hidden>c<p alt="style=\'display:none\'">d', "a\n\nd"),
+        ('<ol class="x" start="4"><li>a<li>b</ol>', "4. a\n5. b"),
+        ('<ol title="start=9"><li>a</ol>', "1. a"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab |   | c\nd  | e | f"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td colspan=x>a<td>b</table>", "a | b"),
+    ],
+)
+def test_html_attributes_and_spans(markup, text):
+    assert to_text(markup) == text
+
+
 def test_html_deep_and_long():
     deep = "<div>" * 5000 + "core" + "</div>" * 5000
     assert to_text(deep) == "core"
