@@ -5,7 +5,8 @@ Every whole text becomes counts of its letter n-grams (runs of 1 to 3 UTF-8 byte
 come from all training rows. Per language, spherical k-means on a bounded sample (``sample`` rows of each language, the
 ones with the smallest hash of their id) gives up to ``clusters`` centroids. A text takes the language of the centroid
 with the largest cosine; ties go to the first language by code point. A text is rejected when its cosine falls below
-``slack`` times the smallest cosine that a sampled training row of that centroid has (a distance limit per centroid).
+``slack`` times the smallest cosine that sampled training rows of its length class (binary logarithm of the number of
+n-grams) have with their own centroid: a distance limit per length, since short texts lie far from any centroid.
 
 Defined cases: null text or text without a letter gives ``und``, score 0, rejected; without training rows every text
 is ``und``; an empty table gives an empty result; repeated rows and further columns don't matter. ``max_langs`` bounds
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import U, buffers, slices
+from .textkit import PIECE, buffers, pieces, slices
 
 UND = "und"
 LENGTHS = 40
@@ -45,7 +46,15 @@ _FOLD = _fold()
 
 
 def gram_counts(raw: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
-    """(documents, dims) counts of hashed n-grams; anything but letters parts words."""
+    """(documents, dims) counts of hashed n-grams; anything but letters parts words. A very long text goes piece by piece:
+    pieces begin with white space, and no n-gram crosses that."""
+    if len(offsets) == 2 and offsets[1] - offsets[0] > 2 * PIECE:
+        own = raw[int(offsets[0]) : int(offsets[1])]
+        return sum(_gram_counts(own[a:b], np.array([0, b - a]), dims) for a, b in pieces(own))
+    return _gram_counts(raw, offsets, dims)
+
+
+def _gram_counts(raw: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
     base = int(offsets[0])
     data, offsets = _FOLD[raw[base : int(offsets[-1])]], offsets - base
     n = len(offsets) - 1

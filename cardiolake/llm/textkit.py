@@ -89,12 +89,36 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, np.flatnonzero(solid & ~after) + 1
 
 
+#: Bytes of a very long text that are worked on at a time.
+PIECE = 1 << 20
+
+
+def pieces(raw: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts one very long text before white space, into pieces of ``PIECE`` bytes and up to that much more (a word is never
+    cut, so one without end makes its piece longer)."""
+    a, n = 0, len(raw)
+    while a < n:
+        b = a + PIECE
+        while b < n and not (space := _SPACE[raw[b : b + PIECE]]).any():
+            b += PIECE
+        b = n if b >= n else b + int(space.argmax())
+        yield a, b
+        a = b
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, strip: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the index of each document's first word (one more than documents).
 
-    ``strip`` leaves out ASCII punctuation; words that hold nothing else vanish."""
+    ``strip`` leaves out ASCII punctuation; words that hold nothing else vanish. A very long text goes piece by piece."""
     base = int(offsets[0])
     raw, offsets = raw[base : int(offsets[-1])], offsets - base
+    if len(offsets) == 2 and len(raw) > 2 * PIECE:
+        h = np.concatenate([_hashes(raw[a:b], np.array([0, b - a]), strip)[0] for a, b in pieces(raw)])
+        return h, np.array([0, len(h)])
+    return _hashes(raw, offsets, strip)
+
+
+def _hashes(raw: np.ndarray, offsets: np.ndarray, strip: bool) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
     starts, ends = word_spans(raw, offsets)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stash
-from .textkit import U, byte_powers, buffers, mix, slices
+from .textkit import PIECE, U, byte_powers, buffers, mix, slices
 
 BLOCK = 1024
 MAGIC = b"PFOR1\0\0\0"
@@ -180,8 +180,15 @@ def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int
 
 
 def _piece_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces of text, of about ``PIECE`` bytes of them at a time."""
     if not len(starts):
         return np.zeros(0, U)
+    turn = starts // PIECE
+    cut = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), len(starts)]
+    return np.concatenate([_hashes(data[starts[a] : stops[b - 1]], starts[a:b] - starts[a], stops[a:b] - starts[a]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     powers, inverse = byte_powers(max(10, int(len(data)).bit_length()))
     terms = mix(np.arange(1, 257, dtype=U), 5)[data] * powers[: len(data)]
     sums = np.concatenate((np.zeros(1, U), np.cumsum(terms)))

@@ -345,3 +345,26 @@ def test_leaks_edge_cases(odd, empty, docs, spark):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(odd, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(odd, bench).columns == odd.columns and decontaminate.clean(odd, bench).count() == 12
+
+
+def test_very_long_texts_go_piece_by_piece(monkeypatch):
+    import pyarrow as pa
+
+    from cardiolake.llm import textkit
+
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcé.,-Z"), size=n)) for n in rng.integers(1, 40, size=400)]
+    text = pa.array(["".join(w + " \t\n"[i % 3] for i, w in enumerate(words)) + "x" * 900 + " end"])
+    raw, offsets = textkit.buffers(text)
+    whole = [textkit.word_hashes(raw, offsets, strip) for strip in (False, True)]
+    grams = language_id.gram_counts(raw, offsets, 512)
+    cuts = np.unique(np.concatenate(([0], np.sort(rng.choice(len(raw) - 1, 300, replace=False) + 1), [len(raw)])))
+    prints = token_output._piece_hashes(raw, cuts[:-1], cuts[1:])
+    for module in (textkit, language_id, token_output):
+        monkeypatch.setattr(module, "PIECE", 64)
+    assert len(list(textkit.pieces(raw))) > 20
+    for strip, (h, first) in zip((False, True), whole):
+        got, at = textkit.word_hashes(raw, offsets, strip)
+        assert (got == h).all() and (at == first).all()
+    assert (language_id.gram_counts(raw, offsets, 512) == grams).all()
+    assert (token_output._piece_hashes(raw, cuts[:-1], cuts[1:]) == prints).all()
