@@ -53,7 +53,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; null texts are empty."""
+    """Bytes and offsets of a string array; null texts are empty. Called once a batch: what Arrow still holds of earlier
+    batches goes back to the system first, so that waiting workers stay small."""
+    pa.default_memory_pool().release_unused()
     if col.null_count:
         col = col.fill_null("")
     col = col.cast(pa.large_string())
