@@ -5,8 +5,9 @@ Every whole text becomes counts of its letter n-grams (runs of 1 to 3 UTF-8 byte
 come from all training rows. Per language, spherical k-means on a bounded sample (``sample`` rows of each language, the
 ones with the smallest hash of their id) gives up to ``clusters`` centroids. A text takes the language of the centroid
 with the largest cosine; ties go to the first language by code point. A text is rejected when its cosine falls below
-``slack`` times the smallest cosine that sampled training rows of its length class (binary logarithm of the number of
-n-grams) have with their own centroid: a distance limit per length, since short texts lie far from any centroid.
+``slack`` times a low quantile of the cosines that texts of its length class (binary logarithm of the number of n-grams)
+have with centroids of their language that were fitted without them (four folds of the sample). Limits go by length and
+language: where a language has under ``OWN`` texts of a class, all languages count, with shorter texts until ``ENOUGH``.
 
 Defined cases: null text or text without a letter gives ``und``, score 0, rejected; without training rows every text
 is ``und``; an empty table gives an empty result; repeated rows and further columns don't matter. ``max_langs`` bounds
@@ -27,6 +28,9 @@ from .textkit import PIECE, buffers, pieces, slices
 
 UND = "und"
 LENGTHS = 40
+FOLDS = 4
+#: A language's own texts of a class that set its limit; texts that set one in common; the share of them that lies below.
+OWN, ENOUGH, QUANTILE = 100, 20, 0.01
 
 
 def size_class(grams: np.ndarray) -> np.ndarray:
@@ -112,6 +116,38 @@ def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
+def _centroids(v: np.ndarray, clusters: int, rounds: int) -> np.ndarray:
+    # the sample is in the order of a hash, so its first rows are random seeds; clusters of under 5 % are given up
+    centroids = v[:clusters]
+    for _ in range(rounds):
+        near = (v @ centroids.T).argmax(axis=1)
+        share = np.bincount(near, minlength=len(centroids))
+        kept = np.flatnonzero(share >= max(1, 0.05 * len(v)))
+        sums = np.stack([v[near == c].sum(axis=0) for c in (kept if len(kept) else [share.argmax()])])
+        centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    return centroids
+
+
+def _limits(scored: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """(languages, LENGTHS) low quantiles of ``(scores, size classes)`` per language; a limit never falls as texts grow."""
+    scores, sizes = (np.concatenate([np.asarray(x[i], t) for x in scored]) for i, t in ((0, np.float32), (1, np.int64)))
+    # shorter texts lie farther from centroids, so they may fill up a class and longer ones may not
+    common = np.zeros(LENGTHS, np.float32)
+    for c in np.unique(sizes):
+        low = c
+        while low and np.count_nonzero((sizes >= low) & (sizes <= c)) < ENOUGH:
+            low -= 1
+        common[c] = np.quantile(scores[(sizes >= low) & (sizes <= c)], QUANTILE)
+    limits = np.tile(common, (len(scored), 1))
+    for at, (own, classes) in enumerate(scored):
+        own, classes = np.asarray(own, np.float32), np.asarray(classes, np.int64)
+        for c in np.unique(classes):
+            if np.count_nonzero(classes == c) >= OWN:
+                limits[at, c] = np.quantile(own[classes == c], QUANTILE)
+    # a class without texts takes the limit of the next shorter one that has some
+    return np.maximum.accumulate(limits, axis=1)
+
+
 def _fit(dims: int, idf: np.ndarray, clusters: int, rounds: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "doc_id"], kind="stable")
@@ -120,19 +156,16 @@ def _fit(dims: int, idf: np.ndarray, clusters: int, rounds: int):
         grams = counts.sum(axis=1)
         v, grams = _vectors(counts[grams > 0], idf), grams[grams > 0]
         if not len(v):
-            return pd.DataFrame({"lang": [], "cluster": [], "centroid": [], "least": []})
-        # the sample is in the order of a hash, so its first rows are random seeds; clusters of under 5 % are given up
-        centroids = v[:clusters]
-        for _ in range(rounds):
-            near = (v @ centroids.T).argmax(axis=1)
-            share = np.bincount(near, minlength=len(centroids))
-            kept = np.flatnonzero(share >= max(1, 0.05 * len(v)))
-            sums = np.stack([v[near == c].sum(axis=0) for c in (kept if len(kept) else [share.argmax()])])
-            centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        best = (v @ centroids.T).max(axis=1)
-        least = np.full(LENGTHS, np.inf, np.float32)
-        np.minimum.at(least, size_class(grams), best)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(centroids)), "centroid": [c.tolist() for c in centroids], "least": [least.tolist()] * len(centroids)})
+            return pd.DataFrame({"lang": [], "cluster": [], "centroid": [], "scores": [], "sizes": []})
+        centroids = _centroids(v, clusters, rounds)
+        fold, scores = np.arange(len(v)) % FOLDS, np.full(len(v), np.nan, np.float32)
+        for k in range(FOLDS if len(v) > 1 else 0):
+            out = fold == k
+            if out.any():
+                scores[out] = (v[out] @ _centroids(v[~out], clusters, rounds).T).max(axis=1)
+        known = ~np.isnan(scores)
+        none = [[] for _ in range(len(centroids) - 1)]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "cluster": range(len(centroids)), "centroid": [c.tolist() for c in centroids], "scores": [scores[known].tolist(), *none], "sizes": [size_class(grams[known]).tolist(), *none]})
 
     return run
 
@@ -144,7 +177,7 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     df = {r[0]: r[1] for r in counted.collect()}  # at most dims + 1 rows
     n = df.pop(-1, 0)
     if not n:
-        return np.ones(dims, np.float32), [], np.zeros((0, dims), np.float32), np.zeros(LENGTHS, np.float32)
+        return np.ones(dims, np.float32), [], np.zeros((0, dims), np.float32), np.zeros((0, LENGTHS), np.float32)
     # the square root on either side of a cosine weighs it by the smoothed idf once
     idf = np.full(dims, np.sqrt(1 + np.log(1.0 + n)), np.float32)
     for g, c in df.items():
@@ -160,13 +193,13 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     picked = ids.select("lang", "doc_id", "rank").distinct()
     chosen = F.broadcast(picked) if len(langs) * sample <= 500_000 else picked
     texts = rows.join(chosen, ["lang", "doc_id"])
-    got = texts.groupBy("lang").applyInPandas(_fit(dims, idf, clusters, rounds), "lang string, cluster int, centroid array<float>, least array<float>")
+    got = texts.groupBy("lang").applyInPandas(_fit(dims, idf, clusters, rounds), "lang string, cluster int, centroid array<float>, scores array<float>, sizes array<int>")
     got = sorted(got.collect(), key=lambda r: (r["lang"], r["cluster"]))  # at most max_langs * clusters rows
-    # a limit holds for all longer texts too, so it never falls as texts grow; beyond the longest sampled, the last one holds
-    least = np.min([r["least"] for r in got], axis=0) if got else np.zeros(LENGTHS)
-    limits = np.minimum.accumulate(least[::-1])[::-1]
-    limits[np.isinf(limits)] = limits[np.isfinite(limits)].max(initial=0.0)
-    return idf, [r["lang"] for r in got], np.array([r["centroid"] for r in got], np.float32).reshape(-1, dims), limits.astype(np.float32)
+    names = sorted({r["lang"] for r in got})
+    # at most max_langs * sample scores
+    limits = _limits([(r["scores"], r["sizes"]) for r in got if r["cluster"] == 0]) if got else np.zeros((0, LENGTHS))
+    of = [names.index(r["lang"]) for r in got]
+    return idf, [r["lang"] for r in got], np.array([r["centroid"] for r in got], np.float32).reshape(-1, dims), limits[of].astype(np.float32)
 
 
 def _predict(model, dims: int, slack: float, at: int, kept: int):
@@ -190,13 +223,13 @@ def _predict(model, dims: int, slack: float, at: int, kept: int):
                     best = cos[np.arange(b - a), near]
                     lang[a:b] = np.where(letters, near, len(langs))
                     score[a:b] = np.where(letters, np.clip(best, 0, 1), 0)
-                    rejected[a:b] = ~letters | (best < slack * limits[size_class(counts.sum(axis=1))])
+                    rejected[a:b] = ~letters | (best < slack * limits[near, size_class(counts.sum(axis=1))])
             yield pa.record_batch([*batch.columns[:kept], pa.array(names[lang].tolist(), pa.string()), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[:kept], "lang_pred", "score", "rejected"])
 
     return run
 
 
-def predict(docs: DataFrame, model, keep: list[str], slack: float = 0.5) -> DataFrame:
+def predict(docs: DataFrame, model, keep: list[str], slack: float = 0.85) -> DataFrame:
     """Columns ``keep`` of every row with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``."""
     # the text goes to the task once, also where it is kept
     columns = keep if "text" in keep else [*keep, "text"]

@@ -152,6 +152,23 @@ def test_language_rejects_what_is_like_no_language(docs, spark):
     assert language_id.predict(docs, model, ["doc_id"]).where("rejected").count() == 0
 
 
+def test_language_rejects_unlearned_latin_script(spark, docs):
+    many = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(many, "crc32(cast(doc_id AS string)) % 4 <> 2")
+    italian = "la storia della lingua italiana comincia quando il latino parlato nelle diverse regioni si trasforma lentamente e ogni citta sviluppa il suo modo di parlare molti scrittori hanno cercato una forma comune che tutti potessero capire ma soltanto dopo alcuni secoli la scuola e i giornali hanno portato questa lingua nelle case"
+    polish = "historia języka polskiego zaczyna się bardzo dawno temu każdy człowiek mówi trochę inaczej ale wszyscy rozumieją wspólną mowę której uczą się w szkole oraz czytają w książkach i gazetach przez całe życie"
+    rng = np.random.default_rng(5)
+    letters = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(300))
+    short = ["the of and to in is", "the of and to in that"]
+    rows = [*((i, (t + " ") * 4) for i, t in enumerate((italian, polish, letters))), *enumerate(short, 10)]
+    got = {r["i"]: r["rejected"] for r in language_id.predict(spark.createDataFrame(rows, "i long, text string"), model, ["i"]).collect()}
+    assert got == {0: True, 1: True, 2: True, 10: False, 11: False}
+    # what is learned stays: all but texts that repeat hardly more than one word
+    held = many.where("crc32(cast(doc_id AS string)) % 4 = 2 AND text RLIKE '[a-zA-Z]'")
+    lost = [r["text"] for r in language_id.predict(held, model, ["text"]).where("rejected").collect()]
+    assert all(len(set(WORD.findall(t))) < 0.2 * len(WORD.findall(t)) for t in lost) and len(lost) <= 0.02 * held.count()
+
+
 def test_language_ignores_labels_of_the_judged(docs):
     hold = "crc32(cast(doc_id AS string)) % 4 = 2"
     model = language_id.fit(docs, f"NOT ({hold})")
