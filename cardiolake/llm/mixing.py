@@ -8,7 +8,8 @@ Schedule: slot ``i`` takes the point ``frac(i * golden ratio)`` (32-bit integer
 interval of cumulated targets; slots are ranked per source, in chunks, so that no task ranks all slots of a hot source. Slot
 ``r`` of a source takes the ``r``-th block of equal size from the source's stream, which is its documents in the order of a
 hash, ``epochs`` times over. A source stops at its target; blocks that the schedule left out (a few at most, since the points
-are evenly spread) follow at its end. Blocks meet documents by an equi-join on (source, block).
+are evenly spread) take slots of their own after the last one. Blocks meet documents by an equi-join on (source, block).
+``scheduled_documents`` returns the interleaved order itself; ``mix_sources`` sums what it takes of each document.
 
 Running sums over a hot source go through hash buckets of about ``bucket_docs`` documents: sums per bucket first, then within
 each bucket. What meets in one task is one row per source, or per bucket of a source.
@@ -63,10 +64,9 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return hits.withColumn("k", inner).join(base, ["src", "chunk"]).select("src", (F.col("base") + F.col("k")).alias("r"), "slot")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, epochs: int = 2, slots: int = 1 << 20, bucket_docs: int = 2000, seed: int = 17) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` of every row of ``docs(doc_id, text, source)``.
-
-    ``slots``: about how many slots the schedule has; a block is all words to take over ``slots``, 16 words at least."""
+def _dealt(docs: DataFrame, weights: tuple[float, ...], ratio: float, epochs: int, slots: int, bucket_docs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The targets, and ``(src, bucket, pos, doc_id, size, source_size, target, r, slot, start, words)``: a row for each document,
+    pass and block that share words, and one without a slot for a document that the mix doesn't reach."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "sizes")
     targets = stash(source_targets(sized, weights, ratio, epochs), "targets")
@@ -84,21 +84,41 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio:
     rows = rows.join(sums, ["src", "bucket"]).withColumn("at", F.col("base") + F.col("at")).drop("base")
 
     # the blocks that a document lies in, once per pass over its source; documents that none can reach keep one row
-    passes = [F.when((F.col("size") > 0) & (F.col("at") + p * F.col("source_size") < F.col("stop")), F.expr(f"sequence((at + {p} * source_size) div {block}, least(at + {p} * source_size + size, stop) div {block})")).otherwise(F.array().cast("array<bigint>")) for p in range(epochs)]
-    none = F.array(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(4096)))
-    touched = F.array_distinct(F.concat(*passes))
-    rows = rows.withColumn("r", F.explode(F.when(F.size(touched) > 0, touched).otherwise(none)))
+    passes = [F.when((F.col("size") > 0) & (F.col("at") + p * F.col("source_size") < F.col("stop")), F.expr(f"transform(sequence((at + {p} * source_size) div {block}, least(at + {p} * source_size + size, stop) div {block}), r -> struct({p}L AS p, r AS r))")).otherwise(F.array().cast("array<struct<p:bigint,r:bigint>>")) for p in range(epochs)]
+    none = F.array(F.struct(F.lit(0).cast("long").alias("p"), (-1 - F.pmod(F.xxhash64("doc_id"), F.lit(4096))).alias("r")))
+    touched = F.concat(*passes)
+    rows = rows.withColumn("in", F.explode(F.when(F.size(touched) > 0, touched).otherwise(none)))
+    rows = rows.withColumn("r", F.col("in.r")).withColumn("from", F.col("at") + F.col("in.p") * F.col("source_size")).drop("in", "at")
 
     wanted = targets.select(F.col("rank").alias("src"), F.ceil(last / block).cast("long").alias("blocks"))
-    plan = schedule(targets, math.ceil(total / block))
-    used = plan.join(wanted, "src").where("r < blocks").select("src", "r")
-    # blocks up to the target that the evenly spread points have left out
+    ends = math.ceil(total / block)
+    plan = schedule(targets, ends)
+    used = plan.join(wanted, "src").where("r < blocks").select("src", "r", "slot")
+    # blocks up to the target that the evenly spread points have left out, in turn
     given = plan.groupBy("src").agg(F.count("*").alias("n"))
-    tail = wanted.join(given, "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks").select("src", F.explode(F.expr("sequence(n, blocks - 1)")).alias("r"))
-    taken = rows.join(used.union(tail).withColumn("in", F.lit(True)), ["src", "r"], "left")
-    begin, end = F.col("r") * block, F.least((F.col("r") + 1) * block, F.col("stop"))
-    overlap = sum(F.greatest(F.lit(0), F.least(end, F.col("at") + p * F.col("source_size") + F.col("size")) - F.greatest(begin, F.col("at") + p * F.col("source_size"))) for p in range(epochs))
-    taken = taken.groupBy("src", "bucket", "pos", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(F.col("in"), overlap).otherwise(0)).alias("taken"))
+    tail = wanted.join(given, "src", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks").select("src", "n", F.explode(F.expr("sequence(n, blocks - 1)")).alias("r"))
+    tail = tail.select("src", "r", (F.row_number().over(Window.orderBy(F.col("r") - F.col("n"), "src")) + (ends - 1)).cast("long").alias("slot"))
+    rows = rows.join(used.union(tail), ["src", "r"], "left")
+    start = F.greatest(F.col("r") * block, F.col("from"))
+    end = F.least((F.col("r") + 1) * block, F.col("stop"), F.col("from") + F.col("size"))
+    words = F.when(F.col("slot").isNotNull(), F.greatest(F.lit(0), end - start)).otherwise(0).cast("long")
+    return targets, rows.withColumn("start", start).withColumn("words", words).drop("stop", "from")
+
+
+def scheduled_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, epochs: int = 2, slots: int = 1 << 20, bucket_docs: int = 2000, seed: int = 17) -> DataFrame:
+    """``(slot, source, block, start, doc_id, words)`` in the order of the schedule: which words the mix takes in turn. ``start``
+    counts the words of the source's stream before them; a block's documents follow each other in it."""
+    targets, rows = _dealt(docs, weights, ratio, epochs, slots, bucket_docs, seed)
+    rows = rows.where("words > 0").join(targets.select(F.col("rank").alias("src"), "source"), "src")
+    return rows.select("slot", "source", F.col("r").alias("block"), "start", "doc_id", "words").orderBy("slot", "start")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, epochs: int = 2, slots: int = 1 << 20, bucket_docs: int = 2000, seed: int = 17) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` of every row of ``docs(doc_id, text, source)``.
+
+    ``slots``: about how many slots the schedule has; a block is all words to take over ``slots``, 16 words at least."""
+    taken = _dealt(docs, weights, ratio, epochs, slots, bucket_docs, seed)[1]
+    taken = taken.groupBy("src", "bucket", "pos", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
     return taken.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 

@@ -301,6 +301,32 @@ def test_mixing_schedule_is_evenly_spread(spark):
         assert all(abs(seen[s] - (i + 1) * share[s]) < 4 for s in share)
 
 
+def test_mixing_order_keeps_running_shares(docs, odd):
+    got = mixing.scheduled_documents(docs, slots=2000).collect()
+    assert [(r["slot"], r["start"]) for r in got] == sorted((r["slot"], r["start"]) for r in got)
+    blocks = {(r["source"], r["block"]) for r in got}
+    assert len(blocks) == len({(r["slot"], r["source"], r["block"]) for r in got}) == len({r["slot"] for r in got})
+    whole = Counter()
+    for r in got:
+        whole[r["source"]] += r["words"]
+    total, size = sum(whole.values()), Counter()
+    for r in got:
+        size[r["slot"]] += r["words"]
+    block, seen = max(size.values()), Counter()
+    assert len(whole) > 1 and len(size) > 1000 and sum(n < block for n in size.values()) <= len(whole)
+    for r in got:
+        assert r["start"] == seen[r["source"]]
+        seen[r["source"]] += r["words"]
+        assert all(abs(seen[s] - sum(seen.values()) * whole[s] / total) < 6 * block for s in whole)
+    for df in (docs, odd.union(odd.where("source = 'b'"))):
+        a, b = Counter(), Counter()
+        for r in mixing.mix_sources(df).collect():
+            a[r["doc_id"]] += r["taken"]
+        for r in mixing.scheduled_documents(df).collect():
+            b[r["doc_id"]] += r["words"]
+        assert +a == +b
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.mix_sources(empty).count() == 0
     zero = empty.union(empty.sparkSession.createDataFrame([(1, None, "en", "a", 0, 0.0, 0)], DOCS))
