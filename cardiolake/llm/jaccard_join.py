@@ -4,24 +4,32 @@ Two sets link when ``100 * |A & B| >= percent * |A | B|``. Sets fall into size b
 of shingle hashes into segments. Linked sets differ in at most H elements, so among segments whose allowances (1: equal
 subsets, 2: subsets that differ by one element) add up to H + 1, one segment must agree. A set therefore emits the hash of
 its subset in every segment, and the hashes of all one-deletion neighbours in segments of allowance 2. How many segments
-get allowance 2 is chosen per band by a cost model over the band's number of distinct sets: wider segments make more
-rows, but fewer chance agreements on empty or tiny subsets. Every pair that agrees is verified on the whole sets.
-
-Order of work, each step a Spark job over all rows:
-
-1. ``profile``: size, histogram and 128-bit fingerprint of every document's set; equal sets form one class.
-2. ``signatures``: packed per block of text, one row per (block, hash range); a subset that several documents of a block
+get allowance 2 is chosen per band by a cost model over the band's number of distinct sets. ``spare`` more segments of
+allowance 1 let a set leave out its empty ones (if it has no more than ``spare``): linked sets agree in ``spare + 1``
+segments, so in one that isn't empty, and sets no longer meet because both have nothing somewhere. Every pair that agrees
+is verified on the whole sets.
+
+Rows with equal sets form one class; classes have keys made from their elements, so nothing below depends on ``doc_id``. Order of
+work, each step a Spark job over all rows:
+
+1. ``profile``: size, class and parities of every row's set.
+2. ``lonely``: elements that occur in no other set lie in no intersection. They are counted in a part of the universe (blocks of
+   text send the elements of each hash range to one reducer); a class that has more of them than a link allows has no links,
+   and takes no part in what follows. This is a bound, so no link is lost.
+3. ``signatures``: packed per block of text, one row per (block, hash range); a subset that several sets of a block
    share leaves the block once. Reducers keep only subsets that occur at least twice.
-3. star edges from each bucket's smallest class to its members are verified; connected components follow. Parities and a
-   histogram of each set over hash buckets bound the difference of two sets from below, so most chance agreements end
-   there; all other pairs are verified on the whole sets.
-4. Only buckets that still hold several components are compared further, and only between components; the distances to
-   the bucket's pivot prune those pairs by the triangle inequality (Jaccard distance is a metric). Verified again.
+4. star edges from each bucket's smallest class to its members are verified; connected components follow. Parities (whether
+   each of 2 to 4 hash buckets per element holds an odd number of elements) bound the difference of two sets from below, so
+   what is far apart ends there; all other pairs are verified on the whole sets.
+5. Only buckets that still hold several components are compared further, and only between components; parities and the
+   distances to the bucket's pivot (Jaccard distance is a metric) prune those pairs inside the task, so that only pairs at or
+   just below the threshold leave it. Verified again.
 
 Defined cases: null or empty text has no shingles, links with nothing and is its own component; texts with fewer words
-than ``k`` count as one shingle; equal sets share a component whatever their number; rows that repeat a ``doc_id`` give a
-row each; a null ``doc_id`` with shingles takes the smallest id of its class (null if none); an empty table gives an
-empty result; only ``doc_id`` and ``text`` are read, so further columns don't matter.
+than ``k`` count as one shingle; equal sets share a component whatever their number; rows that repeat a ``doc_id`` are rows of
+their own, each linked by its own text; a row with a null ``doc_id`` links like any other and takes the smallest id of its
+component (null if none); very long texts are hashed piece by piece; an empty table gives an empty result; only ``doc_id``
+and ``text`` are read, so further columns don't matter.
 """
 
 from __future__ import annotations
@@ -33,11 +41,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
-from .common import connected_components, join_wide, stash, unstash
+from .common import Scratch, connected_components, small_side, stash
 from .textkit import U, documents, mix, pack, shingle_hashes, unpack
 
 BLOCK_BYTES = 4 << 20
+#: The part of the universe in which lonely elements are counted: enough to tell a set of which nearly all is its own.
+WATCHED = 0.35
 
 
 def bands(percent: int, top: int) -> list[tuple[int, int]]:
@@ -56,17 +67,23 @@ def differ_most(size: int, percent: int) -> int:
     return max(s + size - 2 * -(-percent * (s + size) // (100 + percent)) for s in range(size, larger + 1))
 
 
-def allocate(size: float, differ: int, sets: float, pair_cost: float = 0.3) -> tuple[int, int]:
-    """(segments, of which with allowance 2) at the least cost: rows emitted plus chance agreements to verify."""
-    best = (float("inf"), 1, 0)
+def allocate(size: float, differ: int, sets: float, pair_cost: float = 0.3) -> tuple[int, int, int]:
+    """(segments, of which with allowance 2, spare ones) at the least cost: rows emitted plus chance agreements to verify."""
+    best = (float("inf"), 1, 0, 0)
     for two in range((differ + 1) // 2 + 1):
-        segments = differ + 1 - two
-        empty = (1 - 1 / segments) ** size
-        single = size / segments * (1 - 1 / segments) ** (size - 1)
-        chance = (segments - two) * empty**2 + two * (empty + single) ** 2
-        cost = sets * (segments + two * size / segments) + pair_cost * chance * sets * sets / 2
-        best = min(best, (cost, segments, two))
-    return best[1], best[2]
+        for spare in (0, None):
+            segments = differ + 1 - two
+            empty = (1 - 1 / segments) ** size
+            if spare is None:
+                few = (segments - two) * empty
+                spare = int(few + 4 * few**0.5) + 1
+                segments += spare
+                empty = (1 - 1 / segments) ** size
+            single = size / segments * (1 - 1 / segments) ** (size - 1)
+            chance = (0 if spare else (segments - two) * empty**2) + two * (empty + single) ** 2
+            cost = sets * (segments + two * size / segments) + pair_cost * chance * sets * sets / 2
+            best = min(best, (cost, segments, two, spare))
+    return best[1:]
 
 
 class Plan:
@@ -81,9 +98,9 @@ class Plan:
             above = counts.get(i + 1, (0, 0.0))
             sets = n + above[0]
             size = (n * mean + above[0] * above[1]) / sets if sets else lo
-            segments, two = allocate(size, differ_most(hi, percent), sets)
+            segments, two, spare = allocate(size, differ_most(hi, percent), sets)
             bounds = np.array([(j << 64) // segments for j in range(1, segments)], dtype=U)
-            self.share.append((bounds, segments, two))
+            self.share.append((bounds, segments, two, spare))
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         """All signatures of a sorted set: for its own band, and for the band below, where smaller partners index."""
@@ -92,11 +109,17 @@ class Plan:
         sums = np.concatenate((np.zeros(1, U), np.cumsum(coded)))
         out = []
         for band in {own, max(own - 1, 0)}:
-            bounds, segments, two = self.share[band]
+            bounds, segments, two, spare = self.share[band]
             at = np.concatenate(([0], np.searchsorted(shingles, bounds, side="left"), [len(shingles)]))
             part = sums[at[1:]] - sums[at[:-1]]
             label = mix(np.arange(segments, dtype=U), 1000 + band)
-            out.append(mix(part ^ label))
+            full = mix(part ^ label)
+            if spare:
+                empty = at[1:] == at[:-1]
+                empty[:two] = False
+                if np.count_nonzero(empty) <= spare:
+                    full = full[~empty]
+            out.append(full)
             if two:
                 end = at[two]
                 segment = np.repeat(np.arange(two), np.diff(at[: two + 1]))
@@ -104,35 +127,119 @@ class Plan:
         return np.unique(np.concatenate(out))
 
 
-def _parities(s: np.ndarray, bits: int) -> bytes:
-    """Whether each of ``2 ** bits`` hash buckets holds an odd number of elements: sets differ at least where these do."""
-    odd = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+def _parities(s: np.ndarray) -> bytes:
+    """Whether each of 512 hash buckets, or 2 to 4 per element, holds an odd number of elements: sets differ at least where
+    these do. The upper half of the buckets folds onto the lower one, so sets of other widths can be compared."""
+    bits = min(max(9, (2 * len(s) - 1).bit_length()), 20)
+    odd = np.bincount(((s >> U(40)) & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(par: bytes, eights: int) -> np.ndarray:
+    """Parities folded to ``eights`` 64-bit numbers."""
+    p = np.frombuffer(par, U)
+    while len(p) > eights:
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return p
+
 
+def class_key(s: np.ndarray, salt: int) -> tuple[int, int, int]:
+    """(key, two independent sums over the elements, which tell whether two sets of a key are one)."""
+    one, other = mix(s, 11).sum(dtype=U), np.bitwise_xor.reduce(mix(s, 13))
+    return int(mix(np.array([one ^ mix(np.array([other]), salt)[0]]), salt).view(np.int64)[0]), int(one.view(np.int64)), int(other.view(np.int64))
 
-def _profile(k: int):
+
+def _profile(k: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            one, other = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            hist, par, more = [b""] * batch.num_rows, [b""] * batch.num_rows, [None] * batch.num_rows
+            key, par = [(None, None, None)] * batch.num_rows, [None] * batch.num_rows
             for row, words in documents(batch.column(1)):
                 s = np.unique(shingle_hashes(words, k))
                 n[row] = len(s)
                 if len(s):
-                    one[row] = mix(s, 11).sum(dtype=U).view(np.int64)
-                    other[row] = np.bitwise_xor.reduce(mix(s, 13)).view(np.int64)
-                    bits = 6 if len(s) < 1024 else 9
-                    hist[row] = np.minimum(np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
-                    par[row] = _parities(s, 9)
-                    if len(s) >= 1024:
-                        more[row] = _parities(s, 12)
-            yield pa.record_batch([batch.column(0), pa.array(n), pa.array(one), pa.array(other), pa.array(hist, pa.binary()), pa.array(par, pa.binary()), pa.array(more, pa.binary())], names=["doc_id", "n_shingles", "fp1", "fp2", "hist", "par", "par_more"])
+                    key[row], par[row] = class_key(s, salt), _parities(s)
+            yield pa.record_batch([batch.column(0), pa.array(n), *(pa.array([x[i] for x in key], pa.int64()) for i in range(3)), pa.array(par, pa.binary())], names=["doc_id", "n_shingles", "class", "fp1", "fp2", "par"])
 
     return run
 
 
-def _signatures(k: int, plan: Plan, parts: int):
+def _elements(k: int, salt: int, parts: int, bits: int):
+    """Elements of the watched part of the universe, cut to ``bits`` bits, of each block's sets: rows (part, block, values,
+    owners), where an owner is a set's number in the block or -1 for several; and one row (block, classes, sizes) per block."""
+    edges = np.array([(int(WATCHED * (1 << bits)) * j) // parts for j in range(1, parts)], dtype=U)
+    shift, top = U(64 - bits), U(int(WATCHED * (1 << bits)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        count = size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal count
+            block = (TaskContext.get().partitionId() << 32) + count
+            count += 1
+            values = np.concatenate([v for _, v in held.values()])
+            owner = np.repeat(np.arange(len(held)), [len(v) for _, v in held.values()])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            first = np.concatenate(([True], values[1:] != values[:-1]))[: len(values)]
+            last = np.concatenate((first[1:], [True]))[: len(values)]
+            owner = np.where(first & last, owner, -1)[first]
+            values = values[first]
+            cut = np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
+            some = np.flatnonzero(np.diff(cut))
+            rows = [(int(p), block, pack(values[cut[p] : cut[p + 1]], True), pack(owner[cut[p] : cut[p + 1]])) for p in some]
+            rows.append((None, block, pack(np.array(list(held), np.int64)), pack(np.array([n for n, _ in held.values()], np.int64))))
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "left", "right"])
+
+        for batch in batches:
+            for _, words in documents(batch.column(0)):
+                if not len(words):
+                    continue
+                s = np.unique(shingle_hashes(words, k))
+                if (key := class_key(s, salt)[0]) in held:
+                    continue
+                v = np.unique(s >> shift)
+                held[key] = (len(s), v[v < top])
+                size += len(held[key][1]) + 1
+                if size >= BLOCK_BYTES // 8:
+                    yield flush()
+                    held.clear()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _lonely(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one range of the universe: the owners of values that one set alone holds, per block."""
+    values = [unpack(x, True) for x in pdf["left"]]
+    owner = np.concatenate([unpack(x) for x in pdf["right"]]).view(np.int64)
+    row = np.repeat(np.arange(len(values)), [len(v) for v in values])
+    values = np.concatenate(values)
+    order = np.argsort(values)
+    new = np.concatenate(([True], values[order][1:] != values[order][:-1]))
+    alone = order[new & np.concatenate((new[1:], [True]))]
+    alone = np.sort(alone[owner[alone] >= 0])
+    cut = np.searchsorted(row[alone], np.arange(len(pdf) + 1))
+    return pd.DataFrame({"block": pdf["block"], "left": None, "right": [pack(owner[alone[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+
+
+def _linkable(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one block: the classes whose other elements may be enough for a link."""
+        head = pdf[pdf["left"].notna()].iloc[0]
+        classes, sizes = unpack(head["left"]).view(np.int64), unpack(head["right"]).view(np.int64)
+        own = np.zeros(len(classes), np.int64)
+        for x in pdf.loc[pdf["left"].isna(), "right"]:
+            own += np.bincount(unpack(x).view(np.int64), minlength=len(classes))
+        return pd.DataFrame({"class": classes[(sizes - own) * 100 >= sizes * percent]})
+
+    return run
+
+
+def _signatures(k: int, salt: int, plan: Plan, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int]] = []
         seen: set[int] = set()
@@ -147,27 +254,26 @@ def _signatures(k: int, plan: Plan, parts: int):
             first = np.concatenate(([True], sig[1:] != sig[:-1]))
             alone = first & np.concatenate((first[1:], [True]))
             same = ~alone  # members of a subset that this block holds more than once
-            yield pa.record_batch([pa.nulls(same.sum(), pa.int32()), pa.array(sig[same].view(np.int64)), pa.array(doc[same]), pa.nulls(same.sum(), pa.binary()), pa.nulls(same.sum(), pa.binary())], names=["part", "sig", "doc_id", "sigs", "docs"])
+            yield pa.record_batch([pa.nulls(same.sum(), pa.int32()), pa.array(sig[same].view(np.int64)), pa.array(doc[same]), pa.nulls(same.sum(), pa.binary()), pa.nulls(same.sum(), pa.binary())], names=["part", "sig", "class", "sigs", "docs"])
             sig, doc = sig[first], doc[first]
             edge = np.searchsorted(sig, np.array([(j << 64) // parts for j in range(1, parts)], dtype=U))
             cut = np.concatenate(([0], edge, [len(sig)]))
             some = np.flatnonzero(np.diff(cut))
             yield pa.record_batch(
                 [pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([pack(sig[cut[i] : cut[i + 1]], True) for i in some], pa.binary()), pa.array([pack(doc[cut[i] : cut[i + 1]]) for i in some], pa.binary())],
-                names=["part", "sig", "doc_id", "sigs", "docs"],
+                names=["part", "sig", "class", "sigs", "docs"],
             )
 
         size = 0
         for batch in batches:
-            ids = batch.column(0)
-            for row, words in documents(batch.column(1)):
-                if not len(words) or not ids[row].is_valid:
+            for _, words in documents(batch.column(0)):
+                if not len(words):
                     continue
                 s = np.unique(shingle_hashes(words, k))
-                if (key := hash(s.tobytes())) in seen:
+                if (key := class_key(s, salt)[0]) in seen:
                     continue  # an equal set of this block stands for it
                 seen.add(key)
-                held.append((plan.of(s), ids[row].as_py()))
+                held.append((plan.of(s), key))
                 size += len(held[-1][0])
                 if size >= BLOCK_BYTES // 8:
                     yield from flush()
@@ -180,21 +286,22 @@ def _signatures(k: int, plan: Plan, parts: int):
 
 
 def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: (signature, document) of signatures that come from two blocks or more."""
+    """Of one hash range: (signature, class) of signatures that come from two blocks or more."""
     sig = np.concatenate([unpack(x, True) for x in pdf["sigs"]]).view(np.int64)
-    doc = np.concatenate([unpack(x) for x in pdf["docs"]]).view(np.int64)
+    owner = np.concatenate([unpack(x) for x in pdf["docs"]]).view(np.int64)
     order = np.argsort(sig)
-    sig, doc = sig[order], doc[order]
+    sig, owner = sig[order], owner[order]
     new = np.concatenate(([True], sig[1:] != sig[:-1]))
     alone = new & np.concatenate((new[1:], [True]))
-    return pd.DataFrame({"sig": sig[~alone], "doc_id": doc[~alone]})
+    return pd.DataFrame({"sig": sig[~alone], "class": owner[~alone]})
 
 
-def _sets(k: int):
+def _sets(k: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [np.unique(shingle_hashes(words, k)).tobytes() for _, words in documents(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(got, pa.binary())], names=["id", "bytes"])
+            got = [np.unique(shingle_hashes(words, k)) for _, words in documents(batch.column(0))]
+            got = [s for s in got if len(s)]
+            yield pa.record_batch([pa.array([class_key(s, salt)[0] for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["class", "bytes"])
 
     return run
 
@@ -215,40 +322,49 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Least Jaccard distance of (left, right) by their histograms and sizes. Capped counts differ by no more than counts."""
+    """Least Jaccard distance of (left, right) by their parities and sizes."""
     for batch in batches:
         n = np.array(batch.column(2)) + np.array(batch.column(3))
-        least = np.zeros(batch.num_rows)
+        apart = np.zeros(batch.num_rows)
         for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
-            if len(x) != len(y):
-                x, y = (np.minimum(h.reshape(64, -1).sum(axis=1), 255) for h in (x, y))
-            apart = int(np.abs(x.astype(np.int64) - y).sum())
-            least[i] = 2 * apart / (n[i] + apart)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(least)], names=["a", "b", "least"])
-
-
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """``pairs(a, b)`` with bounds of their Jaccard distance (equal where whole sets were compared) and whether they link."""
-    h = classes.select("class_id", "n_shingles", "hist")
-    wide = pairs.join(h.toDF("a", "na", "ha"), "a").join(h.toDF("b", "nb", "hb"), "b").select("a", "b", "na", "nb", "ha", "hb")
-    bounded = stash(wide.mapInArrow(_bound, "a long, b long, least double"), "bounded")
-    near = F.col("least") <= 1 - percent / 100 + 1e-9
-    pairs = bounded.where(near)
-    ids = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    texts = join_wide(docs, ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stash(texts.mapInArrow(_sets(k), "id long, bytes binary").groupBy("id").agg(F.max("bytes").alias("bytes")), "sets")
-    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("bytes").alias("left")), "a")
-    full = left.join(sets.select(F.col("id").alias("b"), F.col("bytes").alias("right")), "b")
-    got = full.select("a", "b", "left", "right").mapInArrow(_overlap, "a long, b long, na long, nb long, both long")
-    union = F.col("na") + F.col("nb") - F.col("both")
-    d = 1 - F.col("both") / union
-    exact = got.select("a", "b", d.alias("lo"), d.alias("hi"), (F.col("both") * 100 >= union * percent).alias("linked"))
-    far = bounded.where(~near).select("a", "b", F.col("least").alias("lo"), F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
-    out = stash(exact.union(far), "verified")
-    for x in (sets, bounded, ids):
-        unstash(x)
-    return out
+            x, y = x.as_buffer(), y.as_buffer()
+            width = min(len(x), len(y)) // 8
+            apart[i] = np.bitwise_count(_fold(x, width) ^ _fold(y, width)).sum(dtype=np.int64)
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(2 * apart / (n + apart))], names=["a", "b", "least"])
+
+
+class Join:
+    """What the steps of one join share: the texts, the classes with one row each, and the settings."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, salt: int, percent: int, tmp: Scratch):
+        self.docs, self.classes, self.k, self.salt, self.percent, self.tmp = docs, classes, k, salt, percent, tmp
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """Texts of rows with the representative ids of classes ``wanted(class)``; rows that repeat such an id come along."""
+        reps = self.tmp(self.classes.join(wanted, "class", "left_semi").select("rep").distinct(), "representatives")
+        return self.docs.join(small_side(reps), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """``pairs(a, b)`` with bounds of their Jaccard distance (equal where whole sets were compared) and whether they link."""
+        h = self.classes.select("class", "n_shingles", "par")
+        wide = pairs.join(h.toDF("a", "na", "pa"), "a").join(h.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
+        bounded = self.tmp(wide.mapInArrow(_bound, "a long, b long, least double"), "bounded")
+        near = F.col("least") <= 1 - self.percent / 100 + 1e-9
+        pairs = bounded.where(near)
+        wanted = self.tmp(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "wanted")
+        sets = self.texts(wanted).mapInArrow(_sets(self.k, self.salt), "class long, bytes binary").join(small_side(wanted), "class", "left_semi")
+        sets = self.tmp(sets.groupBy("class").agg(F.max("bytes").alias("bytes")), "sets")
+        left = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("bytes").alias("left")), "a")
+        full = left.join(sets.select(F.col("class").alias("b"), F.col("bytes").alias("right")), "b")
+        got = full.select("a", "b", "left", "right").mapInArrow(_overlap, "a long, b long, na long, nb long, both long")
+        union = F.col("na") + F.col("nb") - F.col("both")
+        d = 1 - F.col("both") / union
+        exact = got.select("a", "b", d.alias("lo"), d.alias("hi"), (F.col("both") * 100 >= union * self.percent).alias("linked"))
+        far = bounded.where(~near).select("a", "b", F.col("least").alias("lo"), F.lit(1.0).alias("hi"), F.lit(False).alias("linked"))
+        out = self.tmp(exact.union(far), "verified")
+        self.tmp.drop(sets)
+        self.tmp.drop(bounded)
+        return out
 
 
 def _across(percent: int):
@@ -258,40 +374,37 @@ def _across(percent: int):
     def arrays(rows: pa.Table) -> list[np.ndarray]:
         col = lambda c: rows.column(c).to_numpy()
         lo, hi = (np.nan_to_num(col(c).astype(float), nan=v) for c, v in (("lo", 0.0), ("hi", 1.0)))
-        par = np.frombuffer(b"".join(rows.column("par").to_pylist()), U).reshape(-1, 8)
-        wide = np.array([*rows.column("par_more").to_pylist(), None], dtype=object)[:-1]
-        return [*(col(c) for c in ("own", "id", "size", "comp", "b0", "b1")), lo, hi, par, wide]
+        par = np.array([*rows.column("par").to_pylist(), None], dtype=object)[:-1]
+        return [*(col(c) for c in ("own", "id", "size", "comp", "b0", "b1")), lo, hi, par]
 
-    def pairs(own, ids, size, comp, b0, b1, lo, hi, par, wide) -> pa.RecordBatch | None:
+    def pairs(own, ids, size, comp, b0, b1, lo, hi, par) -> pa.RecordBatch | None:
         within = b0[0] == b1[0]
         left = np.arange(len(ids)) if within else np.flatnonzero(own == b0[0])
         right = left if within else np.flatnonzero(own == b1[0])
         if not len(left) or not len(right):
             return None
-        step = max(1, 200_000 // len(right))
+        width = min(map(len, par)) // 8
+        par = np.stack([_fold(p, width) for p in par])
+        step = max(1, 2_000_000 // (width * len(right)))
         found = []
         for at in range(0, len(left), step):
             x = left[at : at + step]
-            odd = np.bitwise_count(par[x][:, None, :] ^ par[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            both = size[x][:, None] + size[right][None, :]
-            ok = odd * (100 + percent) <= both * (100 - percent)
-            ok &= comp[x][:, None] != comp[right][None, :]
+            ok = comp[x][:, None] != comp[right][None, :]
             ok &= np.minimum(size[x][:, None], size[right][None, :]) * 100 >= np.maximum(size[x][:, None], size[right][None, :]) * percent
             ok &= np.maximum(lo[x][:, None] - hi[right][None, :], lo[right][None, :] - hi[x][:, None]) <= far
+            if not ok.any():
+                continue
+            odd = np.bitwise_count(par[x][:, None, :] ^ par[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            ok &= odd * (100 + percent) <= (size[x][:, None] + size[right][None, :]) * (100 - percent)
             i, j = np.nonzero(ok)
             i, j = x[i], right[j]
             if within:
                 i, j = i[i < j], j[i < j]
             found.append(np.stack((i, j)))
-        i, j = np.concatenate(found, axis=1)
+        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         if not len(i):
             return None
-        keep = np.ones(len(i), bool)
-        for n, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-            if wide[a] is not None and wide[b] is not None:
-                odd = int(np.bitwise_count(np.frombuffer(wide[a], U) ^ np.frombuffer(wide[b], U)).sum())
-                keep[n] = odd * (100 + percent) <= (size[a] + size[b]) * (100 - percent)
-        i, j = ids[i[keep]], ids[j[keep]]
+        i, j = ids[i], ids[j]
         return pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,43 +428,74 @@ def _across(percent: int):
     return run
 
 
+def _profiled(docs: DataFrame, k: int, tmp: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """Every row's profile, one row per class with its smallest id, and the salt under which no two sets share a key."""
+    for salt in range(100):
+        prof = tmp(docs.mapInArrow(_profile(k, salt), "doc_id long, n_shingles long, class long, fp1 long, fp2 long, par binary"), "profile")
+        some = prof.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("par").alias("par"), *[f(c).alias(f"{c}_{n}") for c in ("n_shingles", "fp1", "fp2") for n, f in (("least", F.min), ("most", F.max))])
+        classes = tmp(some, "classes")
+        if classes.where("n_shingles_least <> n_shingles_most OR fp1_least <> fp1_most OR fp2_least <> fp2_most").isEmpty():
+            return prof, classes.select("class", "rep", "n_shingles", "par"), salt
+    raise RuntimeError("class keys collide under every salt")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows: int = 1_000_000, bucket_rows: int = 4096) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module's text.
 
-    ``bucket_rows``: about how many members of a bucket meet in one group. ``part_rows``: about how many signatures one reducer sorts (16 bytes each, unpacked)."""
+    ``bucket_rows``: about how many members of a bucket meet in one group. ``part_rows``: about how many signatures one reducer
+    sorts (16 bytes each, unpacked)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prof = stash(docs.mapInArrow(_profile(k), "doc_id long, n_shingles long, fp1 long, fp2 long, hist binary, par binary, par_more binary"), "profile")
-    key = ["n_shingles", "fp1", "fp2"]
-    classes = stash(prof.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"), F.max("hist").alias("hist"), F.max("par").alias("par"), F.max("par_more").alias("par_more")), "classes")
-    top = classes.agg(F.max("n_shingles")).first()[0]
-    if top is None:
-        return prof.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    with Scratch() as tmp:
+        prof, classes, salt = _profiled(docs, k, tmp)
+        none = prof.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        top, elements = classes.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
+        if top is None:
+            return stash(none, "result")
+        label = _components(Join(docs, classes, k, salt, percent, tmp), top, elements, part_rows, bucket_rows)
+        # components by their smallest id
+        named = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("c"))
+        named = named.join(named.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("class", "component_id")
+        return stash(prof.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").union(none), "result")
+
+
+def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows: int) -> DataFrame:
+    """``(node, component)`` of the classes that link with others."""
+    tmp, docs, percent, classes = job.tmp, job.docs, job.percent, job.classes
+    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    # values have six bits more than their number needs: few meet by chance, which only weakens the bound
+    parts, bits = int(WATCHED * elements // part_rows) + 1, min(62, int(elements).bit_length() + 6)
+    parts = max(parts, spread if elements > 1e6 else 1)
+    raw = tmp(docs.select("text").mapInArrow(_elements(job.k, job.salt, parts, bits), "part int, block long, left binary, right binary"), "elements")
+    lonely = raw.where("part IS NOT NULL").groupBy("part").applyInPandas(_lonely, "block long, left binary, right binary")
+    heads = raw.where("part IS NULL").select("block", "left", "right")
+    alive = tmp(heads.union(lonely).groupBy("block").applyInPandas(_linkable(percent), "class long").distinct(), "linkable")
+    tmp.drop(raw)
+    some = tmp(classes.join(alive, "class", "left_semi").select("class", F.col("n_shingles").alias("size")), "owners")
 
     low = [b[0] for b in bands(percent, top)]
     # bands are geometric: about 5 * ln(largest set) of them, whatever the number of rows
-    numbered = F.aggregate(F.array(*[F.lit(x) for x in low]), F.lit(-1), lambda n, x: n + F.when(F.col("n_shingles") >= x, 1).otherwise(0))
-    sizes = classes.groupBy("n_shingles").count()
-    counts = {r[0]: (r[1], r[2] / r[1]) for r in sizes.withColumn("band", numbered).groupBy("band").agg(F.sum("count"), F.sum(F.col("count") * F.col("n_shingles"))).collect()}
+    numbered = F.aggregate(F.array(*[F.lit(x) for x in low]), F.lit(-1), lambda n, x: n + F.when(F.col("size") >= x, 1).otherwise(0))
+    sizes = some.groupBy("size").count().withColumn("band", numbered)
+    counts = {r[0]: (r[1], r[2] / r[1]) for r in sizes.groupBy("band").agg(F.sum("count"), F.sum(F.col("count") * F.col("size"))).collect()}
     plan = Plan(percent, counts, top)
     emitted = sum(n * (s[1] + s[2] * mean / s[1]) for i, (n, mean) in counts.items() for s in (plan.share[i], plan.share[max(i - 1, 0)]))
-    parts = max(1, int(emitted // part_rows) + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if emitted > 1e6 else 1)
+    parts = max(1, int(emitted // part_rows) + 1, spread if emitted > 1e6 else 1)
 
-    raw = stash(docs.mapInArrow(_signatures(k, plan, parts), "part int, sig long, doc_id long, sigs binary, docs binary"), "signatures")
-    within = raw.where("part IS NULL").select("sig", "doc_id")
-    across = raw.where("part IS NOT NULL").select("part", "sigs", "docs").groupBy("part").applyInPandas(_repeated, "sig long, doc_id long")
-    owner = prof.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes.drop("hist", "par", "par_more"), key).select("doc_id", "class_id", F.col("n_shingles").alias("size")).distinct()
-    owner = stash(owner, "owners")
-    members = stash(within.union(across).join(owner, "doc_id").select("sig", F.col("class_id").alias("id"), "size"), "members")
-    unstash(raw)
+    raw = tmp(job.texts(alive).mapInArrow(_signatures(job.k, job.salt, plan, parts), "part int, sig long, class long, sigs binary, docs binary"), "signatures")
+    within = raw.where("part IS NULL").select("sig", "class")
+    across = raw.where("part IS NOT NULL").select("part", "sigs", "docs").groupBy("part").applyInPandas(_repeated, "sig long, class long")
+    members = tmp(within.union(across).join(some, "class").select("sig", F.col("class").alias("id"), "size"), "members")
+    tmp.drop(raw)
 
     pivots = members.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("size", "id").alias("pivot_size"), F.max("id").alias("top")).where("top > pivot").drop("top")
-    star = stash(members.join(pivots, "sig").select("sig", "id", "size", "pivot", "pivot_size"), "stars")
-    unstash(members)
+    star = tmp(members.join(pivots, "sig").select("sig", "id", "size", "pivot", "pivot_size"), "stars")
+    tmp.drop(members)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     pairs = star.where(F.col("id") != F.col("pivot")).where(fits(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = _verify(docs, classes, pairs, k, percent)
+    first = job.verify(pairs)
     edges = first.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    label = stash(connected_components(edges), "components")
+    label = tmp.keep(connected_components(edges))
 
     far = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "lo", "hi")
     seen = star.join(far, ["pivot", "id"], "left").join(label.withColumnRenamed("node", "id"), "id", "left")
@@ -362,15 +506,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows
     own, blocks = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.expr(f"cast(n div {bucket_rows} AS int) + 1")
     dealt = left_over.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("b0", F.least("own", "other")).withColumn("b1", F.greatest("own", "other")).drop("blocks", "other", "n")
-    dealt = dealt.join(classes.select(F.col("class_id").alias("id"), "par", "par_more"), "id")
-    dealt = dealt.select("sig", "b0", "b1", "own", "id", "size", "comp", "lo", "hi", "par", "par_more")
+    dealt = dealt.join(classes.select(F.col("class").alias("id"), "par"), "id")
+    dealt = dealt.select("sig", "b0", "b1", "own", "id", "size", "comp", "lo", "hi", "par")
     group = ["sig", "b0", "b1"]
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    more = dealt.repartition(parts, *group).sortWithinPartitions(*group).mapInArrow(_across(percent), "a long, b long").distinct()
-    more = stash(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
+    more = dealt.repartition(spread, *group).sortWithinPartitions(*group).mapInArrow(_across(percent), "a long, b long").distinct()
+    more = tmp(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        second = _verify(docs, classes, more, k, percent)
-        label = stash(connected_components(edges.union(second.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))), "components")
-
-    final = classes.join(label, classes["class_id"] == label["node"], "left").select(*key, F.coalesce("component", "class_id").alias("component_id"))
-    return prof.join(final, key, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        second = job.verify(more)
+        label = tmp.keep(connected_components(edges.union(second.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))))
+    return label

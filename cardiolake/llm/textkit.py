@@ -1,20 +1,20 @@
 """Vectorised word hashing over Arrow string batches (numpy inside tasks; Spark deals out the rows).
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z are lower-cased. Each word becomes a 64-bit polynomial hash
-over random byte codes, so texts are never turned into Python strings.
+A word is a run of bytes other than 0x20 and 0x09-0x0D; A-Z are lower-cased. A word is read eight bytes at a time; each
+eight go through a finaliser that depends on their place, and the results are added up with the length, so no structure of
+a word (as polynomials modulo 2^64 have it for Thue-Morse words) makes two words collide. Texts never become Python strings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
 U = np.uint64
-_P, _Q = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+_Q = U(0xD1342543DE82EF95)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -25,27 +25,39 @@ def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-@cache
-def _codes(strip: bool) -> np.ndarray:
-    codes = mix(np.arange(1, 257, dtype=U), 7) | U(1)
-    codes[65:91] = codes[97:123]
-    if strip:
-        punct = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
-        codes[punct] = 0
-    return codes
-
-
-_TABLE: list[np.ndarray] = []
-
-
-def byte_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least ``2 ** bits`` of them; one table per worker, which grows."""
-    if not _TABLE or len(_TABLE[0]) < 1 << bits:
-        p = np.full(1 << bits, _P, dtype=U)
-        q = np.full(1 << bits, U(pow(int(_P), -1, 1 << 64)), dtype=U)
-        p[0] = q[0] = 1
-        _TABLE[:] = [np.cumprod(p), np.cumprod(q)]
-    return _TABLE[0], _TABLE[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+#: Further eights of long spans that are worked on at a time.
+_STEP = 1 << 17
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on (zeros beyond the end), as overlapping numbers."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+def span_hashes(wide: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans of bytes ``starts .. ends``; ``wide`` comes from ``eights``."""
+    size = ends - starts
+    h = mix(wide[starts] & FIRST[np.minimum(size, 8)], salt)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        stop = np.cumsum((size[long] - 1) // 8)
+        begin = np.concatenate(([0], stop[:-1]))
+        for a in range(0, int(stop[-1]), _STEP):
+            at = np.arange(a, min(a + _STEP, int(stop[-1])))
+            own = np.searchsorted(stop, at, side="right")
+            place = at - begin[own] + 1
+            at = starts[long[own]] + 8 * place
+            part = mix((wide[at] & FIRST[np.minimum(ends[long[own]] - at, 8)]) ^ mix(place.astype(U), 17), salt + 1)
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            h[long[own[first]]] += np.add.reduceat(part, first)
+    return mix(h + size.astype(U) * _Q, salt)
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -123,24 +135,12 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, strip: bool = False) -> tu
 def _hashes(raw: np.ndarray, offsets: np.ndarray, strip: bool) -> tuple[np.ndarray, np.ndarray]:
     if not len(raw):
         return np.zeros(0, U), np.zeros(len(offsets), np.int64)
-    starts, ends = word_spans(raw, offsets)
-    powers, inverse = byte_powers(max(10, int(len(raw)).bit_length()))
-    if strip:
-        # positions count only the bytes that are kept, so that a word hashes alike with and without its punctuation
-        terms = _codes(True)[raw]
-        place = np.concatenate(([0], np.cumsum(terms != 0)))
-        terms *= powers[place[:-1]]
-    else:
-        terms, place = _codes(False)[raw], None
-        terms *= powers[: len(raw)]
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(terms)))
-    first = starts if place is None else place[starts]
-    size = (ends - starts if place is None else place[ends] - first).astype(U)
-    h = mix((sums[ends] - sums[starts]) * inverse[first] + size * _Q)
+    data = _LOWER[raw]
     if strip:
-        keep = size > 0
-        h, starts = h[keep], starts[keep]
-    return h, np.searchsorted(starts, offsets, side="left")
+        kept = ~_PUNCT[raw]
+        data, offsets = data[kept], np.concatenate(([0], np.cumsum(kept)))[offsets]
+    starts, ends = word_spans(data, offsets)
+    return span_hashes(eights(data), starts, ends), np.searchsorted(starts, offsets, side="left")
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

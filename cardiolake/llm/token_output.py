@@ -14,8 +14,8 @@ A block holds ``BLOCK`` ids; its width is the smallest that fits ``percentile``
 are exceptions. Any block can be decoded alone through the index (``read_block``).
 
 Defined cases: null or empty text is the end id alone; null ids sort first and come back null; rows that repeat a
-``doc_id`` are separate documents, in the order of their ids' checksums; an empty table writes nothing and gives an empty
-result; further columns are not read.
+``doc_id`` are separate documents, in the order of their texts' checksums (null first); a very long text is a run of its own and
+may fill a file alone; an empty table writes nothing and gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stash
-from .textkit import PIECE, U, byte_powers, buffers, mix, slices
+from .textkit import FIRST, U, buffers, eights, slices, span_hashes
 
 BLOCK = 1024
+#: About how many bytes of text one task encodes, where the shuffle has fewer partitions.
+TASK_BYTES = 64 << 20
 MAGIC = b"PFOR1\0\0\0"
 _HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("patches", "<u2"), ("ids", "<u2")])
 _DOCS = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u4")])
@@ -48,9 +50,11 @@ class Encoder:
     """Byte-level BPE through the tokenizers library, with the ids of distinct pieces of text kept by 64-bit hash.
 
     The pre-tokeniser never joins a non-space with the white space after it, nor a letter with the punctuation after it, so
-    texts are cut there and a distinct piece is encoded once. ``most`` bounds the kept pieces (about 25 bytes each)."""
+    texts are cut there and a distinct piece is encoded once. Kept pieces have their bytes (the first eight apart from the
+    others), and a piece takes the ids of a kept one only if its bytes are the same. ``most`` bounds the kept pieces (about
+    45 bytes each), ``most_bytes`` what lies beyond their first eight bytes."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 16 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,32 +64,42 @@ class Encoder:
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token)
-        self.most = most
+        self.most, self.most_bytes = most, most_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.head, self.length, self.place, self.rest = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def pieces(self, keys: np.ndarray, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each distinct piece lie in ``flat``: (begin, size). ``keys`` ascend."""
-        if len(self.keys) > self.most:
+    def pieces(self, keys: np.ndarray, data: np.ndarray, head: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct piece lie in ``flat``: (begin, size), and whether the kept piece is the same."""
+        if len(self.keys) > self.most or len(self.rest) > self.most_bytes:
             self.clear()
         at = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         new[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] != keys[at < len(self.keys)]
+        length = (stops - starts).astype(np.int32)
         if new.any():
-            ids, sizes = self._encode(blob, starts[new], stops[new])
+            ids, sizes = self._encode(data.tobytes(), starts[new], stops[new])
+            more = np.maximum(length[new] - 8, 0).astype(np.int64)
             every = np.concatenate((self.keys, keys[new]))
-            begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
-            size = np.concatenate((self.size, sizes.astype(np.int32)))
             order = np.argsort(every, kind="stable")
-            self.keys, self.begin, self.size = every[order], begin[order], size[order]
+            self.keys = every[order]
+            self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))[order]
+            self.size = np.concatenate((self.size, sizes.astype(np.int32)))[order]
+            self.head = np.concatenate((self.head, head[new]))[order]
+            self.length = np.concatenate((self.length, length[new]))[order]
+            self.place = np.concatenate((self.place, len(self.rest) + np.cumsum(more) - more))[order]
+            self.rest = np.concatenate((self.rest, data[_ranges(starts[new] + 8, more)]))
             self.flat = np.concatenate((self.flat, ids))
             at = np.searchsorted(self.keys, keys)
-        return self.begin[at], self.size[at].astype(np.int64)
+        same = (self.head[at] == head) & (self.length[at] == length)
+        long = np.flatnonzero(same & (length > 8) & ~new)
+        same[long] = _equal(data, starts[long] + 8, self.rest, self.place[at[long]], length[long].astype(np.int64) - 8)
+        return self.begin[at], self.size[at].astype(np.int64), same
 
     def _encode(self, blob: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces. Pieces that begin with white space and end without are encoded in runs, as one text: the cuts
@@ -126,6 +140,13 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - begin, size)
 
 
+def _equal(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ranges of at least one byte at ``a`` and at ``b`` hold the same bytes."""
+    if not len(size):
+        return np.zeros(0, bool)
+    return np.logical_and.reduceat(left[_ranges(a, size)] == right[_ranges(b, size)], np.cumsum(size) - size)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -159,12 +180,22 @@ def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int
         if odd:
             plain = ~np.isin(rows, odd)
             starts, stops, rows = starts[plain], stops[plain], rows[plain]
-        blob = data.tobytes()
-        keys, first, at = np.unique(_piece_hashes(data, starts, stops), return_index=True, return_inverse=True)
-        begin, size = enc.pieces(keys, blob, starts[first], stops[first])
+        eight, length = eights(data), stops - starts
+        head = eight[starts] & FIRST[np.minimum(length, 8)]
+        keys, first, at = np.unique(span_hashes(eight, starts, stops), return_index=True, return_inverse=True)
+        begin, size, same = enc.pieces(keys, data, head[first], starts[first], stops[first])
+        # two pieces of one hash: their texts are encoded whole
+        one = first[at]
+        good = same[at] & (head == head[one]) & (length == length[one])
+        long = np.flatnonzero(good & (length > 8) & (one != np.arange(len(one))))
+        good[long] = _equal(data, starts[long] + 8, data, starts[one[long]] + 8, length[long] - 8)
+        if not good.all():
+            odd = sorted({*odd, *rows[~good].tolist()})
+            plain = ~np.isin(rows, odd)
+            at, rows = at[plain], rows[plain]
         n = size[at]
         per_row = np.bincount(rows, weights=n, minlength=j - i).astype(np.int64)
-        whole = {d: enc.whole(blob[off[d] : off[d + 1]].decode("utf-8")) for d in odd}
+        whole = {d: enc.whole(data[off[d] : off[d + 1]].tobytes().decode("utf-8")) for d in odd}
         for d, x in whole.items():
             per_row[d] = len(x)
         per_row += 1
@@ -179,22 +210,6 @@ def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int
         yield i, j, out, per_row
 
 
-def _piece_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hashes of the pieces of text, of about ``PIECE`` bytes of them at a time."""
-    if not len(starts):
-        return np.zeros(0, U)
-    turn = starts // PIECE
-    cut = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), len(starts)]
-    return np.concatenate([_hashes(data[starts[a] : stops[b - 1]], starts[a:b] - starts[a], stops[a:b] - starts[a]) for a, b in zip(cut[:-1], cut[1:], strict=True)])
-
-
-def _hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    powers, inverse = byte_powers(max(10, int(len(data)).bit_length()))
-    terms = mix(np.arange(1, 257, dtype=U), 5)[data] * powers[: len(data)]
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(terms)))
-    return mix((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(U) * U(0xD1342543DE82EF95))
-
-
 def encode_blocks(ids: np.ndarray, percentile: float = 95.0) -> tuple[bytes, np.ndarray]:
     """Blocks' bytes and each block's start. All blocks of a width are packed at once."""
     n = len(ids)
@@ -331,8 +346,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, percentile: float =
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
+    # the texts of a hot id are parted by their checksums
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = stash(dealt.mapInArrow(_write(folder, tokenizer, end, percentile, file_tokens), "task int, seq int, file string, ids long"), "manifest")
     # two steps, so that only one row per task meets in one place
     tasks = found.groupBy("task").agg(F.sum("ids").alias("n"))

@@ -113,12 +113,72 @@ def test_jaccard_edge_cases(odd, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+def test_jaccard_repeated_and_null_ids(spark):
+    """Each row links by its own text, whatever other rows share its id."""
+    base = [f"w{i}" for i in range(64)]
+    near = [*base[:-1], "changed"]
+    rows = [(10, base), (11, [f"x{i}" for i in range(50)]), (11, near), (12, [f"y{i}" for i in range(9)]), (None, [f"y{i}" for i in range(9)]), (None, [*base[:-1], "other"]), (None, ["alone"] * 7), (13, [])]
+    rows = [(a, " ".join(b)) for a, b in rows]
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect())
+    assert got == sorted([(10, 61, 10), (11, 47, 11), (11, 61, 10), (12, 6, 12), (-1, 6, 12), (-1, 61, 10), (-1, 1, -1), (13, 0, 13)])
+
+
+def test_jaccard_does_not_link_words_of_a_kind(spark):
+    """Thue-Morse words collide under polynomials modulo a power of two."""
+    for n in (64, 1024, 4096):
+        rows = [(i, " ".join(f"{thue_morse(n, i)}{x}" for x in "pqrstuv")) for i in (0, 1)]
+        assert {r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("n", [150, 600])
+def test_jaccard_pairs_of_a_far_group_stay_few(spark, monkeypatch, n):
+    """Members of one group share a passage and are mutually far: what is compared grows no faster than they do."""
+    rng = np.random.default_rng(7)
+    passage = [f"p{x}" for x in range(100)]
+    rows = []
+    for i in range(n):
+        own = [f"a{i}x{x}" for x in range(60)] if i % 3 else [f"c{x}" for x in rng.integers(0, 300, 60)]
+        rows.append((i, " ".join(passage + own)))
+    rows += [(n + i, rows[i][1] + " tail") for i in range(5)]
+    made = []
+    monkeypatch.setattr(jaccard_join.Join, "verify", lambda self, pairs, real=jaccard_join.Join.verify: made.append(pairs.count()) or real(self, pairs))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()}
+    assert got == brute_components([{"doc_id": a, "text": b} for a, b in rows], 4, 85)
+    assert sum(made[1:]) <= n
+
+
+def test_jaccard_class_keys_that_collide_are_made_anew(docs, monkeypatch):
+    real = jaccard_join.class_key
+    monkeypatch.setattr(jaccard_join, "class_key", lambda s, salt: (real(s, salt)[0] % 50 if salt == 0 else real(s, salt)[0], *real(s, salt)[1:]))
+    made = []
+    monkeypatch.setattr(jaccard_join, "_profile", lambda k, salt, f=jaccard_join._profile: made.append(salt) or f(k, salt))
+    jaccard_join.jaccard_components(docs, 4, 85)
+    assert made in ([0], [0, 1])
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n, m in ((5, 9), (100, 300), (3000, 2000)):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate((a[: n // 2], rng.integers(0, 1 << 63, m).astype(np.uint64)))
+        x, y = jaccard_join._parities(a), jaccard_join._parities(b)
+        width = min(len(x), len(y)) // 8
+        odd = int(np.bitwise_count(jaccard_join._fold(x, width) ^ jaccard_join._fold(y, width)).sum())
+        apart = len(np.setxor1d(a, b))
+        assert 0.5 * apart <= odd <= apart and (apart - odd) % 2 == 0
+
+
 def test_allocation_always_covers_the_difference():
     for percent in (80, 85):
         for size in (1, 5, 6, 40, 300, 5000):
             h = jaccard_join.differ_most(size, percent)
-            segments, two = jaccard_join.allocate(size, h, 1e6)
-            assert segments + two == h + 1 and segments >= 1
+            for sets in (10, 1e6, 1e12):
+                segments, two, spare = jaccard_join.allocate(size, h, sets)
+                assert segments + two == h + 1 + spare and segments >= 1
             larger = size * 100 // percent
             worst = max((s - size for s in range(size, larger + 1)), default=0)
             assert h >= worst
@@ -199,6 +259,26 @@ def test_tokens_equal_the_library_and_files_round_trip(docs, odd):
         assert sorted(map(tuple, got), key=lambda x: x[1]) == want
 
 
+def test_pieces_that_share_a_hash_keep_their_ids(docs, monkeypatch):
+    """With a hash of four values nearly every piece meets another one's; bytes decide."""
+    import pyarrow as pa
+
+    texts = [thue_morse(1024), thue_morse(1024, 1), thue_morse(1024) + " " + thue_morse(1024, 1), *[r["text"] for r in docs.limit(40).collect()], thue_morse(64), thue_morse(4096, 1)]
+    t = tokenizer()[0]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in (*texts, *texts)]
+    enc = token_output.Encoder(tokenizer()[1])
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(token_output, "span_hashes", lambda *a, f=token_output.span_hashes: f(*a) & np.uint64(3))
+        for enc.most in (600_000, 3):
+            enc.clear()
+            got = []
+            for batch in (texts[:20], texts[20:], texts):
+                for i, j, ids, n in token_output.encode_texts(enc, pa.array(batch, pa.string()), 2):
+                    got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+            assert got == want
+
+
 def test_token_output_of_nothing(empty):
     assert token_output.encode_documents(empty, tokenizer()[1], end=2).count() == 0
 
@@ -401,13 +481,10 @@ def test_very_long_texts_go_piece_by_piece(monkeypatch):
     raw, offsets = textkit.buffers(text)
     whole = [textkit.word_hashes(raw, offsets, strip) for strip in (False, True)]
     grams = language_id.gram_counts(raw, offsets, 512)
-    cuts = np.unique(np.concatenate(([0], np.sort(rng.choice(len(raw) - 1, 300, replace=False) + 1), [len(raw)])))
-    prints = token_output._piece_hashes(raw, cuts[:-1], cuts[1:])
-    for module in (textkit, language_id, token_output):
+    for module in (textkit, language_id):
         monkeypatch.setattr(module, "PIECE", 64)
     assert len(list(textkit.pieces(raw))) > 20
     for strip, (h, first) in zip((False, True), whole):
         got, at = textkit.word_hashes(raw, offsets, strip)
         assert (got == h).all() and (at == first).all()
     assert (language_id.gram_counts(raw, offsets, 512) == grams).all()
-    assert (token_output._piece_hashes(raw, cuts[:-1], cuts[1:]) == prints).all()
