@@ -1,47 +1,52 @@
 """Layout-aware HTML to text: a small tree builder with implied tags, visibility rules and a block renderer.
 
-Tree: comments, declarations and raw-text elements are dropped; void elements never open; a start tag closes what it
-implies closed (``p`` before blocks, ``li``, ``dt``/``dd``, ``option``, table parts); cells outside a row and rows outside a
-table section get their parents; an end tag closes up to its match, or nothing. Beyond ``DEEPEST`` levels, elements are
-flattened into their ancestor, so that no text is lost.
+Tree: comments, declarations and raw-text elements are dropped (``textarea`` and ``xmp`` keep their text); void elements never
+open; a start tag closes what it implies closed (``p`` before blocks, ``li``, ``dt``/``dd``, ``option``, table parts), text and
+other tags close an open head; cells outside a row get one; an end tag closes up to its match, or nothing. Builder and renderer
+keep their own stacks, so elements may nest to any depth, and the builder looks open elements up by name.
 
-Visibility: head, script, style, template, noscript and embedded objects are invisible, as is any element with ``hidden``,
-``display:none`` or ``visibility:hidden`` in its style.
+Visibility: head, script, style, template, noscript and embedded objects are invisible, as is any element with ``hidden`` or
+``display:none``; ``visibility:hidden`` (or ``collapse``) hides text until an element inside says ``visibility:visible``. Of an
+``svg`` the ``text`` elements are visible.
 
 Layout: white space collapses outside ``pre``; blocks start on a line of their own; paragraphs, headings, lists, tables and
 quotes keep one blank line around them; list items carry ``-`` or their number and are indented by level; table cells are
-padded to their column's width and parted by `` | ``, cells that span columns or rows leave the covered places empty; ``br``
-breaks the line.
+padded to their column's width and parted by `` | ``, cells that span columns or rows leave the covered places empty (columns
+in which no cell begins are left out); ``br`` breaks the line.
 
 Defined cases: null HTML gives null text; empty HTML or HTML without visible text gives an empty text; malformed or cut-off
-markup is rendered as far as it goes; repeated rows and further columns don't matter.
+markup is rendered as far as it goes; very long pages are rendered whole, one after the other; repeated rows give repeated rows;
+only the named columns are read, so further columns don't matter.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEEPEST = 120
-
 _TOKEN = re.compile(
-    r"""([^<]++)|<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^<>]*+\Z|(<)""",
+    r"""([^<]++)|<!--(?:-?>|.*?--!?>|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^<>]*+\Z|(<)""",
     re.S,
 )
-_HIDING = re.compile(r"hidden|display\s*:\s*none", re.I)
+_HIDING = re.compile(r"hidden|display|visibility", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
-_HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _START = re.compile(r"-?\d+")
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-INVISIBLE = frozenset("head script style title template noscript iframe noembed noframes object canvas svg audio video datalist".split())
+_RAW = "script style textarea title xmp iframe noembed noframes noscript template".split()
+#: Raw-text elements and what ends them, sought in the markup as it is (folding case could change its length).
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in _RAW}
+INVISIBLE = frozenset("head script style title template noscript iframe noembed noframes object canvas audio video datalist".split())
+SVG_INVISIBLE = frozenset("clippath defs desc marker mask metadata pattern symbol".split())
 BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html li legend main nav optgroup option section summary tbody tfoot thead tr".split())
 SPACED = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
 CLOSES_P = (BLOCK | SPACED) - {"body", "html", "option", "optgroup", "tbody", "tfoot", "thead", "tr"}
@@ -61,6 +66,8 @@ IMPLIED = {
 IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
 HEAD = frozenset("base link meta noscript script style template title".split())
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "button"})
+#: End tags that close elements beyond a cell or a table.
+CLOSES_FAR = SCOPE | {"tr", "tbody", "thead", "tfoot", "body"}
 
 
 def attribute(attributes: str, name: str) -> str | None:
@@ -71,91 +78,105 @@ def attribute(attributes: str, name: str) -> str | None:
     return None
 
 
-def hidden(attributes: str) -> bool:
+def visibility(attributes: str, inherited: bool) -> bool | None:
+    """Whether an element's text is visible, or null if the element isn't displayed at all."""
     if not attributes or not _HIDING.search(attributes):
-        return False
-    return attribute(attributes, "hidden") is not None or bool(_HIDING_STYLE.search(attribute(attributes, "style") or ""))
+        return inherited
+    if attribute(attributes, "hidden") is not None:
+        return None
+    last = {m[1].lower(): m[2].lower() for m in _STYLE.finditer(attribute(attributes, "style") or "")}
+    if last.get("display") == "none":
+        return None
+    return {"visible": True, "hidden": False, "collapse": False}.get(last.get("visibility"), inherited)
+
+
+class Stack:
+    """Open elements, with their places by tag, so that no search walks over them."""
+
+    def __init__(self, root: list):
+        self.nodes, self.at = [root], defaultdict(list)
+
+    def push(self, node: list) -> None:
+        self.nodes[-1][2].append(node)
+        self.at[node[0]].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        for node in self.nodes[place:]:
+            self.at[node[0]].pop()
+        del self.nodes[place:]
+
+    def nearest(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags, stops) -> None:
+        """Closes the outermost of ``tags`` that is open above the nearest of ``stops``."""
+        floor, found = None, []
+        for t in tags:
+            places = self.at.get(t)
+            if places:
+                floor = self.nearest(s for s in stops if s not in tags) if floor is None else floor
+                i = bisect_right(places, floor)
+                found += places[i : i + 1]
+        if found:
+            self.cut(min(found))
 
 
 def build(markup: str) -> list:
     """Tree of ``[tag, attributes, children]``; texts are strings."""
     root = ["html", "", []]
-    stack, match, at, end = [root], _TOKEN.match, 0, len(markup)
-    lower = None
+    stack, match, at, end = Stack(root), _TOKEN.match, 0, len(markup)
+    nodes = stack.nodes
     while at < end:
         m = match(markup, at)
         if m is None:  # cannot happen: the last branch takes any "<"
             break
         at = m.end()
         text, closing, tag, attributes, closing2, tag2, attributes2, lone = m.groups()
-        if text is not None:
-            stack[-1][2].append(text)
-            continue
-        if lone is not None:
-            stack[-1][2].append("<")
+        if text is not None or lone is not None:
+            if nodes[-1][0] == "head" and (lone or not text.isspace()):
+                stack.cut(len(nodes) - 1)
+            nodes[-1][2].append(text or "<")
             continue
         tag = tag or tag2
         if tag is None:
             continue
         tag, attributes = tag.lower(), attributes or attributes2 or ""
         if closing or closing2:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPE and tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot", "body"):
-                    break
+            place = stack.nearest((tag,))
+            if place and (tag in CLOSES_FAR or place > stack.nearest(SCOPE)):
+                stack.cut(place)
             continue
-        if stack[-1][0] == "head" and tag not in HEAD:
-            stack.pop()
+        if nodes[-1][0] == "head" and tag not in HEAD:
+            stack.cut(len(nodes) - 1)
         if tag in CLOSES_P:
-            _close(stack, {"p"}, SCOPE)
+            stack.close(("p",), SCOPE)
         if tag in IMPLIED:
-            closed, stops = IMPLIED[tag]
-            _close(stack, closed, stops)
-            top = stack[-1][0]
-            if tag in ("td", "th") and top != "tr":
-                _open(stack, ["tr", "", []])
+            stack.close(*IMPLIED[tag])
+            if tag in ("td", "th") and nodes[-1][0] != "tr":
+                stack.push(["tr", "", []])
         if tag == "html":
             continue
         node = [tag, attributes, []]
         if tag in VOID:
-            stack[-1][2].append(node)
+            nodes[-1][2].append(node)
         elif tag in RAW:
-            stack[-1][2].append(node)
-            lower = lower or markup.lower()
-            stop = lower.find(f"</{tag}", at)
-            if stop < 0:
-                stop = end
+            nodes[-1][2].append(node)
+            stop = RAW[tag].search(markup, at)
+            stop = stop.start() if stop else end
             if tag == "textarea":
                 node[2].append(markup[at:stop])
+            elif tag == "xmp":
+                node[0] = "pre"
+                node[2].append(html.escape(markup[at:stop], quote=False))
             at = markup.find(">", stop) + 1 or end
         elif attributes.endswith("/") and tag not in BLOCK and tag not in SPACED:
-            stack[-1][2].append(node)
+            nodes[-1][2].append(node)
         else:
-            _open(stack, node)
+            stack.push(node)
     return root
 
 
-def _open(stack: list, node: list) -> None:
-    stack[-1][2].append(node)
-    if len(stack) < DEEPEST:
-        stack.append(node)
-
-
-def _close(stack: list, tags: set, stops) -> None:
-    """Closes the outermost of ``tags`` that is open above the nearest of ``stops``."""
-    found = 0
-    for i in range(len(stack) - 1, 0, -1):
-        tag = stack[i][0]
-        if tag in tags:
-            found = i
-        elif tag in stops:
-            break
-    if found:
-        del stack[found:]
-
-
 class Page:
     """Lines under construction. ``gap`` is what stands before the next word: 0 nothing, 1 a space."""
 
@@ -198,10 +219,24 @@ class Page:
         self.blank = True
 
 
-def render(node: list, page: Page, level: int = 0, number: list | None = None) -> None:
+def render(node: list, page: Page) -> None:
+    """Renders an element. Each step hands out the steps of its children, which run on a stack of their own."""
+    steps = [_steps(node, page, None, True, 0)]
+    while steps:
+        inner = next(steps[-1], None)
+        if inner is None:
+            steps.pop()
+        else:
+            steps.append(inner)
+
+
+def _steps(node: list, page: Page, number: list | None, visible: bool, svg: int) -> Iterator[Iterator]:
+    """``number``: the next number of a list (empty without numbers), or null outside of lists. ``svg``: 1 within graphics, 2 in
+    their text."""
     for child in node[2]:
         if child.__class__ is str:
-            page.text(child)
+            if visible and svg != 1:
+                page.text(child)
             continue
         tag, attributes, inner = child
         if tag == "br":
@@ -210,12 +245,15 @@ def render(node: list, page: Page, level: int = 0, number: list | None = None) -
             elif page.lines and not page.blank:
                 page.blank = True
             continue
-        if tag in INVISIBLE or hidden(attributes):
+        if tag in INVISIBLE or svg and tag in SVG_INVISIBLE:
+            continue
+        seen = visibility(attributes, visible) if attributes else visible
+        if seen is None:
             continue
         if tag == "pre":
-            _pre(child, page)
+            _pre(child, page, seen)
         elif tag == "table":
-            _table(child, page, level)
+            yield _table(child, page, seen)
         elif tag in ("ul", "ol"):
             outer = number is None
             page.space() if outer else page.line()
@@ -225,7 +263,7 @@ def render(node: list, page: Page, level: int = 0, number: list | None = None) -
                 page.put("")
                 keep = page.indent
             page.mark = ""
-            render(child, page, level + 1, [int(start[0]) if start else 1] if tag == "ol" else [])
+            yield _steps(child, page, [int(start[0]) if start else 1] if tag == "ol" else [], seen, 0)
             page.line()
             page.indent = keep
             if outer:
@@ -237,17 +275,16 @@ def render(node: list, page: Page, level: int = 0, number: list | None = None) -
                 page.mark, number[0] = f"{number[0]}. ", number[0] + 1
             else:
                 page.mark = "- "
-            render(child, page, level, [])
+            yield _steps(child, page, [], seen, 0)
             page.line()
             page.indent, page.mark = keep, ""
         elif tag in SPACED:
             # inside a list item, spacing would tear the item from its mark
-            tight = bool(page.mark)
-            page.line() if tight else page.space()
+            page.line() if page.mark else page.space()
             keep = page.indent
             if tag == "blockquote":
                 page.indent += "    "
-            render(child, page, level, number if tag != "dl" else None)
+            yield _steps(child, page, number if tag != "dl" else None, seen, 0)
             page.line()
             if tag == "blockquote":
                 page.indent = keep
@@ -257,93 +294,129 @@ def render(node: list, page: Page, level: int = 0, number: list | None = None) -
             keep = page.indent
             if tag == "dd":
                 page.indent += "    "
-            render(child, page, level, number)
+            yield _steps(child, page, number, seen, 0)
             page.line()
             if tag == "dd":
                 page.indent = keep
         elif inner:
-            if tag == "q":
+            if tag == "q" and seen:
                 page.text('"')
-            render(child, page, level, number)
-            if tag == "q":
+            if tag == "svg":
+                inside = 1
+            elif svg and tag in ("text", "foreignobject"):
+                inside, page.gap = 2 if tag == "text" else 0, True
+            else:
+                inside = svg
+            yield _steps(child, page, number, seen, inside)
+            if inside != svg:
+                page.gap = True
+            if tag == "q" and seen:
                 page.text('"')
 
 
-def _pre(node: list, page: Page) -> None:
+def _pre(node: list, page: Page, visible: bool) -> None:
     page.space()
-    text = html.unescape("".join(_raw(node))).replace("\r\n", "\n")
-    for s in text.removeprefix("\n").rstrip("\n").split("\n"):
-        page.put(s)
+    text = html.unescape("".join(_raw(node, visible))).replace("\r\n", "\n")
+    if text or visible:
+        for s in text.removeprefix("\n").rstrip("\n").split("\n"):
+            page.put(s)
     page.blank = True
 
 
-def _raw(node: list) -> Iterator[str]:
-    for child in node[2]:
-        if child.__class__ is str:
-            yield child
+def _raw(node: list, visible: bool) -> Iterator[str]:
+    """The visible text of an element as it stands."""
+    todo = [(iter(node[2]), visible)]
+    while todo:
+        children, visible = todo[-1]
+        child = next(children, None)
+        if child is None:
+            todo.pop()
+        elif child.__class__ is str:
+            if visible:
+                yield child
         elif child[0] == "br":
             yield "\n"
-        elif child[0] not in INVISIBLE and not hidden(child[1]):
-            yield from _raw(child)
-
-
-def _rows(node: list, captions: list) -> Iterator[list]:
-    for child in node[2]:
+        elif child[0] not in INVISIBLE:
+            seen = visibility(child[1], visible)
+            if seen is not None:
+                todo.append((iter(child[2]), seen))
+
+
+def _rows(node: list, visible: bool, extras: list) -> Iterator[tuple[list, bool]]:
+    """The cells of each row, with the row's visibility; what is no part of a table goes to ``extras``."""
+    todo = [(iter(node[2]), visible)]
+    while todo:
+        children, visible = todo[-1]
+        child = next(children, None)
+        if child is None:
+            todo.pop()
+            continue
         if child.__class__ is str:
             if child.strip():
-                captions.append(["p", "", [child]])
-        elif child[0] in INVISIBLE or hidden(child[1]):
+                extras.append((["p", "", [child]], visible))
+            continue
+        if child[0] in INVISIBLE:
             continue
-        elif child[0] == "tr":
-            yield [c for c in child[2] if c.__class__ is not str or c.strip()]
+        seen = visibility(child[1], visible)
+        if seen is None:
+            continue
+        if child[0] == "tr":
+            yield [c for c in child[2] if c.__class__ is not str or c.strip()], seen
         elif child[0] in ("tbody", "thead", "tfoot"):
-            yield from _rows(child, captions)
+            todo.append((iter(child[2]), seen))
         elif child[0] not in ("colgroup", "col"):
-            captions.append(child)
+            extras.append((child, visible))
 
 
-def _span(attributes: str, name: str) -> int:
-    """How many columns or rows a cell covers: 1 to 1000, the bound of the HTML standard for columns."""
+def _span(attributes: str, name: str, most: int) -> int:
+    """How many columns or rows a cell covers; ``most`` is the HTML standard's bound (1000 columns, 65534 rows). A rowspan of 0
+    goes on to the end."""
     value = (attribute(attributes, name) or "").strip() if attributes else ""
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() else 1
+    if not value.isascii() or not value.isdigit():
+        return 1
+    return min(int(value[:9]) or (most if name == "rowspan" else 1), most)
 
 
-def _table(node: list, page: Page, level: int) -> None:
+def _table(node: list, page: Page, visible: bool) -> Iterator[Iterator]:
     page.space()
-    captions: list = []
-    grid = []
-    below: dict[int, int] = {}  # column -> rows that a cell further up still covers
-    for row in _rows(node, captions):
-        cells = []
-        covered, below = below, {i: n - 1 for i, n in below.items() if n > 1}
-        wide = 1
+    extras: list = []
+    grid: list[dict[int, list[str]]] = []  # column -> lines
+    spans: list[tuple[int, int, int]] = []  # cells further up that still cover (first column, past the last, past the last row)
+    for y, (row, shown) in enumerate(_rows(node, visible, extras)):
+        spans = sorted(x for x in spans if x[2] > y)
+        cells, at, i, more = {}, 0, 0, []
         for cell in row:
-            if cell.__class__ is not str and (cell[0] in INVISIBLE or hidden(cell[1])):
+            attributes = "" if cell.__class__ is str else cell[1]
+            seen = None if cell.__class__ is not str and cell[0] in INVISIBLE else visibility(attributes, shown)
+            if seen is None:
                 continue
-            cells += [[""]] * (wide - 1)
-            while len(cells) in covered:
-                cells.append([""])
-            wide, high = (1, 1) if cell.__class__ is str else (_span(cell[1], "colspan"), _span(cell[1], "rowspan"))
-            if high > 1:
-                below |= {len(cells) + i: high - 1 for i in range(wide)}
+            while i < len(spans) and spans[i][0] <= at:
+                at, i = max(at, spans[i][1]), i + 1
+            wide, high = _span(attributes, "colspan", 1000), _span(attributes, "rowspan", 65534)
             inner = Page()
-            render(["td", "", [cell]] if cell.__class__ is str else cell, inner, level + 1)
+            yield _steps(["td", "", [cell]] if cell.__class__ is str else cell, inner, None, seen, 0)
             inner.line()
-            cells.append(inner.lines or [""])
+            cells[at] = inner.lines or [""]
+            if high > 1:
+                more.append((at, at + wide, y + high))
+            at += wide
+        spans += more
         grid.append(cells)
-    for extra in captions:
-        render(["div", "", [extra]], page, level)
+    for extra, shown in extras:
+        yield _steps(["div", "", [extra]], page, None, shown, 0)
         page.line()
-    width = [0] * max(map(len, grid), default=0)
+    width: dict[int, int] = {}
     for cells in grid:
-        for i, lines in enumerate(cells):
-            width[i] = max(width[i], *map(len, lines))
-    if len(width) == 1:
-        width = [0]
+        for x, lines in cells.items():
+            width[x] = max(width.get(x, 0), *map(len, lines))
+    columns = sorted(width)
+    if len(columns) == 1:
+        width[columns[0]] = 0
     for cells in grid:
-        if any(any(x) for x in cells):
-            for k in range(max(map(len, cells))):
-                page.put(" | ".join((x[k] if k < len(x) else "").ljust(w) for x, w in zip(cells, width)))
+        if any(any(x) for x in cells.values()):
+            own = columns[: bisect_right(columns, max(cells))]
+            for k in range(max(map(len, cells.values()))):
+                page.put(" | ".join((cells[x][k] if k < len(cells.get(x, ())) else "").ljust(width[x]) for x in own))
     page.blank = True
 
 

@@ -2,6 +2,8 @@
 
 import gzip
 import math
+import re
+from html import unescape
 
 import numpy as np
 import pytest
@@ -112,7 +114,95 @@ def test_html_attributes_and_spans(markup, text):
     assert to_text(markup) == text
 
 
+def random_page(rng, words, depth):
+    """Markup of a random tree, and its visible words in order."""
+    out, seen = [], []
+
+    def word(shown):
+        words[0] += 1
+        w = f"w{words[0]}"
+        if shown:
+            seen.append(w)
+        return w
+
+    def node(level, shown, cells):
+        kind = rng.integers(0, 14)
+        style = [("", shown), (" hidden", None), (" style='color:red;display:none'", None), (" style=visibility:hidden", shown and False), (" style='VISIBILITY : visible'", shown if shown is None else True), (' title="hidden"', shown)][rng.integers(0, 6) if rng.integers(0, 3) == 0 else 0]
+        attributes, inside = style if shown is not None else ("", None)
+        if level == 0 or kind < 3:
+            out.append(f" {word(shown)} &amp; " if kind == 1 else f" {word(shown)} ")
+            if kind == 1 and shown:
+                seen.append("&")
+        elif kind < 8:
+            tag = ("div", "span", "p", "blockquote", "section")[kind - 3]
+            # a paragraph holds no blocks
+            if tag == "p":
+                out.append(f"<p{attributes}> {word(inside)} <b>{word(inside)}</b></p>")
+            else:
+                out.append(f"<{tag}{attributes}>")
+                for _ in range(rng.integers(0, 4)):
+                    node(level - 1, inside, cells)
+                out.append(f"</{tag}>")
+        elif kind < 10:
+            out.append(f"<UL{attributes}>")
+            for _ in range(rng.integers(1, 4)):
+                out.append("<li>")
+                node(level - 1, inside, cells)
+            out.append("</UL>")
+        elif kind == 10:
+            out.append(f"<script>var a = '<p>{word(None)}';</ScRiPt ><!-- {word(None)} -->")
+        elif kind == 11:
+            out.append(f"<pre{attributes}> {word(inside)}\n\n {word(inside)}</pre>")
+        elif kind == 12:
+            out.append(f"<svg{attributes}><text>{word(inside)}</text>{word(None)}</svg>")
+        else:
+            # one word a cell, so that the order of words is that of rows
+            out.append(f"<table{attributes}>")
+            for _ in range(rng.integers(1, 4)):
+                out.append("<tr>")
+                for _ in range(rng.integers(1, 4)):
+                    out.append(f"<td>{word(inside)}")
+            out.append("</table>")
+
+    for _ in range(6):
+        node(depth, True, 0)
+    return "".join(out), seen
+
+
+def test_html_shows_all_visible_words_and_no_others():
+    rng = np.random.default_rng(11)
+    for i in range(300):
+        markup, seen = random_page(rng, [0], 1 + i % 6)
+        wrapped = "<div>" * 5000 + "<p>" + "İ" * 40 + "</p>" + markup if i % 50 == 0 else markup
+        got = [w for w in to_text(wrapped).replace("|", " ").split() if w not in ("-", "İ" * 40)]
+        assert got == seen, markup
+
+
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ("<div>" * 125 + "<p hidden>secret</p>shown", "shown"),
+        ("<div>" * 3000 + "<table><tr><td>a<td>bb<tr><td>cc<td>d</table>", "a  | bb\ncc | d"),
+        ("<p>" + "İ" * 60 + "</p><script>x</script><p>after text</p><p>end</p>", "İ" * 60 + "\n\nafter text\n\nend"),
+        ("<script>a</scripts>b</SCRIPT\n>c", "c"),
+        ("<head><title>T</title>Hello <b>world</b>", "Hello world"),
+        ("<svg><title>no</title><g><text>one</text><text>two</text></g>no</svg>three", "one two three"),
+        ("<div style='visibility:hidden'>a<p style='visibility:visible'>b</p>c</div>d", "b\n\nd"),
+        ("<div style='display:none'>a<p style='display:block'>b</div>c", "c"),
+        ("<p style='visibility:hidden;visibility:visible'>a", "a"),
+        ("<table><tr><td rowspan=0>a<td>b" + "<tr><td>c" * 1200 + "</table>", "a | b" + "\n  | c" * 1200),
+        ("<table><tr><td colspan=1000>a<td>b</table>", "a | b"),
+        ("<xmp><b>x</b></xmp>", "<b>x</b>"),
+        ("a<!-->b<!--->c<!-- x --!>d", "abcd"),
+    ],
+)
+def test_html_faults_of_old(markup, text):
+    assert to_text(markup) == text
+
+
 def test_html_deep_and_long():
+    for tag in ("div", "span", "ul><li", "blockquote", "table><tr><td", "p"):
+        assert "core" in to_text(f"<{tag}>" * 20_000 + "core" + "</div>" * 100)
     deep = "<div>" * 5000 + "core" + "</div>" * 5000
     assert to_text(deep) == "core"
     assert to_text("<table><tr><td>" * 500 + "x").strip(" |\n") == "x"
@@ -124,7 +214,12 @@ def test_html_deep_and_long():
 def test_html_query_keeps_every_page_and_word(spark):
     rows = queries.op2_html_text(spark, DATA).collect()
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
-    assert len(rows) == pages.count() and all(r["text"] for r in rows)
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    assert len(rows) == len(html) and all(r["text"] == to_text(html[r["page_id"]]) for r in rows)
+    # no word of the text comes from elsewhere than the page
+    letters = re.compile(r"[A-Za-z]+")
+    for r in rows:
+        assert r["text"] and set(letters.findall(r["text"])) <= set(letters.findall(unescape(html[r["page_id"]])))
     odd = spark.createDataFrame([(1, None, "t"), (1, "<p>a", "t"), (None, "", "t")], "page_id long, html string, text string")
     assert sorted(map(tuple, html_text.extract_text(odd).collect()), key=str) == [(1, "a"), (1, None), (None, "")]
 
