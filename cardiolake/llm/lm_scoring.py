@@ -1,20 +1,25 @@
 """Language-model scoring with a weighted backoff automaton, built and applied block by block.
 
-Model: word bigrams smoothed by a Dirichlet prior (MacKay and Peto, 1995) over a discounted unigram distribution.
-``p1(w) = (c(w) - d) / N`` for known words and ``d * V / N`` for the class of unknown ones, ``d = n1 / (n1 + 2 * n2)``;
-``p(w | u) = (c(u w) + prior * p1(w)) / (c(u) + prior)``. As an automaton: each known word ``u`` is a state; a stored bigram
-is an arc of weight ``log10 p(w | u)``; the failure arc of ``u`` leads to the unigram state with weight
-``log10(prior / (c(u) + prior))``; unknown words lead back to the unigram state. One left-to-right traversal per text
-carries the state and adds up the weights (all texts of a block take their steps together, as arrays).
+Model: word trigrams, smoothed by Dirichlet priors (MacKay and Peto, 1995) over bigrams, and those over a discounted unigram
+distribution. ``p1(w) = (c(w) - d) / N`` for known words and ``d * V / N`` for the class of unknown ones, ``d = n1 / (n1 + 2 * n2)``;
+``p2(w | v) = (c(v w) + priors[0] * p1(w)) / (c(v) + priors[0])``; ``p3(w | u v) = (c(u v w) + priors[1] * p2(w | v)) / (c(u v) + priors[1])``.
+
+Automaton: the empty history, each known word and each bigram of the training texts are states. A counted n-gram is an arc from
+the state of its history to the state of its last two words, of weight ``log10 p``. Every state but the empty one has a failure
+arc to the state of its history without the first word, of weight ``log10(prior / (c(history) + prior))``; the empty state has an
+arc for every word (unknown ones lead back to it). One left-to-right traversal per text carries the state, follows failure arcs
+until the next word has an arc, and adds up the weights.
 
 The model never sits in one process. Texts are packed into blocks; a block asks for the counts of its distinct n-grams,
 grouped by hash range; each range sums the training counts and answers every block that asked; the answers meet the
-blocks again and make the part of the automaton that the block's texts can reach. Work and traffic per task depend on
-block and range sizes only, whatever the corpus' size; a frequent n-gram is asked for once per block.
+blocks again and make the part of the automaton that the block's texts can reach, a run of ``RUN`` tokens at a time (the state
+goes on from run to run). Work and traffic per task depend on block and range sizes only, whatever the corpus' size: a frequent
+n-gram is asked for once per block, and ranges are cut so that all of them hold about as many n-grams. Words are told apart by 64-bit
+hashes, longer n-grams by hashes of 48 bits, or 20 more than their number needs (fewer than one in a million meets another one).
 
 Defined cases: null text is empty and has only the end token; an empty table gives an empty result; without training
-documents ``N`` is 0 and the score equals the base score; rows that repeat a document each get a row; further columns
-are not read.
+documents ``N`` is 0 and the score equals the base score; rows that repeat a document each get a row; a very long text is a
+block of its own; further columns are not read.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import stash, unstash
+from .common import Scratch, stash
 from .textkit import U, buffers, mix, pack, slices, unpack, word_hashes
 
 END = U(0x5851F42D4C957F2D)
+#: Tokens whose arcs are in memory at a time.
+RUN = 1 << 17
 
 
 def _blocks(block_bytes: int):
@@ -68,27 +75,26 @@ def _tokens(text: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.array(starts)
 
 
-def _grams(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram hashes (0 at each first token, which has no context) and the mask of first tokens."""
-    first = np.zeros(len(tokens), bool)
-    first[starts[:-1]] = True
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    two = mix(before * U(0xA0761D6478BD642F) + tokens, 2)
-    two[first] = 0
-    return two, first
-
+class Grams:
+    """Distinct n-grams of a block, ascending by hash; ``at[n]`` has the place of the n-gram that ends at each token. Tokens with
+    too short a history have the n-gram 0, which counts nothing."""
 
-def _distinct(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct unigrams and bigrams, each with the position of every token in them."""
-    two, _ = _grams(tokens, starts)
-    one, at_one = np.unique(tokens, return_inverse=True)
-    pairs, at_two = np.unique(two, return_inverse=True)
-    return one, at_one, pairs, at_two
+    def __init__(self, tokens: np.ndarray, starts: np.ndarray, bits: int):
+        first = np.zeros(len(tokens), bool)
+        first[starts[:-1]] = True
+        two, three = np.zeros(len(tokens), U), np.zeros(len(tokens), U)
+        two[1:] = mix(tokens[:-1] * U(0xA0761D6478BD642F) + tokens[1:], 2) >> U(64 - bits)
+        two[first] = 0
+        three[2:] = mix(mix(tokens[:-2] * U(0xE7037ED1A0B428DB) + tokens[1:-1], 3) * U(0xA0761D6478BD642F) + tokens[2:], 4) >> U(64 - bits)
+        three[first] = 0
+        three[1:][first[:-1]] = 0
+        self.values, self.at, self.where = {}, {}, {}
+        for n, x in ((1, tokens), (2, two), (3, three)):
+            self.values[n], self.where[n], self.at[n] = np.unique(x, return_index=True, return_inverse=True)
 
 
-def _ask(parts: int):
-    edges = np.array([(j << 64) // parts for j in range(1, parts)], dtype=U)
+def _ask(parts: int, bits: int):
+    edges = {n: np.array([((1 << (64 if n == 1 else bits)) * j) // parts for j in range(1, parts)], dtype=U) for n in (1, 2, 3)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,11 +102,13 @@ def _ask(parts: int):
                 tokens, starts = _tokens(row["text"], np.array(row["offsets"]))
                 train = np.repeat(np.array(row["train"], bool), np.diff(starts))
                 rows = []
-                one, at_one, two, at_two = _distinct(tokens, starts)
-                for order, grams, at in ((1, one, at_one), (2, two, at_two)):
-                    counts = np.bincount(at[train], minlength=len(grams)).astype(np.int64)
-                    cut = np.concatenate(([0], np.searchsorted(grams, edges), [len(grams)]))
-                    rows += [(p * 2 + order - 1, row["block"], order, pack(grams[a:b], True), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+                grams = Grams(tokens, starts, bits)
+                for n, values in grams.values.items():
+                    counts = np.bincount(grams.at[n][train], minlength=len(values)).astype(np.int64)
+                    if n > 1:
+                        counts[values == 0] = 0
+                    cut = np.concatenate(([0], np.searchsorted(values, edges[n]), [len(values)]))
+                    rows += [(p * 3 + n - 1, row["block"], n, pack(values[a:b], True), pack(counts[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "block", "ngram", "grams", "counts"])
 
@@ -127,7 +135,61 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "part": pdf["part"], "ngram": pdf["ngram"], "totals": [pack(out[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "facts": [facts if i == 0 else None for i in range(len(pdf))]})
 
 
-def _score(n: int, v: int, n1: int, n2: int, prior: float):
+class Automaton:
+    """The states and arcs that a block's texts can reach. State 0 is the empty history, ``1 + i`` the block's word ``i``, and
+    ``1 + words + j`` its bigram ``j``; an arc's key is ``state * words + word``."""
+
+    def __init__(self, grams: Grams, counts: dict[int, np.ndarray], n: int, v: int, discount: float, priors: tuple[float, float]):
+        self.at, (self.c1, self.c2, self.c3) = grams.at, (counts[1], counts[2], counts[3])
+        self.words = len(self.c1)
+        word, pair = grams.at[1], grams.at[2]
+        at2, at3 = grams.where[2], grams.where[3]
+        self.last2, self.before2 = word[at2], word[at2 - 1]
+        self.last3, self.before3, self.inner3 = word[at3], pair[at3 - 1], pair[at3]
+        self.end = np.zeros(self.words, bool)
+        self.end[grams.values[1] == END] = True
+        p1 = np.where(self.c1 > 0, (self.c1 - discount) / n, discount * v / n)
+        p2 = (self.c2 + priors[0] * p1[self.last2]) / (self.c1[self.before2] + priors[0])
+        p3 = (self.c3 + priors[1] * p2[self.inner3]) / (self.c2[self.before3] + priors[1])
+        self.w1, self.w2, self.w3 = np.log10(p1), np.log10(p2), np.log10(p3)
+        self.f1 = np.log10(priors[0] / (self.c1 + priors[0]))
+        self.f2 = np.log10(priors[1] / (self.c2 + priors[1]))
+
+    def run(self, a: int, b: int) -> tuple[dict[int, tuple[float, int]], dict[int, tuple[float, int]]]:
+        """Arcs (key -> weight, next state) and failure arcs (state -> weight, next state) for tokens ``a .. b``."""
+        base = 1 + self.words
+        one = np.unique(self.at[1][max(a - 1, 0) : b])
+        two, three = np.unique(self.at[2][max(a - 1, 0) : b]), np.unique(self.at[3][a:b])
+        known, two, three = one[self.c1[one] > 0], two[self.c2[two] > 0], three[self.c3[three] > 0]
+        open_ = two[~self.end[self.last2[two]]]
+        fail = dict(zip((1 + known).tolist(), zip(self.f1[known].tolist(), [0] * len(known))))
+        fail.update(zip((base + open_).tolist(), zip(self.f2[open_].tolist(), (1 + self.last2[open_]).tolist())))
+        arcs = dict(zip(one.tolist(), zip(self.w1[one].tolist(), np.where((self.c1[one] > 0) & ~self.end[one], 1 + one, 0).tolist())))
+        arcs.update(zip(((1 + self.before2[two]) * self.words + self.last2[two]).tolist(), zip(self.w2[two].tolist(), np.where(self.end[self.last2[two]], 0, base + two).tolist())))
+        next3 = np.where(self.end[self.last3[three]], 0, base + self.inner3[three])
+        arcs.update(zip(((base + self.before3[three]) * self.words + self.last3[three]).tolist(), zip(self.w3[three].tolist(), next3.tolist())))
+        return arcs, fail
+
+    def traverse(self, starts: np.ndarray) -> np.ndarray:
+        """Sum of the weights along each document's path."""
+        scores, total, state, doc, words = [], 0.0, 0, 1, self.words
+        stops = starts.tolist()
+        for a in range(0, stops[-1], RUN):
+            b = min(a + RUN, stops[-1])
+            arcs, fail = self.run(a, b)
+            for t, word in enumerate(self.at[1][a:b].tolist(), a):
+                while (arc := arcs.get(state * words + word)) is None:
+                    weight, state = fail[state]
+                    total += weight
+                total += arc[0]
+                state = arc[1]
+                if t + 1 == stops[doc]:
+                    scores.append(total)
+                    total, state, doc = 0.0, 0, doc + 1
+        return np.array(scores)
+
+
+def _score(n: int, v: int, n1: int, n2: int, priors: tuple[float, float], bits: int):
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     base_unit = n + v + 1
 
@@ -135,45 +197,33 @@ def _score(n: int, v: int, n1: int, n2: int, prior: float):
         row = block.iloc[0]
         tokens, starts = _tokens(row["text"], np.array(row["offsets"]))
         answers = answers.sort_values("part")
-        one, at_one, two, at_two = _distinct(tokens, starts)
-        got = {k: np.concatenate([unpack(x) for x in answers.loc[answers["ngram"] == k, "totals"]]).view(np.int64) for k in (1, 2)}
-        c, both = got[1][at_one], got[2][at_two]
-        first = np.zeros(len(tokens), bool)
-        first[starts[:-1]] = True
+        grams = Grams(tokens, starts, bits)
+        got = {k: np.concatenate([unpack(x) for x in answers.loc[answers["ngram"] == k, "totals"]]).view(np.int64) for k in (1, 2, 3)}
+        c = got[1][grams.at[1]]
         base = np.log10((c + 1) / base_unit)
-        if n:
-            known = c > 0
-            p1 = np.where(known, (c - discount) / n, discount * v / n)
-            # the state before each token: the word just read, or the unigram state at a start or after an unknown word
-            state = np.concatenate(([0], c[:-1])).astype(float)
-            state[first] = 0
-            failure = np.where(state > 0, np.log10(prior / (state + prior)), 0.0)
-            arc = (state > 0) & (both > 0) & ~first
-            weight = np.log10(p1) + failure
-            weight[arc] = np.log10((both[arc] + prior * p1[arc]) / (state[arc] + prior))
-        else:
-            known, weight = c > 0, base
         add = lambda x: np.add.reduceat(x.astype(float), starts[:-1])
+        score = Automaton(grams, got, n, v, discount, priors).traverse(starts) if n else add(base)
         sizes = np.diff(starts)
-        return pd.DataFrame({"doc_id": pd.array(row["ids"], dtype="Int64"), "held_out": ~np.array(row["train"], bool), "n_tokens": sizes, "n_known": add(known).astype(np.int64), "train_tokens": n, "base_score": add(base), "score": add(weight)})
+        return pd.DataFrame({"doc_id": pd.array(row["ids"], dtype="Int64"), "held_out": ~np.array(row["train"], bool), "n_tokens": sizes, "n_known": add(c > 0).astype(np.int64), "train_tokens": n, "base_score": add(base), "score": score})
 
     return run
 
 
-def score_documents(docs: DataFrame, train: str, prior: float = 400.0, block_bytes: int = 2 << 20, part_grams: int = 1_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, train: str, priors: tuple[float, float] = (400.0, 5.0), block_bytes: int = 2 << 20, part_grams: int = 400_000) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row of ``docs(doc_id, text)``.
 
-    ``train``: SQL condition that picks the training rows. ``base_score`` sums ``log10((c + 1) / (N + V + 1))``.
-    ``block_bytes``: text per block; a longer document is a block of its own. ``part_grams``: about how many n-grams one
-    range answers."""
-    spark = docs.sparkSession
+    ``train``: SQL condition that picks the training rows. ``base_score`` sums ``log10((c + 1) / (N + V + 1))``. ``priors``: of
+    bigrams and trigrams (the best of a few on held-out text). ``block_bytes``: text per block. ``part_grams``: about how many
+    n-grams of one length a range answers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(F.expr(train), F.lit(False)).alias("train"))
-    blocks = stash(rows.mapInArrow(_blocks(block_bytes), "block long, ids array<long>, train array<boolean>, offsets array<long>, text binary"), "blocks")
-    total = blocks.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
-    parts = max(1, int(total / 9 / part_grams), int(spark.conf.get("spark.sql.shuffle.partitions")) if total > 1 << 26 else 1)
-    asked = blocks.select("block", "train", "offsets", "text").mapInArrow(_ask(parts), "part int, block long, ngram int, grams binary, counts binary")
-    answers = stash(asked.groupBy("part").applyInPandas(_answer, "block long, part int, ngram int, totals binary, facts array<long>"), "answers")
-    facts = answers.where("ngram = 1 AND facts IS NOT NULL").agg(*[F.coalesce(F.sum(F.col("facts")[i]), F.lit(0)) for i in range(4)]).first()
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    right = answers.select("block", "part", "ngram", "totals").groupBy("block")
-    return blocks.groupBy("block").cogroup(right).applyInPandas(_score(*[int(x) for x in facts], prior), schema)
+    with Scratch() as tmp:
+        blocks = tmp(rows.mapInArrow(_blocks(block_bytes), "block long, ids array<long>, train array<boolean>, offsets array<long>, text binary"), "blocks")
+        total = blocks.agg(F.sum(F.element_at("offsets", -1))).first()[0] or 0
+        # words are about six bytes long
+        parts, bits = int(total / 6 // part_grams) + 1, min(64, max(48, 20 + int(total / 6).bit_length()))
+        asked = blocks.select("block", "train", "offsets", "text").mapInArrow(_ask(parts, bits), "part int, block long, ngram int, grams binary, counts binary")
+        answers = tmp(asked.groupBy("part").applyInPandas(_answer, "block long, part int, ngram int, totals binary, facts array<long>"), "answers")
+        facts = answers.where("ngram = 1 AND facts IS NOT NULL").agg(*[F.coalesce(F.sum(F.col("facts")[i]), F.lit(0)) for i in range(4)]).first()
+        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        right = answers.select("block", "part", "ngram", "totals").groupBy("block")
+        return stash(blocks.groupBy("block").cogroup(right).applyInPandas(_score(*[int(x) for x in facts], priors, bits), schema), "scores")

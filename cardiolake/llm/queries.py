@@ -79,7 +79,7 @@ FROM (SELECT u.*, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORD
       FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 WHERE k = 1
 """,
-    # crc32 by its table, then counts of tokens and pairs of the training rows; the automaton's weights in closed form
+    # crc32 by its table, then counts of tokens and pairs of the training rows; the automaton's weights in closed form (without a history, counts are 0 and the priors stand alone)
     "op8_lm_scoring": r"""
 WITH RECURSIVE bits(i, c, k) AS (
   SELECT CAST(range AS UBIGINT), CAST(range AS UBIGINT), 0 FROM range(256)
@@ -89,16 +89,20 @@ crc(id, s, p, c) AS (
   UNION ALL SELECT id, s, p + 1, xor(crc.c >> 8, bits.c) FROM crc JOIN bits ON bits.k = 8 AND bits.i = xor(crc.c, CAST(ascii(substr(s, p, 1)) AS UBIGINT)) & 255 WHERE p <= length(s)),
 split AS (SELECT id, xor(c, CAST(4294967295 AS UBIGINT)) % 7 = 2 AS held_out FROM crc WHERE p = length(s) + 1),
 words AS (SELECT doc_id, held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), NULL) AS w FROM documents JOIN split ON id = doc_id),
-tok AS (SELECT doc_id, held_out, i, coalesce(w[i], ' ') AS t, CASE WHEN i > 1 THEN w[i - 1] END AS u FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
+tok AS (SELECT doc_id, held_out, i, coalesce(w[i], ' ') AS t, CASE WHEN i > 1 THEN w[i - 1] END AS u, CASE WHEN i > 2 THEN w[i - 2] END AS g FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
 one AS (SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY 1),
 two AS (SELECT u, t, count(*) AS c FROM tok WHERE NOT held_out AND u IS NOT NULL GROUP BY 1, 2),
+three AS (SELECT g, u, t, count(*) AS c FROM tok WHERE NOT held_out AND g IS NOT NULL GROUP BY 1, 2, 3),
 m AS (SELECT sum(c) AS n, count(*) AS v, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2 FROM one),
 d AS (SELECT CAST(n AS BIGINT) AS n, v, CASE WHEN n1 > 0 AND n2 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END AS d FROM m),
-x AS (SELECT doc_id, held_out, coalesce(one.c, 0) AS c, coalesce(ctx.c, 0) AS cu, coalesce(two.c, 0) AS cut, n, v, CASE WHEN coalesce(one.c, 0) > 0 THEN (one.c - d) / n ELSE d * v / n END AS p1
-      FROM tok CROSS JOIN d LEFT JOIN one ON one.t = tok.t LEFT JOIN one ctx ON ctx.t = tok.u LEFT JOIN two ON two.u = tok.u AND two.t = tok.t)
+x AS (SELECT doc_id, held_out, coalesce(one.c, 0) AS c, coalesce(ctx.c, 0) AS cu, coalesce(two.c, 0) AS cut, coalesce(his.c, 0) AS cgu, coalesce(three.c, 0) AS cgut, n, v,
+             CASE WHEN coalesce(one.c, 0) > 0 THEN (one.c - d) / n ELSE d * v / n END AS p1
+      FROM tok CROSS JOIN d LEFT JOIN one ON one.t = tok.t LEFT JOIN one ctx ON ctx.t = tok.u LEFT JOIN two ON two.u = tok.u AND two.t = tok.t
+      LEFT JOIN two his ON his.u = tok.g AND his.t = tok.u LEFT JOIN three ON three.g = tok.g AND three.u = tok.u AND three.t = tok.t),
+y AS (SELECT *, (cut + 400 * p1) / (cu + 400) AS p2 FROM x)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, any_value(n) AS train_tokens,
-       round(sum(log10((c + 1) / (n + v + 1))), 6) AS base_score, round(sum(log10(CASE WHEN cu > 0 THEN (cut + 400 * p1) / (cu + 400) ELSE p1 END)), 6) AS score
-FROM x GROUP BY doc_id, held_out
+       round(sum(log10((c + 1) / (n + v + 1))), 6) AS base_score, round(sum(log10((cgut + 5 * p2) / (cgu + 5))), 6) AS score
+FROM y GROUP BY doc_id, held_out
 """,
     "op9_jaccard_join": r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

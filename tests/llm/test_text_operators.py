@@ -295,33 +295,71 @@ def test_patched_blocks_round_trip(n):
         assert (token_output.read_block(content, 0) == ids[: token_output.BLOCK]).all()
 
 
-def test_lm_base_counts_and_score(docs):
-    rule = "crc32(cast(doc_id AS string)) % 7 <> 2"
-    rows = docs.withColumn("train", F.expr(rule)).collect()
-    tokens = {r["doc_id"]: [*WORD.findall(lower(r["text"])), None] for r in rows}
-    one, two = Counter(), Counter()
-    for r in rows:
-        if r["train"]:
-            t = tokens[r["doc_id"]]
-            one.update(t)
-            two.update(zip(t, t[1:]))
+def brute_scores(tokens, train, priors):
+    """(known tokens, base score, score) by the model's formulas, and the training tokens."""
+    one, two, three = Counter(), Counter(), Counter()
+    for i in train:
+        t = tokens[i]
+        one.update(t)
+        two.update(zip(t, t[1:]))
+        three.update(zip(t, t[1:], t[2:]))
     n, v = sum(one.values()), len(one)
     n1, n2 = (sum(c == k for c in one.values()) for k in (1, 2))
-    d, prior = n1 / (n1 + 2 * n2), 400.0
+    d = n1 / (n1 + 2 * n2)
     p1 = lambda w: (one[w] - d) / n if one[w] else d * v / n
+    p2 = lambda h, w: (two[h, w] + priors[0] * p1(w)) / (one[h] + priors[0])
+    p3 = lambda g, h, w: (three[g, h, w] + priors[1] * p2(h, w)) / (two[g, h] + priors[1])
     assert math.isclose(sum(p1(w) for w in one) + d * v / n, 1, rel_tol=1e-9)
-    got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs.repartition(3), rule, block_bytes=50_000).collect()}
-    assert len(got) == len(rows)
-    for r in rows:
-        t, g = tokens[r["doc_id"]], got[r["doc_id"]]
-        base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t)
-        score = math.log10(p1(t[0])) + sum(math.log10((two[u, w] + prior * p1(w)) / (one[u] + prior)) for u, w in zip(t, t[1:]))
-        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (not r["train"], len(t), sum(one[w] > 0 for w in t), n)
-        assert math.isclose(g["base_score"], base, rel_tol=1e-9) and math.isclose(g["score"], score, rel_tol=1e-9)
+    out = {}
+    for i, t in tokens.items():
+        score = sum(math.log10(p1(w) if k == 0 else p2(t[k - 1], w) if k == 1 else p3(t[k - 2], t[k - 1], w)) for k, w in enumerate(t))
+        out[i] = (sum(one[w] > 0 for w in t), sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), score)
+    return out, n
+
+
+def test_lm_automaton_equals_the_formulas(docs, monkeypatch):
+    rule = "crc32(cast(doc_id AS string)) % 7 <> 2"
+    rows = docs.withColumn("train", F.expr(rule)).collect()
+    tokens = {r["doc_id"]: [*WORD.findall(lower(r["text"])), None] for r in rows}
+    want, n = brute_scores(tokens, [r["doc_id"] for r in rows if r["train"]], (400.0, 5.0))
+    for block, run in ((50_000, lm_scoring.RUN), (2 << 20, 997)):
+        # runs end within documents; the state goes on
+        monkeypatch.setattr(lm_scoring, "RUN", run)
+        got = {r["doc_id"]: r for r in lm_scoring.score_documents(docs.repartition(3), rule, block_bytes=block).collect()}
+        assert len(got) == len(rows)
+        for r in rows:
+            g, (known, base, score) = got[r["doc_id"]], want[r["doc_id"]]
+            assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (not r["train"], len(tokens[r["doc_id"]]), known, n)
+            assert math.isclose(g["base_score"], base, rel_tol=1e-9) and math.isclose(g["score"], score, rel_tol=1e-9)
     held = [g for g in got.values() if g["held_out"]]
     assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
 
 
+def test_lm_automaton_has_states_and_failure_arcs():
+    words = {w: np.uint64(w * 7919 + 5) for w in range(1, 5)}
+    tokens = np.array([words[1], words[2], words[3], lm_scoring.END, words[1], words[2], words[4], lm_scoring.END, words[4], words[2], words[3], lm_scoring.END], np.uint64)
+    starts = np.array([0, 4, 8, 12])
+    grams = lm_scoring.Grams(tokens, starts, 48)
+    counts = {k: np.bincount(grams.at[k], minlength=len(v)) * (v != 0) for k, v in grams.values.items()}
+    a = lm_scoring.Automaton(grams, counts, 12, 5, 0.5, (2.0, 1.0))
+    arcs, fail = a.run(0, 12)
+    # five words and the end; bigrams 12 23 24 42 (those with the end are no states); failure arcs lead from pair to word to nothing
+    assert len(fail) == 5 + 4 and sorted(x for _, x in fail.values())[:5] == [0] * 5
+    assert len(arcs) == 5 + 6 + 5
+    state, path = 0, []
+    for w in (1, 2, 3):
+        key = state * a.words + int(np.searchsorted(grams.values[1], words[w]))
+        state = arcs[key][1]
+        path.append(state)
+    assert 1 <= path[0] <= a.words < min(path[1:]) and fail[path[2]][1] == 1 + int(np.searchsorted(grams.values[1], words[3]))
+
+
+def test_lm_words_of_a_kind_stay_apart(spark):
+    rows = [(1, thue_morse(1024)), (2, thue_morse(1024, 1) + " x")]
+    got = {r["doc_id"]: r["n_known"] for r in lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id = 1").collect()}
+    assert got == {1: 2, 2: 1}
+
+
 def test_lm_edge_cases(odd, empty):
     got = lm_scoring.score_documents(odd, "doc_id <> 4").collect()
     assert len(got) == 12 and {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
