@@ -498,7 +498,57 @@ def test_leaks_equal_brute_force(spark):
     for size in (500_000, 60):
         got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(d, b, item_shingles=size).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], rel_tol=1e-9) for x in want)
-    assert {r["doc_id"] for r in decontaminate.clean(d, b).collect()} == {*docs, 90} - {x for x, _ in want}
+    for most in (20_000, 3):
+        assert {r["doc_id"] for r in decontaminate.clean(d, b, most_items=most).collect()} == {*docs, 90} - {x for x, _ in want}
+
+
+def test_leaks_recall_on_the_whole_benchmark(spark):
+    """Every item, with words changed until its similarity is just at the threshold, against brute force."""
+    rng = np.random.default_rng(9)
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect() if r["text"]}
+    some = {i: t for i, t in items.items() if len(WORD.findall(t)) >= 25}
+    rows = {}
+    for i, t in some.items():
+        words = WORD.findall(t)
+        for copy in range(6):
+            near = list(words)
+            # words at the ends cost few shingles, those inside five
+            for at in ([], [0], [-1], [0, -1, 1], [len(words) // 2], [0, 1, 2, -1, -2])[copy]:
+                near[at] = f"x{rng.integers(1e9)}"
+            filler = [f"f{x}" for x in rng.integers(0, 1e9, 40)]
+            rows[len(rows)] = " ".join(filler[:20] + near + filler[20:])
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = brute_leaks(rows, items, threshold=0.8 - 1e-9)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(d, b).collect()}
+    assert got.keys() <= want.keys() and min(want.values()) < 0.85
+    sure = {x for x, s in want.items() if s > 0.8 + 1e-9}
+    assert len(got.keys() & sure) >= 0.98 * len(sure), len(got.keys() & sure) / len(sure)
+
+
+def test_leaks_are_found_through_the_tables(monkeypatch):
+    """Without the tables no window is compared; with them, exactly those within the radius are."""
+    rng = np.random.default_rng(2)
+    bags = [rng.integers(0, 1 << 63, 30).astype(np.uint64) for _ in range(50)]
+    weight = {int(v): 1.0 for b in bags for v in b}
+    items = decontaminate.Items(list(range(50)), bags, [34] * 50, 5, weight, 1.0, 23, 8)
+    prints = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    w, i = items.by_length[34].find(prints)
+    near = np.bitwise_count(prints[:, None] ^ items.prints[None, :]) <= 23
+    assert set(zip(w.tolist(), i.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near)))) and near.any()
+    text = np.concatenate((rng.integers(0, 1 << 63, 40).astype(np.uint64), bags[7], rng.integers(0, 1 << 63, 40).astype(np.uint64)))
+    assert [(x[0], x[1], x[2]) for x in decontaminate._windows(items, text, 5, 0.8, 114)] == [(7, 1.0, 40)]
+    monkeypatch.setattr(decontaminate.Index, "find", lambda self, prints: (np.zeros(0, int), np.zeros(0, int)))
+    assert not list(decontaminate._windows(items, text, 5, 0.8, 114))
+
+
+def test_leaks_of_equal_windows_go_to_the_first(spark):
+    words = [f"t{x}" for x in range(20)]
+    d = spark.createDataFrame([(1, " ".join(["a b c", *words, "d", *words, "e"])), (None, " ".join(words))], "doc_id long, text string")
+    b = spark.createDataFrame([(4, " ".join(words)), (None, " ".join(words))], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"] or 0, r["similarity"], r["start_word"]) for r in decontaminate.leaks(d, b).collect())
+    assert got == [(0, 0, 1.0, 0), (0, 4, 1.0, 0), (1, 0, 1.0, 3), (1, 4, 1.0, 3)]
+    assert decontaminate.clean(d, b).count() == 0
 
 
 def test_leaks_edge_cases(odd, empty, docs, spark):
