@@ -86,6 +86,15 @@ class Scratch:
 BROADCAST_ROWS = 1_000_000
 
 
+#: A column that numbers rows; ids may be null or repeated.
+ROW = "__row"
+
+
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """The rows, written once with a unique number in ``__row``: written, because another reading could number them otherwise."""
+    return stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def small_side(narrow: DataFrame) -> DataFrame:
     """A written table of ids, marked for broadcast when its counted rows allow it."""
     return F.broadcast(narrow) if narrow.count() <= BROADCAST_ROWS else narrow

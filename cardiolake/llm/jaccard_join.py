@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import Scratch, connected_components, small_side, stash
+from .common import ROW, Scratch, connected_components, join_wide, small_side, stash, with_row_keys
 from .textkit import U, documents, mix, pack, shingle_hashes, unpack
 
 BLOCK_BYTES = 4 << 20
@@ -458,6 +458,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows
         return stash(prof.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").union(none), "result")
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with all their columns, of which each component keeps one row: that with the smallest ``doc_id`` (null
+    last; among equal ids any one). Rows without words stay. Each row counts by its own text, whatever its id."""
+    rows = with_row_keys(docs)
+    found = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), **options).where("n_shingles > 0")
+    groups = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = found.join(groups, "component_id", "left_semi").select(F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, F.col("doc_id").alias("__id"))
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col(ROW).alias("row"))
+    members = stash(members.join(ids, ROW).select(ROW, "component_id", order.alias("order")), "members")
+    first = members.groupBy("component_id").agg(F.min("order")["row"].alias(ROW)).select(ROW)
+    more = stash(members.select(ROW).join(first, ROW, "left_anti"), "copies")
+    return join_wide(rows, more, ROW, "left_anti").select(*docs.columns)
+
+
 def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows: int) -> DataFrame:
     """``(node, component)`` of the classes that link with others."""
     tmp, docs, percent, classes = job.tmp, job.docs, job.percent, job.classes

@@ -192,7 +192,8 @@ def fit(docs: DataFrame, train: str, dims: int = 4096, clusters: int = 4, sample
     ids = ids.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
     picked = ids.select("lang", "doc_id", "rank").distinct()
     chosen = F.broadcast(picked) if len(langs) * sample <= 500_000 else picked
-    texts = rows.join(chosen, ["lang", "doc_id"])
+    # an id may stand for many rows: the sample is bounded again
+    texts = rows.join(chosen, ["lang", "doc_id"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample).drop("at")
     got = texts.groupBy("lang").applyInPandas(_fit(dims, idf, clusters, rounds), "lang string, cluster int, centroid array<float>, scores array<float>, sizes array<int>")
     got = sorted(got.collect(), key=lambda r: (r["lang"], r["cluster"]))  # at most max_langs * clusters rows
     names = sorted({r["lang"] for r in got})

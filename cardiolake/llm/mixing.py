@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_wide, stash
+from .common import ROW, join_wide, stash, with_row_keys
 
 GOLDEN = 2654435769  # 2^32 / golden ratio
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,11 +64,12 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return hits.withColumn("k", inner).join(base, ["src", "chunk"]).select("src", (F.col("base") + F.col("k")).alias("r"), "slot")
 
 
-def _dealt(docs: DataFrame, weights: tuple[float, ...], ratio: float, epochs: int, slots: int, bucket_docs: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The targets, and ``(src, bucket, pos, doc_id, size, source_size, target, r, slot, start, words)``: a row for each document,
+def _dealt(docs: DataFrame, weights: tuple[float, ...], ratio: float, epochs: int, slots: int, bucket_docs: int, seed: int, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The targets, and ``(src, bucket, pos, doc_id, key, size, source_size, target, r, slot, start, words)``: a row for each document,
     pass and block that share words, and one without a slot for a document that the mix doesn't reach."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size")), "sizes")
+    own = (F.col(key) if key else F.lit(None)).cast("long").alias("key")
+    sized = stash(docs.select(F.col("doc_id").cast("long").alias("doc_id"), own, "source", size.alias("size")), "sizes")
     targets = stash(source_targets(sized, weights, ratio, epochs), "targets")
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     block = max(16, math.ceil(total / slots))
@@ -113,19 +114,20 @@ def scheduled_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1),
     return rows.select("slot", "source", F.col("r").alias("block"), "start", "doc_id", "words").orderBy("slot", "start")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, epochs: int = 2, slots: int = 1 << 20, bucket_docs: int = 2000, seed: int = 17) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` of every row of ``docs(doc_id, text, source)``.
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, epochs: int = 2, slots: int = 1 << 20, bucket_docs: int = 2000, seed: int = 17, key: str | None = None) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` of every row of ``docs(doc_id, text, source)``; with ``key``, a column of
+    unique numbers, also that.
 
     ``slots``: about how many slots the schedule has; a block is all words to take over ``slots``, 16 words at least."""
-    taken = _dealt(docs, weights, ratio, epochs, slots, bucket_docs, seed)[1]
-    taken = taken.groupBy("src", "bucket", "pos", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return taken.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    taken = _dealt(docs, weights, ratio, epochs, slots, bucket_docs, seed, key)[1]
+    taken = taken.groupBy("src", "bucket", "pos", "doc_id", "key", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
+    return taken.select("doc_id", *([F.col("key").alias(key)] if key else []), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, as often as the mix takes them: ``taken / size`` rounded, up to the number of
-    passes; documents without words and rows without an id stay once."""
-    mix = mix_sources(docs, **options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    mix = stash(mix, "mix")
-    times = F.when(F.coalesce("__size", F.lit(0)) == 0, 1).otherwise(F.expr("(2 * __taken + __size) div (2 * __size)"))
-    return join_wide(docs, mix, "doc_id", "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    passes; documents without words stay once. Every row counts by its own text, whatever its id."""
+    rows = with_row_keys(docs)
+    mix = stash(mix_sources(rows, key=ROW, **options).select(ROW, F.col("size").alias("__size"), F.col("taken").alias("__taken")), "mix")
+    times = F.when(F.col("__size") == 0, 1).otherwise(F.expr("(2 * __taken + __size) div (2 * __size)"))
+    return join_wide(rows, mix, ROW, "inner").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

@@ -5,11 +5,13 @@ rule wins (host plus path; ties to the smaller rule text). Urls that redirects,
 links tie together form components, found by distributed star rounds. A url without a rule of its own is blocked when its
 component has a blocked url; a url with its own allow rule stays allowed whatever its aliases are, and shields nothing else.
 
-Urls are compared without their fragment. Links are taken from ``<link rel=canonical>`` and ``<meta http-equiv=refresh>``
-(protocol-relative, root-relative and plain relative targets are resolved), and from a table of redirects where given.
+Aliases are compared without their fragment, with scheme and host in small letters and ``/`` for an empty path. Links are taken from
+every ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` outside of comments (protocol-relative, root-relative and plain
+relative targets are resolved, with their ``.`` and ``..``), and from a table of redirects where given.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no rule and no alias, and is allowed; null HTML has
-no links; rows that repeat a page each get a row; an empty table gives an empty result; further columns are not read.
+no links; rows that repeat a page each get a row; very long urls and pages are taken whole; an empty table gives an empty result;
+further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,22 +35,37 @@ def path_of(url: Column) -> Column:
 
 
 def _node(url: Column) -> Column:
-    return F.regexp_replace(url, r"(?s)#.*$", "")
+    """A url as a node of the graph of aliases."""
+    site = F.translate(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), UPPER, LOWER)
+    rest = F.regexp_replace(F.regexp_replace(url, r"(?s)#.*$", ""), r"(?s)^.*?://[^/?#]*", "")
+    return F.when(url.contains("://"), F.concat(site, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+
+
+def _without_dots(url: Column) -> Column:
+    """A url whose path has its ``.`` and ``..`` resolved."""
+    site, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    parts = F.split(path, "/", -1)
+    up = lambda a: F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    # a path that ends in a dot part is a folder
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.arrays_overlap(parts, F.array(F.lit("."), F.lit(".."))), F.concat(site, F.array_join(kept, "/"), query)).otherwise(url)
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(src, dst)`` from canonical links and refreshes in the markup of ``pages``."""
-    page = pages.where(F.col(html).rlike("(?i)canonical|http-equiv") & F.col(url).contains("://")).select(_node(F.col(url)).alias("src"), F.col(html).alias("h"))
-    tag = F.regexp_extract("h", r"""(?is)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>""", 0)
-    canonical = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    meta = F.regexp_extract("h", r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    link = page.select("src", F.explode(F.array(canonical, refresh)).alias("to")).where("to <> ''").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
+    page = pages.where(F.col(html).rlike("(?i)canonical|http-equiv") & F.col(url).contains("://")).select(F.regexp_replace(F.col(url), r"(?s)#.*$", "").alias("src"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "").alias("h"))
+    tag = F.explode(F.expr(r"""regexp_extract_all(h, r'(?is)<(?:link|meta)\b[^>]*>', 0)"""))
+    tags = page.select("src", tag.alias("tag"))
+    canonical = F.when(F.col("tag").rlike(r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1))
+    refresh = F.when(F.col("tag").rlike(r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
+    link = tags.select("src", F.coalesce(canonical, refresh).alias("to")).where("to <> ''").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
     scheme, site = F.regexp_extract("src", r"(?s)^(.*?):", 1), F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     to = F.col("to")
-    whole = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), to))
-    return link.select("src", _node(whole).alias("dst"))
+    whole = F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to)).when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), to))
+    return link.select(_node(F.col("src")).alias("src"), _node(_without_dots(whole)).alias("dst"))
 
 
 def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with a vantage-point tree per shard.
 
-Vectors are dealt to shards by a hash of their id, about ``shard_rows`` each. Every shard's task builds one tree: a node
+Vectors are dealt to shards by a hash of their id and components, about ``shard_rows`` each. Every shard's task builds one tree: a node
 holds a vantage point, the median distance ``mu`` of its points to it, and an inner and an outer half (split by rank, so
 equal vectors can't unbalance it). Trees are kept as rows (arrays in one binary), written once, and met by blocks of at most
 ``query_rows`` queries. A search visits the nearer half first and skips a half when the triangle inequality, relaxed by
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 LEAF = 48
+#: Blocks of queries that one task takes to a tree.
+TASK_BLOCKS = 16
 
 
 def _vantage(vectors: np.ndarray, points: np.ndarray, rng: np.random.Generator, tries: int = 12, sample: int = 96) -> int:
@@ -158,13 +160,16 @@ def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.18, s
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, blocks = -(-n // shard_rows), max(1, -(-valid.where(is_query).count() // query_rows))
-    dealt = valid.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = valid.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
     trees = stash(dealt.groupBy("shard").applyInPandas(_pack_shard(dims), "shard int, n long, ids binary, vectors binary, nodes binary"), "trees")
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), F.lit(blocks)).cast("int")
     packs = valid.where(is_query).withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    # each block of queries goes to each shard: a stated query set against all rows, in blocks
-    sent = packs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "queries")
-    met = trees.repartition(shards * blocks, "shard").join(sent, "shard").select("ids", "vectors", "nodes", "queries")
+    # each block of queries goes to each shard: a stated query set against all rows, in blocks. A tree goes to a few tasks, each of
+    # which takes up to ``TASK_BLOCKS`` blocks
+    ways = max(min(blocks, 4), -(-blocks // TASK_BLOCKS))
+    sent = packs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("block", F.lit(ways)).alias("way"), "queries")
+    split = trees.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    met = split.repartition(shards * ways, "shard", "way").join(sent, ["shard", "way"]).select("ids", "vectors", "nodes", "queries")
     found = met.mapInArrow(_search(dims, k, factor), schema)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

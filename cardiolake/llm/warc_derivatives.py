@@ -4,17 +4,19 @@ Every response gives one ``metadata`` record and, if its payload is HTML or plai
 ``WARC-Refers-To`` (the response's record id), ``WARC-Refers-To-Target-URI`` and ``WARC-Refers-To-Date``, the target URI and
 the date of the response. The metadata block is ``application/warc-fields``: the HTTP status and each source header, the
 source's content type, the payload digest, and the id of the conversion record. The conversion block is the visible text
-(``html_text``) or the text itself. Digests are ``sha1:`` with base 32, over the block (``WARC-Block-Digest``) and over the
-source's payload (``source_payload_digest``; an incoming digest is kept, and marked if it doesn't fit the payload). Record
+(``html_text``) or the text itself, of the body after its transfer coding (chunked) and content coding (gzip, deflate) are undone. Digests are ``sha1:`` with base 32, over the block (``WARC-Block-Digest``) and over the
+source's payload (``source_payload_digest``, in written records ``WARC-Refers-To-Payload-Digest``; an incoming digest is kept, and
+marked if it fits neither the payload as stored nor the one without its transfer coding). Record
 ids are name-based UUIDs of the source id and the record type, so reruns and retried tasks give the same ids.
 
 ``serialize`` gives the records as WARC/1.1 bytes; ``write_warc`` writes gzip members to files in the shared folder and
 returns the manifest; ``parse_warc`` reads such bytes back.
 
 Defined cases: null payload or empty payload gives only the metadata record (payload length 0); a null record id is replaced
-by a name-based one of the target URI and payload digest; a null target URI is left out of the headers; unknown content types
-and codings give only metadata; bytes that aren't valid in the declared charset are replaced; repeated rows give repeated
-records; further columns are not read; an empty table gives an empty result.
+by a name-based one of the target URI and payload digest; a null target URI is left out of the headers; a null date is written as
+``NO_DATE``, since records must have one; unknown content types and codings give only metadata; bodies that break their coding are
+taken as far as they can be read; bytes that aren't valid in the declared charset are replaced; very long payloads are converted
+whole; repeated rows give repeated records; further columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +38,9 @@ from .common import new_path, stash
 from .html_text import to_text
 
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
+_CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
+#: The date of records whose source has none.
+NO_DATE = "1970-01-01T00:00:00Z"
 _LINE = re.compile(r"[\r\n]+[ \t]*")
 SCHEMA = "source_key string, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, digest_matches boolean, block binary"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -66,6 +72,38 @@ def _decode(payload: bytes, content_type: str) -> str:
         return payload.decode("utf-8", "replace")
 
 
+def dechunk(body: bytes) -> bytes:
+    """A chunked body's data, up to the last chunk or to where the coding breaks; a body that isn't chunked at all as it is."""
+    out, at = [], 0
+    while m := _CHUNK.match(body, at):
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(out)
+        out.append(body[m.end() : m.end() + n])
+        at = m.end() + n
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return b"".join(out) if out else body
+
+
+def uncompress(body: bytes, coding: str) -> bytes | None:
+    """A body without its content coding, as far as it can be read; null if the coding isn't known."""
+    for name in reversed([x.strip() for x in coding.lower().split(",") if x.strip() not in ("", "identity")]):
+        if name not in ("gzip", "x-gzip", "deflate"):
+            return None
+        # deflate comes with and without the zlib head
+        raw = name == "deflate" and not (len(body) > 1 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0)
+        out = []
+        while body:
+            stream = zlib.decompressobj(-15 if raw else 47)
+            try:
+                out.append(stream.decompress(body))
+            except zlib.error:
+                break
+            body = stream.unused_data if name != "deflate" else b""
+        body = b"".join(out)
+    return body
+
+
 def derive(key: str | None, record_id: str | None, uri: str | None, date: str | None, given: str | None, block: bytes | None) -> Iterator[tuple]:
     """The records of one response, as rows of ``SCHEMA``."""
     status, headers, payload = http_message(block or b"")
@@ -73,20 +111,22 @@ def derive(key: str | None, record_id: str | None, uri: str | None, date: str |
     kind = header.get("content-type", "")
     found = digest(payload)
     source = record_id or _id("response", uri or "", found)
+    data = dechunk(payload) if "chunked" in header.get("transfer-encoding", "").lower() else payload
+    body = uncompress(data, header.get("content-encoding", "")) if payload else None
     text = None
-    if payload and header.get("content-encoding", "identity").lower() in ("", "identity"):
+    if body is not None:
         if "html" in kind.lower():
-            text = to_text(_decode(payload, kind))
+            text = to_text(_decode(body, kind))
         elif kind.lower().startswith("text/plain"):
-            text = _decode(payload, kind)
+            text = _decode(body, kind)
     conversion = _id(source, "conversion") if text is not None else None
     fields = [("http-status-line", status), *((f"http-header-{k.lower()}", v) for k, v in headers), ("source-payload-digest", given or found), ("source-payload-length", str(len(payload)))]
-    if given and given != found:
+    fits = given in (found, digest(data)) if given else None
+    if fits is False:
         fields.append(("source-payload-digest-computed", found))
     if conversion:
         fields.append(("conversion-record-id", conversion))
     body = "".join(f"{k}: {_LINE.sub(' ', v)}\r\n" for k, v in fields).encode()
-    fits = found == given if given else None
     yield key, "metadata", _id(source, "metadata"), source, uri, date, "application/warc-fields", len(body), digest(body), given or found, fits, body
     if conversion:
         body = text.encode("utf-8", "replace")
@@ -125,7 +165,7 @@ def responses_of_pages(pages: DataFrame, date: Column | None = None) -> DataFram
 
 def serialize(row: dict) -> bytes:
     """One WARC/1.1 record."""
-    heads = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["warc_date"]), ("WARC-Target-URI", row["target_uri"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Refers-To-Target-URI", row["target_uri"]), ("WARC-Refers-To-Date", row["warc_date"]), ("WARC-Block-Digest", row["block_digest"]), ("Content-Type", row["content_type"]), ("Content-Length", str(row["content_length"]))]
+    heads = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", row["warc_date"] or NO_DATE), ("WARC-Target-URI", row["target_uri"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Refers-To-Target-URI", row["target_uri"]), ("WARC-Refers-To-Date", row["warc_date"]), ("WARC-Refers-To-Payload-Digest", row["source_payload_digest"]), ("WARC-Block-Digest", row["block_digest"]), ("Content-Type", row["content_type"]), ("Content-Length", str(row["content_length"]))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {_LINE.sub(' ', v)}\r\n" for k, v in heads if v is not None).encode() + b"\r\n" + bytes(row["block"]) + b"\r\n\r\n"
 
 

@@ -127,6 +127,23 @@ def test_jaccard_repeated_and_null_ids(spark):
     assert got == sorted([(10, 61, 10), (11, 47, 11), (11, 61, 10), (12, 6, 12), (-1, 6, 12), (-1, 61, 10), (-1, 1, -1), (13, 0, 13)])
 
 
+def test_one_of_each_counts_rows_not_ids(spark):
+    base = " ".join(f"w{i}" for i in range(64))
+    rows = [(10, base), (11, base + " more"), (11, "quite another text of its own"), (11, base + " more"), (None, base), (None, "no id and no copy of it"), (12, ""), (12, None), (13, "twice here the same"), (13, "twice here the same"), (3, "one two three four five six seven eight nine"), (None, "one two three four five six seven eight nine")]
+    df = spark.createDataFrame([(a, b, i, "x") for i, (a, b) in enumerate(rows)], "doc_id long, text string, n_shingles int, component_id string").repartition(3)
+    got = jaccard_join.one_of_each(df)
+    assert got.columns == df.columns
+    want = [0, 2, 5, 6, 7, 8, 10]
+    assert sorted(8 if r["n_shingles"] == 9 else r["n_shingles"] for r in got.collect()) == want
+
+
+def test_mixed_documents_counts_rows_not_ids(spark):
+    rows = [(1, "a b c d", "s"), (1, "e f", "s"), (None, "g h i", "s"), (None, None, "s"), (2, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(r["text"] for r in mixing.mixed_documents(df, ratio=2.0).collect())
+    assert got == {"a b c d": 2, "e f": 2, "g h i": 2, None: 1, "": 1}
+
+
 def test_jaccard_does_not_link_words_of_a_kind(spark):
     """Thue-Morse words collide under polynomials modulo a power of two."""
     for n in (64, 1024, 4096):

@@ -3,6 +3,7 @@
 import gzip
 import math
 import re
+import zlib
 from html import unescape
 
 import numpy as np
@@ -56,6 +57,16 @@ def test_default_factor_reaches_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_repeated_vector_ids_are_candidates_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(5, [float(x) for x in rng.normal(size=4)]) for _ in range(120)] + [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(vp_tree.nearest(df, "vec_id = 110", factor=1.0, shard_rows=20, query_rows=1))
+    a = dict(rows)[110]
+    want = sorted((math.dist(a, b), i) for i, b in rows if i != 110)[:10]
+    assert [(i, pytest.approx(d)) for d, i in want] == got[110]
+
+
 def test_vector_ties_and_invalid_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, float(i // 50)]) for i in range(200)] + [(200, None), (201, [0.0, 0.0]), (202, [nan, 1.0]), (203, [inf, 1.0]), (204, [None, 1.0]), (205, [1.0]), (None, [1.0, 1.0])]
@@ -262,6 +273,51 @@ def test_block_decisions_reach_aliases(spark):
     assert got[3][2] == "com/"
 
 
+def test_aliases_equal_brute_force_components(spark):
+    """A random graph of links of all kinds; a union-find over normal urls decides."""
+    rng = np.random.default_rng(4)
+    names = [f"http://{h}/{'abcde'[i % 5]}/{i}" for i, h in enumerate(rng.choice(["q.org", "r.org", "s.com", "t.org"], 120))] + ["http://x.net/fr/1", "http://www.example.com/en/2", "http://example.com/en/3", "http://y.net/es/"]
+    parent = {u: u for u in names}
+
+    def find(u):
+        while parent[u] != u:
+            u = parent[u]
+        return u
+
+    pages, redirects = [], []
+    for u in names[:120]:
+        markup = "<p>text"
+        if rng.random() < 0.75:
+            v = names[rng.integers(0, len(names))]
+            host, path = v[7:].split("/", 1)
+            same = u[7:].split("/", 1)[0] == host
+            to = [v, v.replace(host, host.upper()), f"//{host}/{path}", f"/{path}" if same else v, f"../../zz/./../{path}" if same else v, v + "#part"][rng.integers(0, 6)]
+            kind = rng.integers(0, 4)
+            if kind == 0:
+                redirects.append((u.replace("http://", "HTTP://"), v))
+            else:
+                markup = [f"<!-- <link rel=canonical href=http://x.net/fr/1> --><link rel='canonical' href='{to}'>", f'<META HTTP-EQUIV="refresh" content="0;url={to}">', f"<link rel=stylesheet href=http://x.net/fr/1><link href=\"{to}\" rel=canonical>"][kind - 1]
+            parent[find(u)] = find(v)
+        pages.append((u, markup))
+    pages += [(u, None) for u in names[120:]] + [(names[0] + "#x", None), ("http://x.net", '<link rel=canonical href="http://q.org/q">'), ("http://x.net/", None)]
+    got = verdicts(spark, pages, redirects)
+
+    def own(u):
+        host, path = (u[7:].split("#")[0].split("/", 1) + [""])[:2]
+        fit = [(len(h + p), v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fit)[1] if fit else None
+
+    blocked = {find(u) for u in names if own(u) == "block"}
+    for i, (u, _) in enumerate(pages[: len(names) + 1]):
+        assert got[i][3] == (own(u) or ("block" if find(u.split("#")[0]) in blocked else "allow")), u
+    assert {got[i][3] for i in range(120)} == {"allow", "block"}
+
+
+def test_very_long_urls(spark):
+    long = "http://x.net/es/" + "a/" * 50_000
+    assert verdicts(spark, [(long, f'<link rel="canonical" href="http://q.org/{"b" * 50_000}">'), ("http://q.org/" + "b" * 50_000, None)])[1][3] == "block"
+
+
 def test_url_filters_of_nothing_and_repeats(spark):
     assert verdicts(spark, []) == {}
     df = spark.createDataFrame([(1, "http://x.net/es/", None)] * 3, "page_id long, url string, html string")
@@ -303,6 +359,39 @@ def test_warc_derivatives_link_and_round_trip(spark):
         assert block == bytes(want[k]["block"]) and heads["WARC-Block-Digest"] == warc_derivatives.digest(block) and heads["WARC-Refers-To"] == want[k]["refers_to"]
 
 
+@pytest.mark.parametrize(
+    "heads, body, text",
+    [
+        ("Transfer-Encoding: chunked", b"5\r\n<p>he\r\n3;x=y\r\nllo\r\n0\r\n\r\n", "hello"),
+        ("Transfer-Encoding: Chunked", b"5\r\n<p>he\r\nff\r\ncut off", "hecut off"),
+        ("Transfer-Encoding: chunked", b"<p>not chunked", "not chunked"),
+        ("Content-Encoding: gzip", gzip.compress(b"<p>a &amp; b"), "a & b"),
+        ("Content-Encoding: gzip\r\nTransfer-Encoding: chunked", b"%x\r\n%s\r\n0\r\n\r\n" % (len(gzip.compress(b"<p>both")), gzip.compress(b"<p>both")), "both"),
+        ("Content-Encoding: deflate", zlib.compress(b"<p>zlib"), "zlib"),
+        ("Content-Encoding: deflate", zlib.compress(b"<p>raw")[2:-4], "raw"),
+        ("Content-Encoding: gzip", b"broken", ""),
+        ("Content-Encoding: br", b"unknown", None),
+        ("X: y", b"<p>" + b"word " * 200_000, "word " * 199_999 + "word"),
+    ],
+)
+def test_warc_bodies_lose_their_codings(heads, body, text):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + heads.encode() + b"\r\n\r\n" + body
+    got = list(warc_derivatives.derive("k", None, "http://a/", None, None, block))
+    assert [r[1] for r in got] == ["metadata", "conversion"][: 1 + (text is not None)]
+    if text is not None:
+        assert got[1][-1].decode() == text
+    record = warc_derivatives.serialize(dict(zip(warc_derivatives._NAMES, got[-1])))
+    (heads, _), = warc_derivatives.parse_warc(record)
+    assert heads["WARC-Date"] == warc_derivatives.NO_DATE and heads["WARC-Refers-To-Payload-Digest"] == warc_derivatives.digest(body)
+
+
+def test_warc_digest_of_the_body_without_chunks(spark):
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Type: text/plain\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    rows = [("k", None, "http://a/", None, warc_derivatives.digest(b"abc"), block, 1, "x")]
+    df = spark.createDataFrame(rows, "source_key string, record_id string, target_uri string, warc_date string, payload_digest string, block binary, content_length int, record_type string")
+    assert [(r["digest_matches"], bytes(r["block"])) for r in warc_derivatives.build_derivatives(df).where("record_type = 'conversion'").collect()] == [(True, b"abc")]
+
+
 def test_warc_query(spark):
     rows = queries.op7_warc_derivatives(spark, DATA)
     n = spark.read.parquet(f"{DATA}/pages.parquet").count()
