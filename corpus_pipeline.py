@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardiolake.llm import decontaminate, language_id, mixing, token_output
-from cardiolake.llm.common import join_wide, small_batches, stash
-from cardiolake.llm.jaccard_join import jaccard_components
+from cardiolake.llm.common import small_batches, stash
+from cardiolake.llm.jaccard_join import one_of_each
+
+
+def small_docs(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    small_batches(spark)
+    return docs
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; ``lang`` becomes the predicted one."""
+    """Documents whose text has a learned language; ``lang`` becomes the predicted one. Null texts, texts without a letter and
+    those rejected go; null ids, repeated rows and other columns are passed on; without training rows nothing stays."""
     small_batches(spark)
     model = language_id.fit(docs, "crc32(cast(doc_id AS string)) % 4 <> 2")
     judged = language_id.predict(docs, model, docs.columns)
@@ -25,26 +31,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group that five-word shingles link at a similarity of 0.8; documents without
-    words or ids stay."""
-    small_batches(spark)
-    more = stash(jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return join_wide(docs, more, "doc_id", "left_anti").select(*docs.columns)
+    """One document (that with the smallest id) of each group that five-word shingles link at a similarity of 0.8; rows without
+    words stay, rows that repeat an id or have none count by their own texts; an empty table stays empty."""
+    return one_of_each(small_docs(spark, docs))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without a passage of ``benchmark``. Each row counts by its own text: null and empty texts stay, as do all rows
+    when the benchmark is empty; other columns are passed on."""
+    return decontaminate.clean(small_docs(spark, docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them (0 to 2 times). Rows without words stay once; a null source is a
+    source of its own; rows that repeat an id are taken apart; an empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` read back from the written token files."""
-    small_batches(spark)
-    return token_output.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    """``(doc_id, start, n_tokens, ids_crc32)`` read back from the written token files. Null texts are empty and have the end id
+    alone; null ids come first; rows that repeat an id are documents of their own; an empty table gives an empty result."""
+    return token_output.encode_documents(small_docs(spark, docs), public_tokenizers.path("byte_bpe_50k.json"), end=2)
 
 
 STAGES = [
