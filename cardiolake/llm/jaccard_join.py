@@ -18,8 +18,8 @@ work, each step a Spark job over all rows:
    and takes no part in what follows. This is a bound, so no link is lost.
 3. ``signatures``: packed per block of text, one row per (block, hash range); a subset that several sets of a block
    share leaves the block once. Reducers keep only subsets that occur at least twice.
-4. star edges from each bucket's smallest class to its members are verified; connected components follow. Parities (whether
-   each of 2 to 4 hash buckets per element holds an odd number of elements) bound the difference of two sets from below, so
+4. star edges from each bucket's smallest and largest class to its members are verified; connected components follow. Parities (whether
+   each of 8 to 16 hash buckets per element holds an odd number of elements) bound the difference of two sets from below, so
    what is far apart ends there; all other pairs are verified on the whole sets.
 5. Only buckets that still hold several components are compared further, and only between components; parities and the
    distances to the bucket's pivot (Jaccard distance is a metric) prune those pairs inside the task, so that only pairs at or
@@ -128,9 +128,9 @@ class Plan:
 
 
 def _parities(s: np.ndarray) -> bytes:
-    """Whether each of 512 hash buckets, or 2 to 4 per element, holds an odd number of elements: sets differ at least where
-    these do. The upper half of the buckets folds onto the lower one, so sets of other widths can be compared."""
-    bits = min(max(9, (2 * len(s) - 1).bit_length()), 20)
+    """Whether each of 512 hash buckets, or 8 to 16 per element, holds an odd number of elements: sets differ at least where
+    these do, and by little more. The upper half of the buckets folds onto the lower one, so sets of other widths can be compared."""
+    bits = min(max(9, (8 * len(s) - 1).bit_length()), 20)
     odd = np.bincount(((s >> U(40)) & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -503,12 +503,13 @@ def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows:
     members = tmp(within.union(across).join(some, "class").select("sig", F.col("class").alias("id"), "size"), "members")
     tmp.drop(raw)
 
-    pivots = members.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("size", "id").alias("pivot_size"), F.max("id").alias("top")).where("top > pivot").drop("top")
-    star = tmp(members.join(pivots, "sig").select("sig", "id", "size", "pivot", "pivot_size"), "stars")
+    pivots = members.groupBy("sig").agg(F.min("id").alias("pivot"), F.min_by("size", "id").alias("pivot_size"), F.max("id").alias("top"), F.max_by("size", "id").alias("top_size")).where("top > pivot")
+    star = tmp(members.join(pivots, "sig").select("sig", "id", "size", "pivot", "pivot_size", "top", "top_size"), "stars")
     tmp.drop(members)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    pairs = star.where(F.col("id") != F.col("pivot")).where(fits(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = job.verify(pairs)
+    low = star.where("id <> pivot").where(fits(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    high = star.where("id <> top").where(fits(F.col("size"), F.col("top_size"))).select(F.col("id").alias("a"), F.col("top").alias("b"))
+    first = job.verify(low.union(high).distinct())
     edges = first.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     label = tmp.keep(connected_components(edges))
 
