@@ -39,14 +39,20 @@ STREAM = EVENTS + """, st AS (SELECT event_id, epoch_utc, value AS pr_bpm, value
 # round half to even at one decimal, as the stream's merge does
 EVEN = lambda x: f"(CASE WHEN abs({x} * 10 - floor({x} * 10) - 0.5) < 1e-9 THEN 2 * round({x} * 5) / 10 ELSE round({x}, 1) END)"
 MERGED = STREAM + f""", me AS (SELECT epoch_utc, round_even(avg(pr_bpm), 1) AS pr_bpm, round_even(avg(rr_bpm), 1) AS rr_bpm, round_even(avg(pi), 1) AS pi, arg_min(session, event_id) AS session FROM st GROUP BY epoch_utc)"""
-GRID = """w AS (SELECT i AS window_index, 1 + i AS start_frame, 7 + i AS end_frame, CAST(1704067200 + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(1704067200 + (7 + i) * 3600 AS DOUBLE) AS end_epoch FROM range(0, 714) t(i))"""
-GATED = MERGED + ", " + GRID + """, g AS (
+
+
+def gated(hours: int = 6) -> str:
+    """CTEs of sliding windows of some hours, a hop of one hour, with the gated reference."""
+    return MERGED + f""", w AS (SELECT i AS window_index, 1 + i AS start_frame, {1 + hours} + i AS end_frame, CAST(1704067200 + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(1704067200 + ({1 + hours} + i) * 3600 AS DOUBLE) AS end_epoch FROM range(0, {720 - hours}) t(i)), g AS (
   SELECT window_index, start_epoch, coalesce(avg(pr_bpm) FILTER (WHERE pi >= 0.5), avg(pr_bpm)) AS pr_bpm_mean, coalesce(stddev_pop(pr_bpm) FILTER (WHERE pi >= 0.5), stddev_pop(pr_bpm)) AS pr_bpm_std,
          avg(rr_bpm) AS rr_bpm_mean, count(epoch_utc) AS n_total, count(*) FILTER (WHERE pi >= 0.5) AS n_good_pi, count(*) FILTER (WHERE pi >= 0.5) < 0.8 * count(epoch_utc) AS low_quality
   FROM w LEFT JOIN me ON epoch_utc >= start_epoch AND epoch_utc < end_epoch GROUP BY ALL)"""
+
+
+GATED = gated()
 PAIRS = EVENTS + """, cw AS (SELECT c AS center_frame, n AS condition, 1704067200 + (c - h / 2) * 3600 AS s, 1704067200 + (c + h / 2) * 3600 AS e FROM range(12, 709) t(c), (VALUES ('6h', 6), ('12h', 12), ('24h', 24)) l(n, h)),
-pa AS (SELECT condition, center_frame, 'cap' || CAST((center_frame // 24) % 3 AS VARCHAR) AS capture, avg(value) FILTER (WHERE user_id % 16 = 0 AND event_type = 'click') AS radar_hr, avg(value) FILTER (WHERE event_type = 'view') AS reference_pr,
-       count(*) FILTER (WHERE user_id % 16 = 0 AND event_type = 'click') >= 2 AS ahet_verified
+pa AS (SELECT condition, center_frame, 'cap' || CAST((center_frame // 24) % 3 AS VARCHAR) AS capture, avg(value) FILTER (WHERE event_type = 'click') AS radar_hr, avg(value) FILTER (WHERE event_type = 'view') AS reference_pr,
+       count(*) FILTER (WHERE event_type = 'click') >= 2 AS ahet_verified
   FROM cw LEFT JOIN ev ON epoch_utc >= s AND epoch_utc < e GROUP BY ALL),
 er AS (SELECT *, radar_hr - reference_pr AS err FROM pa),
 cc AS (SELECT center_frame FROM er GROUP BY 1 HAVING count(err) = 3),
@@ -123,19 +129,23 @@ def reference_summary(spark, sf_dir):
     return reference.reference_summary(views.stream(spark, sf_dir), "event_id", 0.5, 100.0)
 
 
-def _estimates(spark, sf_dir) -> DataFrame:
+def _estimates(spark, sf_dir, hours: int = 6) -> DataFrame:
     """Windows with an estimate (mean of one event type) joined to the gated reference."""
-    w = views.hour_windows(spark)
-    e = views.events(spark, sf_dir).where("event_type = 'click' AND user_id % 8 = 0").select("epoch_utc", "value")
+    w = views.hour_windows(spark, hours)
+    e = views.events(spark, sf_dir).where("event_type = 'click'").select("epoch_utc", "value")
     hr = reference.interval_join(w, e, 3600).groupBy("window_index", "start_frame", "end_frame").agg(F.avg("value").alias("hr_bpm"), F.count("value").alias("n_click"))
     ref = reference.window_reference(w, views.merged(spark, sf_dir), ["window_index"], 3600)
     return compare.compare(hr, ref, ["window_index"]).withColumn("ahet_verified", F.col("n_click") >= 2)
 
 
-ESTIMATES = GATED + """, hr AS (SELECT window_index, start_frame, end_frame, avg(value) AS hr_bpm, count(value) AS n_click FROM w LEFT JOIN (SELECT * FROM ev WHERE event_type = 'click' AND user_id % 8 = 0) x ON epoch_utc >= start_epoch AND epoch_utc < end_epoch GROUP BY ALL),
+def estimates(hours: int = 6) -> str:
+    return gated(hours) + """, hr AS (SELECT window_index, start_frame, end_frame, avg(value) AS hr_bpm, count(value) AS n_click FROM w LEFT JOIN (SELECT * FROM ev WHERE event_type = 'click') x ON epoch_utc >= start_epoch AND epoch_utc < end_epoch GROUP BY ALL),
 es AS (SELECT hr.*, pr_bpm_mean, low_quality, hr_bpm - pr_bpm_mean AS error_bpm, abs(hr_bpm - pr_bpm_mean) AS abs_error_bpm, n_click >= 2 AS ahet_verified FROM hr JOIN g USING (window_index))"""
 
 
+ESTIMATES = estimates()
+
+
 @query(S(ESTIMATES, "SELECT window_index // 24 AS day, count(hr_bpm) AS n_windows, count(*) - count(hr_bpm) AS n_nan_windows, " + METRICS.format(e="error_bpm") + " FROM es GROUP BY 1 HAVING count(hr_bpm) > 0"))
 def window_accuracy_metrics(spark, sf_dir):
     return compare.accuracy(_estimates(spark, sf_dir).withColumn("day", F.expr("cast(window_index div 24 AS bigint)")), "day", drop_low_quality=False)
@@ -164,10 +174,12 @@ def flagged_windows(spark, sf_dir):
     return got.withColumn("windows", F.array_join(F.col("windows").cast("array<string>"), ","))
 
 
-@query(S(ESTIMATES + ", b AS (SELECT (start_frame + end_frame) // 2 AS center_frame, error_bpm AS e FROM es WHERE window_index % 2 = 0), c AS (SELECT (start_frame + end_frame) // 2 AS center_frame, error_bpm AS e FROM es WHERE window_index % 3 = 0)", "SELECT center_frame, round(b.e, 6) AS error_a, round(c.e, 6) AS error_b FROM b JOIN c USING (center_frame)"))
+CENTERS = [S(estimates(h), f"SELECT (start_frame + end_frame) // 2 AS center_frame, error_bpm AS {c} FROM es") for h, c in ((6, "a"), (12, "b"))]
+
+
+@query(f"SELECT center_frame, round(a, 6) AS error_a, round(b, 6) AS error_b FROM ({CENTERS[0]}) JOIN ({CENTERS[1]}) USING (center_frame)")
 def aligned_centers(spark, sf_dir):
-    d = _estimates(spark, sf_dir)
-    return compare.align_centers(d.where("window_index % 2 = 0"), d.where("window_index % 3 = 0"), ("a", "b"))
+    return compare.align_centers(_estimates(spark, sf_dir), _estimates(spark, sf_dir, 12), ("a", "b"))
 
 
 @query(S(ESTIMATES, "SELECT window_index, '{\"window_index\":' || window_index || ',\"low_quality\":' || low_quality || ',\"n_click\":' || n_click || ',\"ratio\":' || CASE WHEN n_click = 0 THEN 'null' ELSE CAST(n_click AS VARCHAR) || '.0' END || '}' AS json FROM es"))
@@ -281,9 +293,9 @@ def k_max_histogram(spark, sf_dir):
     return _rates(spark, sf_dir).groupBy("k_max").agg(F.count("*").alias("n"))
 
 
-@query(S(RATES, "SELECT c_custkey, k, round(k * f_r_hz * 60, 6) AS harmonic_bpm, k * f_r_hz * 60 BETWEEN 50 AND 100 AS in_band, k <= k_max AS suppressed FROM rk, range(1, 9) t(k) WHERE k <= k_max + 2 AND c_custkey % 7 = 3"))
+@query(S(RATES, "SELECT c_custkey, k, round(k * f_r_hz * 60, 6) AS harmonic_bpm, k * f_r_hz * 60 BETWEEN 50 AND 100 AS in_band, k <= k_max AS suppressed FROM rk, range(1, 9) t(k) WHERE k <= k_max + 2"))
 def suppressed_harmonics(spark, sf_dir):
-    return study.suppressed_harmonics(_rates(spark, sf_dir).where("c_custkey % 7 = 3")).select("c_custkey", "k", "harmonic_bpm", "in_band", "suppressed")
+    return study.suppressed_harmonics(_rates(spark, sf_dir)).select("c_custkey", "k", "harmonic_bpm", "in_band", "suppressed")
 
 
 @query(S(RATES, "SELECT n_name, CAST(k AS INTEGER) AS k, count(*) AS n, count(*) FILTER (WHERE k * f_r_hz * 60 BETWEEN 50 AND 100) AS n_in_band, count(*) FILTER (WHERE abs(k * f_r_hz * 60 - pr_bpm_mean) < 5) AS n_near_reference FROM ra, range(2, 7) t(k) GROUP BY 1, 2"))

@@ -43,13 +43,13 @@ def hour_windows(spark: SparkSession, hours: int = 6) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per condition and center: an estimate from a sparse part of the events, the reference from another, and a mark."""
+    """Per condition and center: an estimate from one type of events, the reference from another, and a mark."""
     grid = windows.common_center_grid(session(spark), list(LENGTHS.values()), 1, 12, 0)
     names = F.create_map(*[F.lit(x) for n, h in LENGTHS.items() for x in (h, n)])
     w = windows.with_epochs(grid, F.lit(float(START)), 1 / 3600).withColumn("condition", names[F.col("window_frames")])
-    e = events(spark, sf_dir).select("epoch_utc", "event_type", "user_id", "value")
+    e = events(spark, sf_dir).select("epoch_utc", "event_type", "value")
     j = reference.interval_join(w, e, 3600)
-    radar = (F.col("user_id") % 16 == 0) & (F.col("event_type") == "click")
+    radar = F.col("event_type") == "click"
     got = j.groupBy("condition", "center_frame").agg(F.avg(F.when(radar, F.col("value"))).alias("radar_hr"), F.avg(F.when(F.col("event_type") == "view", F.col("value"))).alias("reference_pr"), (F.count_if(radar) >= 2).alias("ahet_verified"))
     return got.withColumn("capture", F.concat(F.lit("cap"), F.expr("center_frame div 24 % 3").cast("string")))
 
