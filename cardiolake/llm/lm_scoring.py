@@ -12,8 +12,7 @@ until the next word has an arc, and adds up the weights.
 
 The model never sits in one process. Texts are packed into blocks; a block asks for the counts of its distinct n-grams,
 grouped by hash range; each range sums the training counts and answers every block that asked; the answers meet the
-blocks again and make the part of the automaton that the block's texts can reach, a run of ``RUN`` tokens at a time (the state
-goes on from run to run). Work and traffic per task depend on block and range sizes only, whatever the corpus' size: a frequent
+blocks again and make the part of the automaton that the block's texts can reach. Work and traffic per task depend on block and range sizes only, whatever the corpus' size: a frequent
 n-gram is asked for once per block, and ranges are cut so that all of them hold about as many n-grams. Words are told apart by 64-bit
 hashes, longer n-grams by hashes of 48 bits, or 20 more than their number needs (fewer than one in a million meets another one).
 
@@ -38,8 +37,10 @@ from .common import Scratch, stash
 from .textkit import U, buffers, mix, pack, slices, unpack, word_hashes
 
 END = U(0x5851F42D4C957F2D)
-#: Tokens whose arcs are in memory at a time.
-RUN = 1 << 17
+#: Tokens whose arcs are Python numbers at a time.
+RUN = 1 << 16
+#: No arc (weights are logarithms of probabilities).
+NONE = 1.0
 
 
 def _blocks(block_bytes: int):
@@ -136,56 +137,56 @@ def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach. State 0 is the empty history, ``1 + i`` the block's word ``i``, and
-    ``1 + words + j`` its bigram ``j``; an arc's key is ``state * words + word``."""
+    """The states and arcs that a block's texts can reach, as arrays over the block's n-grams.
+
+    A state is a history: a bigram, a word or nothing. ``arc[n]`` has, per n-gram, the weight of the arc from the state of its
+    first ``n - 1`` words that reads its last word (``NONE`` without such an arc); ``fail[n]`` the weight of the failure arc of the state
+    that an n-gram is, to the state without its first word; ``after[n]`` the length of the history that the arc leads to."""
 
     def __init__(self, grams: Grams, counts: dict[int, np.ndarray], n: int, v: int, discount: float, priors: tuple[float, float]):
-        self.at, (self.c1, self.c2, self.c3) = grams.at, (counts[1], counts[2], counts[3])
-        self.words = len(self.c1)
-        word, pair = grams.at[1], grams.at[2]
-        at2, at3 = grams.where[2], grams.where[3]
-        self.last2, self.before2 = word[at2], word[at2 - 1]
-        self.last3, self.before3, self.inner3 = word[at3], pair[at3 - 1], pair[at3]
-        self.end = np.zeros(self.words, bool)
-        self.end[grams.values[1] == END] = True
-        p1 = np.where(self.c1 > 0, (self.c1 - discount) / n, discount * v / n)
-        p2 = (self.c2 + priors[0] * p1[self.last2]) / (self.c1[self.before2] + priors[0])
-        p3 = (self.c3 + priors[1] * p2[self.inner3]) / (self.c2[self.before3] + priors[1])
-        self.w1, self.w2, self.w3 = np.log10(p1), np.log10(p2), np.log10(p3)
-        self.f1 = np.log10(priors[0] / (self.c1 + priors[0]))
-        self.f2 = np.log10(priors[1] / (self.c2 + priors[1]))
-
-    def run(self, a: int, b: int) -> tuple[dict[int, tuple[float, int]], dict[int, tuple[float, int]]]:
-        """Arcs (key -> weight, next state) and failure arcs (state -> weight, next state) for tokens ``a .. b``."""
-        base = 1 + self.words
-        one = np.unique(self.at[1][max(a - 1, 0) : b])
-        two, three = np.unique(self.at[2][max(a - 1, 0) : b]), np.unique(self.at[3][a:b])
-        known, two, three = one[self.c1[one] > 0], two[self.c2[two] > 0], three[self.c3[three] > 0]
-        open_ = two[~self.end[self.last2[two]]]
-        fail = dict(zip((1 + known).tolist(), zip(self.f1[known].tolist(), [0] * len(known))))
-        fail.update(zip((base + open_).tolist(), zip(self.f2[open_].tolist(), (1 + self.last2[open_]).tolist())))
-        arcs = dict(zip(one.tolist(), zip(self.w1[one].tolist(), np.where((self.c1[one] > 0) & ~self.end[one], 1 + one, 0).tolist())))
-        arcs.update(zip(((1 + self.before2[two]) * self.words + self.last2[two]).tolist(), zip(self.w2[two].tolist(), np.where(self.end[self.last2[two]], 0, base + two).tolist())))
-        next3 = np.where(self.end[self.last3[three]], 0, base + self.inner3[three])
-        arcs.update(zip(((base + self.before3[three]) * self.words + self.last3[three]).tolist(), zip(self.w3[three].tolist(), next3.tolist())))
-        return arcs, fail
+        c1, c2, c3 = counts[1], counts[2], counts[3]
+        self.at, word, pair, at2, at3 = grams.at, grams.at[1], grams.at[2], grams.where[2], grams.where[3]
+        p1 = np.where(c1 > 0, (c1 - discount) / n, discount * v / n)
+        p2 = (c2 + priors[0] * p1[word[at2]]) / (c1[word[at2 - 1]] + priors[0])
+        p3 = (c3 + priors[1] * p2[pair[at3]]) / (c2[pair[at3 - 1]] + priors[1])
+        self.arc = {1: np.log10(p1), 2: np.where(c2 > 0, np.log10(p2), NONE), 3: np.where(c3 > 0, np.log10(p3), NONE)}
+        self.fail = {1: np.log10(priors[0] / (c1 + priors[0])), 2: np.log10(priors[1] / (c2 + priors[1]))}
+        # the end has no history after it; an unknown word leads back to nothing
+        open_ = grams.values[1] != END
+        self.after = {1: ((c1 > 0) & open_).astype(np.int8), 2: np.where(open_[word[at2]], 2, 0).astype(np.int8)}
 
     def traverse(self, starts: np.ndarray) -> np.ndarray:
-        """Sum of the weights along each document's path."""
-        scores, total, state, doc, words = [], 0.0, 0, 1, self.words
+        """Sum of the weights along each document's path, from left to right; ``state`` is the length of the history."""
+        scores, total, state, doc = [], 0.0, 0, 1
         stops = starts.tolist()
         for a in range(0, stops[-1], RUN):
             b = min(a + RUN, stops[-1])
-            arcs, fail = self.run(a, b)
-            for t, word in enumerate(self.at[1][a:b].tolist(), a):
-                while (arc := arcs.get(state * words + word)) is None:
-                    weight, state = fail[state]
-                    total += weight
-                total += arc[0]
-                state = arc[1]
-                if t + 1 == stops[doc]:
+            one, two, three = (self.at[n][a:b] for n in (1, 2, 3))
+            before = [np.concatenate((x[a - 1 : a] if a else x[:1], x[a : b - 1])) for x in (self.at[1], self.at[2])]
+            steps = [x.tolist() for x in (self.arc[3][three], self.fail[2][before[1]], self.arc[2][two], self.after[2][two], self.fail[1][before[0]], self.arc[1][one], self.after[1][one])]
+            at = a
+            while at < b:
+                stop = min(stops[doc], b)
+                for three, fail2, two, after2, fail1, one, after1 in zip(*(x[at - a : stop - a] for x in steps)):
+                    if state == 2:
+                        if three <= 0:
+                            total += three
+                            state = after2
+                            continue
+                        total += fail2
+                        state = 1
+                    if state == 1:
+                        if two <= 0:
+                            total += two
+                            state = after2
+                            continue
+                        total += fail1
+                    total += one
+                    state = after1
+                if stop == stops[doc]:
                     scores.append(total)
                     total, state, doc = 0.0, 0, doc + 1
+                at = stop
         return np.array(scores)
 
 

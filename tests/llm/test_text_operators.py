@@ -354,21 +354,22 @@ def test_lm_automaton_equals_the_formulas(docs, monkeypatch):
 
 def test_lm_automaton_has_states_and_failure_arcs():
     words = {w: np.uint64(w * 7919 + 5) for w in range(1, 5)}
-    tokens = np.array([words[1], words[2], words[3], lm_scoring.END, words[1], words[2], words[4], lm_scoring.END, words[4], words[2], words[3], lm_scoring.END], np.uint64)
+    texts = [[1, 2, 3], [1, 2, 4], [4, 2, 3]]
+    tokens = np.array([words.get(w, lm_scoring.END) for t in texts for w in (*t, 0)], np.uint64)
     starts = np.array([0, 4, 8, 12])
     grams = lm_scoring.Grams(tokens, starts, 48)
-    counts = {k: np.bincount(grams.at[k], minlength=len(v)) * (v != 0) for k, v in grams.values.items()}
-    a = lm_scoring.Automaton(grams, counts, 12, 5, 0.5, (2.0, 1.0))
-    arcs, fail = a.run(0, 12)
-    # five words and the end; bigrams 12 23 24 42 (those with the end are no states); failure arcs lead from pair to word to nothing
-    assert len(fail) == 5 + 4 and sorted(x for _, x in fail.values())[:5] == [0] * 5
-    assert len(arcs) == 5 + 6 + 5
-    state, path = 0, []
-    for w in (1, 2, 3):
-        key = state * a.words + int(np.searchsorted(grams.values[1], words[w]))
-        state = arcs[key][1]
-        path.append(state)
-    assert 1 <= path[0] <= a.words < min(path[1:]) and fail[path[2]][1] == 1 + int(np.searchsorted(grams.values[1], words[3]))
+    # only the first two texts are counted, so "4 2" is no bigram, "4 2 3" no trigram
+    counts = {k: np.bincount(grams.at[k][:8], minlength=len(v)) * (v != 0) for k, v in grams.values.items()}
+    a = lm_scoring.Automaton(grams, counts, 8, 5, 0.5, (2.0, 1.0))
+    arcs = {k: int((a.arc[k] != lm_scoring.NONE).sum()) for k in a.arc}
+    assert arcs == {1: 5, 2: 5, 3: 4}
+    by = lambda k, t: grams.at[k][t]
+    w = lambda k, t: a.arc[k][by(k, t)]
+    got = a.traverse(starts)
+    assert math.isclose(got[0], w(1, 0) + w(2, 1) + w(3, 2) + w(3, 3))
+    # 4 from nothing; 2 by the failure arc of 4; 3 from the state 2; the end by failure arcs of "2 3", as it follows "1 2 3" it is counted
+    assert math.isclose(got[2], w(1, 8) + a.fail[1][by(1, 8)] + w(1, 9) + w(2, 10) + w(3, 11))
+    assert a.after[1][by(1, 3)] == 0 and a.after[2][by(2, 3)] == 0 and a.after[2][by(2, 1)] == 2
 
 
 def test_lm_words_of_a_kind_stay_apart(spark):
