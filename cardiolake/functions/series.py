@@ -58,22 +58,20 @@ def phase_delta_before_mean(df: DataFrame, re: str, im: str, out: str, keys: lis
 
 
 def rolling_median(df: DataFrame, column: str, out: str, keys: list[str], order: str, half: int) -> DataFrame:
-    """Median over ``half`` rows on each side; the ends are mirrored, edge rows included. ``order`` must be 0, 1, 2, ...
+    """Median over ``half`` rows on each side in the order of ``order``; the ends are mirrored, edge rows included.
 
-    A row stands for itself and for the mirrored places within ``half`` rows beyond either end."""
+    A row stands for itself and for the mirrored places within ``half`` rows beyond either end; it is carried along whole."""
     if half < 0:
         raise ValueError("half must not be negative")
-    size = F.count("*").over(Window.partitionBy(*keys))
-    df = df.withColumn("_n", size)
-    at = F.col(order)
+    df = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    at = F.col("_at")
     # index rule of the mirror: place p holds row m, m = pmod(p, 2n), folded back beyond n - 1; h beyond an end repeats
     turns = F.expr(f"sequence(-({half} div (2 * _n)) - 1, ({half} div (2 * _n)) + 1)")
     places = F.flatten(F.transform(turns, lambda t: F.array(at + 2 * t * F.col("_n"), 2 * t * F.col("_n") - 1 - at)))
     near = F.filter(places, lambda p: (p >= -half) & (p < F.col("_n") + half))
-    spread = df.select(*keys, F.col(column).alias("_v"), F.col("_n"), F.explode(near).alias("_p"))
     frame = Window.partitionBy(*keys).orderBy("_p").rowsBetween(-half, half)
-    got = spread.withColumn("_m", F.percentile("_v", F.lit(0.5)).over(frame)).where("_p >= 0 AND _p < _n")
-    return df.drop("_n").join(got.select(*keys, F.col("_p").alias(order), F.col("_m").alias(out)), [*keys, order])
+    got = df.withColumn("_p", F.explode(near)).withColumn(out, F.percentile(column, F.lit(0.5)).over(frame))
+    return got.where("_p = _at").drop("_n", "_at", "_p")
 
 
 def runs(df: DataFrame, flag: str, keys: list[str], order: str) -> DataFrame:

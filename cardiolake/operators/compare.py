@@ -85,3 +85,33 @@ def align_centers(left: DataFrame, right: DataFrame, suffixes: tuple[str, str])
     mid = F.expr("(start_frame + end_frame) div 2")
     a = left.select(mid.alias("center_frame"), F.col("error_bpm").alias(f"error_{suffixes[0]}"))
     return a.join(right.select(mid.alias("center_frame"), F.col("error_bpm").alias(f"error_{suffixes[1]}")), "center_frame")
+
+
+# the flat columns of window results (fixed names of the comparison files); arrays are left out
+FLAT = (
+    "start_epoch", "end_epoch", "hr_bpm", "rr_bpm", "chosen_range_m", "heart_spectrum_stage", "heart_peak_hz", "accepted_candidate_rank", "accepted_candidate_initial_hz", "accepted_candidate_refined_hz",
+    "accepted_second_harmonic_refined_hz", "schema_version", "window_index", "start_frame", "end_frame", "window_frames", "hop_frames", "frame_rate_hz", "range_bin", "range_m", "eca_applied",
+    "ahet_verified", "harmonic_suspect", "f_r_hz_used", "f_r_raw_hz", "f_r_outlier",
+)
+SHORT = ("start_epoch", "end_epoch", "hr_bpm", "window_index", "rr_bpm", "ahet_verified")
+
+
+def flat_windows(windows: DataFrame, hop_frames: int, bins: DataFrame | None = None, short: bool = False, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Window results as the flat columns of a comparison file, after ``keys``. ``bins(session_id, bin_idx, range_m)`` give the
+    session's range; what isn't known is null, ``harmonic_suspect`` false."""
+    if short:
+        return windows.select(*keys, *SHORT)
+    rows = windows.join(bins.select("session_id", F.col("bin_idx").alias("range_bin"), "range_m"), "session_id", "left") if bins is not None else windows
+    made = {
+        "window_frames": F.col("end_frame") - F.col("start_frame"), "hop_frames": F.lit(hop_frames), "schema_version": F.lit(1), "range_bin": F.lit(None).cast("int"), "range_m": F.lit(None).cast("double"),
+        "harmonic_suspect": F.lit(False), "f_r_hz_used": F.lit(None).cast("double"),
+    }
+    made = {k: v for k, v in made.items() if k not in rows.columns}
+    rows = rows.withColumns(made)
+    rows = rows.withColumns({"chosen_range_m": F.col("range_m"), "f_r_raw_hz": F.col("f_r_hz_used"), "harmonic_suspect": F.coalesce("harmonic_suspect", F.lit(False))})
+    return rows.select(*keys, *FLAT)
+
+
+def reference_names(rows: DataFrame) -> DataFrame:
+    """The reference stream under the names that summaries use."""
+    return rows.withColumnsRenamed({"epoch_utc": "epoch", "pr_bpm": "PR", "rr_bpm": "BR", "pi": "PI"})

@@ -51,7 +51,8 @@ def rx_imbalance(frames: DataFrame, options: dict) -> DataFrame:
 
 
 def _subject_bin(options: dict) -> Column:
-    return F.lit(int(options["bin"]))
+    """The configured bin, or else the column that ``resolve_bins`` made for the check."""
+    return F.lit(int(options["bin"])) if options.get("bin") is not None else F.col(options["bin_column"])
 
 
 def _with_rolling(frames: DataFrame, half: int) -> DataFrame:
@@ -64,6 +65,14 @@ def _with_energy(frames: DataFrame, options: dict) -> DataFrame:
     return frames if "subject_bin_energy" in frames.columns else frames.withColumn("subject_bin_energy", F.get("bin_energy", _subject_bin(options)))
 
 
+def energy_source(checks: dict[str, dict]) -> str | None:
+    """Which check's bin the shared ``subject_bin_energy`` has; checks that share it must have the same bin."""
+    users = [n for n in ("motion_spike", "subject_bin_dropout") if n in checks]
+    if len({checks[n].get("bin") for n in users}) > 1:
+        raise ValueError("motion_spike and subject_bin_dropout share one energy and need the same bin")
+    return users[0] if users else None
+
+
 @soft("motion_spike")
 def motion_spike(frames: DataFrame, options: dict) -> DataFrame:
     """Energy above ``factor`` times its rolling median."""
@@ -128,9 +137,37 @@ def resolve_bin(options_bin: int | None, manifest_bin: float | str | None, n_bin
     return (whole, None) if 0 <= whole < n_bins else (None, f"locked bin {whole} is out of range")
 
 
+#: Checks that look at the subject's bin; the phase check uses phasors of a bin that was chosen before.
+BIN_CHECKS = ("motion_spike", "subject_bin_dropout", "snr")
+
+
+def resolve_bins(sessions: DataFrame, checks: dict[str, dict]) -> DataFrame:
+    """For ``sessions(session_id, n_bins, locked_bin)``, per check that needs a bin: ``<check>_bin``, ``<check>_skipped`` and
+    ``<check>_skip_reason``. A configured bin wins and fails the job where it doesn't exist; one of the manifest may be missing,
+    no whole number, or out of range, and then the check is skipped for that session."""
+    locked = F.col("locked_bin").cast("string").try_cast("double")
+    whole = F.when(~F.isnan(locked) & (locked == F.floor(locked)) & (F.abs(locked) < 1e9), locked.cast("int"))
+    out = sessions
+    for name in (n for n in BIN_CHECKS if n in checks):
+        fixed = checks[name].get("bin")
+        if fixed is not None:
+            inside = (F.lit(int(fixed)) >= 0) & (F.lit(int(fixed)) < F.col("n_bins"))
+            text = F.concat(F.lit(f"{name}: configured bin {int(fixed)} lies outside 0.."), (F.col("n_bins") - 1).cast("string"))
+            use, reason = F.when(inside, F.lit(int(fixed))).when(~inside, F.raise_error(text).cast("int")), F.lit(None).cast("string")
+        else:
+            inside = (whole >= 0) & (whole < F.col("n_bins"))
+            reason = F.when(F.col("locked_bin").isNull(), F.lit("no locked bin")).when(whole.isNull(), F.concat(F.lit("locked bin is no whole number: "), F.col("locked_bin").cast("string")))
+            reason = reason.when(~inside, F.concat(F.lit("locked bin "), whole.cast("string"), F.lit(" is out of range")))
+            use = F.when(inside, whole)
+        out = out.withColumn(f"{name}_bin", use).withColumn(f"{name}_skip_reason", reason).withColumn(f"{name}_skipped", F.col(f"{name}_bin").isNull())
+    return out
+
+
 def quality_mask(frames: DataFrame, checks: dict[str, dict]) -> DataFrame:
     """Adds every configured detector's columns and ``quality_mask`` (true: good). Hard checks always count; a soft check is
-    computed when configured and counts when ``enabled``."""
+    computed when configured and counts when ``enabled``. A flag that could not be computed (a skipped check, a frame without
+    the feature) is null and counts as good, as in a session without that check."""
+    energy_source(checks)
     bad = []
     for name, f in HARD.items():
         frames = f(frames, checks.get(name, {}))
@@ -146,6 +183,35 @@ def quality_mask(frames: DataFrame, checks: dict[str, dict]) -> DataFrame:
     return frames.withColumn("quality_mask", ~flagged)
 
 
+def all_sessions(features: DataFrame, manifest: DataFrame, checks: dict[str, dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Quality of all sessions of ``manifest(session_id, locked_bin[, trim_frames])`` in one plan: ``(frames, attributes, failures)``.
+
+    A session that can't be processed (no frames, a trim that leaves none, a repeated manifest row) is a row ``(session_id, error)`` of
+    ``failures`` and keeps no other from its mask. ``attributes(session_id, name, value)`` has the settings, each check's bin, and why
+    it was skipped."""
+    trim = F.coalesce(F.col("trim_frames").cast("long"), F.lit(0)) if "trim_frames" in manifest.columns else F.lit(0).cast("long")
+    wanted = manifest.groupBy("session_id").agg(F.count("*").alias("rows"), F.first("locked_bin").alias("locked_bin"), F.first(trim).alias("trim"))
+    found = features.groupBy("session_id").agg(F.max("frame_idx").alias("last"), F.max(F.size("bin_energy")).alias("n_bins"))
+    state = wanted.join(found, "session_id", "left")
+    error = F.when(F.col("rows") > 1, "several rows in the manifest").when(F.col("last").isNull(), "no frames")
+    error = error.when((F.col("trim") < 0) | (F.col("trim") > F.col("last")), F.concat(F.lit("trim of "), F.col("trim").cast("string"), F.lit(" frames leaves none")))
+    state = state.withColumn("error", error)
+    sound = resolve_bins(state.where("error IS NULL").drop("error"), checks)
+    energy_source(checks)
+    own = {n: {**o, "bin": None, "bin_column": f"{n}_bin"} if n in BIN_CHECKS else o for n, o in checks.items()}
+    kept = features.join(sound.drop("rows", "locked_bin", "last", "n_bins"), "session_id").where(F.col("frame_idx") >= F.col("trim"))
+    names = [n for n in BIN_CHECKS if n in checks]
+    masked = quality_mask(kept, own).drop("trim", *[f"{n}_{x}" for n in names for x in ("bin", "skipped", "skip_reason")])
+    settings = [(f"{n}_{k}", str(v)) for n, o in checks.items() for k, v in o.items() if k != "bin"]
+    if "subject_bin_dropout" in checks:
+        settings.append(("subject_bin_dropout_energy_source", energy_source(checks)))
+    pairs = [F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in settings]
+    pairs += [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for n in names for c in (f"{n}_bin", f"{n}_skipped", f"{n}_skip_reason")]
+    pairs.append(F.struct(F.lit("trim_frames").alias("name"), F.col("trim").cast("string").alias("value")))
+    attributes = sound.select("session_id", F.explode(F.array(*pairs)).alias("x")).select("session_id", "x.name", "x.value").where("value IS NOT NULL")
+    return masked, attributes, state.where("error IS NOT NULL").select("session_id", "error")
+
+
 def mask_stats(frames: DataFrame) -> DataFrame:
     """Per session: frames, flagged, share, and the count of each check that ran."""
     flags = [c for c in frames.columns if c.endswith("_flagged")]

@@ -12,7 +12,8 @@ LENGTHS = ("20s", "25s", "30s")
 
 
 def pooled(errors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From ``errors(capture, length, error)``: micro (all errors), per capture, and macro (over captures) metrics."""
+    """From ``errors(capture, length, error)``: micro (all errors), per capture, and macro (over captures) metrics. A capture without
+    errors of a length (rows with a null error) has ``n`` 0 and null metrics, and doesn't count in macro."""
     ok = F.lit(True)
     per = errors.groupBy("length", "capture").agg(F.count("error").alias("n"), *error_metrics(F.col("error"), ok))
     micro = errors.groupBy("length").agg(F.count("error").alias("n"), *error_metrics(F.col("error"), ok))
@@ -20,6 +21,18 @@ def pooled(errors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return micro, per, macro
 
 
+def require_population(errors: DataFrame, lengths: tuple[str, ...] = LENGTHS) -> None:
+    """Fails where pooling has nothing to pool: no capture, a capture that lacks a length, or a length without any error."""
+    per = errors.groupBy("capture").agg(F.collect_set("length").alias("has")).where(F.size(F.array_except(F.array(*[F.lit(x) for x in lengths]), F.col("has"))) > 0)
+    lacking = [r["capture"] for r in per.select("capture").take(5)]
+    if lacking:
+        raise ValueError(f"captures that lack a window length: {lacking}")
+    full = {r["length"] for r in errors.where("error IS NOT NULL").select("length").distinct().collect()}  # a few lengths
+    empty = [x for x in lengths if x not in full]
+    if empty:
+        raise ValueError(f"no errors to pool for {empty}")
+
+
 def trend(a: Column, b: Column, c: Column) -> Column:
     """How an error moves over three lengths; equal counts as an improvement."""
     missing = a.isNull() | b.isNull() | c.isNull()
@@ -44,6 +57,17 @@ def two_capture_summary(per_capture: DataFrame, first: str, second: str) -> Data
     return wide.select("length", *[F.col(f"`{c}_{m}`").alias(f"{m}_{i}") for i, c in enumerate((first, second)) for m in ("mae", "rmse")], (F.col(f"`{second}_mae`") - F.col(f"`{first}_mae`")).alias("mae_diff"), (F.col(f"`{second}_rmse`") - F.col(f"`{first}_rmse`")).alias("rmse_diff"))
 
 
+def two_condition_report(per_condition: DataFrame, first: str, second: str, confounds: list[str]) -> DataFrame:
+    """Per length, coverage and errors of two captures side by side, first minus second, with the confounds that forbid a causal
+    reading. ``per_condition(capture, condition, n_total, n_finite, n_nan_radar, n_nan_ref, n_ahet_verified, mae_bpm, rmse_bpm, bias_bpm)``."""
+    counts, errors = ("n_total", "n_finite", "n_nan_radar", "n_nan_ref", "n_ahet_verified"), ("mae_bpm", "rmse_bpm", "bias_bpm")
+    side = lambda c, i: per_condition.where(F.col("capture") == c).select("condition", *[F.col(x).alias(f"{x}_{i}") for x in (*counts, *errors)])
+    both = side(first, 0).join(side(second, 1), "condition")
+    for x in ("mae_bpm", "rmse_bpm"):
+        both = both.withColumn(f"{x}_diff", F.col(f"{x}_0") - F.col(f"{x}_1"))
+    return both.withColumn("confounds", F.array(*[F.lit(x) for x in confounds]))
+
+
 def mean_session_mae(sessions: DataFrame) -> DataFrame:
     """Unweighted mean over sessions with a finite error."""
     ok = finite(F.col("mae_bpm"))

@@ -132,27 +132,50 @@ _TYPES = {"int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.Boolean
 RESULT = T.StructType([*(T.StructField(k, _TYPES[v]) for k, v in _SCALARS.items()), *(T.StructField(k, T.ArrayType(_TYPES[v])) for k, v in _TRIPLES.items()), *(T.StructField(k, T.ArrayType(T.DoubleType())) for k in _ARRAYS), T.StructField("ahet_attempt_spectrum", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
 
+CANDIDATES = dsp.CANDIDATES
+
+
+def window_results(phases: np.ndarray, fs: float, use_eca: bool, k_max: list[int], heart: tuple[float, float], breath: tuple[float, float]) -> list[dict]:
+    """All evidence of windows of one length, ``phases (windows, time)``: filters and their spectra run over all windows at once,
+    only the choice of candidates goes window by window."""
+    x = phases - phases.mean(axis=1, keepdims=True)
+    calm = dsp.breathing(dsp.band_pass(x, fs, *breath), fs, breath)
+    f_r = np.array([r["refined_hz"] for r in calm])
+    plausible = (f_r >= dsp.PLAUSIBLE_BREATH[0]) & (f_r <= dsp.PLAUSIBLE_BREATH[1]) & use_eca
+    filtered = np.empty_like(x)
+    for some, top in ((plausible, min(2 * heart[1], 0.45 * fs)), (~plausible, heart[1])):
+        if some.any():
+            filtered[some] = dsp.band_pass(x[some], fs, heart[0], top)
+    out = []
+    for i, r in enumerate(calm):
+        h = dsp.heart_rate(filtered[i], fs, heart, r["refined_hz"] if use_eca else None, bool(plausible[i]), k_max[i])
+        picked = {k: h[k] for k in ("accepted_candidate_rank", "accepted_candidate_initial_hz", "accepted_candidate_refined_hz", "accepted_second_harmonic_refined_hz", "eca_applied", "f_r_outlier", "ahet_verified", "harmonic_suspect", "phase_eca", "f_r_hz_used", *_TRIPLES)}
+        out.append(picked | {
+            "resp_peak_raw_index": r["peak_index"], "resp_peak_raw_hz": r["peak_hz"], "resp_peak_refined_hz": r["refined_hz"], "heart_spectrum_stage": h["spectrum_stage"], "heart_peak_hz": h["peak_hz"], "hr_bpm": h["rate_bpm"], "rr_bpm": r["rate_bpm"],
+            "phase_window": phases[i], "resp_filtered": r["filtered"], "heart_filtered": h["filtered"], "freqs_hz": h["freqs_hz"], "resp_spectrum": r["spectrum"], "heart_spectrum": h["spectrum"], "heart_spectrum_first_pass": h["spectrum_first_pass"], "ahet_attempt_spectrum": h["ahet_attempt_spectrum"],
+        })
+    return out
+
+
 def window_result(phase: np.ndarray, fs: float, use_eca: bool, k_max: int, heart: tuple[float, float], breath: tuple[float, float]) -> dict:
     """All evidence of one window."""
-    r = dsp.breathing(phase, fs, breath)
-    h = dsp.estimate(phase, fs, heart, r["refined_hz"] if use_eca else None, k_max)
-    out = {k: h[k] for k in ("accepted_candidate_rank", "accepted_candidate_initial_hz", "accepted_candidate_refined_hz", "accepted_second_harmonic_refined_hz", "eca_applied", "f_r_outlier", "ahet_verified", "harmonic_suspect", "phase_eca", "f_r_hz_used", *_TRIPLES)}
-    return out | {
-        "resp_peak_raw_index": r["peak_index"], "resp_peak_raw_hz": r["peak_hz"], "resp_peak_refined_hz": r["refined_hz"], "heart_spectrum_stage": h["spectrum_stage"], "heart_peak_hz": h["peak_hz"], "hr_bpm": h["rate_bpm"], "rr_bpm": r["rate_bpm"],
-        "phase_window": phase, "resp_filtered": r["filtered"], "heart_filtered": h["filtered"], "freqs_hz": h["freqs_hz"], "resp_spectrum": r["spectrum"], "heart_spectrum": h["spectrum"], "heart_spectrum_first_pass": h["spectrum_first_pass"], "ahet_attempt_spectrum": h["ahet_attempt_spectrum"],
-    }
+    return window_results(np.asarray(phase, float)[None, :], fs, use_eca, [k_max], heart, breath)[0]
 
 
 def estimate_windows(windows: DataFrame, fs: float, use_eca: bool = True, heart: tuple[float, float] = dsp.HEART, breath: tuple[float, float] = dsp.BREATH) -> DataFrame:
-    """Adds the columns of ``RESULT`` to every window with its ``phase`` array; a column ``k_max`` sets the harmonics removed."""
+    """Adds the columns of ``RESULT`` to every window with its ``phase`` array; a column ``k_max`` sets the harmonics removed.
+    Windows of a batch that are equally long go through the kernels together."""
     keep = [c for c in windows.columns if c != "phase"]
     schema = T.StructType([*(windows.schema[c] for c in keep), *RESULT.fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            k = pdf["k_max"] if "k_max" in pdf else [6] * len(pdf)
-            got = [window_result(np.asarray(p, float), fs, use_eca, int(m), heart, breath) for p, m in zip(pdf["phase"], k, strict=True)]
-            rows = [{n: (v.tolist() if isinstance(v, np.ndarray) else v) for n, v in r.items()} for r in got]
-            yield pd.concat((pdf[keep].reset_index(drop=True), pd.DataFrame(rows, columns=RESULT.names)), axis=1)
+            k = pdf["k_max"].to_numpy() if "k_max" in pdf else np.full(len(pdf), 6)
+            length, got = pdf["phase"].map(len).to_numpy(), [None] * len(pdf)
+            for n in np.unique(length):
+                at = np.flatnonzero(length == n)
+                for i, r in zip(at, window_results(np.stack(pdf["phase"].iloc[at].to_list()).astype(float), fs, use_eca, [int(m) for m in k[at]], heart, breath), strict=True):
+                    got[i] = {c: (v.tolist() if isinstance(v, np.ndarray) else v) for c, v in r.items()}
+            yield pd.concat((pdf[keep].reset_index(drop=True), pd.DataFrame(got, columns=RESULT.names)), axis=1)
 
     return windows.mapInPandas(run, schema)

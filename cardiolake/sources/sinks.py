@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import copy
 import datetime
 import hashlib
+import json
 import os
 import platform
 import subprocess
+import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Characters of the changes that a provenance record keeps.
+DIFF_CHARS = 200_000
+
+
 def without_nan(column: Column, kind: T.DataType) -> Column:
     """Null for NaN and infinities, at any depth."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
@@ -46,13 +53,63 @@ def write_sessions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
 
 
+def write_store(frames: DataFrame, attributes: DataFrame, path: str) -> None:
+    """A store of frames (cubes or quality) with an attributes table ``(session_id, name, value)``; both replace only the sessions that
+    they hold. Frames go in order, in groups of rows that stay small."""
+    ordered = frames.repartition("session_id").sortWithinPartitions("session_id", "frame_idx")
+    for df, name in ((ordered, "frames"), (attributes, "attributes")):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", 16 << 20).partitionBy("session_id").parquet(f"{path}/{name}")
+
+
+def append_log(lines: DataFrame, path: str) -> None:
+    """Adds text rows to a log, which is a folder of text files."""
+    lines.write.mode("append").text(path)
+
+
+class Tee:
+    """Standard output that also goes to a file, while the ``with`` block runs."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __enter__(self) -> Tee:
+        self.out, self.file = sys.stdout, open(self.path, "a", encoding="utf-8")  # noqa: SIM115
+        sys.stdout = self
+        return self
+
+    def write(self, text: str) -> int:
+        self.file.write(text)
+        return self.out.write(text)
+
+    def flush(self) -> None:
+        self.file.flush()
+        self.out.flush()
+
+    def __exit__(self, *_) -> None:
+        sys.stdout = self.out
+        self.file.close()
+
+
+def write_config(config: dict, path: str) -> None:
+    """Snapshot of a run's configuration: YAML, or JSON (which YAML readers take as well) where PyYAML is absent."""
+    try:
+        import yaml
+
+        text = yaml.safe_dump(config, sort_keys=False, allow_unicode=True)
+    except ImportError:
+        text = json.dumps(config, indent=2, ensure_ascii=False)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
 def fixed_width(df: DataFrame, formats: dict[str, str], out: str = "line") -> DataFrame:
     """Rows as text by printf formats, for reports."""
     return df.select(F.format_string(" ".join(formats.values()), *[F.col(c) for c in formats]).alias(out))
 
 
 def provenance(folder: str, files: list[str], config: dict) -> dict:
-    """Commit, dirtiness, checksums of sources (``missing`` where absent), versions, time and the configuration."""
+    """Commit, dirtiness, changes (against the commit, cut to ``DIFF_CHARS``), untracked files, checksums of sources (``missing`` where
+    absent), versions, time and a copy of the configuration. Without git those fields are null."""
 
     def git(*args: str) -> str | None:
         try:
@@ -69,5 +126,5 @@ def provenance(folder: str, files: list[str], config: dict) -> dict:
 
     import pyspark
 
-    status = git("status", "--porcelain")
-    return {"commit": git("rev-parse", "HEAD"), "dirty": None if status is None else bool(status), "sources": {f: checksum(f) for f in files}, "python": platform.python_version(), "pyspark": pyspark.__version__, "time": datetime.datetime.now(datetime.UTC).isoformat(), "config": dict(config)}
+    status, diff, new = git("status", "--porcelain"), git("diff", "HEAD"), git("ls-files", "--others", "--exclude-standard")
+    return {"commit": git("rev-parse", "HEAD"), "dirty": None if status is None else bool(status), "diff": diff and diff[:DIFF_CHARS], "untracked": None if new is None else new.splitlines(), "sources": {f: checksum(f) for f in files}, "python": platform.python_version(), "pyspark": pyspark.__version__, "time": datetime.datetime.now(datetime.UTC).isoformat(), "config": copy.deepcopy(config)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,45 @@ def comparison_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
+def read_frames(spark: SparkSession, path: str, trim_frames: int = 0, sessions: list[str] | None = None) -> DataFrame:
+    """Frames of a store from ``trim_frames`` on; the trim and the sessions reach the scan."""
+    rows = spark.read.parquet(f"{path}/frames").withColumn("session_id", F.col("session_id").cast("string")).where(F.col("frame_idx") >= trim_frames)
+    return rows.where(F.col("session_id").isin(sessions)) if sessions is not None else rows
+
+
+def read_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """``(session_id, name, value)`` of a store."""
+    return spark.read.parquet(f"{path}/attributes").select(F.col("session_id").cast("string").alias("session_id"), "name", "value")
+
+
+def stored_metric(spark: SparkSession, path: str, metric: str = "subject_bin_energy", flag: str = "motion_spike_flagged", settings: dict[str, str] | None = None) -> DataFrame:
+    """A stored metric with its stored flag, and per session the stored ``settings`` (name: fallback) as columns; fails where the
+    store lacks the metric."""
+    frames = read_frames(spark, path)
+    missing = [c for c in (metric, flag) if c not in frames.columns]
+    if missing:
+        raise KeyError(f"the store has no {missing}")
+    settings = settings if settings is not None else {"motion_spike_factor": "5.0", "motion_spike_half_window": "10", "motion_spike_bin": "-1"}
+    wide = read_attributes(spark, path).groupBy("session_id").agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit(v)).alias(n) for n, v in settings.items()])
+    got = frames.select("session_id", "frame_idx", metric, flag).join(wide, "session_id", "left")
+    return got.select("session_id", "frame_idx", metric, flag, *[F.coalesce(n, F.lit(v)).alias(n) for n, v in settings.items()])
+
+
+def read_config(path: str) -> dict:
+    """A run's configuration in YAML (JSON where PyYAML is absent); anything but a mapping fails."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+
+        config = yaml.safe_load(text)
+    except ImportError:
+        config = json.loads(text)
+    if not isinstance(config, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return config
+
+
 def updated_manifest(manifest: DataFrame, bins: DataFrame) -> DataFrame:
     """The manifest with newly selected bins where there are any; write it to a new path."""
     new = bins.select("session_id", F.col("bin_idx").alias("_new"))

@@ -125,7 +125,7 @@ def test_heart_rate_of_a_tone(hr):
     n = 1200
     x = tone(hr / 60, n=n) + tone(0.3, 3.0, n) + 0.05 * np.random.default_rng(0).standard_normal(n)
     assert abs(dsp.estimate(x, FS, dsp.HEART)["rate_bpm"] - hr) <= 2
-    assert abs(dsp.breathing(x, FS)["refined_hz"] * 60 - 18) <= 2
+    assert abs(dsp.breathing(dsp.band_pass(x[None, :], FS, *dsp.BREATH), FS)[0]["refined_hz"] * 60 - 18) <= 2
 
 
 def test_projection_moves_the_dominant_peak():
