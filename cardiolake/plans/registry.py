@@ -13,6 +13,10 @@ from ..operators import compare, quality, reference, study, vitals, windows
 from ..sources import sinks
 from . import views
 
+#: Added, here and in the SQL, to means of short decimals before they are rounded: sums in another order differ by less than that,
+#: and exact halves then go the same way.
+TIE = 1e-9
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -59,7 +63,7 @@ cc AS (SELECT center_frame FROM er GROUP BY 1 HAVING count(err) = 3),
 ix AS (SELECT er.* FROM er JOIN cc USING (center_frame))"""
 METRICS = "round(avg(abs({e})), 6) AS mae_bpm, round(sqrt(avg({e} * {e})), 6) AS rmse_bpm, round(avg({e}), 6) AS bias_bpm"
 PER = ", pc AS (SELECT condition AS length, capture, count(*) AS n, avg(abs(err)) AS mae_bpm, sqrt(avg(err * err)) AS rmse_bpm, avg(err) AS bias_bpm FROM ix GROUP BY ALL)"
-FRAMES = """fr AS (SELECT CAST(label AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, [CAST(embedding[2 * i - 1] AS DOUBLE) for i in range(1, 33)] AS re, [CAST(embedding[2 * i] AS DOUBLE) for i in range(1, 33)] AS im FROM embeddings)"""
+FRAMES = """fr AS (SELECT CAST(label AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, [round(CAST(embedding[2 * i - 1] AS DOUBLE) * 1024) / 1024 for i in range(1, 33)] AS re, [round(CAST(embedding[2 * i] AS DOUBLE) * 1024) / 1024 for i in range(1, 33)] AS im FROM embeddings)"""
 PHASOR = FRAMES + """, ph AS (SELECT session_id, frame_idx, re[1] AS re, im[1] AS im, re AS res, im AS ims, atan2(im[1], re[1]) AS angle FROM fr)"""
 UNWRAP = PHASOR + """, d0 AS (SELECT *, angle - lag(angle) OVER w AS step FROM ph WINDOW w AS (PARTITION BY session_id ORDER BY frame_idx)),
 d1 AS (SELECT *, CASE WHEN step > pi() THEN -2 * pi() WHEN step < -pi() THEN 2 * pi() ELSE 0.0 END AS fix FROM d0),
@@ -161,10 +165,10 @@ def accuracy_by_verification(spark, sf_dir):
     return compare.finite_error_metrics(_estimates(spark, sf_dir), "ahet_verified")
 
 
-@query(S(ESTIMATES, "SELECT day, rank, window_index, round(abs_error_bpm, 6) AS abs_error_bpm FROM (SELECT window_index // 24 AS day, window_index, abs_error_bpm, CAST(row_number() OVER (PARTITION BY window_index // 24 ORDER BY abs_error_bpm DESC NULLS LAST, window_index) AS INTEGER) AS rank FROM es) WHERE rank <= 3"))
+@query(S(ESTIMATES, "SELECT day, rank, window_index, round(abs_error_bpm + 1e-9, 6) AS abs_error_bpm FROM (SELECT window_index // 24 AS day, window_index, abs_error_bpm, CAST(row_number() OVER (PARTITION BY window_index // 24 ORDER BY abs_error_bpm DESC NULLS LAST, window_index) AS INTEGER) AS rank FROM es) WHERE rank <= 3"))
 def worst_windows(spark, sf_dir):
     d = _estimates(spark, sf_dir).withColumn("day", F.expr("cast(window_index div 24 AS bigint)"))
-    return study.worst(d, 3, "day", tie="window_index").select("day", "rank", "window_index", "abs_error_bpm")
+    return study.worst(d, 3, "day", tie="window_index").select("day", "rank", "window_index", (F.col("abs_error_bpm") + TIE).alias("abs_error_bpm"))
 
 
 @query(S(ESTIMATES, "SELECT window_index // 24 AS day, count(*) AS n, string_agg(CAST(window_index AS VARCHAR), ',' ORDER BY window_index) AS windows FROM es WHERE abs_error_bpm > 20 GROUP BY 1"))
@@ -177,9 +181,10 @@ def flagged_windows(spark, sf_dir):
 CENTERS = [S(estimates(h), f"SELECT (start_frame + end_frame) // 2 AS center_frame, error_bpm AS {c} FROM es") for h, c in ((6, "a"), (12, "b"))]
 
 
-@query(f"SELECT center_frame, round(a, 6) AS error_a, round(b, 6) AS error_b FROM ({CENTERS[0]}) JOIN ({CENTERS[1]}) USING (center_frame)")
+@query(f"SELECT center_frame, round(a + 1e-9, 6) AS error_a, round(b + 1e-9, 6) AS error_b FROM ({CENTERS[0]}) JOIN ({CENTERS[1]}) USING (center_frame)")
 def aligned_centers(spark, sf_dir):
-    return compare.align_centers(_estimates(spark, sf_dir), _estimates(spark, sf_dir, 12), ("a", "b"))
+    got = compare.align_centers(_estimates(spark, sf_dir), _estimates(spark, sf_dir, 12), ("a", "b"))
+    return got.select("center_frame", (F.col("error_a") + TIE).alias("error_a"), (F.col("error_b") + TIE).alias("error_b"))
 
 
 @query(S(ESTIMATES, "SELECT window_index, '{\"window_index\":' || window_index || ',\"low_quality\":' || low_quality || ',\"n_click\":' || n_click || ',\"ratio\":' || CASE WHEN n_click = 0 THEN 'null' ELSE CAST(n_click AS VARCHAR) || '.0' END || '}' AS json FROM es"))
@@ -367,8 +372,8 @@ def top_range_bins(spark, sf_dir):
 
 @query(S(SAMPLES, "SELECT session_id, frame_idx, bin_idx, round(20 * log10(sqrt(mr * mr + mi * mi) + 1e-10), 6) AS db FROM be WHERE bin_idx < 4"))
 def range_profile_db(spark, sf_dir):
-    f = views.features(spark, sf_dir).select("session_id", "frame_idx", F.posexplode(F.zip_with("mean_re", "mean_im", lambda a, b: F.sqrt(a * a + b * b))).alias("bin_idx", "m"))
-    return f.where(f"bin_idx < {views.SAMPLES // 2}").select("session_id", "frame_idx", F.col("bin_idx").cast("long").alias("bin_idx"), spectral.to_db(F.col("m")).alias("db"))
+    f = vitals.range_profile_db(views.features(spark, sf_dir), views.GEOMETRY, 10.0)
+    return f.select("session_id", "frame_idx", F.col("bin_idx").cast("long").alias("bin_idx"), "db")
 
 
 @query(S(MASK, "SELECT session_id, frame_idx, clip_flagged, dead_flagged, round(rx_energy_ratio, 6) AS rx_energy_ratio, rx_imbalance_flagged, round(subject_bin_energy, 6) AS subject_bin_energy, motion_spike_flagged, subject_bin_dropout_flagged, round(subject_bin_snr, 6) AS subject_bin_snr, snr_flagged, round(phase_delta, 6) AS phase_delta, phase_jump_flagged, quality_mask FROM qq"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import reference, windows
+from ..operators import reference, vitals, windows
 
 START = 1_704_067_200  # 2024-01-01, UTC
 HOURS = 720
 LENGTHS = {"6h": 6, "12h": 12, "24h": 24}
-CHIRPS, RX, SAMPLES = 2, 2, 8
+#: A vector of 64 components is a frame of 32 complex samples, in parts of 1024 (whose squares doubles hold exactly).
+GEOMETRY = vitals.Geometry(chirps=2, rx=2, samples=8, range_resolution_m=0.25)
+UNIT = 1024.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,30 +57,34 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(session_id, frame_idx, re, im)``: a label's vectors in order, as 2 chirps x 2 receivers x 8 complex samples."""
-    from pyspark.sql import Window
+    """``(session_id, frame_idx, re, im)``: a label's vectors in order, as 2 chirps x 2 receivers x 8 complex samples, rounded to
+    parts of 1024. Ranks go by chunks of ids (counts first), so that a label's vectors need not meet in one task."""
+    part = lambda rest: F.transform(F.filter("embedding", lambda x, i: i % 2 == rest), lambda x: F.round(x.cast("double") * UNIT) / UNIT)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("session_id"), F.expr("vec_id div 4096").alias("chunk"), part(0).alias("re"), part(1).alias("im"))
+    counts = rows.groupBy("session_id", "chunk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("session_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("session_id", "chunk").orderBy("vec_id")) - 1
+    ranked = rows.withColumn("at", at).join(counts.select("session_id", "chunk", before.alias("before")), ["session_id", "chunk"])
+    return ranked.select("session_id", (F.col("before") + F.col("at")).cast("long").alias("frame_idx"), "re", "im")
 
-    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    part = lambda rest: F.transform(F.filter("embedding", lambda x, i: i % 2 == rest), lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("session_id"), at.cast("long").alias("frame_idx"), part(0).alias("re"), part(1).alias("im"))
+
+def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames as a capture holds them: packets ``[I0, I1, Q0, Q1]`` of little-endian 16-bit words."""
+    def word(x):
+        v = F.pmod(F.round(x * UNIT).cast("int"), F.lit(65536))
+        return F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.shiftright(v, 8)), 2, "0"))
+
+    pair = lambda c, i: F.concat(word(F.get(c, 2 * i)), word(F.get(c, 2 * i + 1)))
+    packets = F.transform(F.sequence(F.lit(0), F.lit(GEOMETRY.frame_bytes // 8 - 1)), lambda i: F.concat(pair("re", i), pair("im", i)))
+    return frames(spark, sf_dir).select("session_id", "frame_idx", F.unhex(F.array_join(packets, "")).alias("raw"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frame features by SQL alone: energies, the transform's bins of the mean over chirps and receivers, phasors of bin 2."""
-    from ..functions import spectral
-
-    f = frames(spark, sf_dir)
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
-    power = F.zip_with("re", "im", lambda a, b: a * a + b * b)
-    per_rx = lambda r: total(F.filter("power", lambda x, i: F.floor(i / SAMPLES) % RX == r)) / (CHIRPS * SAMPLES)
-    f = f.withColumn("power", power).withColumn("max_abs_adc", F.array_max(F.transform(F.concat("re", "im"), lambda x: F.abs(x)))).withColumn("frame_energy", total(F.col("power")) / (CHIRPS * RX * SAMPLES)).withColumn("rx_energy", F.array(per_rx(0), per_rx(1)))
-    pick = lambda c, k: F.slice(c, k * SAMPLES + 1, SAMPLES)
-    bins = F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.struct(*[spectral.dft_bin(pick("re", a), pick("im", a), SAMPLES, k).alias(f"z{a}") for a in range(CHIRPS * RX)]))
-    f = f.withColumn("z", bins)
-    mean = lambda part: F.transform("z", lambda s: sum(s[f"z{a}"][part] for a in range(CHIRPS * RX)) / (CHIRPS * RX))
-    energy = F.transform("z", lambda s: sum(s[f"z{a}"]["re"] * s[f"z{a}"]["re"] + s[f"z{a}"]["im"] * s[f"z{a}"]["im"] for a in range(CHIRPS * RX)) / (CHIRPS * RX))
-    phasor = lambda part: F.array(*[F.get("z", F.lit(2))[f"z{a}"][part] for a in range(CHIRPS * RX)])
-    return f.select("session_id", "frame_idx", "max_abs_adc", "frame_energy", "rx_energy", energy.alias("bin_energy"), mean("re").alias("mean_re"), mean("im").alias("mean_im"), phasor("re").alias("phasor_re"), phasor("im").alias("phasor_im"))
+    """Frame features of the raw frames, without a window, with the phasors of bin 2; in the vectors' units."""
+    f = vitals.range_features(raw_frames(spark, sf_dir), GEOMETRY, windowed=False, phase_bin=2)
+    scaled = lambda c, unit: F.transform(c, lambda x: x / unit)
+    amplitudes, energies = ("mean_re", "mean_im", "phasor_re", "phasor_im"), ("rx_energy", "bin_energy")
+    return f.select("session_id", "frame_idx", (F.col("max_abs_adc") / UNIT).alias("max_abs_adc"), (F.col("frame_energy") / UNIT**2).alias("frame_energy"), *[scaled(c, UNIT**2).alias(c) for c in energies], *[scaled(c, UNIT).alias(c) for c in amplitudes])
 
 
 def phasors(spark: SparkSession, sf_dir: str) -> DataFrame:
