@@ -127,10 +127,11 @@ class Plan:
         return np.unique(np.concatenate(out))
 
 
-def _parities(s: np.ndarray) -> bytes:
-    """Whether each of 512 hash buckets, or 8 to 16 per element, holds an odd number of elements: sets differ at least where
-    these do, and by little more. The upper half of the buckets folds onto the lower one, so sets of other widths can be compared."""
-    bits = min(max(9, (8 * len(s) - 1).bit_length()), 20)
+def _parities(s: np.ndarray, each: int = 8) -> bytes:
+    """Whether each of 512 hash buckets, or ``each`` to twice as many per element, holds an odd number of elements: sets differ at least
+    where these do, and by little more where they are many. The upper half of the buckets folds onto the lower one, so sets of
+    other widths can be compared."""
+    bits = min(max(9, (each * len(s) - 1).bit_length()), 20)
     odd = np.bincount(((s >> U(40)) & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -153,13 +154,13 @@ def _profile(k: int, salt: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
-            key, par = [(None, None, None)] * batch.num_rows, [None] * batch.num_rows
+            key, par, fine = [(None, None, None)] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             for row, words in documents(batch.column(1)):
                 s = np.unique(shingle_hashes(words, k))
                 n[row] = len(s)
                 if len(s):
-                    key[row], par[row] = class_key(s, salt), _parities(s)
-            yield pa.record_batch([batch.column(0), pa.array(n), *(pa.array([x[i] for x in key], pa.int64()) for i in range(3)), pa.array(par, pa.binary())], names=["doc_id", "n_shingles", "class", "fp1", "fp2", "par"])
+                    key[row], par[row], fine[row] = class_key(s, salt), _parities(s, 2), _parities(s)
+            yield pa.record_batch([batch.column(0), pa.array(n), *(pa.array([x[i] for x in key], pa.int64()) for i in range(3)), pa.array(par, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "n_shingles", "class", "fp1", "fp2", "par", "fine"])
 
     return run
 
@@ -346,7 +347,7 @@ class Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """``pairs(a, b)`` with bounds of their Jaccard distance (equal where whole sets were compared) and whether they link."""
-        h = self.classes.select("class", "n_shingles", "par")
+        h = self.classes.select("class", "n_shingles", F.col("fine").alias("par"))
         wide = pairs.join(h.toDF("a", "na", "pa"), "a").join(h.toDF("b", "nb", "pb"), "b").select("a", "b", "na", "nb", "pa", "pb")
         bounded = self.tmp(wide.mapInArrow(_bound, "a long, b long, least double"), "bounded")
         near = F.col("least") <= 1 - self.percent / 100 + 1e-9
@@ -367,8 +368,13 @@ class Join:
         return out
 
 
-def _across(percent: int):
-    """Pairs of different components within each bucket whose bounds allow a link; batches come sorted by bucket."""
+#: Columns of a bucket's members, before their parities.
+_MEMBER = "sig long, b0 int, b1 int, own int, id long, size long, comp long, lo double, hi double"
+
+
+def _across(percent: int, as_pairs: bool):
+    """Pairs ``(a, b)`` of different components within each bucket whose bounds allow a link, or the members that have any such
+    pair; batches come sorted by bucket."""
     far = 1 - percent / 100 + 1e-9
 
     def arrays(rows: pa.Table) -> list[np.ndarray]:
@@ -377,7 +383,7 @@ def _across(percent: int):
         par = np.array([*rows.column("par").to_pylist(), None], dtype=object)[:-1]
         return [*(col(c) for c in ("own", "id", "size", "comp", "b0", "b1")), lo, hi, par]
 
-    def pairs(own, ids, size, comp, b0, b1, lo, hi, par) -> pa.RecordBatch | None:
+    def pairs(own, ids, size, comp, b0, b1, lo, hi, par) -> tuple[np.ndarray, np.ndarray] | None:
         within = b0[0] == b1[0]
         left = np.arange(len(ids)) if within else np.flatnonzero(own == b0[0])
         right = left if within else np.flatnonzero(own == b1[0])
@@ -402,8 +408,13 @@ def _across(percent: int):
                 i, j = i[i < j], j[i < j]
             found.append(np.stack((i, j)))
         i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        if not len(i):
-            return None
+        return (i, j) if len(i) else None
+
+    def result(rows: pa.Table, a: int, got: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        i, j = got
+        if not as_pairs:
+            return rows.take(pa.array(a + np.unique(np.concatenate(got)))).drop_columns(["par"]).combine_chunks().to_batches()[0]
+        ids = rows.column("id").to_numpy()[a:]
         i, j = ids[i], ids[j]
         return pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
@@ -420,10 +431,10 @@ def _across(percent: int):
                 all_of = arrays(rows.slice(0, cut[-1]))
                 for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
                     if b - a > 1 and (got := pairs(*(x[a:b] for x in all_of))) is not None:
-                        yield got
+                        yield result(rows, a, got)
             held = [rows.slice(cut[-1] if len(cut) else 0)]  # the last bucket may go on
         if held and held[0].num_rows > 1 and (got := pairs(*arrays(held[0]))) is not None:
-            yield got
+            yield result(held[0], 0, got)
 
     return run
 
@@ -431,11 +442,11 @@ def _across(percent: int):
 def _profiled(docs: DataFrame, k: int, tmp: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Every row's profile, one row per class with its smallest id, and the salt under which no two sets share a key."""
     for salt in range(100):
-        prof = tmp(docs.mapInArrow(_profile(k, salt), "doc_id long, n_shingles long, class long, fp1 long, fp2 long, par binary"), "profile")
-        some = prof.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("par").alias("par"), *[f(c).alias(f"{c}_{n}") for c in ("n_shingles", "fp1", "fp2") for n, f in (("least", F.min), ("most", F.max))])
+        prof = tmp(docs.mapInArrow(_profile(k, salt), "doc_id long, n_shingles long, class long, fp1 long, fp2 long, par binary, fine binary"), "profile")
+        some = prof.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("par").alias("par"), F.max("fine").alias("fine"), *[f(c).alias(f"{c}_{n}") for c in ("n_shingles", "fp1", "fp2") for n, f in (("least", F.min), ("most", F.max))])
         classes = tmp(some, "classes")
         if classes.where("n_shingles_least <> n_shingles_most OR fp1_least <> fp1_most OR fp2_least <> fp2_most").isEmpty():
-            return prof, classes.select("class", "rep", "n_shingles", "par"), salt
+            return prof, classes.select("class", "rep", "n_shingles", "par", "fine"), salt
     raise RuntimeError("class keys collide under every salt")
 
 
@@ -522,10 +533,12 @@ def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows:
     own, blocks = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.expr(f"cast(n div {bucket_rows} AS int) + 1")
     dealt = left_over.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("b0", F.least("own", "other")).withColumn("b1", F.greatest("own", "other")).drop("blocks", "other", "n")
-    dealt = dealt.join(classes.select(F.col("class").alias("id"), "par"), "id")
-    dealt = dealt.select("sig", "b0", "b1", "own", "id", "size", "comp", "lo", "hi", "par")
-    group = ["sig", "b0", "b1"]
-    more = dealt.repartition(spread, *group).sortWithinPartitions(*group).mapInArrow(_across(percent), "a long, b long").distinct()
+    # first by few parities, then what is left by many
+    columns, group = [x.split()[0] for x in _MEMBER.split(", ")], ["sig", "b0", "b1"]
+    met = lambda rows, par: rows.join(classes.select(F.col("class").alias("id"), F.col(par).alias("par")), "id").select(*columns, "par").repartition(spread, *group).sortWithinPartitions(*group)
+    dealt = dealt.select(F.col("sig"), *[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in _MEMBER.split(", ")[1:])])
+    near = tmp(met(dealt, "par").mapInArrow(_across(percent, False), _MEMBER), "near")
+    more = met(near, "fine").mapInArrow(_across(percent, True), "a long, b long").distinct()
     more = tmp(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         second = job.verify(more)

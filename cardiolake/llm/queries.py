@@ -51,8 +51,7 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
-    return got.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), "crc32(cast(doc_id AS string)) % 7 <> 2")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +100,7 @@ x AS (SELECT doc_id, held_out, coalesce(one.c, 0) AS c, coalesce(ctx.c, 0) AS cu
       LEFT JOIN two his ON his.u = tok.g AND his.t = tok.u LEFT JOIN three ON three.g = tok.g AND three.u = tok.u AND three.t = tok.t),
 y AS (SELECT *, (cut + 400 * p1) / (cu + 400) AS p2 FROM x)
 SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c > 0) AS n_known, any_value(n) AS train_tokens,
-       round(sum(log10((c + 1) / (n + v + 1))), 6) AS base_score, round(sum(log10((cgut + 5 * p2) / (cgu + 5))), 6) AS score
+       sum(log10((c + 1) / (n + v + 1))) AS base_score, sum(log10((cgut + 5 * p2) / (cgu + 5))) AS score
 FROM y GROUP BY doc_id, held_out
 """,
     "op9_jaccard_join": r"""
