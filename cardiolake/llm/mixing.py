@@ -26,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW, join_wide, stash, with_row_keys
+from .common import ROW, join_wide, stash
 
 GOLDEN = 2654435769  # 2^32 / golden ratio
 WORD = r"[^\x20\x09-\x0D]+"
@@ -116,7 +116,7 @@ def scheduled_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1),
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, epochs: int = 2, slots: int = 1 << 20, bucket_docs: int = 2000, seed: int = 17, key: str | None = None) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every row of ``docs(doc_id, text, source)``; with ``key``, a column of
-    unique numbers, also that.
+    numbers, also that.
 
     ``slots``: about how many slots the schedule has; a block is all words to take over ``slots``, 16 words at least."""
     taken = _dealt(docs, weights, ratio, epochs, slots, bucket_docs, seed, key)[1]
@@ -126,8 +126,10 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, as often as the mix takes them: ``taken / size`` rounded, up to the number of
-    passes; documents without words stay once. Every row counts by its own text, whatever its id."""
-    rows = with_row_keys(docs)
-    mix = stash(mix_sources(rows, key=ROW, **options).select(ROW, F.col("size").alias("__size"), F.col("taken").alias("__taken")), "mix")
+    passes; documents without words stay once. Rows are told apart by a hash of id and text, so each counts by its own text,
+    whatever its id; rows that are equal in both count alike."""
+    rows = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    mix = mix_sources(rows, key=ROW, **options).groupBy(ROW).agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
+    mix = stash(mix, "mix")
     times = F.when(F.col("__size") == 0, 1).otherwise(F.expr("(2 * __taken + __size) div (2 * __size)"))
     return join_wide(rows, mix, ROW, "inner").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)

@@ -7,6 +7,8 @@ a word (as polynomials modulo 2^64 have it for Thue-Morse words) makes two words
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,8 @@ import pyarrow as pa
 import zstandard
 
 U = np.uint64
+# of the GNU allocator; others have none
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 _Q = U(0xD1342543DE82EF95)
 
 
@@ -64,10 +68,17 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string array; null texts are empty. Called once a batch: what Arrow still holds of earlier
-    batches goes back to the system first, so that waiting workers stay small."""
+def give_back() -> None:
+    """Returns unused memory of this worker to the system."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string array; null texts are empty. Called once a batch: what Arrow and the allocator still hold
+    of earlier batches goes back to the system first, so that waiting workers stay small."""
+    give_back()
     if col.null_count:
         col = col.fill_null("")
     col = col.cast(pa.large_string())
@@ -162,6 +173,7 @@ def documents(batch_text: pa.Array, strip: bool = False) -> Iterator[tuple[int,
         h, first = word_hashes(raw, offsets[i : j + 1], strip)
         for d in range(j - i):
             yield i + d, h[first[d] : first[d + 1]]
+    give_back()
 
 
 def pack(values: np.ndarray, ascending: bool = False) -> bytes:
