@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, lm_scoring, mixing, token_output, url_filters, vp_tree, warc_derivatives
+from . import decontaminate, fill_in_middle, html_text, language_id, lm_scoring, mixing, token_output, url_filters, vp_tree, warc_derivatives
 from .common import small_batches
 from .jaccard_join import jaccard_components
 
@@ -62,7 +62,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree, op2_html_text, op3_url_filters, op4_mixing, op5_language_id, op6_token_output, op7_warc_derivatives, op8_lm_scoring, op9_jaccard_join, op10_decontaminate)}
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.samples(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_vp_tree, op2_html_text, op3_url_filters, op4_mixing, op5_language_id, op6_token_output, op7_warc_derivatives, op8_lm_scoring, op9_jaccard_join, op10_decontaminate, op13_fill_in_middle)}
 
 # Links and components can't be followed in the check data's SQL without recursion over the markup; the pages hold none, so
 # rules decide alone there, and tests on small tables cover the propagation.
@@ -112,5 +116,15 @@ e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y W
 b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.node)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(c) AS component_id FROM r GROUP BY 1) ON node = doc_id
+""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS k FROM documents),
+h AS (SELECT doc_id, t, k, len(k) AS n, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (len(k) + 1) AS h1, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (len(k) + 1) AS h2,
+             CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+c AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(k[1:least(h1, h2)], '') AS p, array_to_string(k[least(h1, h2) + 1:greatest(h1, h2)], '') AS m, array_to_string(k[greatest(h1, h2) + 1:], '') AS x FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
 """,
 }
