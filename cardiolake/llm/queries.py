@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, fill_in_middle, html_text, language_id, lm_scoring, mixing, token_output, url_filters, vp_tree, warc_derivatives
 from .common import small_batches
 from .jaccard_join import jaccard_components
+from .line_dedup import LineIndex
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -62,11 +63,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = LineIndex(spark, least=10).insert(docs)
+    kept = index.dedup(docs, digest=True)
+    index.drop()
+    return kept
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.samples(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree, op2_html_text, op3_url_filters, op4_mixing, op5_language_id, op6_token_output, op7_warc_derivatives, op8_lm_scoring, op9_jaccard_join, op10_decontaminate, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_vp_tree, op2_html_text, op3_url_filters, op4_mixing, op5_language_id, op6_token_output, op7_warc_derivatives, op8_lm_scoring, op9_jaccard_join, op10_decontaminate, op12_line_dedup, op13_fill_in_middle)}
 
 # Links and components can't be followed in the check data's SQL without recursion over the markup; the pages hold none, so
 # rules decide alone there, and tests on small tables cover the propagation.
@@ -116,6 +125,14 @@ e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y W
 b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.node)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(c) AS component_id FROM r GROUP BY 1) ON node = doc_id
+""",
+    "op12_line_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, r, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON f.key = k.key GROUP BY r, doc_id
 """,
     "op13_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS k FROM documents),

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from cardiolake.llm import fill_in_middle as fim
+from cardiolake.llm import line_dedup
+from cardiolake.llm.line_dedup import Cuckoo, LineIndex
 
 DOCS = "doc_id long, text string, n long, ids string, part int, line string, word string, count long"
 
@@ -81,3 +84,81 @@ def test_elias_fano_selects_every_entry():
 
 def test_samples_of_an_empty_table(spark):
     assert fim.samples(frame(spark, [])).collect() == []
+
+
+# line dedup
+
+
+def line_key(line):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+
+
+def brute_dedup(index_rows, rows, least):
+    held = Counter(k for _, t in index_rows for k in {line_key(x) for x in (t or "").split("\n")} if k)
+    out = []
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if held[line_key(x)] < least]
+        out.append((doc_id, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return sorted(out, key=repr)
+
+
+def line_rows(seed, n, start=0):
+    rng = random.Random(seed)
+    line = lambda: rng.choice(["", "  ", "Common LINE", "common line \r", "é\u00a0É", f"rare {rng.randrange(40)}", f"own {rng.random()}"])
+    return [(start + i, "\n".join(line() for _ in range(rng.randrange(8)))) for i in range(n)]
+
+
+def deduped(index, docs):
+    return sorted((tuple(r) for r in index.dedup(docs).collect()), key=repr)
+
+
+def test_line_dedup_equals_brute_force_through_insertions_and_deletions(spark, odd_rows):
+    a, b, c = odd_rows + line_rows(1, 120), line_rows(2, 80, 500), line_rows(3, 60, 900)
+    fa, fb, fc = (frame(spark, x).repartition(3) for x in (a, b, c))
+    one = LineIndex(spark, least=3, shard_keys=50).insert(fa)
+    assert deduped(one, fa) == brute_dedup(a, a, 3)
+    two = one.insert(fb)
+    assert deduped(two, fa) == brute_dedup(a + b, a, 3) and deduped(two, fc) == brute_dedup(a + b, c, 3)
+    table = lambda index: sorted(tuple(r) for r in index.counts().collect())
+    # taking documents back gives the counts, and the decisions, as if they had never come
+    back = two.insert(fc).delete(fb)
+    assert deduped(back, fc) == brute_dedup(a + c, c, 3)
+    assert table(back.delete(fc)) == table(one) and deduped(back.delete(fc), fa) == deduped(one, fa)
+    assert two.bits > 0 and one.shards.count() > 1
+    assert back.delete(fc).delete(fa).counts().count() == 0
+
+
+def test_deleting_what_was_never_inserted_fails_and_leaves_the_index(spark):
+    index = LineIndex(spark, least=2).insert(frame(spark, [(1, "a\nb"), (2, "b")]))
+    before = sorted(map(tuple, index.counts().collect()))
+    for rows in ([(3, "never seen")], [(1, "a"), (1, "a")]):
+        with pytest.raises(Exception, match="never inserted"):
+            index.delete(frame(spark, rows))
+    assert sorted(map(tuple, index.counts().collect())) == before
+
+
+def test_line_dedup_of_empty_tables_and_in_groups_of_blocks(spark, monkeypatch):
+    none = frame(spark, [])
+    index = LineIndex(spark, least=2).insert(none)
+    assert index.dedup(none).collect() == [] and deduped(index, frame(spark, [(1, "a"), (2, None)])) == [(1, 1, 0, "a"), (2, 1, 0, "")]
+    monkeypatch.setattr(line_dedup, "GROUP", 2)
+    rows = line_rows(5, 90)
+    many = frame(spark, rows).repartition(8)
+    assert deduped(LineIndex(spark, least=3).insert(many), many) == brute_dedup(rows, rows, 3)
+
+
+def test_cuckoo_filters_forget_and_never_miss():
+    rng = np.random.default_rng(4)
+    keys = rng.integers(0, 2**64, 40_000, dtype=np.uint64)
+    held = Cuckoo.of(keys)
+    assert held.contains(keys).all() and held.contains(rng.integers(0, 2**64, 100_000, dtype=np.uint64)).mean() < 0.001
+    assert 40_000 / held.table.size > 0.3 and np.count_nonzero(held.table) == 40_000
+    again = Cuckoo.read(held.write())
+    again.delete(keys[:30_000])
+    assert again.contains(keys[30_000:]).all() and again.contains(keys[:30_000]).mean() < 0.001 and np.count_nonzero(again.table) == 10_000
+    assert again.insert(keys[:30_000]) and again.contains(keys).all()
+    full = Cuckoo.sized(100)
+    assert not full.insert(keys[: full.table.size + 1])
+    with pytest.raises(ValueError):
+        Cuckoo.of(keys[:10]).delete(keys[10:20])
