@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fill_in_middle, html_text, language_id, lm_scoring, mixing, token_output, url_filters, vp_tree, warc_derivatives
+from . import decontaminate, fill_in_middle, html_text, language_id, lm_scoring, mixing, spelling, token_output, url_filters, vp_tree, warc_derivatives
 from .common import small_batches
 from .jaccard_join import jaccard_components
 from .line_dedup import LineIndex
@@ -63,6 +63,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = LineIndex(spark, least=10).insert(docs)
@@ -75,7 +79,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.samples(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vp_tree, op2_html_text, op3_url_filters, op4_mixing, op5_language_id, op6_token_output, op7_warc_derivatives, op8_lm_scoring, op9_jaccard_join, op10_decontaminate, op12_line_dedup, op13_fill_in_middle)}
+QUERIES = {f.__name__: f for f in (op1_vp_tree, op2_html_text, op3_url_filters, op4_mixing, op5_language_id, op6_token_output, op7_warc_derivatives, op8_lm_scoring, op9_jaccard_join, op10_decontaminate, op11_spelling_variants, op12_line_dedup, op13_fill_in_middle)}
 
 # Links and components can't be followed in the check data's SQL without recursion over the markup; the pages hold none, so
 # rules decide alone there, and tests on small tables cover the propagation.
@@ -125,6 +129,30 @@ e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y W
 b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 r(node, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.node)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(c) AS component_id FROM r GROUP BY 1) ON node = doc_id
+""",
+    # crc32 by its table over the bytes of `<doc_id>:<run>`; pairs at one edit by words with one code point left out
+    "op11_spelling_variants": r"""
+WITH RECURSIVE bits(i, c, k) AS (
+  SELECT CAST(range AS UBIGINT), CAST(range AS UBIGINT), 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+pairs AS (SELECT doc_id, run, count(*) AS m, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+keys AS (SELECT DISTINCT x FROM pairs),
+crc(x, p, c) AS (
+  SELECT x, 1, CAST(4294967295 AS UBIGINT) FROM keys
+  UNION ALL SELECT x, p + 2, xor(crc.c >> 8, bits.c) FROM crc JOIN bits ON bits.k = 8 AND bits.i = xor(crc.c, CAST('0x' || substr(x, p, 2) AS UBIGINT)) & 255 WHERE p <= length(x)),
+h AS (SELECT x, xor(c, CAST(4294967295 AS UBIGINT)) AS h FROM crc WHERE p = length(x) + 1),
+results AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, m FROM pairs JOIN h USING (x)),
+words AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM results WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+less AS (SELECT word, n, i, left(word, CAST(i - 1 AS INT)) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM less a JOIN words b ON a.d = b.word
+  UNION SELECT b.word, a.word FROM less a JOIN words b ON a.d = b.word),
+ranked AS (SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS k FROM near JOIN words o ON o.word = other),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM words w LEFT JOIN ranked r ON r.word = w.word AND k = 1),
+chain(word, last, form) AS (SELECT word, word, form FROM forms UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN forms f ON f.word = chain.form)
+SELECT f.word, f.form, chain.last AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain ON chain.word = f.word AND chain.form IS NULL
 """,
     "op12_line_dedup": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from cardiolake.llm import fill_in_middle as fim
-from cardiolake.llm import line_dedup
+from cardiolake.llm import line_dedup, spelling
 from cardiolake.llm.line_dedup import Cuckoo, LineIndex
 
 DOCS = "doc_id long, text string, n long, ids string, part int, line string, word string, count long"
@@ -162,3 +163,120 @@ def test_cuckoo_filters_forget_and_never_miss():
     assert not full.insert(keys[: full.table.size + 1])
     with pytest.raises(ValueError):
         Cuckoo.of(keys[:10]).delete(keys[10:20])
+
+
+# spelling variants
+
+
+def brute_words(rows, one_in=31, least=7, seen=2):
+    n = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % one_in == 0 else run] += 1
+    return {w: c for w, c in n.items() if len(w) >= least and c >= seen}
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((i for i, x in enumerate(a) if x != b[i]), len(a))
+    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
+
+
+def brute_near(n):
+    return {w: sorted((x for x in n if one_edit(w, x)), key=lambda x: (-n[x], x)) for w in n}
+
+
+def brute_variants(rows, **options):
+    n = brute_words(rows, **options)
+    near = brute_near(n)
+    form = {w: x[0] if x and n[x[0]] >= 10 * n[w] else None for w, x in near.items()}
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return sorted(out, key=repr)
+
+
+def word_rows(seed, n):
+    rng = random.Random(seed)
+    stems = ["abababab", "aaaaaaaa", "Prénomé", "colours", "ÿÀ×÷abcd", "wordword", "ababab", "colouring"] + ["".join(rng.choice("abé") for _ in range(rng.randrange(6, 12))) for _ in range(40)]
+    return [(i if i % 11 else None, " ".join(rng.choice(stems[: rng.randrange(1, len(stems))]) for _ in range(rng.randrange(60))) + rng.choice(["", "\n", "1", "Ω"])) for i in range(n)]
+
+
+@pytest.mark.parametrize("one_in, shard_words", [(31, 50_000), (2, 20)])
+def test_variants_equal_brute_force(spark, odd_rows, one_in, shard_words):
+    rows = odd_rows + word_rows(1, 150) + [(7000, ("x" * 3000 + "y" + "x" * 2000 + " ") * 40), (7001, ("x" * 5001 + " ") * 3)]
+    chain = {"chainaaa": 2, "chainaab": 25, "chainabb": 300}
+    intact = next(i for i in range(8000, 9000) if all(zlib.crc32(f"{i}:{w}".encode()) % one_in for w in chain))
+    rows.append((intact, " ".join(f"{w} " * k for w, k in chain.items())))
+    got = [tuple(r) for r in spelling.variant_groups(frame(spark, rows), one_in=one_in, shard_words=shard_words).select("word", "form", "root", "n", "n_near", "form_n").collect()]
+    want = brute_variants(rows, one_in=one_in)
+    assert sorted(got, key=repr) == want
+    assert ("chainaaa", "chainaab", "chainabb", 2, 1, 25) in want
+
+
+@pytest.mark.parametrize("shard_words", [5, 40, 100_000])
+def test_near_words_equal_brute_force(spark, shard_words):
+    rng = random.Random(7)
+    n = {"".join(rng.choice("ab𝔘") for _ in range(rng.randrange(4, 9))): rng.randrange(1, 9) for _ in range(400)}
+    n |= {"a" * k: 5 for k in range(4, 30)} | {"pre" + "".join(rng.choice("abc") for _ in range(5)): 3 for _ in range(150)}
+    from cardiolake.llm.common import stash
+
+    words = stash(spark.createDataFrame(list(n.items()), "word string, n long"), "words")
+    got = {r["word"]: (r["n_near"], r["best_n"], r["best"]) for r in spelling.near_words(words, shard_words).collect()}
+    assert got == {w: (len(x), n[x[0]], x[0]) for w, x in brute_near(n).items() if x}
+
+
+def test_automata_are_minimal_and_number_their_words():
+    rng = random.Random(2)
+    for letters, size in ((2, 8), (3, 6), (1, 20)):
+        words = sorted({tuple(rng.randrange(letters) for _ in range(rng.randrange(1, size))) for _ in range(300)})
+        a = spelling.Automaton(words)
+        assert [a.number(w) for w in words] == list(range(len(words))) == list(range(a.size))
+        assert a.number((letters,)) == -1 and a.number((0,) * 50) == -1
+        rest = {w[:k]: None for w in words for k in range(len(w) + 1)}  # right languages of all prefixes
+        languages = {frozenset(w[len(p) :] for w in words if w[: len(p)] == p) for p in rest}
+        assert len(a.final) == len(languages)
+
+
+def test_checksums_equal_zlib():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 20_000, dtype=np.uint8)
+    starts = np.sort(rng.integers(0, 19_000, 500))
+    ends = starts + rng.integers(1, 200, 500)
+    doc = rng.integers(0, 3, 500)
+    prefixes = [b":", b"12:", b"-7:"]
+    want = [zlib.crc32(prefixes[d] + data[a:b].tobytes()) for d, a, b in zip(doc, starts, ends)]
+    assert spelling._crcs(prefixes, doc, data, starts, ends).tolist() == want
+
+
+def test_roots_follow_long_chains(spark):
+    forms = spark.createDataFrame([(f"w{i:03}", f"w{i + 1:03}") for i in range(70)] + [("x", "w069"), ("y", "z")], "word string, form string")
+    roots = {r["word"]: r["root"] for r in spelling.follow(forms).collect()}
+    assert roots == {f"w{i:03}": "w070" for i in range(70)} | {"x": "w070", "y": "z"}
+
+
+def test_variants_of_an_empty_table(spark):
+    assert spelling.variant_groups(frame(spark, [])).collect() == [] and spelling.variant_groups(frame(spark, [(1, "12 34"), (2, None)])).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_spelling_variants", "op12_line_dedup", "op13_fill_in_middle"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from cardiolake.llm import queries
+
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(r) for r in df.select(*names).collect()), key=repr) == sorted(got.fetchall(), key=repr)
