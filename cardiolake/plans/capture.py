@@ -12,9 +12,7 @@ from ..sources import adc
 def capture_features(spark: SparkSession, paths: list[str], session_id: str, g: vitals.Geometry, trim_s: float = 0.0, windowed: bool = True, phase_bin: int | None = None, allow_frame_count_mismatch: bool = False, **frames: int | None) -> DataFrame:
     """Features of the frames after the trim; earlier frames are never read. ``expected_frames`` guards the length, unless a mismatch
     is allowed."""
-    import os
-
-    found = adc.frame_count([os.path.getsize(p) for p in paths], g.frame_bytes)
+    found = adc.frame_count(adc.file_sizes(paths), g.frame_bytes)
     adc.expect_frames(found, frames.get("expected_frames"), allow_frame_count_mismatch)
     raw = adc.read_capture(spark, paths, session_id, g, trim_frames=int(trim_s * g.frame_rate_hz), end_frame=frames.get("end_frame"))
     return vitals.range_features(raw, g, windowed, phase_bin)
