@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series
+from ..functions import selection, series
 
 TINY = 1e-12
 KEYS, ORDER = ["session_id"], "frame_idx"
@@ -38,8 +38,9 @@ def clipping(frames: DataFrame, options: dict) -> DataFrame:
 @hard("dead")
 def dead(frames: DataFrame, options: dict) -> DataFrame:
     """Energy below a share of the session's median."""
-    median = F.percentile("frame_energy", F.lit(0.5)).over(Window.partitionBy(*KEYS))
-    return frames.withColumn("dead_flagged", F.col("frame_energy") < median * options.get("fraction", 0.01))
+    median = selection.percentiles(frames, "frame_energy", [0.5], KEYS).select(*[F.col(k).alias(f"_s_{k}") for k in KEYS], F.get("percentiles", F.lit(0)).alias("_median"))
+    rows = frames.join(median, F.col(KEYS[0]).eqNullSafe(F.col(f"_s_{KEYS[0]}")), "left").drop(f"_s_{KEYS[0]}")
+    return rows.withColumn("dead_flagged", F.col("frame_energy") < F.col("_median") * options.get("fraction", 0.01)).drop("_median")
 
 
 @soft("rx_imbalance")
@@ -52,6 +53,8 @@ def rx_imbalance(frames: DataFrame, options: dict) -> DataFrame:
 
 def _subject_bin(options: dict) -> Column:
     """The configured bin, or else the column that ``resolve_bins`` made for the check."""
+    if options.get("bin") is None and "bin_column" not in options:
+        raise ValueError("the check needs a bin")
     return F.lit(int(options["bin"])) if options.get("bin") is not None else F.col(options["bin_column"])
 
 
@@ -65,12 +68,16 @@ def _with_energy(frames: DataFrame, options: dict) -> DataFrame:
     return frames if "subject_bin_energy" in frames.columns else frames.withColumn("subject_bin_energy", F.get("bin_energy", _subject_bin(options)))
 
 
+#: What ``energy_source`` can say.
+REUSED, COMPUTED = "reused_subject_bin_energy", "computed_fallback"
+
+
 def energy_source(checks: dict[str, dict]) -> str | None:
-    """Which check's bin the shared ``subject_bin_energy`` has; checks that share it must have the same bin."""
-    users = [n for n in ("motion_spike", "subject_bin_dropout") if n in checks]
-    if len({checks[n].get("bin") for n in users}) > 1:
-        raise ValueError("motion_spike and subject_bin_dropout share one energy and need the same bin")
-    return users[0] if users else None
+    """Where the dropout check's energy comes from: from the spike check, whatever bin the dropout check names itself, or, without that
+    check, from its own bin."""
+    if "subject_bin_dropout" not in checks:
+        return None
+    return REUSED if "motion_spike" in checks else COMPUTED
 
 
 @soft("motion_spike")
@@ -80,7 +87,9 @@ def motion_spike(frames: DataFrame, options: dict) -> DataFrame:
     if factor <= 1 or half < 0:
         raise ValueError("motion_spike needs factor > 1 and half_window >= 0")
     frames = _with_rolling(_with_energy(frames, options), half)
-    return frames.withColumn("motion_spike_flagged", F.col("subject_bin_energy") > F.greatest(F.col(f"rolling_energy_{half}"), F.lit(TINY)) * factor)
+    high = F.col("subject_bin_energy") > F.greatest(F.col(f"rolling_energy_{half}"), F.lit(TINY)) * factor
+    # an energy that another check's bin gave says nothing about a session without a bin for this one
+    return frames.withColumn("motion_spike_flagged", F.when(F.col(options["bin_column"]).isNotNull(), high) if "bin_column" in options else high)
 
 
 @soft("subject_bin_dropout")
@@ -144,7 +153,8 @@ BIN_CHECKS = ("motion_spike", "subject_bin_dropout", "snr")
 def resolve_bins(sessions: DataFrame, checks: dict[str, dict]) -> DataFrame:
     """For ``sessions(session_id, n_bins, locked_bin)``, per check that needs a bin: ``<check>_bin``, ``<check>_skipped`` and
     ``<check>_skip_reason``. A configured bin wins and fails the job where it doesn't exist; one of the manifest may be missing,
-    no whole number, or out of range, and then the check is skipped for that session."""
+    no whole number, or out of range, and then the check is skipped for that session. The dropout check reuses the spike check's energy where there is one; then it
+    needs no bin, and ``subject_bin_dropout_energy_source`` says so."""
     locked = F.col("locked_bin").cast("string").try_cast("double")
     whole = F.when(~F.isnan(locked) & (locked == F.floor(locked)) & (F.abs(locked) < 1e9), locked.cast("int"))
     out = sessions
@@ -159,7 +169,14 @@ def resolve_bins(sessions: DataFrame, checks: dict[str, dict]) -> DataFrame:
             reason = F.when(F.col("locked_bin").isNull(), F.lit("no locked bin")).when(whole.isNull(), F.concat(F.lit("locked bin is no whole number: "), F.col("locked_bin").cast("string")))
             reason = reason.when(~inside, F.concat(F.lit("locked bin "), whole.cast("string"), F.lit(" is out of range")))
             use = F.when(inside, whole)
-        out = out.withColumn(f"{name}_bin", use).withColumn(f"{name}_skip_reason", reason).withColumn(f"{name}_skipped", F.col(f"{name}_bin").isNull())
+        reused = F.lit(False)
+        if name == "subject_bin_dropout" and "motion_spike" in checks:
+            # the spike check's energy serves, so this check needs no bin there; a bin of its own isn't looked at
+            reused = ~F.col("motion_spike_skipped")
+            use, reason = F.when(~reused, use), F.when(~reused, reason)
+        out = out.withColumn(f"{name}_bin", use).withColumn(f"{name}_skip_reason", reason).withColumn(f"{name}_skipped", F.col(f"{name}_bin").isNull() & ~reused)
+        if name == "subject_bin_dropout":
+            out = out.withColumn(f"{name}_energy_source", F.when(reused, F.lit(REUSED)).when(~F.col(f"{name}_skipped"), F.lit(COMPUTED)))
     return out
 
 
@@ -167,7 +184,6 @@ def quality_mask(frames: DataFrame, checks: dict[str, dict]) -> DataFrame:
     """Adds every configured detector's columns and ``quality_mask`` (true: good). Hard checks always count; a soft check is
     computed when configured and counts when ``enabled``. A flag that could not be computed (a skipped check, a frame without
     the feature) is null and counts as good, as in a session without that check."""
-    energy_source(checks)
     bad = []
     for name, f in HARD.items():
         frames = f(frames, checks.get(name, {}))
@@ -197,16 +213,18 @@ def all_sessions(features: DataFrame, manifest: DataFrame, checks: dict[str, dic
     error = error.when((F.col("trim") < 0) | (F.col("trim") > F.col("last")), F.concat(F.lit("trim of "), F.col("trim").cast("string"), F.lit(" frames leaves none")))
     state = state.withColumn("error", error)
     sound = resolve_bins(state.where("error IS NULL").drop("error"), checks)
-    energy_source(checks)
     own = {n: {**o, "bin": None, "bin_column": f"{n}_bin"} if n in BIN_CHECKS else o for n, o in checks.items()}
     kept = features.join(sound.drop("rows", "locked_bin", "last", "n_bins"), "session_id").where(F.col("frame_idx") >= F.col("trim"))
     names = [n for n in BIN_CHECKS if n in checks]
-    masked = quality_mask(kept, own).drop("trim", *[f"{n}_{x}" for n in names for x in ("bin", "skipped", "skip_reason")])
+    energies = [F.col(f"{n}_bin") for n in names if n != "snr"]
+    if energies:
+        kept = kept.withColumn("subject_bin_energy", F.get("bin_energy", F.coalesce(*energies)))
+    masked = quality_mask(kept, own).drop("trim", *[f"{n}_{x}" for n in names for x in ("bin", "skipped", "skip_reason", "energy_source")])
     settings = [(f"{n}_{k}", str(v)) for n, o in checks.items() for k, v in o.items() if k != "bin"]
-    if "subject_bin_dropout" in checks:
-        settings.append(("subject_bin_dropout_energy_source", energy_source(checks)))
     pairs = [F.struct(F.lit(k).alias("name"), F.lit(v).alias("value")) for k, v in settings]
     pairs += [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for n in names for c in (f"{n}_bin", f"{n}_skipped", f"{n}_skip_reason")]
+    if "subject_bin_dropout" in checks:
+        pairs.append(F.struct(F.lit("subject_bin_dropout_energy_source").alias("name"), F.col("subject_bin_dropout_energy_source").alias("value")))
     pairs.append(F.struct(F.lit("trim_frames").alias("name"), F.col("trim").cast("string").alias("value")))
     attributes = sound.select("session_id", F.explode(F.array(*pairs)).alias("x")).select("session_id", "x.name", "x.value").where("value IS NOT NULL")
     return masked, attributes, state.where("error IS NOT NULL").select("session_id", "error")
@@ -245,10 +263,10 @@ def flag_overlaps(frames: DataFrame, flags: list[str]) -> DataFrame:
 def phase_summary(frames: DataFrame, column: str = "phase_delta") -> DataFrame:
     """Order statistics and mean of the finite values; null without any."""
     v = F.when(~F.isnan(column) & (F.abs(column) < float("inf")), F.col(column))
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.0, 0.5, 0.9, 0.95, 0.99, 1.0)]))
     names = ("min", "p50", "p90", "p95", "p99", "max")
-    got = frames.groupBy(*KEYS).agg(q.alias("q"), F.avg(v).alias("mean"))
-    return got.select(*KEYS, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)], "mean")
+    rows = frames.select(*KEYS, v.alias("_v"))
+    got = selection.percentiles(rows, "_v", [0.0, 0.5, 0.9, 0.95, 0.99, 1.0], KEYS).drop("n")
+    return got.join(rows.groupBy(*KEYS).agg(F.avg("_v").alias("mean")), KEYS).select(*KEYS, *[F.get("percentiles", F.lit(i)).alias(n) for i, n in enumerate(names)], "mean")
 
 
 def flagged_spans(frames: DataFrame, flag: str, frame_rate_hz: float) -> DataFrame:

@@ -109,7 +109,7 @@ def phase_series(features: DataFrame, bins: DataFrame, limit: float = 1.5) -> Da
     """``(session_id, frame_idx, phase)``: angle of the mean phasor at each session's bin, unwrapped and clipped."""
     at = features.select("session_id", "frame_idx", "mean_re", "mean_im").join(bins.select("session_id", "bin_idx"), "session_id")
     angle = at.select("session_id", "frame_idx", series.phase(F.get("mean_re", F.col("bin_idx")), F.get("mean_im", F.col("bin_idx"))).alias("angle"))
-    whole = series.unwrap(angle, "angle", "unwrapped", ["session_id"], "frame_idx")
+    whole = series.unwrap(angle, "angle", "unwrapped", ["session_id"], "frame_idx", keep=True)
     return series.impulse_clip(whole, "unwrapped", "phase", ["session_id"], "frame_idx", limit).select("session_id", "frame_idx", "phase")
 
 

@@ -62,3 +62,24 @@ def slices(grid: DataFrame, series: DataFrame, column: str = "phase") -> DataFra
     """Cuts each window out of its session's array; ``series(session_id, <column>)`` has one row per session."""
     cut = F.slice(F.col(column), (F.col("start_frame") + 1).cast("int"), (F.col("end_frame") - F.col("start_frame")).cast("int"))
     return grid.join(series.select("session_id", column), "session_id").withColumn(column, cut)
+
+
+def assemble(grid: DataFrame, frames: DataFrame, column: str = "phase", bucket: int = 256, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
+    """Each window of the grid with the array of its frames' values, from ``frames(keys, frame_idx, <column>)``.
+
+    Frames are packed into buckets of ``bucket`` indices, windows ask for the buckets that they touch, and both meet by (keys, bucket);
+    what a window got is put in order and cut to its bounds. So no row holds more than a window and two buckets, and one session's
+    windows spread over all tasks. A window that lacks frames, or has one twice, fails the query: an estimate over a gap would be
+    wrong. Windows of one session must be told apart by the grid's columns."""
+    at = F.floor(F.col("frame_idx") / F.lit(bucket)).cast("long")
+    packed = frames.groupBy(*keys, at.alias("_bucket")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", F.col(column).alias("v")))).alias("_part"))
+    first, last = F.floor(F.col("start_frame") / F.lit(bucket)), F.floor((F.col("end_frame") - 1) / F.lit(bucket))
+    asked = grid.withColumn("_bucket", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    inside = F.filter("_part", lambda x: (x["frame_idx"] >= F.col("start_frame")) & (x["frame_idx"] < F.col("end_frame")))
+    met = asked.join(packed, [*keys, "_bucket"], "left").withColumn("_part", inside)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_part"))), lambda x: x["_part"]))
+    got = met.groupBy(*grid.columns).agg(whole.alias("_whole"))
+    full = (F.size("_whole") == F.col("end_frame") - F.col("start_frame")) & (F.size(F.array_distinct(F.transform("_whole", lambda x: x["frame_idx"]))) == F.size("_whole"))
+    message = F.concat(F.lit("window of frames "), F.col("start_frame").cast("string"), F.lit(" to "), F.col("end_frame").cast("string"), F.lit(" lacks frames or has some twice"))
+    value = F.when(full, F.transform("_whole", lambda x: x["v"])).otherwise(F.raise_error(message).cast(f"array<{dict(frames.dtypes)[column]}>"))
+    return got.select(*grid.columns, value.alias(column))

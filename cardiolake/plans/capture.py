@@ -30,25 +30,25 @@ def capture_phase(features: DataFrame, g: vitals.Geometry, gate_m: tuple[float,
     return bins, vitals.phase_series(features, bins)
 
 
-def _array_at_zero(phase: DataFrame) -> DataFrame:
-    """One array per session and the absolute index of its first frame."""
-    first = phase.groupBy("session_id").agg(F.min("frame_idx").alias("first_frame"), F.count("*").alias("n"))
-    return vitals.as_arrays(phase).join(first, "session_id")
+def rates(phase: DataFrame, g: vitals.Geometry, grid: DataFrame, capture_start: float, use_eca: bool = True, bucket: int = 256) -> DataFrame:
+    """Estimates for a grid of absolute frames, with epochs. Windows are assembled from buckets of frames, so one session's windows
+    are estimated by all tasks."""
+    timed = windows.with_epochs(grid, F.lit(float(capture_start)), g.frame_rate_hz).withColumn("frame_rate_hz", F.lit(g.frame_rate_hz))
+    return vitals.estimate_windows(windows.assemble(timed, phase, "phase", bucket), g.frame_rate_hz, use_eca)
 
 
-def rates(phase: DataFrame, g: vitals.Geometry, grid: DataFrame, capture_start: float, use_eca: bool = True) -> DataFrame:
-    """Estimates for a grid of absolute frames, with epochs. The series is cut once per window; nothing is shuffled per window."""
-    series = _array_at_zero(phase)
-    timed = windows.with_epochs(grid, F.lit(float(capture_start)), g.frame_rate_hz)
-    local = timed.join(series, "session_id").withColumn("phase", F.slice("phase", (F.col("start_frame") - F.col("first_frame") + 1).cast("int"), (F.col("end_frame") - F.col("start_frame")).cast("int"))).drop("first_frame", "n")
-    return vitals.estimate_windows(local.withColumn("frame_rate_hz", F.lit(g.frame_rate_hz)), g.frame_rate_hz, use_eca)
+def in_pipeline_rates(phase: DataFrame, g: vitals.Geometry, window: int, hop: int, capture_start: float, use_eca: bool = True) -> DataFrame:
+    """Estimates for the grid that starts with each session's first frame; sessions that are too short give no row."""
+    span = phase.groupBy("session_id").agg(F.min("frame_idx").alias("first_frame"), F.count("*").alias("total_frames"))
+    grid = windows.pipeline_grid(span, window, hop).join(span.select("session_id", "first_frame"), "session_id")
+    absolute = grid.select("session_id", "window_index", *[(F.col(c) + F.col("first_frame")).alias(c) for c in ("start_frame", "end_frame")])
+    return rates(phase, g, absolute, capture_start, use_eca)
 
 
 def whole_capture_rate(phase: DataFrame, g: vitals.Geometry) -> DataFrame:
-    """One estimate over the whole series, without projecting harmonics out."""
-    s = _array_at_zero(phase)
-    one = s.select("session_id", F.lit(0).alias("window_index"), F.col("first_frame").alias("start_frame"), (F.col("first_frame") + F.col("n")).alias("end_frame"), "phase")
-    return vitals.estimate_windows(one, g.frame_rate_hz, use_eca=False)
+    """One estimate over the whole series, without projecting harmonics out: a single window as long as the capture."""
+    span = phase.groupBy("session_id").agg(F.min("frame_idx").alias("start_frame"), (F.max("frame_idx") + 1).alias("end_frame"))
+    return vitals.estimate_windows(windows.assemble(span.withColumn("window_index", F.lit(0)), phase, "phase", 4096), g.frame_rate_hz, use_eca=False)
 
 
 def agreement(estimates: DataFrame, rows: DataFrame, bucket_s: int = 5, min_pi: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -221,27 +221,47 @@ def condition_coverage(spark, sf_dir):
     return compare.condition_coverage(views.pairs(spark, sf_dir), "condition")
 
 
+CONDITIONS = list(views.LENGTHS)
+
+
+def _paired(spark, sf_dir) -> DataFrame:
+    return compare.paired_errors(views.pairs(spark, sf_dir), CONDITIONS, baseline=CONDITIONS[0])
+
+
 @query(S(PAIRS, "SELECT center_frame FROM cc"))
 def common_centers(spark, sf_dir):
-    return compare.common_centers(views.pairs(spark, sf_dir), 3)
+    return compare.common_centers(compare.center_sets(views.pairs(spark, sf_dir), CONDITIONS), CONDITIONS)
+
+
+@query(S(PAIRS, "SELECT center_frame, CAST(count(*) AS INTEGER) AS n_conditions, concat_ws(',', CASE WHEN count(*) FILTER (WHERE condition = '6h') = 0 THEN '6h' END, CASE WHEN count(*) FILTER (WHERE condition = '12h') = 0 THEN '12h' END, CASE WHEN count(*) FILTER (WHERE condition = '24h') = 0 THEN '24h' END) AS lacking FROM pa WHERE radar_hr IS NOT NULL GROUP BY 1"))
+def union_of_centers(spark, sf_dir):
+    """All centers at which any condition has an estimate, and which conditions lack one."""
+    estimated = views.pairs(spark, sf_dir).where("radar_hr IS NOT NULL")
+    return compare.all_centers(compare.center_sets(estimated, CONDITIONS), CONDITIONS)
 
 
 @query(S(PAIRS, "SELECT condition, count(*) AS n_centers, count(*) FILTER (WHERE ahet_verified) AS n_ahet, " + METRICS.format(e="err") + ", round(arg_min(err, center_frame), 6) AS first_error, round(arg_max(err, center_frame), 6) AS last_error FROM ix GROUP BY 1"))
 def paired_intersection(spark, sf_dir):
-    got = compare.paired_intersection(views.pairs(spark, sf_dir), 3)
-    return got.withColumn("first_error", F.element_at("error_vector", 1)).withColumn("last_error", F.element_at("error_vector", -1)).drop("error_vector")
+    return compare.paired_intersection(_paired(spark, sf_dir))
 
 
 @query(S(PAIRS + ", o AS (SELECT *, CASE condition WHEN '6h' THEN 0 WHEN '12h' THEN 1 ELSE 2 END AS k FROM ix)", """SELECT a.condition AS condition_a, b.condition AS condition_b, count(*) AS n_pairs, round(avg(a.err - b.err), 6) AS mean_error_diff, round(avg(abs(a.err) - abs(b.err)), 6) AS mean_abs_error_diff,
 round(median(abs(a.err) - abs(b.err)), 6) AS median_abs_error_diff, count(*) FILTER (WHERE a.ahet_verified AND b.ahet_verified) AS both_pass, count(*) FILTER (WHERE a.ahet_verified AND NOT b.ahet_verified) AS only_a_passes,
 count(*) FILTER (WHERE NOT a.ahet_verified AND b.ahet_verified) AS only_b_passes, count(*) FILTER (WHERE NOT a.ahet_verified AND NOT b.ahet_verified) AS neither_passes FROM o a JOIN o b ON a.center_frame = b.center_frame AND a.k < b.k GROUP BY ALL"""))
 def pairwise_conditions(spark, sf_dir):
-    return compare.pairwise(views.pairs(spark, sf_dir), list(views.LENGTHS)).drop("error_diff_vector")
+    return compare.pairwise(_paired(spark, sf_dir))
+
+
+@query(S(PAIRS, "SELECT condition, center_frame, row_number() OVER (PARTITION BY condition ORDER BY center_frame) AS rank, round(err + 1e-9, 6) AS error FROM ix"))
+def error_vectors(spark, sf_dir):
+    """The error vectors of all conditions over their common centers, in long form."""
+    got = compare.error_vector(_paired(spark, sf_dir))
+    return got.select("condition", "center_frame", "rank", (F.col("error") + TIE).alias("error"))
 
 
 def _errors(spark, sf_dir) -> DataFrame:
-    p = views.pairs(spark, sf_dir)
-    return p.join(compare.common_centers(p, 3), "center_frame").select("capture", F.col("condition").alias("length"), (F.col("radar_hr") - F.col("reference_pr")).alias("error"))
+    captures = views.pairs(spark, sf_dir).select("condition", "center_frame", "capture")
+    return _paired(spark, sf_dir).join(captures, ["condition", "center_frame"]).select("capture", F.col("condition").alias("length"), "error")
 
 
 def _as_lengths(df: DataFrame) -> DataFrame:

@@ -1,0 +1,113 @@
+"""Ordered series in chunks: equal to window functions and numpy, wherever chunks are cut, and without a window over a whole series."""
+
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from cardiolake.functions import series
+
+KEYS = ["session_id"]
+
+
+@pytest.fixture(scope="module")
+def walks(spark):
+    """Sessions of many chunks, with gaps between frames, exact turns, a null key and a session of one row."""
+    rng = random.Random(5)
+    rows = []
+    for name, n in (("a", 400), ("b", 77), (None, 60), ("one", 1)):
+        at, x = rng.randrange(50), 0.0
+        for i in range(n):
+            at += 1 if rng.random() < 0.9 else rng.randrange(1, 60)
+            x += rng.gauss(0, 1.4)
+            angle = (x + math.pi) % (2 * math.pi) - math.pi if i % 17 else math.pi * (-1) ** (i // 17)
+            rows.append((name, at, angle, rng.gauss(0, 1), rng.gauss(0, 1), [rng.gauss(0, 1) for _ in range(4)], [rng.gauss(0, 1) for _ in range(4)], rng.random() < 0.8))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "session_id string, frame_idx long, angle double, re double, im double, res array<double>, ims array<double>, flag boolean").cache()
+
+
+def values(df, column):
+    return {(r["session_id"], r["frame_idx"]): r[column] for r in df.collect()}
+
+
+def by_session(df, column):
+    out = {}
+    for (k, i), v in sorted(values(df, column).items(), key=lambda x: (str(x[0][0]), x[0][1])):
+        out.setdefault(k, []).append(v)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 20, 10_000])
+def test_scans_equal_windows_and_numpy_wherever_chunks_are_cut(walks, chunk):
+    cases = {
+        "unwrap": lambda c: series.unwrap(walks, "angle", "out", KEYS, "frame_idx", chunk=c),
+        "clip": lambda c: series.impulse_clip(walks, "angle", "out", KEYS, "frame_idx", chunk=c),
+        "both": lambda c: series.impulse_clip(series.unwrap(walks, "angle", "u", KEYS, "frame_idx", chunk=c, keep=True), "u", "out", KEYS, "frame_idx", chunk=c),
+        "delta": lambda c: series.phase_delta(walks, "re", "im", "out", KEYS, "frame_idx", chunk=c),
+        "before_mean": lambda c: series.phase_delta_before_mean(walks, "res", "ims", "out", KEYS, "frame_idx", chunk=c),
+    }
+    for name, make in cases.items():
+        df = make(chunk)
+        assert set(walks.columns) <= set(df.columns) and not {"_k", "_chunk"} & set(df.columns)
+        assert values(df, "out") == values(make(None), "out"), name  # to the last bit
+    angles = by_session(walks, "angle")
+    for k, u in by_session(cases["unwrap"](chunk), "out").items():
+        assert np.allclose(u, np.unwrap(angles[k]), atol=1e-9)
+    for k, y in by_session(cases["both"](chunk), "out").items():
+        d = np.diff(np.unwrap(angles[k]), prepend=np.unwrap(angles[k])[0])
+        assert np.allclose(y, np.cumsum(np.clip(d, -1.5, 1.5)), atol=1e-9)
+
+
+@pytest.mark.parametrize("chunk, half", [(1, 0), (3, 1), (5, 4), (20, 7), (16, 200), (10_000, 3)])
+def test_rolling_median_in_blocks_equals_the_mirrored_median(walks, chunk, half):
+    got = by_session(series.rolling_median(walks, "re", "out", KEYS, "frame_idx", half, chunk=chunk), "out")
+    for k, x in by_session(walks, "re").items():
+        n = len(x)
+        mirror = lambda p: x[m if (m := p % (2 * n)) < n else 2 * n - 1 - m]  # noqa: B023, E731
+        assert got[k] == [float(np.median([mirror(p) for p in range(i - half, i + half + 1)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [1, 6, 40, 10_000])
+def test_runs_across_chunks_equal_islands(walks, chunk):
+    want = []
+    for k, flags in by_session(walks, "flag").items():
+        at = sorted(i for s, i in values(walks, "flag") if s == k)
+        start = 0
+        for i in range(1, len(flags) + 1):
+            if i == len(flags) or flags[i] != flags[start]:
+                want.append((k, flags[start], at[start], at[i - 1], i - start))
+                start = i
+    got = [tuple(r) for r in series.runs(walks, "flag", KEYS, "frame_idx", chunk=chunk).select("session_id", "flag", "first", "last", "length").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    longest = {r["session_id"]: (r["longest_true"], r["longest_false"]) for r in series.longest_runs(walks, "flag", KEYS, "frame_idx", chunk=chunk).collect()}
+    assert longest == {k: tuple(max([n for s, f, _, _, n in want if s == k and f is v], default=0) for v in (True, False)) for k in ("a", "b", None, "one")}
+
+
+def test_no_window_over_a_whole_series_and_one_pass_over_the_input(spark):
+    """Only chunk rows meet per series; the rows themselves are shuffled once, also for two scans in a row."""
+    from collections.abc import Iterator
+
+    def touch(batches: Iterator) -> Iterator:
+        yield from batches
+
+    raw = spark.range(0, 20_000).select(F.lit("s").alias("session_id"), F.col("id").alias("frame_idx"), F.sin("id").alias("angle")).mapInArrow(touch, "session_id string, frame_idx long, angle double")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = series.impulse_clip(series.unwrap(raw, "angle", "u", KEYS, "frame_idx", chunk=1000, keep=True), "u", "out", KEYS, "frame_idx", chunk=1000)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("Initial Plan")[0]
+        windows = [x for x in final.splitlines() if re.search(r"Window \[", x)]
+        assert windows and all("_chunk" in x for x in windows)
+        assert final.count("MapInArrow") == 1 and final.count("ReusedExchange") >= 3
+        sizes = df.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+        assert max(r["count"] for r in sizes) < 15_000
+    finally:
+        for k in settings:
+            spark.conf.unset(k)

@@ -168,3 +168,24 @@ def test_provenance(tmp_path):
     (tmp_path / "f").write_text("x")
     got = sinks.provenance(str(tmp_path), ["f", "g"], {"k": 1})
     assert got["sources"]["g"] == "missing" and len(got["sources"]["f"]) == 64 and got["commit"] is None and got["config"] == {"k": 1}
+
+
+def test_windows_from_buckets_equal_slices(spark):
+    """No row is longer than a window; results equal those of one array per session, for any bucket."""
+    rows = [(s, 20 + i, float(100 * k + i)) for k, s in enumerate(("a", "b")) for i in range(500)]
+    frames = spark.createDataFrame(rows, "session_id string, frame_idx long, phase double").repartition(5)
+    whole = spark.createDataFrame([(s, [0.0] * 20 + [x for t, _, x in rows if t == s]) for s in ("a", "b")], "session_id string, phase array<double>")
+    grid = windows.sliding_grid(spark.createDataFrame([("a", 520), ("b", 519)], "session_id string, total_frames long"), 100, 30, 20)
+    want = {(r["session_id"], r["window_index"]): r["phase"] for r in windows.slices(grid, whole).collect()}
+    for bucket in (1, 7, 100, 256, 100_000):
+        got = windows.assemble(grid, frames, "phase", bucket)
+        assert {(r["session_id"], r["window_index"]): r["phase"] for r in got.collect()} == want and got.columns == [*grid.columns, "phase"]
+
+
+def test_windows_with_gaps_or_repeated_frames_fail(spark):
+    frames = spark.createDataFrame([("a", i, 1.0) for i in range(60) if i != 33] + [("a", 5, 1.0)], "session_id string, frame_idx long, phase double")
+    at = lambda a, b: spark.createDataFrame([("a", 0, a, b)], "session_id string, window_index int, start_frame long, end_frame long")
+    assert len(windows.assemble(at(10, 30), frames, "phase", 8).first()["phase"]) == 20
+    for a, b in ((30, 40), (0, 10), (50, 70), (200, 210)):
+        with pytest.raises(Exception, match="lacks frames"):
+            windows.assemble(at(a, b), frames, "phase", 8).collect()

@@ -38,7 +38,7 @@ def test_sessions_fail_alone_and_say_why(spark):
     facts = {(r["session_id"], r["name"]): r["value"] for r in attributes.collect()}
     assert facts["a", "motion_spike_bin"] == "2" and facts["a", "snr_skipped"] == "false" and ("a", "snr_skip_reason") not in facts
     assert facts["b", "motion_spike_skip_reason"] == "locked bin 9 is out of range" and facts["c", "snr_skip_reason"] == "locked bin is no whole number: x" and facts["d", "snr_skip_reason"] == "no locked bin"
-    assert facts["a", "motion_spike_factor"] == "3.0" and facts["a", "subject_bin_dropout_energy_source"] == "motion_spike" and facts["c", "trim_frames"] == "3"
+    assert facts["a", "motion_spike_factor"] == "3.0" and facts["a", "subject_bin_dropout_energy_source"] == "reused_subject_bin_energy" and facts["c", "trim_frames"] == "3"
 
 
 def test_configured_bins_win_and_must_exist(spark):
@@ -47,8 +47,35 @@ def test_configured_bins_win_and_must_exist(spark):
     assert {r["value"] for r in attributes.where("name = 'snr_bin'").collect()} == {"1"} and frames.where("snr_flagged").count() == 12 * 3 + 9
     with pytest.raises(Exception, match="configured bin 7"):
         quality.all_sessions(features(spark), manifest(spark), {"snr": {"bin": 7}})[0].collect()
-    with pytest.raises(ValueError, match="same bin"):
-        quality.quality_mask(features(spark), {"motion_spike": {"bin": 1}, "subject_bin_dropout": {"bin": 2}})
+    with pytest.raises(ValueError, match="needs a bin"):
+        quality.quality_mask(features(spark), {"subject_bin_dropout": {}})
+
+
+def test_dropout_reuses_the_spike_checks_energy(spark):
+    """Reused energy needs no bin of the check's own; without it the own bin counts, and only then must it exist."""
+    drop = {"subject_bin_dropout": {"fraction": 0.2, "half_window": 2}}
+    both = {"motion_spike": {"bin": 2, "factor": 3.0, "half_window": 2}, **drop}
+    assert quality.energy_source(both) == quality.REUSED and quality.energy_source(drop) == quality.COMPUTED and quality.energy_source({"snr": {}}) is None
+    # a bin for the spike check alone; and one of another bin for the dropout check, which isn't looked at
+    for checks in (both, {**both, "subject_bin_dropout": {"bin": 77, **drop["subject_bin_dropout"]}}):
+        one = quality.quality_mask(features(spark), checks)
+        assert {r["subject_bin_energy"] for r in one.collect()} == {10.0, 100.0} and one.where("subject_bin_dropout_flagged IS NULL").count() == 0
+        frames, attributes, _ = quality.all_sessions(features(spark), manifest(spark), checks)
+        facts = {(r["session_id"], r["name"]): r["value"] for r in attributes.collect()}
+        for s in "abcd":
+            assert facts[s, "subject_bin_dropout_energy_source"] == "reused_subject_bin_energy" and facts[s, "subject_bin_dropout_skipped"] == "false" and (s, "subject_bin_dropout_bin") not in facts
+        assert frames.where("subject_bin_dropout_flagged IS NULL").count() == 0
+    # the spike check skipped (no locked bin): the dropout check falls back on its own bin, and the spike's flag stays unknown
+    own = {"motion_spike": {"factor": 3.0, "half_window": 2}, "subject_bin_dropout": {"bin": 1, "fraction": 0.2, "half_window": 2}}
+    frames, attributes, _ = quality.all_sessions(features(spark), manifest(spark), own)
+    facts = {(r["session_id"], r["name"]): r["value"] for r in attributes.collect()}
+    assert facts["a", "subject_bin_dropout_energy_source"] == "reused_subject_bin_energy" and facts["d", "subject_bin_dropout_energy_source"] == "computed_fallback" and facts["d", "subject_bin_dropout_bin"] == "1"
+    assert {r["motion_spike_flagged"] for r in frames.where("session_id = 'd'").collect()} == {None} and frames.where("session_id = 'd' AND subject_bin_energy = 1.0").count() == 12
+    none = {"motion_spike": {"factor": 3.0, "half_window": 2}, **drop}
+    facts = {(r["session_id"], r["name"]): r["value"] for r in quality.all_sessions(features(spark), manifest(spark), none)[1].collect()}
+    assert facts["d", "subject_bin_dropout_skipped"] == "true" and facts["d", "subject_bin_dropout_skip_reason"] == "no locked bin" and ("d", "subject_bin_dropout_energy_source") not in facts
+    with pytest.raises(Exception, match="configured bin 77"):
+        quality.all_sessions(features(spark), manifest(spark), {"subject_bin_dropout": {"bin": 77}})[0].collect()
 
 
 def test_bin_resolution_equals_the_scalar_rule(spark):
