@@ -10,17 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: A sketch's ranks are off by ``n / ACCURACY`` at most.
 ACCURACY = 10_000
 
 
-def percentiles(df: DataFrame, column: str, fractions: list[float], keys: list[str], accuracy: int = ACCURACY) -> DataFrame:
+def percentiles(df: DataFrame, column: str, fractions: list[float], keys: list[str], accuracy: int = ACCURACY, scan: bool = False) -> DataFrame:
     """``(keys, n, percentiles)``: per group the number of its values and the linearly interpolated percentiles, as ``percentile`` gives
     them: nulls don't count, NaN ranks above all numbers, -0 equals 0. A group without values has ``n`` 0 and nulls. Groups with
-    null keys are kept."""
+    null keys are kept. Keys and values are written once, as they are read twice; not where ``df`` is a ``scan`` of a table."""
     if any(not 0 <= f <= 1 for f in fractions) or not fractions:
         raise ValueError("fractions lie between 0 and 1")
     rows = df.select(F.struct(*[F.col(k) for k in keys], F.lit(0).alias("_")).alias("_k"), (F.col(column).cast("double") + 0.0).alias("_v"))
+    if not scan:
+        rows = written(rows, "values")
     # for the sketch, NaN lies with infinity; counts tell them apart later
     place, number = F.when(F.isnan("_v"), F.lit(float("inf"))).otherwise(F.col("_v")), F.when(~F.isnan("_v"), F.col("_v"))
     slack = 2.0 / accuracy

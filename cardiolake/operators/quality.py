@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import selection, series
+from ..session import written
 
 TINY = 1e-12
 KEYS, ORDER = ["session_id"], "frame_idx"
@@ -38,7 +39,7 @@ def clipping(frames: DataFrame, options: dict) -> DataFrame:
 @hard("dead")
 def dead(frames: DataFrame, options: dict) -> DataFrame:
     """Energy below a share of the session's median."""
-    median = selection.percentiles(frames, "frame_energy", [0.5], KEYS).select(*[F.col(k).alias(f"_s_{k}") for k in KEYS], F.get("percentiles", F.lit(0)).alias("_median"))
+    median = selection.percentiles(frames, "frame_energy", [0.5], KEYS, scan=True).select(*[F.col(k).alias(f"_s_{k}") for k in KEYS], F.get("percentiles", F.lit(0)).alias("_median"))
     rows = frames.join(median, F.col(KEYS[0]).eqNullSafe(F.col(f"_s_{KEYS[0]}")), "left").drop(f"_s_{KEYS[0]}")
     return rows.withColumn("dead_flagged", F.col("frame_energy") < F.col("_median") * options.get("fraction", 0.01)).drop("_median")
 
@@ -183,8 +184,9 @@ def resolve_bins(sessions: DataFrame, checks: dict[str, dict]) -> DataFrame:
 def quality_mask(frames: DataFrame, checks: dict[str, dict]) -> DataFrame:
     """Adds every configured detector's columns and ``quality_mask`` (true: good). Hard checks always count; a soft check is
     computed when configured and counts when ``enabled``. A flag that could not be computed (a skipped check, a frame without
-    the feature) is null and counts as good, as in a session without that check."""
-    bad = []
+    the feature) is null and counts as good, as in a session without that check. Detectors look at a session's frames in several ways (its
+    median, the frames around, the frame before), so the frames are written once first."""
+    frames, bad = written(frames, "frames"), []
     for name, f in HARD.items():
         frames = f(frames, checks.get(name, {}))
         bad.append(F.col(f"{name}_flagged"))

@@ -12,10 +12,10 @@ def _whole(**values: int) -> None:
             raise ValueError(f"{name} must be a whole number, not {v!r}")
 
 
-def sliding_grid(sessions: DataFrame, window: int, hop: int, trim: int) -> DataFrame:
+def sliding_grid(sessions: DataFrame, window: int, hop: int, trim: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(session_id, window_index, start_frame, end_frame)``: starts ``trim, trim + hop, ...`` while the window fits.
 
-    ``sessions(session_id, total_frames)``. Ends are exclusive; frames are absolute. ``trim`` must be positive and every
+    ``sessions(session_id, total_frames)``; further columns named in ``keep`` go along. Ends are exclusive; frames are absolute. ``trim`` must be positive and every
     session must hold one full window, else the query fails."""
     _whole(window=window, hop=hop, trim=trim)
     if window <= 0 or hop <= 0 or trim <= 0:
@@ -23,7 +23,7 @@ def sliding_grid(sessions: DataFrame, window: int, hop: int, trim: int) -> DataF
     room = F.col("total_frames") - F.lit(trim + window)
     checked = F.when(room >= 0, room).otherwise(F.raise_error(F.concat(F.lit("no full window in session "), F.col("session_id").cast("string"))).cast("bigint"))
     at = F.posexplode(F.sequence(F.lit(trim).cast("long"), F.lit(trim) + checked, F.lit(hop).cast("long")))
-    return sessions.select("session_id", at.alias("window_index", "start_frame")).withColumn("end_frame", F.col("start_frame") + window)
+    return sessions.select("session_id", *keep, at.alias("window_index", "start_frame")).withColumn("end_frame", F.col("start_frame") + window)
 
 
 def pipeline_grid(sessions: DataFrame, window: int, hop: int) -> DataFrame:
@@ -34,7 +34,7 @@ def pipeline_grid(sessions: DataFrame, window: int, hop: int) -> DataFrame:
     return fits.select("session_id", at.alias("window_index", "start_frame")).withColumn("end_frame", F.col("start_frame") + window)
 
 
-def common_center_grid(sessions: DataFrame, lengths: list[int], spacing: int, first_center: int, trim: int) -> DataFrame:
+def common_center_grid(sessions: DataFrame, lengths: list[int], spacing: int, first_center: int, trim: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(session_id, window_frames, window_index, center_frame, start_frame, end_frame)`` for centers at which windows of
     all lengths fit between ``trim`` and the end of the session."""
     _whole(spacing=spacing, first_center=first_center, trim=trim, **{f"length {x}": x for x in lengths})
@@ -46,10 +46,10 @@ def common_center_grid(sessions: DataFrame, lengths: list[int], spacing: int, fi
     last = F.col("total_frames") - half
     checked = F.when(last >= first_center, last).otherwise(F.raise_error(F.lit("no center supports all lengths")).cast("bigint"))
     at = F.posexplode(F.sequence(F.lit(first_center).cast("long"), checked, F.lit(spacing).cast("long")))
-    centers = sessions.select("session_id", at.alias("window_index", "center_frame"))
+    centers = sessions.select("session_id", *keep, at.alias("window_index", "center_frame"))
     grid = centers.withColumn("window_frames", F.explode(F.array(*[F.lit(x) for x in lengths])))
     start = F.col("center_frame") - F.expr("window_frames div 2")
-    return grid.select("session_id", "window_frames", "window_index", "center_frame", start.alias("start_frame"), (start + F.col("window_frames")).alias("end_frame"))
+    return grid.select("session_id", *keep, "window_frames", "window_index", "center_frame", start.alias("start_frame"), (start + F.col("window_frames")).alias("end_frame"))
 
 
 def with_epochs(grid: DataFrame, capture_start: Column, frame_rate_hz: float) -> DataFrame:

@@ -38,7 +38,8 @@ def query(sql: str | None = None):
     return add
 
 
-EVENTS = """ev AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_utc, event_type, user_id, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events)"""
+EVENTS = """ev AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch_utc, event_type, user_id, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events),
+sn AS (SELECT min(epoch_utc) // 86400 * 86400 AS o, 24 * ((max(epoch_utc) - min(epoch_utc) // 86400 * 86400) // 86400 + 1) AS hh FROM ev)"""
 STREAM = EVENTS + """, st AS (SELECT event_id, epoch_utc, value AS pr_bpm, value / 4 AS rr_bpm, k / 50 AS pi, user_id AS session FROM ev)"""
 # round half to even at one decimal, as the stream's merge does
 EVEN = lambda x: f"(CASE WHEN abs({x} * 10 - floor({x} * 10) - 0.5) < 1e-9 THEN 2 * round({x} * 5) / 10 ELSE round({x}, 1) END)"
@@ -47,14 +48,14 @@ MERGED = STREAM + f""", me AS (SELECT epoch_utc, round_even(avg(pr_bpm), 1) AS p
 
 def gated(hours: int = 6) -> str:
     """CTEs of sliding windows of some hours, a hop of one hour, with the gated reference."""
-    return MERGED + f""", w AS (SELECT i AS window_index, 1 + i AS start_frame, {1 + hours} + i AS end_frame, CAST(1704067200 + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(1704067200 + ({1 + hours} + i) * 3600 AS DOUBLE) AS end_epoch FROM range(0, {720 - hours}) t(i)), g AS (
+    return MERGED + f""", w AS (SELECT i AS window_index, 1 + i AS start_frame, {1 + hours} + i AS end_frame, CAST(o + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(o + ({1 + hours} + i) * 3600 AS DOUBLE) AS end_epoch FROM (SELECT o, unnest(range(0, hh - {hours})) AS i FROM sn)), g AS (
   SELECT window_index, start_epoch, coalesce(avg(pr_bpm) FILTER (WHERE pi >= 0.5), avg(pr_bpm)) AS pr_bpm_mean, coalesce(stddev_pop(pr_bpm) FILTER (WHERE pi >= 0.5), stddev_pop(pr_bpm)) AS pr_bpm_std,
          avg(rr_bpm) AS rr_bpm_mean, count(epoch_utc) AS n_total, count(*) FILTER (WHERE pi >= 0.5) AS n_good_pi, count(*) FILTER (WHERE pi >= 0.5) < 0.8 * count(epoch_utc) AS low_quality
   FROM w LEFT JOIN me ON epoch_utc >= start_epoch AND epoch_utc < end_epoch GROUP BY ALL)"""
 
 
 GATED = gated()
-PAIRS = EVENTS + """, cw AS (SELECT c AS center_frame, n AS condition, 1704067200 + (c - h / 2) * 3600 AS s, 1704067200 + (c + h / 2) * 3600 AS e FROM range(12, 709) t(c), (VALUES ('6h', 6), ('12h', 12), ('24h', 24)) l(n, h)),
+PAIRS = EVENTS + """, cw AS (SELECT c AS center_frame, n AS condition, o + (c - h / 2) * 3600 AS s, o + (c + h / 2) * 3600 AS e FROM (SELECT o, unnest(range(12, hh - 11)) AS c FROM sn), (VALUES ('6h', 6), ('12h', 12), ('24h', 24)) l(n, h)),
 pa AS (SELECT condition, center_frame, 'cap' || CAST((center_frame // 24) % 3 AS VARCHAR) AS capture, avg(value) FILTER (WHERE event_type = 'click') AS radar_hr, avg(value) FILTER (WHERE event_type = 'view') AS reference_pr,
        count(*) FILTER (WHERE event_type = 'click') >= 2 AS ahet_verified
   FROM cw LEFT JOIN ev ON epoch_utc >= s AND epoch_utc < e GROUP BY ALL),
@@ -91,7 +92,7 @@ CHECKS = {
     "clip": {"full_scale": 0.35}, "dead": {"fraction": 0.8}, "rx_imbalance": {"enabled": True, "max_ratio": 1.8}, "motion_spike": {"enabled": True, "bin": 2, "factor": 1.6, "half_window": 3},
     "subject_bin_dropout": {"bin": 2, "fraction": 0.5, "half_window": 3}, "snr": {"bin": 2, "guard": 1, "min_snr": 0.8}, "phase_jump": {"threshold_rad": 1.5},
 }
-HOURLY = EVENTS + """, hh AS (SELECT h AS hour, coalesce(sum(value), 0.0) AS v FROM range(0, 720) t(h) LEFT JOIN ev ON (epoch_utc - 1704067200) // 3600 = h GROUP BY 1),
+HOURLY = EVENTS + """, hh AS (SELECT h AS hour, coalesce(sum(value), 0.0) AS v FROM (SELECT o, unnest(range(0, hh)) AS h FROM sn) LEFT JOIN ev ON (epoch_utc - o) // 3600 = h GROUP BY 1),
 dy AS (SELECT hour // 24 AS day, hour % 24 AS i, v * (0.5 - 0.5 * cos(2 * pi() * (hour % 24) / 23)) AS x FROM hh),
 sp AS (SELECT day, k, sqrt(pow(sum(x * cos(2 * pi() * k * i / 24)), 2) + pow(sum(x * sin(2 * pi() * k * i / 24)), 2)) AS m FROM dy, range(0, 13) u(k) GROUP BY ALL)"""
 
@@ -123,7 +124,7 @@ def interval_crop(spark, sf_dir):
 
 @query(S(GATED, "SELECT window_index, round(pr_bpm_mean, 6) AS pr_bpm_mean, round(pr_bpm_std, 6) AS pr_bpm_std, round(rr_bpm_mean, 6) AS rr_bpm_mean, n_total, n_good_pi, low_quality FROM g"))
 def interval_join_gated_stats(spark, sf_dir):
-    return reference.window_reference(views.hour_windows(spark), views.merged(spark, sf_dir), ["window_index"], 3600).drop("rr_bpm_gated")
+    return reference.window_reference(views.hour_windows(spark, sf_dir), views.merged(spark, sf_dir), ["window_index"], 3600).drop("rr_bpm_gated")
 
 
 @query(S(STREAM + ", o AS (SELECT *, row_number() OVER (PARTITION BY epoch_utc ORDER BY event_id) AS k FROM st), f AS (SELECT * FROM o WHERE k = 1)", """
@@ -135,7 +136,7 @@ def reference_summary(spark, sf_dir):
 
 def _estimates(spark, sf_dir, hours: int = 6) -> DataFrame:
     """Windows with an estimate (mean of one event type) joined to the gated reference."""
-    w = views.hour_windows(spark, hours)
+    w = views.hour_windows(spark, sf_dir, hours)
     e = views.events(spark, sf_dir).where("event_type = 'click'").select("epoch_utc", "value")
     hr = reference.interval_join(w, e, 3600).groupBy("window_index", "start_frame", "end_frame").agg(F.avg("value").alias("hr_bpm"), F.count("value").alias("n_click"))
     ref = reference.window_reference(w, views.merged(spark, sf_dir), ["window_index"], 3600)
@@ -197,14 +198,14 @@ def nan_safe_json(spark, sf_dir):
 # -- grids ----------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'all' AS session_id, i AS window_index, CAST(1 + i AS BIGINT) AS start_frame, CAST(7 + i AS BIGINT) AS end_frame, CAST(1704067200 + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(1704067200 + (7 + i) * 3600 AS DOUBLE) AS end_epoch FROM range(0, 714) t(i)")
+@query(S(EVENTS, "SELECT 'all' AS session_id, CAST(i AS INTEGER) AS window_index, CAST(1 + i AS BIGINT) AS start_frame, CAST(7 + i AS BIGINT) AS end_frame, CAST(o + (1 + i) * 3600 AS DOUBLE) AS start_epoch, CAST(o + (7 + i) * 3600 AS DOUBLE) AS end_epoch FROM (SELECT o, unnest(range(0, hh - 6)) AS i FROM sn)"))
 def sliding_window_grid(spark, sf_dir):
-    return views.hour_windows(spark)
+    return views.hour_windows(spark, sf_dir)
 
 
-@query("SELECT 'all' AS session_id, h AS window_frames, c - 12 AS window_index, c AS center_frame, c - h // 2 AS start_frame, c + h - h // 2 AS end_frame FROM range(12, 709) t(c), (VALUES (6), (12), (24)) l(h)")
+@query(S(EVENTS, "SELECT 'all' AS session_id, h AS window_frames, CAST(c - 12 AS INTEGER) AS window_index, c AS center_frame, c - h // 2 AS start_frame, c + h - h // 2 AS end_frame FROM (SELECT unnest(range(12, hh - 11)) AS c FROM sn), (VALUES (6), (12), (24)) l(h)"))
 def common_center_grid(spark, sf_dir):
-    return windows.common_center_grid(views.session(spark), [6, 12, 24], 1, 12, 0)
+    return windows.common_center_grid(views.span(spark, sf_dir), [6, 12, 24], 1, 12, 0)
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS session_id, i AS window_index, 2 * i AS start_frame, 2 * i + 4 AS end_frame FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 4), range(0, 200) t(i) WHERE 2 * i + 4 <= n")
@@ -464,10 +465,10 @@ def spectral_peaks(spark, sf_dir):
 
 @query()
 def estimated_rates(spark, sf_dir):
-    """Breathing and heart rates of sliding windows over the hourly signal, read as a 20 Hz phase."""
-    h = views.hourly(spark, sf_dir).select(F.lit("all").alias("session_id"), F.col("hour").alias("frame_idx"), (F.col("v") / 1000).alias("phase"))
-    grid = windows.sliding_grid(views.session(spark), 300, 100, 20)
-    got = vitals.estimate_windows(windows.slices(grid, vitals.as_arrays(h)), 20.0)
+    """Breathing and heart rates of sliding windows over each event type's hourly signal, read as a 20 Hz phase."""
+    h = views.hourly(spark, sf_dir, "event_type").select(F.col("event_type").alias("session_id"), F.col("hour").alias("frame_idx"), (F.col("v") / 1000).alias("phase"))
+    sessions = h.groupBy("session_id").agg(F.count("*").alias("total_frames"))
+    got = vitals.estimate_windows(windows.assemble(windows.sliding_grid(sessions, 300, 100, 20), h), 20.0)
     return got.select("session_id", "window_index", "start_frame", "end_frame", "rr_bpm", "hr_bpm", "heart_spectrum_stage", "ahet_verified", "harmonic_suspect", "f_r_outlier")
 
 

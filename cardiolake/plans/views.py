@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import reference, vitals, windows
 
-START = 1_704_067_200  # 2024-01-01, UTC
-HOURS = 720
 LENGTHS = {"6h": 6, "12h": 12, "24h": 24}
 #: A vector of 64 components is a frame of 32 complex samples, in parts of 1024 (whose squares doubles hold exactly).
 GEOMETRY = vitals.Geometry(chirps=2, rx=2, samples=8, range_resolution_m=0.25)
@@ -34,21 +32,25 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference.merge_duplicates(stream(spark, sf_dir), ["pr_bpm", "rr_bpm", "pi"], ["session"], "event_id")
 
 
-def session(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("all", HOURS)], "session_id string, total_frames long")
+def span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(session_id, origin, total_frames)``: the events as one session of hourly frames, from the first event's day (as an epoch) to the
+    end of the last one's."""
+    day, got = 86_400, events(spark, sf_dir).agg(F.min("epoch_utc").alias("first"), F.max("epoch_utc").alias("last"))
+    origin = F.floor(F.col("first") / day).cast("long") * day
+    return got.select(F.lit("all").alias("session_id"), origin.alias("origin"), (24 * (F.floor((F.col("last") - origin) / day) + 1)).cast("long").alias("total_frames")).where("origin IS NOT NULL")
 
 
-def hour_windows(spark: SparkSession, hours: int = 6) -> DataFrame:
+def hour_windows(spark: SparkSession, sf_dir: str, hours: int = 6) -> DataFrame:
     """Sliding windows with a hop of an hour; a frame is an hour."""
-    grid = windows.sliding_grid(session(spark), hours, 1, 1)
-    return windows.with_epochs(grid, F.lit(float(START)), 1 / 3600)
+    grid = windows.sliding_grid(span(spark, sf_dir), hours, 1, 1, keep=("origin",))
+    return windows.with_epochs(grid, F.col("origin").cast("double"), 1 / 3600).drop("origin")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per condition and center: an estimate from one type of events, the reference from another, and a mark."""
-    grid = windows.common_center_grid(session(spark), list(LENGTHS.values()), 1, 12, 0)
+    grid = windows.common_center_grid(span(spark, sf_dir), list(LENGTHS.values()), 1, 12, 0, keep=("origin",))
     names = F.create_map(*[F.lit(x) for n, h in LENGTHS.items() for x in (h, n)])
-    w = windows.with_epochs(grid, F.lit(float(START)), 1 / 3600).withColumn("condition", names[F.col("window_frames")])
+    w = windows.with_epochs(grid, F.col("origin").cast("double"), 1 / 3600).drop("origin").withColumn("condition", names[F.col("window_frames")])
     e = events(spark, sf_dir).select("epoch_utc", "event_type", "value")
     j = reference.interval_join(w, e, 3600)
     radar = F.col("event_type") == "click"
@@ -71,7 +73,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The frames as a capture holds them: packets ``[I0, I1, Q0, Q1]`` of little-endian 16-bit words."""
     def word(x):
-        v = F.pmod(F.round(x * UNIT).cast("int"), F.lit(65536))
+        v = F.round(x * UNIT).cast("int")
+        fits = v.between(-32768, 32767)
+        v = F.when(fits | v.isNull(), F.pmod(v, F.lit(65536))).otherwise(F.raise_error(F.lit("a component doesn't fit into 16 bits")).cast("int"))
         return F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.shiftright(v, 8)), 2, "0"))
 
     pair = lambda c, i: F.concat(word(F.get(c, 2 * i)), word(F.get(c, 2 * i + 1)))
@@ -93,7 +97,12 @@ def phasors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.withColumn("angle", F.atan2("im", "re"))
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(hour, v)``: summed values of each hour, 720 of them, 0 where nothing happened."""
-    h = events(spark, sf_dir).groupBy(F.floor((F.col("epoch_utc") - START) / 3600).cast("long").alias("hour")).agg(F.sum("value").alias("v"))
-    return spark.range(HOURS).withColumnRenamed("id", "hour").join(h, "hour", "left").fillna(0.0, ["v"])
+def hourly(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """``(keys, hour, v)``: summed values of each hour of the span, 0 where nothing happened; with ``keys`` of the events, for each of their
+    values."""
+    every = span(spark, sf_dir).select("origin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("hour"))
+    e = events(spark, sf_dir)
+    some = e.select(*keys).distinct().crossJoin(F.broadcast(every)) if keys else every  # a span has some hundred hours
+    wanted = some.withColumn("bucket", F.floor((F.col("origin") + 3600 * F.col("hour")) / 3600).cast("long"))
+    sums = e.groupBy(*keys, F.floor(F.col("epoch_utc") / 3600).cast("long").alias("bucket")).agg(F.sum("value").alias("v"))
+    return wanted.join(sums, [*keys, "bucket"], "left").select(*keys, "hour", F.coalesce("v", F.lit(0.0)).alias("v"))

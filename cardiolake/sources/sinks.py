@@ -53,14 +53,6 @@ def write_sessions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
 
 
-def write_store(frames: DataFrame, attributes: DataFrame, path: str) -> None:
-    """A store of frames (cubes or quality) with an attributes table ``(session_id, name, value)``; both replace only the sessions that
-    they hold. Frames go in order, in groups of rows that stay small."""
-    ordered = frames.repartition("session_id").sortWithinPartitions("session_id", "frame_idx")
-    for df, name in ((ordered, "frames"), (attributes, "attributes")):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", 16 << 20).partitionBy("session_id").parquet(f"{path}/{name}")
-
-
 def append_log(lines: DataFrame, path: str) -> None:
     """Adds text rows to a log, which is a folder of text files."""
     lines.write.mode("append").text(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reference
+from . import store
 
 # header of the monitor's export -> column (fixed names of the file format)
 REFERENCE_COLUMNS = {
@@ -66,14 +67,13 @@ def comparison_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_frames(spark: SparkSession, path: str, trim_frames: int = 0, sessions: list[str] | None = None) -> DataFrame:
-    """Frames of a store from ``trim_frames`` on; the trim and the sessions reach the scan."""
-    rows = spark.read.parquet(f"{path}/frames").withColumn("session_id", F.col("session_id").cast("string")).where(F.col("frame_idx") >= trim_frames)
-    return rows.where(F.col("session_id").isin(sessions)) if sessions is not None else rows
+    """Frames of a store from ``trim_frames`` on, as of its last commit; the trim and the sessions reach the scan."""
+    return store.read(spark, path, "frames", sessions).where(F.col("frame_idx") >= trim_frames)
 
 
 def read_attributes(spark: SparkSession, path: str) -> DataFrame:
     """``(session_id, name, value)`` of a store."""
-    return spark.read.parquet(f"{path}/attributes").select(F.col("session_id").cast("string").alias("session_id"), "name", "value")
+    return store.read(spark, path, "attributes")
 
 
 def stored_metric(spark: SparkSession, path: str, metric: str = "subject_bin_energy", flag: str = "motion_spike_flagged", settings: dict[str, str] | None = None) -> DataFrame:

@@ -3,9 +3,10 @@
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from cardiolake.operators import compare, evidence, quality, study
-from cardiolake.sources import sinks, tables
+from cardiolake.sources import sinks, store, tables
 from tests.test_signal_and_quality import windows_of
 
 FRAME = "session_id string, frame_idx long, max_abs_adc double, frame_energy double, rx_energy array<double>, bin_energy array<double>, phasor_re array<double>, phasor_im array<double>"
@@ -88,8 +89,8 @@ def test_bin_resolution_equals_the_scalar_rule(spark):
 def test_store_replaces_sessions_and_reads_back(spark, tmp_path):
     frames, attributes, _ = quality.all_sessions(features(spark), manifest(spark), CHECKS)
     path = str(tmp_path / "store")
-    sinks.write_store(frames, attributes, path)
-    sinks.write_store(frames.where("session_id = 'a' AND frame_idx < 8"), attributes.where("session_id = 'a'"), path)
+    store.write_store(frames, attributes, path)
+    store.write_store(frames.where("session_id = 'a' AND frame_idx < 8"), attributes.where("session_id = 'a'"), path)
     assert {(r["session_id"], r["count"]) for r in tables.read_frames(spark, path).groupBy("session_id").count().collect()} == {("a", 8), ("b", 12), ("c", 9), ("d", 12)}
     late = tables.read_frames(spark, path, trim_frames=5, sessions=["a"])
     assert late.count() == 3 and "GreaterThanOrEqual(frame_idx,5)" in late._jdf.queryExecution().executedPlan().toString().replace(" ", "")
@@ -172,3 +173,74 @@ def test_run_records(spark, tmp_path, capsys):
     assert got["dirty"] and "+changed: 1" in got["diff"] and "list.yaml" in got["untracked"]
     got["config"]["gate"]["low"] = 9
     assert config["gate"]["low"] == 0.5
+
+
+# stores with one commit
+
+
+def stored(spark, sessions, mark, n=5):
+    frames = spark.createDataFrame([(s, i, mark) for s in sessions for i in range(n)], "session_id string, frame_idx long, mark string")
+    return frames, spark.createDataFrame([(s, "mark", mark) for s in sessions], "session_id string, name string, value string")
+
+
+def state(spark, path):
+    frames = {r["session_id"]: (r["n"], r["marks"]) for r in tables.read_frames(spark, path).groupBy("session_id").agg(F.count("*").alias("n"), F.array_join(F.collect_set("mark"), ",").alias("marks")).collect()}
+    facts = {r["session_id"]: r["value"] for r in tables.read_attributes(spark, path).collect()}
+    assert {s: m for s, (_, m) in frames.items()} == facts  # never a pair of two versions
+    return frames
+
+
+def test_a_failure_between_frames_and_attributes_leaves_the_old_pair(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    with pytest.raises(FileNotFoundError):
+        tables.read_frames(spark, path)
+    store.write_store(*stored(spark, ["007", "b"], "one"), path)
+    assert state(spark, path) == {"007": (5, "one"), "b": (5, "one")}
+    frames, attributes = stored(spark, ["007"], "two", 9)
+    broken = attributes.withColumn("value", F.raise_error(F.lit("no attributes")).cast("string"))
+    with pytest.raises(Exception, match="no attributes"):
+        store.write_store(frames, broken, path)
+    assert state(spark, path) == {"007": (5, "one"), "b": (5, "one")}
+    with pytest.raises(FileNotFoundError):
+        store.commit(spark, path, "nothing")
+    assert store.write_store(frames, attributes, path) == 2
+    assert state(spark, path) == {"007": (9, "two"), "b": (5, "one")}
+    assert tables.read_frames(spark, path, 6, ["007"]).count() == 3 and tables.read_frames(spark, path, sessions=["none"]).count() == 0
+
+
+def test_two_writers_do_not_mix(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store.write_store(*stored(spark, ["a", "b", "c"], "old"), path)
+    staged = [store.stage(*stored(spark, s, m), path) for s, m in ((["a", "b"], "left"), (["b", "c"], "right"))]
+    assert state(spark, path) == dict.fromkeys("abc", (5, "old"))
+    for v in staged:
+        store.commit(spark, path, v)
+    assert state(spark, path) == {"a": (5, "left"), "b": (5, "right"), "c": (5, "right")}
+    # the same number twice, as when both looked before either wrote: one wins, the same for every reader
+    for v in (store.stage(*stored(spark, ["a"], m), path) for m in ("x", "y")):
+        (tmp_path / "s" / "commits" / f"000000000009-{v}").touch()
+    last = max(store.commits(spark, path))[1]
+    assert state(spark, path)["a"][1] == spark.read.parquet(f"{path}/versions/{last}/attributes").first()["value"]
+
+
+def test_vacuum_deletes_what_was_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    store.write_store(*stored(spark, ["a"], "one"), path)
+    store.write_store(*stored(spark, ["a", "b"], "two"), path)
+    store.stage(*stored(spark, ["a"], "never"), path)
+    before = state(spark, path)
+    assert len(store.vacuum(spark, path)) == 1 and store.vacuum(spark, path) == []
+    assert state(spark, path) == before and len(list((tmp_path / "s" / "versions").iterdir())) == 2
+
+
+def test_one_session_is_written_by_many_tasks_and_columns_may_come_later(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "RUN", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = f"file://{tmp_path}/s"
+    frames = spark.range(0, 2000).select(F.lit("a").alias("session_id"), F.col("id").alias("frame_idx"), F.lit("m").alias("mark"))
+    store.write_store(frames, stored(spark, ["a"], "m")[1], path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "s").glob("versions/*/frames/session_id=a/*.parquet"))) > 1
+    more, facts = stored(spark, ["b"], "n")
+    store.write_store(more.withColumn("extra", F.lit(1.5)), facts, path)
+    assert {(r["session_id"], r["extra"]) for r in tables.read_frames(spark, path).select("session_id", "extra").distinct().collect()} == {("a", None), ("b", 1.5)}
