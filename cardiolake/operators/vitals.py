@@ -73,8 +73,15 @@ def mean_range_energy(features: DataFrame) -> DataFrame:
     return e.groupBy("session_id", "bin_idx").agg(F.avg("e").alias("energy"))
 
 
-def in_gate(bins: DataFrame, resolution_m: float, gate: tuple[Column, Column]) -> DataFrame:
-    """Bins whose distance lies in the gate, both ends included."""
+def in_gate(bins: DataFrame, resolution_m: float, gate: tuple[Column, Column], require: bool = False) -> DataFrame:
+    """Bins whose distance lies in the gate, both ends included. With ``require``, a session without a bin in its gate fails the query
+    (else it has no row)."""
+    if require:
+        d = bins.withColumn("range_m", F.col("bin_idx") * F.lit(resolution_m)).withColumn("_in", (F.col("range_m") >= gate[0]) & (F.col("range_m") <= gate[1]))
+        message = F.concat(F.lit("no range bin lies in the gate of session "), F.coalesce(F.col("session_id").cast("string"), F.lit("null")))
+        whole = d.groupBy("session_id").agg(F.count_if("_in").alias("_n"), F.collect_list(F.when(F.col("_in"), F.struct(*[c for c in d.columns if c not in ("session_id", "_in")]))).alias("_bins"))
+        checked = F.when(F.col("_n") > 0, F.col("_bins")).otherwise(F.raise_error(message).cast(whole.schema["_bins"].dataType))
+        return whole.select("session_id", F.explode(checked).alias("_b")).select("session_id", "_b.*")
     d = bins.withColumn("range_m", F.col("bin_idx") * F.lit(resolution_m))
     return d.where((F.col("range_m") >= gate[0]) & (F.col("range_m") <= gate[1]))
 
@@ -179,3 +186,28 @@ def estimate_windows(windows: DataFrame, fs: float, use_eca: bool = True, heart:
             yield pd.concat((pdf[keep].reset_index(drop=True), pd.DataFrame(got, columns=RESULT.names)), axis=1)
 
     return windows.mapInPandas(run, schema)
+
+
+def _kernel(windows: DataFrame, out: str, f) -> DataFrame:
+    """Windows with a further array: ``f(phases (windows, time))``, for all windows of a batch that are equally long at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            length, got = pdf["phase"].map(len).to_numpy(), [None] * len(pdf)
+            for n in np.unique(length):
+                at = np.flatnonzero(length == n)
+                for i, y in zip(at, f(np.stack(pdf["phase"].iloc[at].to_list()).astype(float)), strict=True):
+                    got[i] = y.tolist()
+            yield pdf.assign(**{out: got})
+
+    return windows.mapInPandas(run, T.StructType([*windows.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
+
+
+def band_passed(windows: DataFrame, fs: float, band: tuple[float, float], out: str = "filtered") -> DataFrame:
+    """Windows with their phase, less its mean, filtered forward and backward to the band."""
+    return _kernel(windows, out, lambda x: dsp.band_pass(x - x.mean(axis=1, keepdims=True), fs, *band))
+
+
+def without_harmonics(windows: DataFrame, fs: float, f_r: float, k_max: int = 6, guard_hz: float | None = None, out: str = "projected") -> DataFrame:
+    """Windows with their phase without the harmonics of one breathing rate."""
+    return _kernel(windows, out, lambda x: [dsp.project_out(row, f_r, fs, k_max, guard_hz) for row in x])

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import series, spectral
-from ..operators import compare, quality, reference, study, vitals, windows
+from ..functions import dsp, series, spectral
+from ..operators import compare, evidence, quality, reference, study, vitals, windows
 from ..sources import sinks
 from . import views
 
@@ -460,15 +460,149 @@ def spectral_peaks(spark, sf_dir):
     return d.select("day", F.col("i").cast("long").alias("peak_bin"), spectral.refine_by_index(F.col("s"), F.col("i"), F.lit(1 / 24.0)).alias("peak_index_form"), spectral.refine_by_frequency(F.col("s"), freqs, F.col("i")).alias("peak_freqs_form"), ratio.alias("peak_to_floor"), db.alias("peak_to_floor_db"))
 
 
-# -- kernels without a SQL form: tests compare them with NumPy and by their properties ----------------------------------------
+# -- captures, sessions and the archive ---------------------------------------------------------------------------------------
+
+
+HANNED = FRAMES + """, sm AS (SELECT session_id, frame_idx, i // 8 AS a, i % 8 AS s, re[i + 1] * (0.5 - 0.5 * cos(2 * pi() * (i % 8) / 7)) AS re, im[i + 1] * (0.5 - 0.5 * cos(2 * pi() * (i % 8) / 7)) AS im FROM fr, range(0, 32) t(i) WHERE frame_idx >= 2),
+zz AS (SELECT session_id, frame_idx, a, k, sum(re * cos(2 * pi() * k * s / 8) + im * sin(2 * pi() * k * s / 8)) AS zr, sum(im * cos(2 * pi() * k * s / 8) - re * sin(2 * pi() * k * s / 8)) AS zi FROM sm, range(0, 8) u(k) GROUP BY ALL)"""
+
+
+@query(S(HANNED, "SELECT session_id, frame_idx, k AS bin_idx, round(avg(zr * zr + zi * zi) + 1e-9, 6) AS energy, round(avg(zr) + 1e-9, 6) AS mean_re, round(avg(zi) + 1e-9, 6) AS mean_im FROM zz GROUP BY ALL"))
+def captured_range_features(spark, sf_dir):
+    """Windowed range features of captures that were written as split files and read by ranges, without the trimmed frames."""
+    f = vitals.range_features(views.captured(spark, sf_dir), views.GEOMETRY)
+    rows = f.select("session_id", "frame_idx", F.posexplode(F.arrays_zip("bin_energy", "mean_re", "mean_im")).alias("bin_idx", "z"))
+    return rows.select("session_id", "frame_idx", F.col("bin_idx").cast("long").alias("bin_idx"), (F.col("z.bin_energy") / views.UNIT**2 + TIE).alias("energy"), *[(F.col(f"z.{c}") / views.UNIT + TIE).alias(c) for c in ("mean_re", "mean_im")])
+
+
+REAL = FRAMES + """, sm AS (SELECT session_id, frame_idx, i // 8 AS a, i % 8 AS s, re[i + 1] AS re FROM fr, range(0, 32) t(i)),
+zz AS (SELECT session_id, frame_idx, a, k, sum(re * cos(2 * pi() * k * s / 8)) AS zr, sum(re * sin(2 * pi() * k * s / 8)) AS zi FROM sm, range(0, 5) u(k) GROUP BY ALL)"""
+
+
+@query(S(REAL, "SELECT session_id, frame_idx, k AS bin_idx, round(avg(zr * zr + zi * zi) + 1e-9, 6) AS energy FROM zz GROUP BY ALL"))
+def real_range_energy(spark, sf_dir):
+    """Range energies of captures without a quadrature part: half of the bins and one."""
+    f = vitals.range_features(views.raw_frames(spark, sf_dir), views.GEOMETRY, windowed=False, real=True)
+    return f.select("session_id", "frame_idx", F.posexplode("bin_energy").alias("bin_idx", "e")).select("session_id", "frame_idx", F.col("bin_idx").cast("long").alias("bin_idx"), (F.col("e") / views.UNIT**2 + TIE).alias("energy"))
+
+
+@query(S(SAMPLES + ", sb AS (SELECT session_id, bin_idx, avg(energy) AS energy FROM be WHERE frame_idx >= 1 AND frame_idx < 101 AND bin_idx < 4 GROUP BY ALL)", """
+SELECT session_id, string_agg(CAST(bin_idx AS VARCHAR), ',' ORDER BY energy DESC, bin_idx) FILTER (WHERE bin_idx > 0) AS top_bins, CAST(arg_min(bin_idx, (-energy, bin_idx)) FILTER (WHERE bin_idx BETWEEN 2 AND 3) AS INTEGER) AS gate_bin,
+round(0.25 * arg_min(bin_idx, (-energy, bin_idx)) FILTER (WHERE bin_idx BETWEEN 2 AND 3), 6) AS gate_range_m, abs(0.25 * arg_min(bin_idx, (-energy, bin_idx)) FILTER (WHERE bin_idx BETWEEN 2 AND 3) - 0.5) <= 0.2 AS plausible FROM sb GROUP BY 1"""))
+def decode_sanity(spark, sf_dir):
+    """Strongest bins of each session's first frames, the gate's peak, and whether it lies where the subject sat."""
+    from ..sources import adc
+
+    got = adc.sanity_report(views.features(spark, sf_dir), 0.25, trim=1, frames=100, gate=(2, 3), expected_m=0.5, tolerance_m=0.2)
+    return got.withColumn("top_bins", F.array_join(F.col("top_bins").cast("array<string>"), ","))
+
+
+MANIFEST = FRAMES + """, ma AS (SELECT CAST(n_nationkey AS VARCHAR) AS session_id, CASE n_regionkey WHEN 0 THEN '2' WHEN 1 THEN '99' WHEN 2 THEN '2.5' WHEN 4 THEN '1.0' END AS locked, CASE WHEN n_nationkey = 7 THEN 1000000 ELSE n_nationkey % 3 END AS trim FROM nation),
+st AS (SELECT ma.*, n FROM ma LEFT JOIN (SELECT session_id, max(frame_idx) AS n FROM fr GROUP BY 1) USING (session_id)),
+ok AS (SELECT *, CASE locked WHEN '2' THEN '2' WHEN '1.0' THEN '1' END AS bin, CASE WHEN locked IS NULL THEN 'no locked bin' WHEN locked = '99' THEN 'locked bin 99 is out of range' WHEN locked = '2.5' THEN 'locked bin is no whole number: 2.5' END AS reason FROM st WHERE trim <= n)"""
+SESSION_CHECKS = {"motion_spike": {"enabled": True, "factor": 1.6, "half_window": 3}, "subject_bin_dropout": {"bin": 3, "fraction": 0.5, "half_window": 3}, "snr": {"guard": 1, "min_snr": 0.8}}
+
+
+@query(S(MANIFEST, "SELECT session_id, CASE WHEN n IS NULL THEN 'no frames' ELSE 'trim of 1000000 frames leaves none' END AS error FROM st WHERE n IS NULL OR trim > n"))
+def session_failures(spark, sf_dir):
+    """Sessions of a manifest that can't be masked, and why; they keep no other from its mask."""
+    return quality.all_sessions(views.features(spark, sf_dir), views.manifest(spark, sf_dir), SESSION_CHECKS)[2]
+
+
+@query(S(MANIFEST, """SELECT session_id, name, value FROM (SELECT session_id, unnest([
+  {'name': 'motion_spike_enabled', 'value': 'True'}, {'name': 'motion_spike_factor', 'value': '1.6'}, {'name': 'motion_spike_half_window', 'value': '3'}, {'name': 'subject_bin_dropout_fraction', 'value': '0.5'}, {'name': 'subject_bin_dropout_half_window', 'value': '3'},
+  {'name': 'snr_guard', 'value': '1'}, {'name': 'snr_min_snr', 'value': '0.8'}, {'name': 'trim_frames', 'value': CAST(trim AS VARCHAR)},
+  {'name': 'motion_spike_bin', 'value': bin}, {'name': 'motion_spike_skip_reason', 'value': reason}, {'name': 'motion_spike_skipped', 'value': CAST(bin IS NULL AS VARCHAR)}, {'name': 'snr_bin', 'value': bin}, {'name': 'snr_skip_reason', 'value': reason}, {'name': 'snr_skipped', 'value': CAST(bin IS NULL AS VARCHAR)},
+  {'name': 'subject_bin_dropout_bin', 'value': CASE WHEN bin IS NULL THEN '3' END}, {'name': 'subject_bin_dropout_skipped', 'value': 'false'}, {'name': 'subject_bin_dropout_energy_source', 'value': CASE WHEN bin IS NULL THEN 'computed_fallback' ELSE 'reused_subject_bin_energy' END}], recursive := true) FROM ok) WHERE value IS NOT NULL"""))
+def session_attributes(spark, sf_dir):
+    """Settings and resolved bins of every session and check: a spike check's energy serves the dropout check, whose own bin counts only without it."""
+    return quality.all_sessions(views.features(spark, sf_dir), views.manifest(spark, sf_dir), SESSION_CHECKS)[1]
+
+
+BROKEN = {1: ("end_epoch", "end_epoch + 1"), 2: ("frame_rate_hz", "double('NaN')"), 3: ("resp_peak_raw_index", "-1"), 4: ("heart_spectrum", "slice(heart_spectrum, 1, 3)"), 5: ("candidate_passed", "slice(candidate_passed, 1, 2)")}
+
+
+@query(S(EVENTS + ", wn AS (SELECT session_id, unnest(range(0, (hh - 100) // 60 + 1)) AS i FROM (SELECT DISTINCT event_type AS session_id FROM ev), sn)", """SELECT session_id, CAST(i AS INTEGER) AS window_index, rule FROM wn
+JOIN (VALUES (1, 'duration'), (2, 'rate'), (3, 'peak_index'), (4, 'spectrum_length'), (5, 'candidates')) b(k, rule) ON i % 7 = k"""))
+def archive_violations(spark, sf_dir):
+    """Broken rules of an archive of windows in which five of seven were spoilt, each in its own way."""
+    grid = views.hourly_windows(spark, sf_dir, 80, 60, 20)
+    timed = windows.with_epochs(grid, F.lit(1000.0), 20.0).withColumn("frame_rate_hz", F.lit(20.0))
+    whole = vitals.estimate_windows(timed, 20.0)
+    for k, (column, text) in BROKEN.items():
+        whole = whole.withColumn(column, F.when(F.col("window_index") % 7 == k, F.expr(text)).otherwise(F.col(column)))
+    return evidence.violations(whole, 1 << 30).drop("message")
+
+
+# -- kernels ----------------------------------------------------------------------------------------------------------------
+
+
+# windows of 300 (or other) samples of each event type's hourly signal, less their mean
+SIGNAL = lambda n=300: EVENTS + f""", hz AS (SELECT t.event_type AS session_id, h AS hour, coalesce(sum(value), 0.0) / 1000 AS v FROM (SELECT DISTINCT event_type FROM ev) t CROSS JOIN (SELECT o, unnest(range(0, hh)) AS h FROM sn) LEFT JOIN ev ON ev.event_type = t.event_type AND (epoch_utc - o) // 3600 = h GROUP BY 1, 2),
+wi AS (SELECT session_id, w AS window_index, list(v ORDER BY hour) AS p FROM hz, (SELECT unnest(range(0, (hh - {n + 20}) // 100 + 1)) AS w FROM sn) WHERE hour >= 20 + 100 * w AND hour < {n + 20} + 100 * w GROUP BY 1, 2),
+xs AS (SELECT session_id, window_index, p, list_transform(p, lambda q: q - list_avg(p)) AS x FROM wi)"""
+
+
+def band_sql(name: str, lo: float, hi: float, n: int = 300, fs: float = 20.0) -> str:
+    """CTEs up to ``<name>(session_id, window_index, y)``: the filter as a recursion over samples, forward and backward; the coefficients
+    are the kernel's (tests compare those with the design's response)."""
+    b, a = dsp.band_coefficients(lo, hi, fs)
+    z0, row = dsp.steady(lo, hi, fs), lambda v: "[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in v) + "]"
+    run = lambda out, src: f""", {out}(session_id, window_index, e, t, ys, z) AS (
+  SELECT session_id, window_index, e, 0, CAST([] AS DOUBLE[]), list_transform({row(z0)}, lambda q: q * e[1]) FROM {src}
+  UNION ALL SELECT session_id, window_index, e, t + 1, list_append(ys, y), list_transform(range(1, 9), lambda i: (CASE WHEN i < 8 THEN z[i + 1] ELSE 0.0 END) + e[t + 1] * ({row(b)})[i + 1] - y * ({row(a)})[i + 1])
+  FROM (SELECT *, {float(b[0])!r} * e[t + 1] + z[1] AS y FROM {out} WHERE t < len(e)))"""
+    first = f", {name}0 AS (SELECT session_id, window_index, list_concat(list_transform(range(1, 28), lambda i: 2 * x[1] - x[29 - i]), x, list_transform(range(1, 28), lambda i: 2 * x[{n}] - x[{n} - i])) AS e FROM xs)"
+    second = f", {name}2 AS (SELECT session_id, window_index, list_reverse(ys) AS e FROM {name}1 WHERE t = len(e))"
+    return first + run(f"{name}1", f"{name}0") + second + run(f"{name}3", f"{name}2") + f", {name} AS (SELECT session_id, window_index, list_slice(list_reverse(ys), 28, {n + 27}) AS y FROM {name}3 WHERE t = len(e))"
+
+
+def peak_sql(name: str, lo: float, hi: float, n: int = 300, fs: float = 20.0) -> str:
+    """CTEs up to ``<name>_peak(session_id, window_index, hz, refined)`` of the filtered windows ``<name>``."""
+    inside = [k for k in range(n // 2 + 1) if lo <= k * (1 / (n * (1 / fs))) <= hi]
+    k0, k1, step = inside[0], inside[-1], fs / n
+    return f""", {name}_s AS (SELECT session_id, window_index, k, sqrt(pow(sum(q * cos(2 * pi() * k * i / {n})), 2) + pow(sum(q * sin(2 * pi() * k * i / {n})), 2)) AS m FROM (SELECT session_id, window_index, i, y[i + 1] * (0.5 - 0.5 * cos(2 * pi() * i / {n - 1})) AS q FROM {name}, range(0, {n}) t(i)), range({max(k0 - 3, 0)}, {k1 + 4}) u(k) GROUP BY ALL),
+{name}_i AS (SELECT session_id, window_index, arg_min(k, (-m, k)) AS i FROM {name}_s WHERE k BETWEEN {k0} AND {k1} GROUP BY ALL),
+{name}_n AS (SELECT session_id, window_index, i, max(m) FILTER (WHERE k = i - 1) AS a, max(m) FILTER (WHERE k = i) AS b, max(m) FILTER (WHERE k = i + 1) AS c FROM {name}_i JOIN {name}_s USING (session_id, window_index) GROUP BY ALL),
+{name}_h AS (SELECT session_id, window_index, {step!r} * (i + CASE WHEN i > {k0} AND i < {k1} AND a - 2 * b + c <> 0 AND abs(0.5 * (a - c) / (a - 2 * b + c)) <= 1 THEN 0.5 * (a - c) / (a - 2 * b + c) ELSE 0 END) AS hz FROM {name}_n),
+{name}_peak AS (SELECT session_id, window_index, any_value(hz) AS hz, {step!r} * (any_value(j) + 0.5 * (max(m) FILTER (WHERE k = j - 1) - max(m) FILTER (WHERE k = j + 1)) / (max(m) FILTER (WHERE k = j - 1) - 2 * max(m) FILTER (WHERE k = j) + max(m) FILTER (WHERE k = j + 1))) AS refined
+  FROM (SELECT *, CAST(round(hz / {step!r}) AS BIGINT) AS j FROM {name}_h) JOIN {name}_s USING (session_id, window_index) GROUP BY session_id, window_index)"""
+
+
+@query("WITH RECURSIVE " + SIGNAL() + band_sql("br", *dsp.BREATH, fs=5.0) + band_sql("he", *dsp.HEART, fs=5.0) + peak_sql("br", *dsp.BREATH, fs=5.0) + peak_sql("he", *dsp.HEART, fs=5.0) + " SELECT session_id, CAST(window_index AS INTEGER) AS window_index, round(60 * br_peak.hz, 6) AS rr_bpm, round(br_peak.refined, 6) AS resp_peak_refined_hz, round(60 * he_peak.hz, 6) AS hr_bpm FROM br_peak JOIN he_peak USING (session_id, window_index)")
+def plain_rates(spark, sf_dir):
+    """Breathing and heart rates of all windows of all event types, read as a 5 Hz phase, without projecting harmonics out: filter,
+    spectrum and refined peak."""
+    got = vitals.estimate_windows(views.hourly_windows(spark, sf_dir), 5.0, use_eca=False)
+    return got.select("session_id", "window_index", "rr_bpm", "resp_peak_refined_hz", "hr_bpm")
+
+
+@query("WITH RECURSIVE " + SIGNAL(200) + band_sql("he", *dsp.HEART, n=200) + " SELECT session_id, CAST(window_index AS INTEGER) AS window_index, i, round(y[i + 1] + 1e-9, 6) AS y FROM he, range(0, 200) t(i)")
+def band_passed(spark, sf_dir):
+    """Windows filtered forward and backward to the heart's band, sample by sample."""
+    got = vitals.band_passed(views.hourly_windows(spark, sf_dir, 200), 20.0, dsp.HEART)
+    return got.select("session_id", "window_index", F.posexplode("filtered").alias("i", "y")).select("session_id", "window_index", F.col("i").cast("long").alias("i"), (F.col("y") + TIE).alias("y"))
+
+
+# sines and cosines leave the signal one after the other, each made orthogonal to those before it; of the harmonics of 0.31 Hz, the fifth lies within 0.15 Hz of the guard
+@query("WITH RECURSIVE " + SIGNAL(200) + """, g(session_id, window_index, r, cols) AS (
+  SELECT session_id, window_index, p, list_transform(range(0, 10), lambda j: list_transform(range(0, 200), lambda t: CASE WHEN j % 2 = 0 THEN sin(2 * pi() * t / 20.0 * 0.31 * [1, 2, 3, 4, 6][j // 2 + 1]) ELSE cos(2 * pi() * t / 20.0 * 0.31 * [1, 2, 3, 4, 6][j // 2 + 1]) END)) FROM xs
+  UNION ALL SELECT session_id, window_index, list_transform(range(1, 201), lambda i: r[i] - cols[1][i] * list_dot_product(cols[1], r) / list_dot_product(cols[1], cols[1])),
+    list_transform(cols[2:], lambda o: list_transform(range(1, 201), lambda i: o[i] - cols[1][i] * list_dot_product(cols[1], o) / list_dot_product(cols[1], cols[1]))) FROM g WHERE len(cols) > 0)
+SELECT session_id, CAST(window_index AS INTEGER) AS window_index, i, round(r[i + 1] + 1e-9, 6) AS r FROM g, range(0, 200) t(i) WHERE len(cols) = 0""")
+def harmonics_removed(spark, sf_dir):
+    """Windows without the harmonics of a breathing rate of 0.31 Hz, except the one that a candidate at 1.6 Hz guards."""
+    got = vitals.without_harmonics(views.hourly_windows(spark, sf_dir, 200), 20.0, 0.31, 6, 1.6)
+    return got.select("session_id", "window_index", F.posexplode("projected").alias("i", "r")).select("session_id", "window_index", F.col("i").cast("long").alias("i"), (F.col("r") + TIE).alias("r"))
+
+
+# -- without SQL: the choice among candidates is tested with known tones and properties -----------------------------------------
 
 
 @query()
 def estimated_rates(spark, sf_dir):
     """Breathing and heart rates of sliding windows over each event type's hourly signal, read as a 20 Hz phase."""
-    h = views.hourly(spark, sf_dir, "event_type").select(F.col("event_type").alias("session_id"), F.col("hour").alias("frame_idx"), (F.col("v") / 1000).alias("phase"))
-    sessions = h.groupBy("session_id").agg(F.count("*").alias("total_frames"))
-    got = vitals.estimate_windows(windows.assemble(windows.sliding_grid(sessions, 300, 100, 20), h), 20.0)
+    got = vitals.estimate_windows(views.hourly_windows(spark, sf_dir), 20.0)
     return got.select("session_id", "window_index", "start_frame", "end_frame", "rr_bpm", "hr_bpm", "heart_spectrum_stage", "ahet_verified", "harmonic_suspect", "f_r_outlier")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import reference, vitals, windows
+from ..session import shared_folder
+from ..sources import adc, sinks
 
 LENGTHS = {"6h": 6, "12h": 12, "24h": 24}
 #: A vector of 64 components is a frame of 32 complex samples, in parts of 1024 (whose squares doubles hold exactly).
@@ -106,3 +110,27 @@ def hourly(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     wanted = some.withColumn("bucket", F.floor((F.col("origin") + 3600 * F.col("hour")) / 3600).cast("long"))
     sums = e.groupBy(*keys, F.floor(F.col("epoch_utc") / 3600).cast("long").alias("bucket")).agg(F.sum("value").alias("v"))
     return wanted.join(sums, [*keys, "bucket"], "left").select(*keys, "hour", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def hourly_windows(spark: SparkSession, sf_dir: str, length: int = 300, hop: int = 100, trim: int = 20) -> DataFrame:
+    """Sliding windows over each event type's hourly signal in thousands, as phases."""
+    h = hourly(spark, sf_dir, "event_type").select(F.col("event_type").alias("session_id"), F.col("hour").alias("frame_idx"), (F.col("v") / 1000).alias("phase"))
+    sessions = h.groupBy("session_id").agg(F.count("*").alias("total_frames"))
+    return windows.assemble(windows.sliding_grid(sessions, length, hop, trim), h)
+
+
+def captured(spark: SparkSession, sf_dir: str, trim: int = 2) -> DataFrame:
+    """The raw frames written as captures of several files, cut within frames, and read back through the capture source; the first ``trim``
+    frames of each session are never read, nor are all of a session that has no more."""
+    listing = sinks.write_captures(raw_frames(spark, sf_dir), f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}", frames_per_file=64, cut=GEOMETRY.frame_bytes // 2 + 1)
+    sizes = raw_frames(spark, sf_dir).groupBy("session_id").count()
+    # one entry per session, as a manifest has
+    found = [{"session_id": r["session_id"], "paths": r["paths"], "trim_frames": trim} for r in listing.join(sizes.where(F.col("count") > trim), "session_id").collect()]
+    return adc.read_captures(spark, found, GEOMETRY) if found else raw_frames(spark, sf_dir).where("false")
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as sessions; their locked bins are whole, out of range, no numbers, or missing, and some trims are too long."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("session_id"), "n_regionkey", "n_nationkey")
+    locked = F.when(F.col("n_regionkey") == 0, "2").when(F.col("n_regionkey") == 1, "99").when(F.col("n_regionkey") == 2, "2.5").when(F.col("n_regionkey") == 3, F.lit(None)).otherwise("1.0")
+    return n.select("session_id", locked.alias("locked_bin"), F.when(F.col("n_nationkey") == 7, 1_000_000).otherwise(F.col("n_nationkey") % 3).cast("int").alias("trim_frames"))

@@ -10,11 +10,15 @@ import os
 import platform
 import subprocess
 import sys
+import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+from . import stores
 
 #: Characters of the changes that a provenance record keeps.
 DIFF_CHARS = 200_000
@@ -53,6 +57,31 @@ def write_sessions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
 
 
+def write_captures(frames: DataFrame, folder: str, frames_per_file: int = 4096, cut: int = 0) -> DataFrame:
+    """Writes ``frames(session_id, frame_idx, raw)``, whose indices begin at 0 and have no gaps, as raw captures in a store that Arrow opens;
+    returns ``(session_id, paths)`` with each session's files in order. A file has about ``frames_per_file`` frames; with ``cut``, it is
+    split once more after that many bytes, within a frame. Runs of frames are written by tasks of their own under names of their own,
+    and only those that a finished task returns are listed, so a repeated task does no harm."""
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        data, out = b"".join(pdf["raw"]), []
+        for k, part in enumerate((data[:cut], data[cut:]) if 0 < cut < len(data) else (data,)):
+            uri = f"{folder}/{uuid.uuid4().hex}.bin"
+            store, path = stores.locate(uri)
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(path) as f:
+                f.write(part)
+            out.append((int(pdf["run"].iloc[0]), k, uri))
+        return pd.DataFrame(out, columns=["run", "piece", "uri"]).assign(session_id=pdf["session_id"].iloc[0])
+
+    run = F.floor(F.col("frame_idx") / F.lit(frames_per_file)).cast("long").alias("run")
+    # the listing is written by this query once: a second run would write other files
+    listing = written(frames.select("session_id", "frame_idx", "raw", run).groupBy("session_id", "run").applyInPandas(put, "run long, piece int, uri string, session_id string"), "captures")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("run", "piece", "uri"))), lambda x: x["uri"])
+    return listing.groupBy("session_id").agg(ordered.alias("paths"))
+
+
 def append_log(lines: DataFrame, path: str) -> None:
     """Adds text rows to a log, which is a folder of text files."""
     lines.write.mode("append").text(path)
