@@ -20,6 +20,7 @@ may fill a file alone; an empty table writes nothing and gives an empty result;
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,13 +53,16 @@ class Encoder:
     The pre-tokeniser never joins a non-space with the white space after it, nor a letter with the punctuation after it, so
     texts are cut there and a distinct piece is encoded once. Kept pieces have their bytes (the first eight apart from the
     others), and a piece takes the ids of a kept one only if its bytes are the same. ``most`` bounds the kept pieces (about
-    45 bytes each), ``most_bytes`` what lies beyond their first eight bytes."""
+    45 bytes each), ``most_bytes`` what lies beyond their first eight bytes. With ``special``, strings that are added tokens of the
+    vocabulary become those, as in the library's plain call (texts that hold any are tokenised whole); else they are ordinary text."""
 
-    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 16 << 20):
+    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 16 << 20, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.added = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.tokenizer.no_truncation()
         # in a byte-level vocabulary a token has one character per byte
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -147,13 +151,13 @@ def _equal(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, si
     return np.logical_and.reduceat(left[_ranges(a, size)] == right[_ranges(b, size)], np.cumsum(size) - size)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special=special)
+    return _ENCODERS[path, special]
 
 
 _KIND = np.zeros(256, np.uint8)  # 1 white space, 2 ASCII letter, 3 ASCII punctuation
@@ -170,6 +174,8 @@ def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int
         data, off = raw[base : int(offsets[j])], offsets[i : j + 1] - base
         wide = np.concatenate(([0], np.cumsum(data >= 0x80)))
         odd = [d for d in np.flatnonzero(wide[off[1:]] > wide[off[:-1]]).tolist() if _WIDE_SPACE.search(data[off[d] : off[d + 1]].tobytes().decode("utf-8"))]
+        if enc.added is not None and (found := [m.start() for m in enc.added.finditer(data)]):
+            odd = sorted({*odd, *(np.searchsorted(off, found, side="right") - 1).tolist()})
         kind = _KIND[data]
         cut = np.zeros(len(data), bool)
         cut[1:] = ((kind[1:] == 1) & (kind[:-1] != 1)) | ((kind[1:] == 3) & (kind[:-1] == 2))
@@ -305,11 +311,11 @@ def read_block(content: bytes, block: int) -> np.ndarray:
     return decode_blocks(area, start[block : block + 1])
 
 
-def _write(folder: str, tokenizer: str, end: int, percentile: float, file_tokens: int):
+def _write(folder: str, tokenizer: str, end: int, percentile: float, file_tokens: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.taskcontext import TaskContext
 
-        enc, store = encoder(tokenizer), fs.FileSystem.from_uri(folder)
+        enc, store = encoder(tokenizer, special), fs.FileSystem.from_uri(folder)
         task, name, count = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
         ids, sizes, docs, held = [], [], [], 0
 
@@ -339,7 +345,7 @@ def _write(folder: str, tokenizer: str, end: int, percentile: float, file_tokens
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end: int, percentile: float = 95.0, file_tokens: int = 1_000_000) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, tokenizer: str, end: int, percentile: float = 95.0, file_tokens: int = 1_000_000, special: bool = True) -> tuple[str, DataFrame]:
     """Writes all texts; returns the folder and its manifest ``(task, seq, file, ids, start)``, one row per file."""
     spark = docs.sparkSession
     folder = new_path(spark, "tokens")
@@ -351,7 +357,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, percentile: float =
     # the texts of a hot id are parted by their checksums
     order = [F.col("doc_id").asc_nulls_first(), F.crc32("text")]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = stash(dealt.mapInArrow(_write(folder, tokenizer, end, percentile, file_tokens), "task int, seq int, file string, ids long"), "manifest")
+    found = stash(dealt.mapInArrow(_write(folder, tokenizer, end, percentile, file_tokens, special), "task int, seq int, file string, ids long"), "manifest")
     # two steps, so that only one row per task meets in one place
     tasks = found.groupBy("task").agg(F.sum("ids").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -298,7 +298,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t, public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -315,6 +314,24 @@ def test_tokens_equal_the_library_and_files_round_trip(docs, odd):
         assert sorted(map(tuple, got), key=lambda x: x[1]) == want
 
 
+def test_added_tokens_are_those_of_the_plain_call(spark):
+    """Strings that are added tokens become them as in the library's plain call; or stay text where that is asked for."""
+    t, path = tokenizer()
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    assert added and len(t.encode(added[0], add_special_tokens=False).ids) == 1
+    texts = [f"a {x} b{x}{x} c {x[:-1]} {x[1:]}" for x in added] + ["".join(added), " ".join(added) + "\u00a0x", "plain text", added[0] * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for special in (True, False):
+        t.encode_special_tokens = not special
+        start, want = 0, []
+        for i, x in enumerate(texts):
+            ids = np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4")
+            want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+            start += len(ids)
+        got = token_output.encode_documents(df, path, end=2, special=special).collect()
+        assert sorted(map(tuple, got), key=lambda x: x[1]) == want
+
+
 def test_pieces_that_share_a_hash_keep_their_ids(docs, monkeypatch):
     """With a hash of four values nearly every piece meets another one's; bytes decide."""
     import pyarrow as pa
