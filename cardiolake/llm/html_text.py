@@ -5,14 +5,18 @@ open; a start tag closes what it implies closed (``p`` before blocks, ``li``, ``
 other tags close an open head; cells outside a row get one; an end tag closes up to its match, or nothing. Builder and renderer
 keep their own stacks, so elements may nest to any depth, and the builder looks open elements up by name.
 
+A slash ends elements of ``svg`` and ``math`` alone; after ``plaintext`` all is text, ``listing`` is a ``pre``.
+
 Visibility: head, script, style, template, noscript and embedded objects are invisible, as is any element with ``hidden`` or
 ``display:none``; ``visibility:hidden`` (or ``collapse``) hides text until an element inside says ``visibility:visible``. Of an
-``svg`` the ``text`` elements are visible.
+``svg`` the ``text`` elements are visible; of closed ``details`` the summary, of a closed ``dialog`` nothing.
 
 Layout: white space collapses outside ``pre``; blocks start on a line of their own; paragraphs, headings, lists, tables and
 quotes keep one blank line around them; list items carry ``-`` or their number and are indented by level; table cells are
 padded to their column's width and parted by `` | ``, cells that span columns or rows leave the covered places empty (columns
-in which no cell begins are left out); ``br`` breaks the line.
+in which no cell begins are left out); ``br`` breaks the line. Indents end at ``MOST_INDENT`` blanks and columns at ``MOST_WIDTH``, and a
+table whose alignment would need over eight times its text and 40 blanks a cell has its cells unaligned: only blanks and bars depend on
+these bounds, never text, and a page's text is at most a small multiple of its markup.
 
 Defined cases: null HTML gives null text; empty HTML or HTML without visible text gives an empty text; malformed or cut-off
 markup is rendered as far as it goes; very long pages are rendered whole, one after the other; repeated rows give repeated rows;
@@ -26,15 +30,17 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
-    r"""([^<]++)|<!--(?:-?>|.*?--!?>|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>?|<[a-zA-Z][^<>]*+\Z|(<)""",
+    r"""([^<]++)|<!--(?:-?>|.*?--!?>|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^<"]*+"|'[^<']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+>?|(<)""",
     re.S,
 )
+_PLAIN = re.compile(r"""[^>"']*+""")
 _HIDING = re.compile(r"hidden|display|visibility", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
@@ -46,6 +52,8 @@ _RAW = "script style textarea title xmp iframe noembed noframes noscript templat
 #: Raw-text elements and what ends them, sought in the markup as it is (folding case could change its length).
 RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in _RAW}
 INVISIBLE = frozenset("head script style title template noscript iframe noembed noframes object canvas audio video datalist".split())
+#: Their own and their inner elements end with a slash; all others don't.
+FOREIGN = ("svg", "math")
 SVG_INVISIBLE = frozenset("clippath defs desc marker mask metadata pattern symbol".split())
 BLOCK = frozenset("address article aside body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html li legend main nav optgroup option section summary tbody tfoot thead tr".split())
 SPACED = frozenset("blockquote dl h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
@@ -70,6 +78,40 @@ SCOPE = frozenset({"table", "td", "th", "caption", "html", "button"})
 CLOSES_FAR = SCOPE | {"tr", "tbody", "thead", "tfoot", "body"}
 
 
+#: Blanks that a line is indented by, at most; deeper levels are not indented further.
+MOST_INDENT = 80
+#: A cell beyond this width stands out of its column.
+MOST_WIDTH = 100
+
+
+class Tags:
+    """Where tags end whose attributes hold a ``<`` or quotes without an end. A search that comes to where one that failed has been fails, too,
+    so all searches of a page take no longer than a few passes over it."""
+
+    def __init__(self, markup: str):
+        self.markup, self.failed, self.run = markup, set(), (0, -1)
+        self.last = {c: markup.rfind(c) for c in "\"'<>"}
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the attributes from ``at`` on, quotes minded; if there is none, of the next ``>``; else -1."""
+        seen, first = [], at
+        while at not in self.failed:
+            seen.append(at)
+            if not self.run[0] <= at <= self.run[1]:
+                self.run = (at, _PLAIN.match(self.markup, at).end())
+            at = self.run[1]
+            if at == len(self.markup):
+                break
+            mark = self.markup[at]
+            if mark == ">":
+                return at
+            if self.last[mark] <= at:
+                break
+            at = self.markup.find(mark, at + 1) + 1
+        self.failed.update(seen)
+        return self.markup.find(">", first) if self.last[">"] >= first else -1
+
+
 def attribute(attributes: str, name: str) -> str | None:
     """The value of an element's first attribute ``name`` (empty without one), or null; names inside other values don't count."""
     for m in _ATTRIBUTE.finditer(attributes):
@@ -78,6 +120,15 @@ def attribute(attributes: str, name: str) -> str | None:
     return None
 
 
+def shown(node: list) -> list | None:
+    """An element as far as it is open: a closed dialog not at all, of closed details the first summary alone."""
+    if node[0] not in ("dialog", "details") or attribute(node[1], "open") is not None:
+        return node
+    if node[0] == "dialog":
+        return None
+    return [node[0], node[1], [x for x in node[2] if x.__class__ is not str and x[0] == "summary"][:1]]
+
+
 def visibility(attributes: str, inherited: bool) -> bool | None:
     """Whether an element's text is visible, or null if the element isn't displayed at all."""
     if not attributes or not _HIDING.search(attributes):
@@ -126,13 +177,21 @@ def build(markup: str) -> list:
     """Tree of ``[tag, attributes, children]``; texts are strings."""
     root = ["html", "", []]
     stack, match, at, end = Stack(root), _TOKEN.match, 0, len(markup)
-    nodes = stack.nodes
+    nodes, tags = stack.nodes, Tags(markup)
     while at < end:
         m = match(markup, at)
         if m is None:  # cannot happen: the last branch takes any "<"
             break
         at = m.end()
-        text, closing, tag, attributes, closing2, tag2, attributes2, lone = m.groups()
+        text, closing, tag, attributes, closing2, tag2, lone = m.groups()
+        if tag2 is not None:
+            stop = tags.end(at)
+            if stop >= 0:
+                attributes, at = markup[at:stop], stop + 1
+            elif tags.last["<"] > m.start():
+                tag2, lone, at = None, "<", m.start() + 1
+            else:  # an unfinished tag ends the page
+                break
         if text is not None or lone is not None:
             if nodes[-1][0] == "head" and (lone or not text.isspace()):
                 stack.cut(len(nodes) - 1)
@@ -141,8 +200,9 @@ def build(markup: str) -> list:
         tag = tag or tag2
         if tag is None:
             continue
-        tag, attributes = tag.lower(), attributes or attributes2 or ""
+        tag, attributes = tag.lower(), attributes or ""
         if closing or closing2:
+            tag = "pre" if tag == "listing" else tag
             place = stack.nearest((tag,))
             if place and (tag in CLOSES_FAR or place > stack.nearest(SCOPE)):
                 stack.cut(place)
@@ -170,9 +230,14 @@ def build(markup: str) -> list:
                 node[0] = "pre"
                 node[2].append(html.escape(markup[at:stop], quote=False))
             at = markup.find(">", stop) + 1 or end
-        elif attributes.endswith("/") and tag not in BLOCK and tag not in SPACED:
+        elif tag == "plaintext":
+            nodes[-1][2].append(["pre", "", [html.escape(markup[at:], quote=False)]])
+            break
+        elif attributes.endswith("/") and (tag in FOREIGN or stack.nearest(FOREIGN) > stack.nearest(("foreignobject", "annotation-xml"))):
             nodes[-1][2].append(node)
         else:
+            if tag == "listing":
+                node[0] = "pre"
             stack.push(node)
     return root
 
@@ -209,7 +274,7 @@ class Page:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        self.lines.append((self.indent + self.mark + s).rstrip())
+        self.lines.append((self.indent[:MOST_INDENT] + self.mark + s).rstrip())
         if self.mark:
             self.indent += " " * len(self.mark)
             self.mark = ""
@@ -250,6 +315,10 @@ def _steps(node: list, page: Page, number: list | None, visible: bool, svg: int)
         seen = visibility(attributes, visible) if attributes else visible
         if seen is None:
             continue
+        if tag in ("dialog", "details"):
+            child = shown(child)
+            if child is None:
+                continue
         if tag == "pre":
             _pre(child, page, seen)
         elif tag == "table":
@@ -337,8 +406,8 @@ def _raw(node: list, visible: bool) -> Iterator[str]:
         elif child[0] == "br":
             yield "\n"
         elif child[0] not in INVISIBLE:
-            seen = visibility(child[1], visible)
-            if seen is not None:
+            seen, child = visibility(child[1], visible), shown(child)
+            if seen is not None and child is not None:
                 todo.append((iter(child[2]), seen))
 
 
@@ -408,15 +477,20 @@ def _table(node: list, page: Page, visible: bool) -> Iterator[Iterator]:
     width: dict[int, int] = {}
     for cells in grid:
         for x, lines in cells.items():
-            width[x] = max(width.get(x, 0), *map(len, lines))
+            width[x] = max(width.get(x, 0), min(MOST_WIDTH, max(map(len, lines))))
     columns = sorted(width)
     if len(columns) == 1:
         width[columns[0]] = 0
+    # aligned, unless blanks would be far more than the table has of text and cells
+    upto = [0, *accumulate(width[x] + 3 for x in columns)]
+    places = {id(cells): bisect_right(columns, max(cells)) for cells in grid if cells}
+    cost = sum(upto[places[id(cells)]] * max(map(len, cells.values())) for cells in grid if cells)
+    have = sum(40 + sum(map(len, lines)) for cells in grid for lines in cells.values())
     for cells in grid:
         if any(any(x) for x in cells.values()):
-            own = columns[: bisect_right(columns, max(cells))]
+            own = columns[: places[id(cells)]] if cost <= 8 * have else sorted(cells)
             for k in range(max(map(len, cells.values()))):
-                page.put(" | ".join((cells[x][k] if k < len(cells.get(x, ())) else "").ljust(width[x]) for x in own))
+                page.put(" | ".join((cells[x][k] if k < len(cells.get(x, ())) else "").ljust(width[x] if cost <= 8 * have else 0) for x in own))
     page.blank = True
 
 

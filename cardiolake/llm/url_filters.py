@@ -53,14 +53,26 @@ def _without_dots(url: Column) -> Column:
     return F.when(F.arrays_overlap(parts, F.array(F.lit("."), F.lit(".."))), F.concat(site, F.array_join(kept, "/"), query)).otherwise(url)
 
 
+# Comments and elements whose content is no markup, each up to its end or the page's.
+_NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|template)(?=[\s/>]).*?(?:</\1(?=[\s/>]|\z)|\z)"
+# A tag that may hold a link; quoted values may hold a ">". The bound keeps the matcher's stack small: a tag of over a thousand quoted
+# values is taken for text.
+_TAG = r"""(?is)<(?:link|meta)(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+'){0,2000}+>"""
+_ATTRIBUTE = r"""(?s)([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?"""
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(src, dst)`` from canonical links and refreshes in the markup of ``pages``."""
-    page = pages.where(F.col(html).rlike("(?i)canonical|http-equiv") & F.col(url).contains("://")).select(F.regexp_replace(F.col(url), r"(?s)#.*$", "").alias("src"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "").alias("h"))
-    tag = F.explode(F.expr(r"""regexp_extract_all(h, r'(?is)<(?:link|meta)\b[^>]*>', 0)"""))
-    tags = page.select("src", tag.alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"""(?is)^<link\b[^>]*\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    refresh = F.when(F.col("tag").rlike(r"""(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""), F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1))
-    link = tags.select("src", F.coalesce(canonical, refresh).alias("to")).where("to <> ''").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
+    page = pages.where(F.col(html).rlike("(?i)canonical|http-equiv") & F.col(url).contains("://")).select(F.regexp_replace(F.col(url), r"(?s)#.*$", "").alias("src"), F.regexp_replace(html, _NO_MARKUP, " ").alias("h"))
+    tags = page.select("src", F.explode(F.regexp_extract_all("h", F.lit(_TAG), F.lit(0))).alias("tag"))
+    # attributes one by one, so that neither names inside other values nor longer names count; the first of a name does
+    pairs = F.transform(F.regexp_extract_all(F.regexp_replace("tag", r"(?s)^<[A-Za-z]+|/?>$", ""), F.lit(_ATTRIBUTE), F.lit(0)), lambda x: F.struct(F.lower(F.regexp_extract(x, _ATTRIBUTE, 1)).alias("name"), F.concat(*[F.regexp_extract(x, _ATTRIBUTE, i) for i in (2, 3, 4)]).alias("value")))
+    named = tags.select("src", F.lower(F.regexp_extract("tag", "^<([A-Za-z]+)", 1)).alias("tag"), pairs.alias("pairs"))
+    value = lambda name: F.get(F.filter("pairs", lambda x: x["name"] == name), F.lit(0))["value"]
+    words = F.split(F.lower(value("rel")), r"[ \t\n\f\r]+")
+    canonical = F.when((F.col("tag") == "link") & F.array_contains(words, "canonical"), F.regexp_replace(value("href"), r"^[ \t\n\f\r]+|[ \t\n\f\r]+$", ""))
+    refresh = F.when((F.col("tag") == "meta") & (F.lower(F.trim(value("http-equiv"))) == "refresh"), F.regexp_extract(value("content"), r"""(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*["']?\s*([^"'\s]+)""", 1))
+    link = named.select("src", F.coalesce(canonical, refresh).alias("to")).where("to <> ''").withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
     scheme, site = F.regexp_extract("src", r"(?s)^(.*?):", 1), F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract("src", r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     to = F.col("to")

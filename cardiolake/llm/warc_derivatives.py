@@ -22,6 +22,7 @@ whole; repeated rows give repeated records; further columns are not read; an emp
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import re
@@ -39,8 +40,13 @@ from .html_text import to_text
 
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 _CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]{1,15})[ \t]*(?:;[^\r\n]*)?\r?\n")
+# The encodings that web pages may name, under the names of Python's codecs (fixed values).
+WEB = frozenset("utf-8 cp866 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8 iso8859-10 iso8859-13 iso8859-14 iso8859-15 iso8859-16 koi8-r koi8-u mac-roman mac-cyrillic cp874 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 gbk gb18030 big5 big5hkscs euc_jp iso2022_jp shift_jis cp932 euc_kr cp949 utf-16-be utf-16-le utf-16".split())
+#: Bytes that a body may have without its content coding. A larger one is not converted, and its metadata says so.
+MOST_BODY = 64 << 20
 #: The date of records whose source has none.
 NO_DATE = "1970-01-01T00:00:00Z"
+_EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
 _LINE = re.compile(r"[\r\n]+[ \t]*")
 SCHEMA = "source_key string, record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_payload_digest string, digest_matches boolean, block binary"
 _NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
@@ -55,21 +61,26 @@ def _id(*parts: str) -> str:
 
 
 def http_message(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and payload of an HTTP response block."""
-    head, mark, payload = block.partition(b"\r\n\r\n")
-    if not mark:
-        head, _, payload = block.partition(b"\n\n")
+    """Status line, headers and payload of an HTTP response block; the head ends at its first empty line, whatever its line ends."""
+    end = _EMPTY_LINE.search(block)
+    head, payload = (block[: end.start()], block[end.end() :]) if end else (block, b"")
     lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace")).splitlines()
     headers = [(k.strip(), v.strip()) for k, m, v in (x.partition(":") for x in lines[1:]) if m]
     return (lines[0].strip() if lines else ""), headers, payload
 
 
+def codec(label: str) -> str:
+    """The codec of a charset's label, if that is an encoding of the web; else UTF-8."""
+    try:
+        name = codecs.lookup(label).name
+    except (LookupError, ValueError):
+        return "utf-8"
+    return {"ascii": "cp1252", "iso8859-1": "cp1252", "iso8859-9": "cp1254", "iso8859-11": "cp874", "tis-620": "cp874", "gb2312": "gbk"}.get(name, name if name in WEB else "utf-8")
+
+
 def _decode(payload: bytes, content_type: str) -> str:
     m = _CHARSET.search(content_type) or _CHARSET.search(payload[:1024].decode("latin-1"))
-    try:
-        return payload.decode(m[1] if m else "utf-8", "replace")
-    except LookupError:
-        return payload.decode("utf-8", "replace")
+    return payload.decode(codec(m[1]) if m else "utf-8", "replace")
 
 
 def dechunk(body: bytes) -> bytes:
@@ -85,20 +96,28 @@ def dechunk(body: bytes) -> bytes:
     return b"".join(out) if out else body
 
 
-def uncompress(body: bytes, coding: str) -> bytes | None:
-    """A body without its content coding, as far as it can be read; null if the coding isn't known."""
+class TooLarge(ValueError):
+    pass
+
+
+def uncompress(body: bytes, coding: str, most: int = MOST_BODY) -> bytes | None:
+    """A body without its content coding, as far as it can be read; null if the coding isn't known. Raises ``TooLarge`` as soon as that
+    would have more than ``most`` bytes."""
     for name in reversed([x.strip() for x in coding.lower().split(",") if x.strip() not in ("", "identity")]):
         if name not in ("gzip", "x-gzip", "deflate"):
             return None
         # deflate comes with and without the zlib head
         raw = name == "deflate" and not (len(body) > 1 and body[0] & 15 == 8 and (body[0] << 8 | body[1]) % 31 == 0)
-        out = []
+        out, left = [], most
         while body:
             stream = zlib.decompressobj(-15 if raw else 47)
             try:
-                out.append(stream.decompress(body))
+                out.append(stream.decompress(body, left + 1))
             except zlib.error:
                 break
+            left -= len(out[-1])
+            if left < 0:
+                raise TooLarge
             body = stream.unused_data if name != "deflate" else b""
         body = b"".join(out)
     return body
@@ -112,8 +131,11 @@ def derive(key: str | None, record_id: str | None, uri: str | None, date: str |
     found = digest(payload)
     source = record_id or _id("response", uri or "", found)
     data = dechunk(payload) if "chunked" in header.get("transfer-encoding", "").lower() else payload
-    body = uncompress(data, header.get("content-encoding", "")) if payload else None
-    text = None
+    text, too_large = None, False
+    try:
+        body = uncompress(data, header.get("content-encoding", "")) if payload else None
+    except TooLarge:
+        body, too_large = None, True
     if body is not None:
         if "html" in kind.lower():
             text = to_text(_decode(body, kind))
@@ -124,6 +146,8 @@ def derive(key: str | None, record_id: str | None, uri: str | None, date: str |
     fits = given in (found, digest(data)) if given else None
     if fits is False:
         fields.append(("source-payload-digest-computed", found))
+    if too_large:
+        fields.append(("conversion-refused", f"body of more than {MOST_BODY} bytes"))
     if conversion:
         fields.append(("conversion-record-id", conversion))
     body = "".join(f"{k}: {_LINE.sub(' ', v)}\r\n" for k, v in fields).encode()

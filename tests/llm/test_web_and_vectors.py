@@ -399,3 +399,101 @@ def test_warc_query(spark):
     assert rows.select("record_id").distinct().count() == 2 * n
     empty = spark.read.parquet(f"{DATA}/pages.parquet").limit(0)
     assert warc_derivatives.build_derivatives(warc_derivatives.responses_of_pages(empty)).count() == 0
+
+
+# what pages must not do
+
+
+def test_slashes_dialogs_details_and_plaintext():
+    for markup, want in {
+        "<p>a<span hidden/>secret</span>b": "ab",  # the slash means nothing outside of svg and math
+        "<b/>x<i hidden/>y</i>z": "xz",
+        '<p>a<svg/>b<svg><path d="x"/><text>t</text></svg>c': "ab t c",
+        "<svg><g hidden/>x<text>y</text></svg>z": "y z",
+        "<dialog>no</dialog><dialog open>yes</dialog>": "yes",
+        "<details><summary>s</summary>hid<p>x</p></details><details open><summary>t</summary>in</details>z": "s\nt\nin\nz",
+        "<pre>a<dialog>no</dialog>b</pre>": "ab",
+        "a<listing>x  y\n z</listing>b": "a\n\nx  y\n z\n\nb",
+        "a<plaintext>c <b>d</b></plaintext>": "a\n\nc <b>d</b></plaintext>",
+        'a <b title="x>y">c</b>': "a c",
+        "a <b title='<i>'>c</b> < d <3": "a c < d <3",
+    }.items():
+        assert html_text.to_text(markup) == want, markup
+
+
+def test_text_is_a_small_multiple_of_the_markup():
+    pages = [
+        "<table>" + "<tr><td>a<td>b<td>c" * 2000 + "<tr><td>" + "w" * 200_000 + "<td>x</table>",
+        "<table>" + "".join(f"<tr><td colspan={i % 900 + 1}>a<td>b" for i in range(4000)),
+        "<table>" + "".join(f"<tr><td rowspan=60000 colspan={i + 1}>a<td>b" for i in range(900)),
+        "<blockquote>" * 3000 + "x<br>" * 3000,
+        "<ul><li>" * 3000 + "x<br>" * 3000,
+        ("<table><tr><td>" + "y" * 99 + "<td>z<tr><td>1<td>2</table>") * 500,
+    ]
+    for page in pages:
+        text = html_text.to_text(page)
+        assert len(text) <= 20 * len(page) + 1000
+        # only blanks and bars differ from the words of the page
+        words = re.sub("<[^>]*>", " ", page).split()
+        assert [x for x in re.sub(r"[|\-]", " ", text).split()] == words or "rowspan" in page
+
+
+def test_tags_without_an_end_take_linear_time():
+    import time
+
+    for unit in ('<a "', "<a b='\"", '<a href="x>', "<a ", "<a b=\"c\" '", "<", "<!--", "<p title='a\">b "):
+        start = time.perf_counter()
+        html_text.to_text(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - start < 30, unit  # about a second on an idle machine; minutes if it were quadratic
+
+
+def test_any_charset_gives_text():
+    from encodings.aliases import aliases
+
+    labels = {*aliases, *aliases.values(), "undefined", "idna", "punycode", "unicode_escape", "rot13", "base64", "mbcs", "utf-7", "x" * 500, "..", "-"}
+    body = bytes(range(256)) * 2 + "é".encode()
+    for label in labels:
+        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset={label}\r\n\r\n".encode() + body
+        assert [r[1] for r in warc_derivatives.derive("k", None, "u", None, None, block)] == ["metadata", "conversion"]
+    assert [warc_derivatives.codec(x) for x in ("latin1", "US-ASCII", "Shift-JIS", "utf-16le", "windows-1251", "undefined", "nonsense")] == ["cp1252", "cp1252", "shift_jis", "utf-16-le", "cp1251", "utf-8", "utf-8"]
+
+
+def test_heads_end_at_their_first_empty_line_and_bodies_have_a_bound(monkeypatch):
+    import gzip
+
+    for end in ("\n\n", "\r\n\r\n", "\n\r\n"):
+        block = f"HTTP/1.1 200 OK\nContent-Type: text/html{end}<p>a</p>\r\n\r\n<p>b</p>".encode()
+        assert list(warc_derivatives.derive("k", None, "u", None, None, block))[1][-1] == b"a\n\nb"
+    monkeypatch.setattr(warc_derivatives, "MOST_BODY", 1 << 16)
+    monkeypatch.setattr(warc_derivatives.uncompress, "__defaults__", (1 << 16,))
+    for size, kinds in ((1 << 16, ["metadata", "conversion"]), ((1 << 16) + 1, ["metadata"]), (50_000_000, ["metadata"])):
+        for parts in (1, 3):
+            packed = b"".join(gzip.compress(b"a" * n) for n in [size // parts] * (parts - 1) + [size - size // parts * (parts - 1)])
+            rows = list(warc_derivatives.derive("k", None, "u", None, None, b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\nContent-Encoding: gzip\r\n\r\n" + packed))
+            assert [r[1] for r in rows] == kinds and (b"conversion-refused: body of more than 65536 bytes" in rows[0][-1]) == (len(kinds) == 1)
+
+
+def test_links_are_read_from_attributes_of_tags_only(spark):
+    """Longer attribute names, names in values, scripts, comments and styles give no links; quoted ends of tags do no harm."""
+    bad = "http://bad.org/"
+    pages = {
+        f'<link rel="canonical" data-href="http://ok.org/" href="{bad}">': True,
+        f'<link data-rel="canonical" href="{bad}">': False,
+        f"<link title='rel=canonical href={bad}' href='{bad}'>": False,
+        f'<script>var x = \'<link rel="canonical" href="{bad}">\';</script>': False,
+        f'<style>/* <link rel="canonical" href="{bad}"> */</style><link rel=canonical href={bad}>': True,
+        f'<!-- <link rel="canonical" href="{bad}"> -->': False,
+        f'<script>"<!--"</script><link title="a > b" rel="nofollow Canonical" href=" {bad} ">': True,
+        f'<meta data-http-equiv="refresh" content="0; url={bad}">': False,
+        f"<META HTTP-EQUIV=Refresh CONTENT='0;URL={bad}'>": True,
+        f'<meta http-equiv="refresh" data-content="0; url={bad}" content="5">': False,
+        f'<linkx rel="canonical" href="{bad}">': False,
+        f'<link rel="canonical" rel="next" href="{bad}"/>': True,
+        f'<link rel="next" rel="canonical" href="{bad}">': False,
+        f'<textarea><link rel="canonical" href="{bad}"></textarea>': False,
+        '<link rel="canonical" ' + "a='b' " * 5000 + f'href="{bad}">': False,  # beyond what a tag is looked through for
+    }
+    rows = [(i, f"http://page{i}.org/x", h) for i, h in enumerate(pages)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["src"] for r in url_filters.page_links(df).where("dst LIKE '%bad.org%'").collect()}
+    assert {int(re.search(r"page(\d+)", x)[1]) for x in found} == {i for i, (h, link) in enumerate(pages.items()) if link}
