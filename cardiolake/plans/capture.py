@@ -19,14 +19,14 @@ def capture_features(spark: SparkSession, paths: list[str], session_id: str, g:
 
 
 def capture_phase(features: DataFrame, g: vitals.Geometry, gate_m: tuple[float, float], locked_bin: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(bins, phase)``: the locked bin, or the strongest in the gate; and the clipped phase series in absolute frames."""
+    """``(bins, phase)``: the locked bin, or the strongest in the gate (a gate without a bin fails); and the clipped phase series in absolute frames."""
     if locked_bin is not None:
         if not 0 <= locked_bin < g.samples:
             raise ValueError(f"bin {locked_bin} lies outside 0..{g.samples - 1}")
         bins = features.select("session_id").distinct().withColumn("bin_idx", F.lit(locked_bin)).withColumn("range_m", F.lit(locked_bin * g.range_resolution_m))
     else:
         energy = vitals.mean_range_energy(features)
-        bins = vitals.select_bin(vitals.in_gate(energy, g.range_resolution_m, (F.lit(gate_m[0]), F.lit(gate_m[1]))))
+        bins = vitals.select_bin(vitals.in_gate(energy, g.range_resolution_m, (F.lit(gate_m[0]), F.lit(gate_m[1])), require=True))
     return bins, vitals.phase_series(features, bins)
 
 

@@ -122,7 +122,7 @@ def hourly_windows(spark: SparkSession, sf_dir: str, length: int = 300, hop: int
 def captured(spark: SparkSession, sf_dir: str, trim: int = 2) -> DataFrame:
     """The raw frames written as captures of several files, cut within frames, and read back through the capture source; the first ``trim``
     frames of each session are never read, nor are all of a session that has no more."""
-    listing = sinks.write_captures(raw_frames(spark, sf_dir), f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}", frames_per_file=64, cut=GEOMETRY.frame_bytes // 2 + 1)
+    listing = sinks.write_captures(raw_frames(spark, sf_dir), f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}", frames_per_file=4096, cut=GEOMETRY.frame_bytes // 2 + 1)
     sizes = raw_frames(spark, sf_dir).groupBy("session_id").count()
     # one entry per session, as a manifest has
     found = [{"session_id": r["session_id"], "paths": r["paths"], "trim_frames": trim} for r in listing.join(sizes.where(F.col("count") > trim), "session_id").collect()]

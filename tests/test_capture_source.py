@@ -8,7 +8,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from cardiolake.operators.vitals import Geometry
-from cardiolake.sources import adc, stores
+from cardiolake.sources import adc, sinks, stores
 
 G = Geometry(chirps=2, rx=1, samples=4)
 
@@ -105,3 +105,13 @@ def test_a_file_that_shrank_fails(tmp_path):
     (tmp_path / "s").write_bytes(raw(3))
     with pytest.raises(OSError, match="ends before"):
         [b for p in reader.partitions() for b in reader.read(p)]
+
+
+@pytest.mark.parametrize("per_file, cut", [(1000, 0), (16, 0), (16, G.frame_bytes // 2 + 1), (7, 3)])
+def test_written_captures_come_back(spark, tmp_path, per_file, cut):
+    data = {s: raw(25 + 15 * i, i) for i, s in enumerate("ab")}
+    rows = [(s, i, x) for s, d in data.items() for i, x in enumerate(frames_of(d))]
+    listing = sinks.write_captures(spark.createDataFrame(rows, "session_id string, frame_idx long, raw binary").repartition(3), f"file://{tmp_path}/captures", per_file, cut).collect()
+    assert {r["session_id"]: len(r["paths"]) for r in listing} == {s: -(-len(frames_of(d)) // per_file) * (2 if cut else 1) for s, d in data.items()}
+    back = adc.read_captures(spark, [{"session_id": r["session_id"], "paths": r["paths"]} for r in listing], G)
+    assert sorted((r["session_id"], r["frame_idx"], bytes(r["raw"])) for r in back.collect()) == rows

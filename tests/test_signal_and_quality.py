@@ -325,6 +325,10 @@ def test_capture_to_rates(spark, tmp_path):
     assert capture.capture_phase(f, g20, (0, 1), locked_bin=4)[0].first()["bin_idx"] == 4
     with pytest.raises(ValueError):
         capture.capture_phase(f, g20, (0, 1), locked_bin=16)
+    with pytest.raises(Exception, match="no range bin lies in the gate of session s"):
+        capture.capture_phase(f, g20, (0.51, 0.55))[0].collect()
+    local = capture.in_pipeline_rates(series_, g20, N, 40, 1000.0).orderBy("window_index").collect()
+    assert [r["start_frame"] for r in local] == [20, 60, 100] and np.allclose([r["rr_bpm"] for r in local], [r["rr_bpm"] for r in est.orderBy("window_index").collect()])
     masked, stats, runs = capture.session_quality(vitals.range_features(frames, g20, False, phase_bin=bin_), {"snr": {"bin": bin_, "enabled": True}, "phase_jump": {"enabled": True}})
     assert stats.first()["n_flagged"] == 0 and runs.first()["longest_true"] == n
     db = vitals.range_profile_db(vitals.range_features(frames, g20, windowed=False), g20, 0.75)
@@ -347,3 +351,22 @@ def test_stream_equals_batch(spark, tmp_path):
     out = live_phase.live_phase(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     out.awaitTermination(120)
     assert np.abs(column(spark.read.parquet(str(tmp_path / "out")), "phase") - want).max() < 1e-9
+
+
+def test_empty_gates_fail_only_where_asked(spark):
+    bins = spark.createDataFrame([(s, i, float(i)) for s in ("a", "b") for i in range(8 if s == "a" else 2)], "session_id string, bin_idx int, energy double")
+    gate = (F.lit(0.5), F.lit(1.0))
+    assert {r["session_id"] for r in vitals.select_bin(vitals.in_gate(bins, 0.25, gate)).collect()} == {"a"}
+    assert sorted(map(tuple, vitals.in_gate(bins.where("session_id = 'a'"), 0.25, gate, require=True).collect())) == sorted(map(tuple, vitals.in_gate(bins.where("session_id = 'a'"), 0.25, gate).collect()))
+    with pytest.raises(Exception, match="gate of session b"):
+        vitals.select_bin(vitals.in_gate(bins, 0.25, gate, require=True)).collect()
+
+
+def test_window_kernels_equal_the_array_kernels(spark):
+    x = chest(500)
+    df = spark.createDataFrame([(0, x[:300].tolist()), (1, x[100:400].tolist()), (2, x[:200].tolist())], "window_index int, phase array<double>")
+    for r in vitals.band_passed(df, FS, dsp.HEART).collect():
+        p = np.array(r["phase"])
+        assert np.allclose(r["filtered"], dsp.band_pass(p - p.mean(), FS, *dsp.HEART))
+    for r in vitals.without_harmonics(df, FS, 0.31, 6, 1.6).collect():
+        assert np.allclose(r["projected"], dsp.project_out(np.array(r["phase"]), 0.31, FS, 6, 1.6))
