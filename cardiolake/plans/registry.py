@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions import dsp, series, spectral
 from ..operators import compare, evidence, quality, reference, study, vitals, windows
-from ..sources import sinks
+from ..session import shared_folder
+from ..sources import sinks, store, tables
 from . import views
 
 #: Added, here and in the SQL, to means of short decimals before they are rounded: sums in another order differ by less than that,
@@ -534,6 +536,56 @@ def archive_violations(spark, sf_dir):
     return evidence.violations(whole, 1 << 30).drop("message")
 
 
+# -- files written and read back --------------------------------------------------------------------------------------------
+
+
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+MONITOR = EVENTS + ", mo AS (SELECT epoch_utc, value AS pr, CASE WHEN k % 7 <> 0 THEN 90 + k / 10 END AS spo2, k / 50 AS pi, value / 4 AS rr FROM ev)"
+
+
+@query(S(MONITOR, "SELECT epoch_utc, " + ", ".join(f"round({EVEN(f'avg({c})')}, 6) AS {n}" for c, n in (("spo2", "spo2"), ("pr", "pr_bpm"), ("pi", "pi"), ("rr", "rr_bpm"))) + " FROM mo GROUP BY 1"))
+def monitor_csv(spark, sf_dir):
+    """The stream written as the monitor's export, with dashes where it has no value, and loaded again: coerced, merged, renamed."""
+    e, path = views.events(spark, sf_dir), _new_folder(spark, "monitor")
+    text = {"Session": F.col("user_id"), "Index": F.col("event_id"), "Timestamp": F.col("epoch_utc"), "O2 Saturation": F.when(F.col("k") % 7 != 0, (90 + F.col("k") / 10).cast("string")).otherwise("--"), "Beats / min": F.col("value"), "Perfusion Index": F.col("k") / 50, "Pleth Variability": F.lit("--"), "Breaths / min": F.col("value") / 4}
+    e.select(*[c.cast("string").alias(n) for n, c in text.items()]).write.option("header", True).csv(path)
+    return tables.reference_csv(spark, path)[0].select("epoch_utc", "spo2", "pr_bpm", "pi", "rr_bpm")
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS session_id, round(s_suppkey % 300 / 100.0, 6) AS distance_m, CASE s_suppkey % 5 WHEN 0 THEN 12 WHEN 1 THEN 7 END AS locked_bin, CAST(s_suppkey % 40 AS INTEGER) AS trim_s, CAST(s_suppkey % 40 + 60 AS INTEGER) AS end_s, 1700000000.5 + s_suppkey AS radar_start_epoch_seconds FROM supplier""")
+def manifest_csv(spark, sf_dir):
+    """A manifest written as CSV (suppliers as sessions) and loaded again: metres, whole bins or none, stationary seconds, start."""
+    k, path = F.col("s_suppkey"), _new_folder(spark, "manifest")
+    bins = F.when(k % 5 == 0, "12").when(k % 5 == 1, "7.0").when(k % 5 == 2, "7.5").when(k % 5 == 3, "none")
+    text = {"session_id": k, "posture": F.lit("seated"), "distance_cm": k % 300, "radar_orientation": F.lit("front"), "radar_start_epoch_seconds": F.lit(1_700_000_000.5) + k, "stationary_intervals": F.concat_ws("-", (k % 40).cast("string"), (k % 40 + 60).cast("string")), "locked_bin": bins}
+    views.table(spark, sf_dir, "supplier").select(*[c.cast("string").alias(n) for n, c in text.items()]).write.option("header", True).csv(path)
+    return tables.manifest_csv(spark, path).select("session_id", "distance_m", "locked_bin", "trim_s", "end_s", "radar_start_epoch_seconds")
+
+
+@query(S(ESTIMATES, "SELECT window_index, start_frame, round(hr_bpm + 1e-9, 6) AS hr_bpm, round(error_bpm + 1e-9, 6) AS error_bpm, low_quality, ahet_verified FROM es"))
+def comparison_csv(spark, sf_dir):
+    """The comparison of all windows written as CSV and read back with its types."""
+    path = _new_folder(spark, "comparison")
+    sinks.write_comparison(_estimates(spark, sf_dir).select("window_index", "start_frame", "hr_bpm", "error_bpm", "low_quality", "ahet_verified"), path)
+    got = tables.comparison_csv(spark, path, "window_index int, start_frame bigint, hr_bpm double, error_bpm double, low_quality boolean, ahet_verified boolean")
+    return got.withColumns({c: F.col(c) + TIE for c in ("hr_bpm", "error_bpm")})
+
+
+@query(S(SAMPLES, "SELECT session_id, frame_idx, round(CASE WHEN CAST(session_id AS INTEGER) % 2 = 0 THEN 2 ELSE 1 END * frame_energy, 6) AS frame_energy, CASE WHEN CAST(session_id AS INTEGER) % 2 = 0 THEN 'second' ELSE 'first' END AS source FROM ft WHERE frame_idx >= 2"))
+def stored_sessions(spark, sf_dir):
+    """A store of all sessions, of which a second commit replaces every other one, frames and attributes together; read after the trim."""
+    path = _new_folder(spark, "store")
+    frames = views.features(spark, sf_dir).select("session_id", "frame_idx", "frame_energy")
+    for label, some, factor in (("first", frames, 1.0), ("second", frames.where("cast(session_id AS int) % 2 = 0"), 2.0)):
+        facts = some.select("session_id").distinct().select("session_id", F.lit("source").alias("name"), F.lit(label).alias("value"))
+        store.write_store(some.withColumn("frame_energy", F.col("frame_energy") * factor), facts, path)
+    facts = tables.read_attributes(spark, path).where("name = 'source'").select("session_id", F.col("value").alias("source"))
+    return tables.read_frames(spark, path, 2).join(facts, "session_id").select("session_id", "frame_idx", "frame_energy", "source")
+
+
 # -- kernels ----------------------------------------------------------------------------------------------------------------
 
 
@@ -609,8 +661,6 @@ def estimated_rates(spark, sf_dir):
 @query()
 def manifest_lookup(spark, sf_dir):
     """Bins per session joined to the manifest (nations as sessions)."""
-    from ..sources import tables
-
     n = views.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("session_id"), F.lit(None).cast("int").alias("locked_bin"), "n_name")
     bins = vitals.select_bin(vitals.in_gate(vitals.mean_range_energy(views.features(spark, sf_dir)), 0.25, (F.lit(0.5), F.lit(1.5))))
     return tables.updated_manifest(n, bins)
