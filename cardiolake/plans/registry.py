@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import dsp, series, spectral
 from ..operators import compare, evidence, quality, reference, study, vitals, windows
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources import sinks, store, tables
 from . import views
 
@@ -578,7 +578,7 @@ def comparison_csv(spark, sf_dir):
 def stored_sessions(spark, sf_dir):
     """A store of all sessions, of which a second commit replaces every other one, frames and attributes together; read after the trim."""
     path = _new_folder(spark, "store")
-    frames = views.features(spark, sf_dir).select("session_id", "frame_idx", "frame_energy")
+    frames = written(views.features(spark, sf_dir).select("session_id", "frame_idx", "frame_energy"), "frames")
     for label, some, factor in (("first", frames, 1.0), ("second", frames.where("cast(session_id AS int) % 2 = 0"), 2.0)):
         facts = some.select("session_id").distinct().select("session_id", F.lit("source").alias("name"), F.lit(label).alias("value"))
         store.write_store(some.withColumn("frame_energy", F.col("frame_energy") * factor), facts, path)
