@@ -115,13 +115,14 @@ def scheduled_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1),
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), ratio: float = 1.5, epochs: int = 2, slots: int = 1 << 20, bucket_docs: int = 2000, seed: int = 17, key: str | None = None) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` of every row of ``docs(doc_id, text, source)``; with ``key``, a column of
-    numbers, also that.
+    """``(doc_id, size, source_size, target, taken, n_slots, first_slot)`` of every row of ``docs(doc_id, text, source)``; with ``key``, a
+    column of numbers, also that. ``n_slots`` slots of the schedule take words of the document, the first of them ``first_slot`` (null
+    without any).
 
     ``slots``: about how many slots the schedule has; a block is all words to take over ``slots``, 16 words at least."""
     taken = _dealt(docs, weights, ratio, epochs, slots, bucket_docs, seed, key)[1]
-    taken = taken.groupBy("src", "bucket", "pos", "doc_id", "key", "size", "source_size", "target").agg(F.sum("words").alias("taken"))
-    return taken.select("doc_id", *([F.col("key").alias(key)] if key else []), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    taken = taken.groupBy("src", "bucket", "pos", "doc_id", "key", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.count_if(F.col("words") > 0).alias("n_slots"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot"))
+    return taken.select("doc_id", *([F.col("key").alias(key)] if key else []), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "n_slots", "first_slot")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -540,6 +540,16 @@ def test_mixing_order_keeps_running_shares(docs, odd):
         assert +a == +b
 
 
+def test_mixing_says_which_slots_take_a_document(docs):
+    """The schedule is part of the result: its first slot and the number of slots per document are those of the interleaved order."""
+    slots = defaultdict(set)
+    for r in mixing.scheduled_documents(docs).collect():
+        slots[r["doc_id"]].add(r["slot"])
+    got = mixing.mix_sources(docs).collect()
+    assert {r["doc_id"]: (r["n_slots"], r["first_slot"]) for r in got} == {r["doc_id"]: (len(slots[r["doc_id"]]), min(slots[r["doc_id"]], default=None)) for r in got}
+    assert len({r["first_slot"] for r in got}) > len(got) / 2 and all((r["taken"] > 0) == (r["n_slots"] > 0) for r in got)
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.mix_sources(empty).count() == 0
     zero = empty.union(empty.sparkSession.createDataFrame([(1, None, "en", "a", 0, 0.0, 0)], DOCS))
