@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, stash
-from .textkit import FIRST, U, buffers, eights, slices, span_hashes
+from .textkit import FIRST, U, buffers, eights, give_back, slices, span_hashes
 
 BLOCK = 1024
 #: About how many bytes of text one task encodes, where the shuffle has fewer partitions.
@@ -56,7 +56,7 @@ class Encoder:
     45 bytes each), ``most_bytes`` what lies beyond their first eight bytes. With ``special``, strings that are added tokens of the
     vocabulary become those, as in the library's plain call (texts that hold any are tokenised whole); else they are ordinary text."""
 
-    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 16 << 20, special: bool = True):
+    def __init__(self, path: str, most: int = 300_000, most_bytes: int = 8 << 20, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -169,7 +169,7 @@ _KIND[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 3
 def encode_texts(enc: Encoder, column: pa.Array, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, ids of these rows with an end id each, number of ids of each row)."""
     raw, offsets = buffers(column)
-    for i, j in slices(offsets, 1 << 20):
+    for i, j in slices(offsets, 1 << 19):
         base = int(offsets[i])
         data, off = raw[base : int(offsets[j])], offsets[i : j + 1] - base
         wide = np.concatenate(([0], np.cumsum(data >= 0x80)))
@@ -331,16 +331,21 @@ def _write(folder: str, tokenizer: str, end: int, percentile: float, file_tokens
                 x.clear()
             return row
 
-        for batch in batches:
-            for i, j, got, n in encode_texts(enc, batch.column(1), end):
-                ids.append(got)
-                sizes.append(n)
-                docs.extend(batch.column(0)[i:j].to_pylist())
-                held += len(got)
-                if held >= file_tokens:
-                    yield flush()
-        if docs:
-            yield flush()
+        try:
+            for batch in batches:
+                for i, j, got, n in encode_texts(enc, batch.column(1), end):
+                    ids.append(got)
+                    sizes.append(n)
+                    docs.extend(batch.column(0)[i:j].to_pylist())
+                    held += len(got)
+                    if held >= file_tokens:
+                        yield flush()
+            if docs:
+                yield flush()
+        finally:
+            # workers wait for further tasks, more of them than run at a time: they keep the vocabulary, and nothing else
+            enc.clear()
+            give_back()
 
     return run
 
