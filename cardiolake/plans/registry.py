@@ -124,9 +124,10 @@ def interval_crop(spark, sf_dir):
     return reference.crop(views.stream(spark, sf_dir), 1_704_500_000, 1_705_000_000).select("event_id", "epoch_utc")
 
 
-@query(S(GATED, "SELECT window_index, round(pr_bpm_mean, 6) AS pr_bpm_mean, round(pr_bpm_std, 6) AS pr_bpm_std, round(rr_bpm_mean, 6) AS rr_bpm_mean, n_total, n_good_pi, low_quality FROM g"))
+@query(S(GATED, "SELECT window_index, round(pr_bpm_mean + 1e-9, 6) AS pr_bpm_mean, round(pr_bpm_std, 6) AS pr_bpm_std, round(rr_bpm_mean + 1e-9, 6) AS rr_bpm_mean, n_total, n_good_pi, low_quality FROM g"))
 def interval_join_gated_stats(spark, sf_dir):
-    return reference.window_reference(views.hour_windows(spark, sf_dir), views.merged(spark, sf_dir), ["window_index"], 3600).drop("rr_bpm_gated")
+    got = reference.window_reference(views.hour_windows(spark, sf_dir), views.merged(spark, sf_dir), ["window_index"], 3600).drop("rr_bpm_gated")
+    return got.withColumns({c: F.col(c) + TIE for c in ("pr_bpm_mean", "rr_bpm_mean")})
 
 
 @query(S(STREAM + ", o AS (SELECT *, row_number() OVER (PARTITION BY epoch_utc ORDER BY event_id) AS k FROM st), f AS (SELECT * FROM o WHERE k = 1)", """
