@@ -6,7 +6,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cardiolake.functions import series
