@@ -23,7 +23,11 @@ work, each step a Spark job over all rows:
    what is far apart ends there; all other pairs are verified on the whole sets.
 5. Only buckets that still hold several components are compared further, and only between components; parities and the
    distances to the bucket's pivot (Jaccard distance is a metric) prune those pairs inside the task, so that only pairs at or
-   just below the threshold leave it. Verified again.
+   just below the threshold leave it. Members of a bucket of more than ``bucket_rows`` don't meet as a whole: a link needs a
+   share of both sets, so in any fixed order of the elements the first ones of both, as many as a link can miss and one more,
+   have one in common. The order puts elements first that few of these sets have (by a sketch of bounded size; any order loses
+   nothing), and members meet under each of their first elements. What all have, as a shared passage, comes last, so rows
+   grow with members. Verified again.
 
 Defined cases: null or empty text has no shingles, links with nothing and is its own component; texts with fewer words
 than ``k`` count as one shingle; equal sets share a component whatever their number; rows that repeat a ``doc_id`` are rows of
@@ -307,6 +311,37 @@ def _sets(k: int, salt: int):
     return run
 
 
+#: Counters of the sketch by which elements are ordered.
+_SLOTS = 1 << 16
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (mix(s, 17) >> U(48)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many elements of this task's sets fall on each counter."""
+    n = np.zeros(_SLOTS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            n += np.bincount(_slots(np.frombuffer(x.as_buffer(), U)), minlength=_SLOTS)
+    some = np.flatnonzero(n)
+    yield pa.record_batch([pa.array(some), pa.array(n[some])], names=["slot", "n"])
+
+
+def _first_elements(percent: int, counts: np.ndarray):
+    """Of each set, the rarest elements: one more than a linked set can lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), U) for x in batch.column(1)]
+            first = [s[np.lexsort((s, counts[_slots(s)]))][: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) for s in sets]
+            if first:
+                yield pa.record_batch([pa.array(np.concatenate(first)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in first]))], names=["sig", "id"])
+
+    return run
+
+
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of intersections of (left, right) packed sorted sets."""
     for batch in batches:
@@ -345,6 +380,25 @@ class Join:
         reps = self.tmp(self.classes.join(wanted, "class", "left_semi").select("rep").distinct(), "representatives")
         return self.docs.join(small_side(reps), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
 
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``(class, bytes)``: the sorted elements of the classes of a written table ``wanted(class)``, written."""
+        sets = self.texts(wanted).mapInArrow(_sets(self.k, self.salt), "class long, bytes binary").join(small_side(wanted), "class", "left_semi")
+        return self.tmp(sets.groupBy("class").agg(F.max("bytes").alias("bytes")), "sets")
+
+    def by_first_elements(self, members: DataFrame) -> DataFrame:
+        """``members(id, size, comp)`` in buckets of their own: one for each element that is among the first of sets of several
+        components. Linked members meet in at least one."""
+        members = self.tmp(members.distinct(), "heavy")
+        sets = self.sets(self.tmp(members.select(F.col("id").alias("class")), "wanted"))
+        counts = np.zeros(_SLOTS, np.int64)
+        for slot, n in sets.select("bytes").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect():  # at most _SLOTS rows
+            counts[slot] = n
+        first = sets.mapInArrow(_first_elements(self.percent, counts), "sig long, id long").join(members, "id")
+        first = self.tmp(first.select("sig", "id", "size", "comp", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")), "firsts")
+        self.tmp.drop(sets)
+        mixed = first.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "n")
+        return first.join(mixed, "sig")
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """``pairs(a, b)`` with bounds of their Jaccard distance (equal where whole sets were compared) and whether they link."""
         h = self.classes.select("class", "n_shingles", F.col("fine").alias("par"))
@@ -353,8 +407,7 @@ class Join:
         near = F.col("least") <= 1 - self.percent / 100 + 1e-9
         pairs = bounded.where(near)
         wanted = self.tmp(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "wanted")
-        sets = self.texts(wanted).mapInArrow(_sets(self.k, self.salt), "class long, bytes binary").join(small_side(wanted), "class", "left_semi")
-        sets = self.tmp(sets.groupBy("class").agg(F.max("bytes").alias("bytes")), "sets")
+        sets = self.sets(wanted)
         left = pairs.select("a", "b").join(sets.select(F.col("class").alias("a"), F.col("bytes").alias("left")), "a")
         full = left.join(sets.select(F.col("class").alias("b"), F.col("bytes").alias("right")), "b")
         got = full.select("a", "b", "left", "right").mapInArrow(_overlap, "a long, b long, na long, nb long, both long")
@@ -453,7 +506,7 @@ def _profiled(docs: DataFrame, k: int, tmp: Scratch) -> tuple[DataFrame, DataFra
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows: int = 1_000_000, bucket_rows: int = 4096) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module's text.
 
-    ``bucket_rows``: about how many members of a bucket meet in one group. ``part_rows``: about how many signatures one reducer
+    ``bucket_rows``: how many members of a bucket meet in one group. ``part_rows``: about how many signatures one reducer
     sorts (16 bytes each, unpacked)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch() as tmp:
@@ -484,6 +537,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     return join_wide(rows, more, ROW, "left_anti").select(*docs.columns)
 
 
+def _dealt(rows: DataFrame, bucket_rows: int) -> DataFrame:
+    """Members of buckets of ``n``; where more than ``bucket_rows`` have one element among their rarest, the bucket falls into blocks
+    of about that many, and each pair of blocks is a group of its own."""
+    rows = rows.withColumn("blocks", F.expr(f"cast((n - 1) div {bucket_rows} AS int) + 1"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("b0", F.least("own", "other")).withColumn("b1", F.greatest("own", "other"))
+
+
 def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows: int) -> DataFrame:
     """``(node, component)`` of the classes that link with others."""
     tmp, docs, percent, classes = job.tmp, job.docs, job.percent, job.classes
@@ -529,15 +590,17 @@ def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows:
     seen = seen.select("sig", "id", "size", F.coalesce("component", "id").alias("comp"), *[F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")])
     mixed = seen.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("pivot"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "pivot", "n")
     left_over = seen.join(mixed, "sig").where("id <> pivot").drop("pivot")
-    # a large bucket falls into blocks of about ``bucket_rows``; each pair of blocks is a group of its own
-    own, blocks = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.expr(f"cast(n div {bucket_rows} AS int) + 1")
-    dealt = left_over.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("b0", F.least("own", "other")).withColumn("b1", F.greatest("own", "other")).drop("blocks", "other", "n")
     # first by few parities, then what is left by many
     columns, group = [x.split()[0] for x in _MEMBER.split(", ")], ["sig", "b0", "b1"]
+    typed = lambda rows: rows.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in _MEMBER.split(", "))])
     met = lambda rows, par: rows.join(classes.select(F.col("class").alias("id"), F.col(par).alias("par")), "id").select(*columns, "par").repartition(spread, *group).sortWithinPartitions(*group)
-    dealt = dealt.select(F.col("sig"), *[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in _MEMBER.split(", ")[1:])])
-    near = tmp(met(dealt, "par").mapInArrow(_across(percent, False), _MEMBER), "near")
+    whole = left_over.where(F.col("n") <= bucket_rows).withColumns({c: F.lit(0) for c in ("b0", "b1", "own")})
+    heavy = left_over.where(F.col("n") > bucket_rows).withColumns({c: F.lit(-1) for c in ("b0", "b1", "own")})
+    near = tmp(met(typed(whole), "par").mapInArrow(_across(percent, False), _MEMBER).union(typed(heavy)), "near")
+    heavy, near = near.where("b0 < 0"), near.where("b0 >= 0")
+    if not heavy.isEmpty():
+        again = typed(_dealt(job.by_first_elements(heavy.select("id", "size", "comp")), bucket_rows))
+        near = near.union(tmp(met(again, "par").mapInArrow(_across(percent, False), _MEMBER), "near"))
     more = met(near, "fine").mapInArrow(_across(percent, True), "a long, b long").distinct()
     more = tmp(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():

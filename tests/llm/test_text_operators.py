@@ -168,6 +168,35 @@ def test_jaccard_pairs_of_a_far_group_stay_few(spark, monkeypatch, n):
     assert sum(made[1:]) <= n
 
 
+def test_jaccard_large_buckets_of_far_members_stay_linear(spark, monkeypatch):
+    """Members share a passage and other parts with some others, so none is left out early; buckets are larger than ``bucket_rows``."""
+    passage, rng, heavy, dealt = [f"p{x}" for x in range(100)], np.random.default_rng(8), [], []
+    real, deal = jaccard_join.Join.by_first_elements, jaccard_join._dealt
+    monkeypatch.setattr(jaccard_join.Join, "by_first_elements", lambda self, members: heavy.append(members.select("id").distinct().count()) or real(self, members))
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda rows, most: (out := deal(rows, most), dealt.append(out.count()))[0])
+    for n in (1500, 15_000):
+        picks = rng.integers(0, n // 5, (n, 3))
+        rows = [(i, " ".join(passage + [f"s{p}x{x}" for p in pick for x in range(20)])) for i, pick in enumerate(picks.tolist())]
+        rows += [(n + i, rows[7 * i][1] + " tail") for i in range(50)]
+        sets, parts = {}, defaultdict(set)
+        for i, text in rows:
+            w = text.split()
+            sets[i] = frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3))
+            for p in w[100::20]:
+                parts[p].add(i)
+        # texts without a common part have the passage alone in common, which is too little
+        linked = {(a, b) for ids in parts.values() for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+        want = list(range(n + 50))
+        for _ in range(20):
+            for a, b in linked:
+                want[a] = want[b] = min(want[a], want[b])
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df, 4, 85, bucket_rows=64).collect()}
+        assert got == dict(enumerate(want))
+    assert heavy[0] >= 400 and heavy[1] >= 8 * heavy[0]
+    assert dealt[1] <= 11 * heavy[1] / heavy[0] * max(dealt[0], 1)
+
+
 def test_jaccard_class_keys_that_collide_are_made_anew(docs, monkeypatch):
     real = jaccard_join.class_key
     monkeypatch.setattr(jaccard_join, "class_key", lambda s, salt: (real(s, salt)[0] % 50 if salt == 0 else real(s, salt)[0], *real(s, salt)[1:]))
