@@ -32,6 +32,19 @@ def test_rounding_is_half_to_even(spark):
     assert [r["pr_bpm"] for r in got] == [72.2, 72.4] or [r["pr_bpm"] for r in got] == [72.2, 72.3]
 
 
+def test_halves_are_even_whatever_the_order_of_sums(spark):
+    """The mean of equal or exactly balanced decimals is a half, though sums of doubles miss it by a last bit."""
+    values = [9.55, 30.65, 6.85, 33.05, 57.45, 57.55]
+    rows = [(k, v + d, k * 100 + i) for k, v in enumerate(values) for i, d in enumerate([0.0, 0.1, -0.1, 0.0, 0.2, -0.2, 0.0])]
+    df = spark.createDataFrame(rows, "epoch_utc long, pr_bpm double, row_no long")
+    for some in (df, df.orderBy(F.desc("row_no")), df.repartition(7, "row_no")):
+        got = reference.merge_duplicates(some, ["pr_bpm"], [], "row_no").orderBy("epoch_utc").collect()
+        assert [r["pr_bpm"] for r in got] == [9.6, 30.6, 6.8, 33.0, 57.4, 57.6]
+    odd = spark.createDataFrame([(1, None), (2, float("nan")), (3, float("inf")), (4, -0.25), (5, -0.34)], "epoch_utc long, v double")
+    got = [r["v"] for r in odd.select("epoch_utc", reference.half_even(F.col("v")).alias("v")).orderBy("epoch_utc").collect()]
+    assert got[0] is None and math.isnan(got[1]) and got[2:] == [float("inf"), -0.2, -0.3]
+
+
 def test_missing_header_fails(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("Session,Index\n1,2\n")
     with pytest.raises(ValueError, match="missing columns"):
