@@ -25,7 +25,7 @@ def repeated(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["reference_duplicate_merge", "worst_windows", "monitor_csv", "interval_join_gated_stats", "comparison_csv", "aligned_centers", "accuracy_of_good_windows"])
+@pytest.mark.parametrize("name", ["reference_duplicate_merge", "nan_safe_json", "worst_windows", "monitor_csv", "interval_join_gated_stats", "comparison_csv", "aligned_centers", "accuracy_of_good_windows"])
 def test_query_over_repeated_events_equals_its_sql(spark, repeated, name):
     duck = duckdb.connect()
     for t in TABLES:
