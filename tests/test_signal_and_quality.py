@@ -1,12 +1,14 @@
 """Series, spectra, kernels, estimation, archive, quality masks and raw captures."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cardiolake.functions import dsp, series, spectral
 from cardiolake.operators import evidence, quality, vitals, windows
-from cardiolake.plans import capture
+from cardiolake.plans import capture, registry
 from cardiolake.sources import adc
 from cardiolake.streaming import live_phase
 
@@ -370,3 +372,32 @@ def test_window_kernels_equal_the_array_kernels(spark):
         assert np.allclose(r["filtered"], dsp.band_pass(p - p.mean(), FS, *dsp.HEART))
     for r in vitals.without_harmonics(df, FS, 0.31, 6, 1.6).collect():
         assert np.allclose(r["projected"], dsp.project_out(np.array(r["phase"]), 0.31, FS, 6, 1.6))
+
+
+def test_steps_between_opposite_phasors_equal_the_sql(spark, tmp_path):
+    """The last bit of both angles decides whether such a step exceeds pi; a wrong turn shifts all frames that follow."""
+    rng = np.random.default_rng(5)
+    pairs = rng.integers(-60, 61, (150, 2)) * rng.choice([-1, 1], (150, 1))
+    vectors = np.zeros((300, 64), np.float32)
+    vectors[0::2, :2], vectors[1::2, :2] = pairs / 1024, -pairs * rng.integers(1, 4, (150, 1)) / 1024
+    vectors[::7, 1] = -0.0001  # rounds to nothing, below the axis
+    duck = duckdb.connect()
+    rows = pd.DataFrame({"vec_id": np.arange(300), "label": np.arange(300) // 2 % 3, "embedding": list(vectors)}).astype({"label": "int32"})
+    duck.register("rows", rows)
+    duck.execute(f"COPY (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding, label FROM rows) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    for name, c in (("phase_unwrap", "unwrapped"),):
+        got = {(r["session_id"], r["frame_idx"]): r[c] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        want = {(s, i): v for s, i, v in duck.execute(f"SELECT session_id, frame_idx, {c} FROM ({registry.ORACLE_SQL[name]})").fetchall()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-6
+
+
+def test_a_last_bit_beyond_pi_is_a_turn(spark):
+    up = float(np.nextafter(np.pi, 4))
+    values = {0: [0.0, np.pi, 0.0], 1: [0.0, up, 0.0], 2: [0.0, -np.pi, 0.0], 3: [0.0, 7.0, 20.0, -20.0], 4: [None, 1.0, float("nan"), 5.0]}
+    df = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "k int, i long, v double")
+    for chunk in (1, 2, 1024, None):
+        got = series.unwrap(df, "v", "u", ["k"], "i", chunk=chunk).orderBy("k", "i").collect()
+        by = {k: [r["u"] for r in got if r["k"] == k] for k in values}
+        assert by[0] == values[0] and by[1] == [0.0, up - 2 * np.pi, 0.0] and by[2] == values[2]
+        assert np.allclose(by[3], np.unwrap(values[3])) and by[4][1] == 1.0 and by[4][3] == 5.0
