@@ -386,7 +386,7 @@ def test_steps_between_opposite_phasors_equal_the_sql(spark, tmp_path):
     duck.register("rows", rows)
     duck.execute(f"COPY (SELECT vec_id, CAST(embedding AS FLOAT[]) AS embedding, label FROM rows) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
     duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
-    for name, c in (("phase_unwrap", "unwrapped"),):
+    for name, c in (("phase_unwrap", "unwrapped"), ("phase_impulse_clip", "phase")):
         got = {(r["session_id"], r["frame_idx"]): r[c] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         want = {(s, i): v for s, i, v in duck.execute(f"SELECT session_id, frame_idx, {c} FROM ({registry.ORACLE_SQL[name]})").fetchall()}
         assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 2e-6
