@@ -38,6 +38,11 @@ def decode(raw: bytes, g: Geometry) -> np.ndarray:
     return (words[:, 0, :] + 1j * words[:, 1, :]).reshape(g.chirps, g.rx, g.samples)
 
 
+def _squared(z: np.ndarray) -> np.ndarray:
+    """Squared magnitudes without a root, so that those of whole parts stay exact."""
+    return z.real**2 + z.imag**2
+
+
 def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_bin: int | None = None, real: bool = False) -> DataFrame:
     """One row of small features per frame; the cube and its transform stay inside the task.
 
@@ -55,12 +60,12 @@ def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_
                 cube = decode(raw, g)
                 if real:
                     cube = cube.real
-                power = np.abs(cube) ** 2
+                power = _squared(cube)
                 z = (np.fft.rfft if real else np.fft.fft)(cube * window, axis=2)
                 mean = z.mean(axis=(0, 1))
                 one = z[:, :, phase_bin].ravel() if phase_bin is not None else None
                 peak = max(np.abs(cube.real).max(), np.abs(cube.imag).max())
-                rows.append((session, index, peak, power.mean(), power.mean(axis=(0, 2)), (np.abs(z) ** 2).mean(axis=(0, 1)), mean.real, mean.imag, None if one is None else one.real, None if one is None else one.imag))
+                rows.append((session, index, peak, power.mean(), power.mean(axis=(0, 2)), _squared(z).mean(axis=(0, 1)), mean.real, mean.imag, None if one is None else one.real, None if one is None else one.imag))
             if rows:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -401,3 +401,16 @@ def test_a_last_bit_beyond_pi_is_a_turn(spark):
         by = {k: [r["u"] for r in got if r["k"] == k] for k in values}
         assert by[0] == values[0] and by[1] == [0.0, up - 2 * np.pi, 0.0] and by[2] == values[2]
         assert np.allclose(by[3], np.unwrap(values[3])) and by[4][1] == 1.0 and by[4][3] == 5.0
+
+
+def test_energies_of_whole_samples_are_exact(spark):
+    """Bins whose transform only adds and subtracts have whole sums of squares; a root in between would miss halves when rounded."""
+    g = vitals.Geometry(chirps=2, rx=2, samples=8)
+    words = np.random.default_rng(6).integers(-400, 400, (200, g.frame_bytes // 2)).astype("<i2")
+    df = spark.createDataFrame([("s", i, bytearray(w.tobytes())) for i, w in enumerate(words)], "session_id string, frame_idx long, raw binary")
+    for r in vitals.range_features(df, g, windowed=False).collect():
+        cube = vitals.decode(words[r["frame_idx"]].tobytes(), g)
+        assert r["frame_energy"] * cube.size == (cube.real**2 + cube.imag**2).sum()
+        for k in (0, 2, 4, 6):
+            z = (cube * np.array([1, -1j, -1, 1j] * 2) ** (k // 2)).sum(axis=2)
+            assert r["bin_energy"][k] * 4 == (z.real**2 + z.imag**2).sum()
