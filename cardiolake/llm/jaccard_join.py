@@ -22,12 +22,13 @@ work, each step a Spark job over all rows:
    each of 8 to 16 hash buckets per element holds an odd number of elements) bound the difference of two sets from below, so
    what is far apart ends there; all other pairs are verified on the whole sets.
 5. Only buckets that still hold several components are compared further, and only between components; parities and the
-   distances to the bucket's pivot (Jaccard distance is a metric) prune those pairs inside the task, so that only pairs at or
-   just below the threshold leave it. Members of a bucket of more than ``bucket_rows`` don't meet as a whole: a link needs a
+   distances to the bucket's pivot (Jaccard distance is a metric) prune those pairs inside the task, and only members that have
+   a pair at or just below the threshold go on. These meet once more, as whole sets; a task sends on fewer links than a group has
+   members, and no other pair leaves it. Members of a bucket of more than ``bucket_rows`` don't meet as a whole: a link needs a
    share of both sets, so in any fixed order of the elements the first ones of both, as many as a link can miss and one more,
    have one in common. The order puts elements first that few of these sets have (by a sketch of bounded size; any order loses
    nothing), and members meet under each of their first elements. What all have, as a shared passage, comes last, so rows
-   grow with members. Verified again.
+   grow with members.
 
 Defined cases: null or empty text has no shingles, links with nothing and is its own component; texts with fewer words
 than ``k`` count as one shingle; equal sets share a component whatever their number; rows that repeat a ``doc_id`` are rows of
@@ -425,27 +426,33 @@ class Join:
 _MEMBER = "sig long, b0 int, b1 int, own int, id long, size long, comp long, lo double, hi double"
 
 
-def _across(percent: int, as_pairs: bool):
-    """Pairs ``(a, b)`` of different components within each bucket whose bounds allow a link, or the members that have any such
-    pair; batches come sorted by bucket."""
+#: Columns that part groups of a bucket's members.
+_GROUP = ("sig", "b0", "b1")
+#: About how many elements the sets of one group may have together when they are compared in a task (32 MB).
+GROUP_ELEMENTS = 4_000_000
+
+
+def _across(percent: int, keys: tuple[str, ...] = _GROUP, exact: bool = False):
+    """The members of each group that have any pair of different components whose bounds allow a link; or, ``exact``, links ``(a, b)``
+    between components by the whole sets in ``bytes``: of links that join the same components one is enough, so a group has fewer links
+    than members. Batches come sorted by ``keys``."""
     far = 1 - percent / 100 + 1e-9
 
     def arrays(rows: pa.Table) -> list[np.ndarray]:
         col = lambda c: rows.column(c).to_numpy()
         lo, hi = (np.nan_to_num(col(c).astype(float), nan=v) for c, v in (("lo", 0.0), ("hi", 1.0)))
-        par = np.array([*rows.column("par").to_pylist(), None], dtype=object)[:-1]
-        return [*(col(c) for c in ("own", "id", "size", "comp", "b0", "b1")), lo, hi, par]
+        objects = lambda c: np.array([*rows.column(c).to_pylist(), None], dtype=object)[:-1]
+        return [*(col(c) for c in ("own", "id", "size", "comp", "b0", "b1")), lo, hi, objects("par"), *([objects("bytes")] if exact else [])]
 
-    def pairs(own, ids, size, comp, b0, b1, lo, hi, par) -> tuple[np.ndarray, np.ndarray] | None:
+    def pairs(own, ids, size, comp, b0, b1, lo, hi, par) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         within = b0[0] == b1[0]
         left = np.arange(len(ids)) if within else np.flatnonzero(own == b0[0])
         right = left if within else np.flatnonzero(own == b1[0])
         if not len(left) or not len(right):
-            return None
+            return
         width = min(map(len, par)) // 8
         par = np.stack([_fold(p, width) for p in par])
         step = max(1, 2_000_000 // (width * len(right)))
-        found = []
         for at in range(0, len(left), step):
             x = left[at : at + step]
             ok = comp[x][:, None] != comp[right][None, :]
@@ -459,18 +466,45 @@ def _across(percent: int, as_pairs: bool):
             i, j = x[i], right[j]
             if within:
                 i, j = i[i < j], j[i < j]
-            found.append(np.stack((i, j)))
-        i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return (i, j) if len(i) else None
-
-    def result(rows: pa.Table, a: int, got: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        i, j = got
-        if not as_pairs:
-            return rows.take(pa.array(a + np.unique(np.concatenate(got)))).drop_columns(["par"]).combine_chunks().to_batches()[0]
-        ids = rows.column("id").to_numpy()[a:]
-        i, j = ids[i], ids[j]
+            if len(i):
+                yield i, j
+
+    def members(rows: pa.Table, a: int, group: list[np.ndarray]) -> pa.RecordBatch | None:
+        some = np.zeros(len(group[0]), bool)
+        for i, j in pairs(*group):
+            some[i] = some[j] = True
+        return rows.take(pa.array(a + np.flatnonzero(some))).drop_columns(["par"]).combine_chunks().to_batches()[0] if some.any() else None
+
+    def links(rows: pa.Table, a: int, group: list[np.ndarray]) -> pa.RecordBatch | None:
+        *group, content = group
+        flat, comp, found = None, np.unique(group[3], return_inverse=True)[1], []
+        for left, right in pairs(*group):
+            if flat is None:
+                sets = [np.frombuffer(x, U) for x in content]
+                size = np.array([len(x) for x in sets])
+                start = np.cumsum(size) - size
+                values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(len(values), bool)
+            for i, js in zip(*_runs(left, right), strict=True):
+                js = js[comp[js] != comp[i]]  # others were joined meanwhile
+                if not len(js):
+                    continue
+                mine, n = flat[start[i] : start[i] + size[i]], size[js]
+                ends = np.cumsum(n)
+                mark[mine] = True
+                both = np.add.reduceat(mark[flat[np.arange(ends[-1]) + np.repeat(start[js] - ends + n, n)]], ends - n, dtype=np.int64)
+                mark[mine] = False
+                for j in js[both * 100 >= (size[i] + n - both) * percent].tolist():
+                    if comp[j] != comp[i]:
+                        found.append((i, j))
+                        comp[comp == comp[j]] = comp[i]
+        if not found:
+            return None
+        i, j = group[1][np.array(found)].T
         return pa.record_batch([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
+    one = links if exact else members
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
@@ -478,20 +512,28 @@ def _across(percent: int, as_pairs: bool):
                 continue
             held.append(pa.Table.from_batches([batch]))
             rows = pa.concat_tables(held).combine_chunks()
-            keys = np.stack([rows.column(c).to_numpy() for c in ("sig", "b0", "b1")])
-            cut = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            ids = np.stack([rows.column(c).to_numpy() for c in keys])
+            cut = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
             if len(cut):
                 all_of = arrays(rows.slice(0, cut[-1]))
                 for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True):
-                    if b - a > 1 and (got := pairs(*(x[a:b] for x in all_of))) is not None:
-                        yield result(rows, a, got)
+                    if b - a > 1 and (got := one(rows, a, [x[a:b] for x in all_of])) is not None:
+                        yield got
             held = [rows.slice(cut[-1] if len(cut) else 0)]  # the last bucket may go on
-        if held and held[0].num_rows > 1 and (got := pairs(*arrays(held[0]))) is not None:
-            yield result(held[0], 0, got)
+        if held and held[0].num_rows > 1 and (got := one(held[0], 0, arrays(held[0]))) is not None:
+            yield got
 
     return run
 
 
+def _runs(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Each left place with all right places that it meets."""
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    cut = np.flatnonzero(np.diff(left)) + 1
+    return left[np.concatenate(([0], cut))].tolist(), np.split(right, cut)
+
+
 def _profiled(docs: DataFrame, k: int, tmp: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """Every row's profile, one row per class with its smallest id, and the salt under which no two sets share a key."""
     for salt in range(100):
@@ -545,6 +587,21 @@ def _dealt(rows: DataFrame, bucket_rows: int) -> DataFrame:
     return rows.withColumn("b0", F.least("own", "other")).withColumn("b1", F.greatest("own", "other"))
 
 
+def _linked(job: Join, close: DataFrame, spread: int) -> DataFrame:
+    """``(a, b)``: links between components among members ``close`` (written), compared as whole sets inside the tasks, so that rows grow
+    with members. Where a group's sets have more than ``GROUP_ELEMENTS``, it falls into parts, and each pair of parts is a group."""
+    keys = (*_GROUP, "c0", "c1")
+    parts = close.groupBy(*_GROUP).agg((F.floor(F.sum("size") / GROUP_ELEMENTS) + 1).cast("int").alias("parts"))
+    rows = close.join(parts, list(_GROUP)).withColumn("at", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("c0", F.least("at", "other")).withColumn("c1", F.greatest("at", "other")).drop("parts", "at", "other")
+    sets = job.sets(job.tmp(close.select(F.col("id").alias("class")).distinct(), "wanted"))
+    fine = job.classes.select(F.col("class").alias("id"), F.col("fine").alias("par")).join(sets.withColumnRenamed("class", "id"), "id")
+    met = rows.join(fine, "id").repartition(spread, *keys).sortWithinPartitions(*keys)
+    out = job.tmp(met.select("sig", "b0", "b1", "own", "id", "size", "comp", "lo", "hi", "c0", "c1", "par", "bytes").mapInArrow(_across(job.percent, keys, True), "a long, b long").distinct(), "links")
+    job.tmp.drop(sets)
+    return out
+
+
 def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows: int) -> DataFrame:
     """``(node, component)`` of the classes that link with others."""
     tmp, docs, percent, classes = job.tmp, job.docs, job.percent, job.classes
@@ -591,19 +648,18 @@ def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows:
     mixed = seen.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("id").alias("pivot"), F.count("*").alias("n")).where("c0 <> c1").select("sig", "pivot", "n")
     left_over = seen.join(mixed, "sig").where("id <> pivot").drop("pivot")
     # first by few parities, then what is left by many
-    columns, group = [x.split()[0] for x in _MEMBER.split(", ")], ["sig", "b0", "b1"]
+    columns = [x.split()[0] for x in _MEMBER.split(", ")]
     typed = lambda rows: rows.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in _MEMBER.split(", "))])
-    met = lambda rows, par: rows.join(classes.select(F.col("class").alias("id"), F.col(par).alias("par")), "id").select(*columns, "par").repartition(spread, *group).sortWithinPartitions(*group)
+    met = lambda rows, par: rows.join(classes.select(F.col("class").alias("id"), F.col(par).alias("par")), "id").select(*columns, "par").repartition(spread, *_GROUP).sortWithinPartitions(*_GROUP)
     whole = left_over.where(F.col("n") <= bucket_rows).withColumns({c: F.lit(0) for c in ("b0", "b1", "own")})
     heavy = left_over.where(F.col("n") > bucket_rows).withColumns({c: F.lit(-1) for c in ("b0", "b1", "own")})
-    near = tmp(met(typed(whole), "par").mapInArrow(_across(percent, False), _MEMBER).union(typed(heavy)), "near")
+    near = tmp(met(typed(whole), "par").mapInArrow(_across(percent), _MEMBER).union(typed(heavy)), "near")
     heavy, near = near.where("b0 < 0"), near.where("b0 >= 0")
     if not heavy.isEmpty():
         again = typed(_dealt(job.by_first_elements(heavy.select("id", "size", "comp")), bucket_rows))
-        near = near.union(tmp(met(again, "par").mapInArrow(_across(percent, False), _MEMBER), "near"))
-    more = met(near, "fine").mapInArrow(_across(percent, True), "a long, b long").distinct()
-    more = tmp(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        second = job.verify(more)
-        label = tmp.keep(connected_components(edges.union(second.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")))))
+        near = near.union(tmp(met(again, "par").mapInArrow(_across(percent), _MEMBER), "near"))
+    close = tmp(met(near, "fine").mapInArrow(_across(percent), _MEMBER), "close")
+    if not close.isEmpty():
+        second = _linked(job, close, spread)
+        label = tmp.keep(connected_components(edges.union(second.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
     return label

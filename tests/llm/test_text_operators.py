@@ -168,6 +168,21 @@ def test_jaccard_pairs_of_a_far_group_stay_few(spark, monkeypatch, n):
     assert sum(made[1:]) <= n
 
 
+def test_jaccard_near_copies_of_one_text_leave_few_rows(spark, monkeypatch):
+    """Copies with parts changed link with some others and just miss most: what leaves the comparison of whole sets grows with copies."""
+    rng, rows = np.random.default_rng(9), []
+    for i in range(300):
+        w = [f"w{x}" for x in range(120)]
+        for p in rng.choice(30, 2, replace=False):
+            w[4 * p + 2] = f"x{p}y{rng.integers(0, 3)}"
+        rows.append((i, " ".join(w)))
+    made = []
+    monkeypatch.setattr(jaccard_join, "_linked", lambda job, close, spread, real=jaccard_join._linked: (out := real(job, close, spread), made.append((close.select("id").distinct().count(), out.count())))[0])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 91).collect()}
+    assert got == brute_components([{"doc_id": a, "text": b} for a, b in rows], 4, 91)
+    assert made and made[0][0] >= 10 and made[0][1] <= 2 * made[0][0]
+
+
 def test_jaccard_large_buckets_of_far_members_stay_linear(spark, monkeypatch):
     """Members share a passage and other parts with some others, so none is left out early; buckets are larger than ``bucket_rows``."""
     passage, rng, heavy, dealt = [f"p{x}" for x in range(100)], np.random.default_rng(8), [], []
