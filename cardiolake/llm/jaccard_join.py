@@ -15,7 +15,7 @@ work, each step a Spark job over all rows:
 1. ``profile``: size, class and parities of every row's set.
 2. ``lonely``: elements that occur in no other set lie in no intersection. They are counted in a part of the universe (blocks of
    text send the elements of each hash range to one reducer); a class that has more of them than a link allows has no links,
-   and takes no part in what follows. This is a bound, so no link is lost.
+   and takes no part in what follows; its parities are deleted. This is a bound, so no link is lost.
 3. ``signatures``: packed per block of text, one row per (block, hash range); a subset that several sets of a block
    share leaves the block once. Reducers keep only subsets that occur at least twice.
 4. star edges from each bucket's smallest and largest class to its members are verified; connected components follow. Parities (whether
@@ -535,13 +535,15 @@ def _runs(left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[np.ndarr
 
 
 def _profiled(docs: DataFrame, k: int, tmp: Scratch) -> tuple[DataFrame, DataFrame, int]:
-    """Every row's profile, one row per class with its smallest id, and the salt under which no two sets share a key."""
+    """Every row's size and class, one row per class with its smallest id and its parities, and the salt under which no two sets share a key."""
     for salt in range(100):
         prof = tmp(docs.mapInArrow(_profile(k, salt), "doc_id long, n_shingles long, class long, fp1 long, fp2 long, par binary, fine binary"), "profile")
         some = prof.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("par").alias("par"), F.max("fine").alias("fine"), *[f(c).alias(f"{c}_{n}") for c in ("n_shingles", "fp1", "fp2") for n, f in (("least", F.min), ("most", F.max))])
         classes = tmp(some, "classes")
         if classes.where("n_shingles_least <> n_shingles_most OR fp1_least <> fp1_most OR fp2_least <> fp2_most").isEmpty():
-            return prof, classes.select("class", "rep", "n_shingles", "par", "fine"), salt
+            rows = tmp(prof.select("doc_id", "n_shingles", "class"), "rows")
+            tmp.drop(prof)
+            return rows, classes, salt
     raise RuntimeError("class keys collide under every salt")
 
 
@@ -557,9 +559,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, part_rows
         top, elements = classes.agg(F.max("n_shingles"), F.sum("n_shingles")).first()
         if top is None:
             return stash(none, "result")
+        names = tmp(classes.select("class", "rep"), "names")
         label = _components(Join(docs, classes, k, salt, percent, tmp), top, elements, part_rows, bucket_rows)
         # components by their smallest id
-        named = classes.join(label, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("c"))
+        named = names.join(label, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("c"))
         named = named.join(named.groupBy("c").agg(F.min("rep").alias("component_id")), "c").select("class", "component_id")
         return stash(prof.where("n_shingles > 0").join(named, "class").select("doc_id", "n_shingles", "component_id").union(none), "result")
 
@@ -603,8 +606,8 @@ def _linked(job: Join, close: DataFrame, spread: int) -> DataFrame:
 
 
 def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows: int) -> DataFrame:
-    """``(node, component)`` of the classes that link with others."""
-    tmp, docs, percent, classes = job.tmp, job.docs, job.percent, job.classes
+    """``(node, component)`` of the classes that link with others. Of the job's classes only those that may link are kept."""
+    tmp, docs, percent = job.tmp, job.docs, job.percent
     spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     # values have six bits more than their number needs: few meet by chance, which only weakens the bound
@@ -615,7 +618,11 @@ def _components(job: Join, top: int, elements: int, part_rows: int, bucket_rows:
     heads = raw.where("part IS NULL").select("block", "left", "right")
     alive = tmp(heads.union(lonely).groupBy("block").applyInPandas(_linkable(percent), "class long").distinct(), "linkable")
     tmp.drop(raw)
-    some = tmp(classes.join(alive, "class", "left_semi").select("class", F.col("n_shingles").alias("size")), "owners")
+    # the others' parities are neither shuffled nor kept any more
+    classes = tmp(job.classes.join(small_side(alive), "class", "left_semi").select("class", "rep", "n_shingles", "par", "fine"), "living")
+    tmp.drop(job.classes)
+    job.classes = classes
+    some = classes.select("class", F.col("n_shingles").alias("size"))
 
     low = [b[0] for b in bands(percent, top)]
     # bands are geometric: about 5 * ln(largest set) of them, whatever the number of rows

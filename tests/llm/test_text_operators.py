@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardiolake.llm import decontaminate, jaccard_join, language_id, lm_scoring, mixing, token_output
-from cardiolake.llm.common import connected_components
+from cardiolake.llm.common import connected_components, shared_dir
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,6 +184,24 @@ def test_jaccard_near_copies_of_one_text_leave_few_rows(spark, monkeypatch):
     assert made and made[0][0] >= 10 and made[0][1] <= 2 * made[0][0]
 
 
+def test_jaccard_keeps_parities_of_linkable_sets_only(spark, monkeypatch):
+    """While pairs are compared, parities lie on disk for sets that may link, not for all."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[:39], f"x{i}"])) for i in range(3)] + [(i, " ".join(f"{i}_{j}" for j in range(40))) for i in range(3, 60)]
+    seen, before = [], set(os.listdir(shared_dir(spark).removeprefix("file://")))
+
+    def kept(self, pairs, real=jaccard_join.Join.verify):
+        folder = shared_dir(spark).removeprefix("file://")
+        tables = [spark.read.parquet(f"file://{folder}/{x}") for x in set(os.listdir(folder)) - before]
+        seen.append([t.count() for t in tables if "fine" in t.columns])
+        return real(self, pairs)
+
+    monkeypatch.setattr(jaccard_join.Join, "verify", kept)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()}
+    assert got == brute_components([{"doc_id": a, "text": b} for a, b in rows], 4, 85)
+    assert len({c for _, c in got.values()}) == 58 and seen and all(len(n) == 1 and n[0] <= 10 for n in seen)
+
+
 def test_jaccard_large_buckets_of_far_members_stay_linear(spark, monkeypatch):
     """Members share a passage and other parts with some others, so none is left out early; buckets are larger than ``bucket_rows``."""
     passage, rng, heavy, dealt = [f"p{x}" for x in range(100)], np.random.default_rng(8), [], []
