@@ -1,15 +1,17 @@
 """Approximate nearest neighbours with a vantage-point tree per shard.
 
-Vectors are dealt to shards by a hash of their id and components, about ``shard_rows`` each. Every shard's task builds one tree: a node
-holds a vantage point, the median distance ``mu`` of its points to it, and an inner and an outer half (split by rank, so
-equal vectors can't unbalance it). Trees are kept as rows (arrays in one binary), written once, and met by blocks of at most
-``query_rows`` queries. A search visits the nearer half first and skips a half when the triangle inequality, relaxed by
-``factor``, says that it holds nothing better: outer if ``mu - d >= factor * t`` and inner if ``d - mu >= factor * t``, with
-``t`` the distance of the k-th best so far. ``factor`` 1 gives the exact result (ties included); smaller ones prune more.
-All queries of a block walk the tree together, split at each node by the half that they prefer.
+Vectors are dealt to shards by a hash of their id and components, packed into rows of bytes. Every shard has one task, which builds its
+tree and then takes all queries, in blocks of ``query_rows``, as they come from the shuffle: nothing but the shard and a block is held, the
+number of tasks goes with the vectors alone, and no tree is copied or sent. A node holds a vantage point and the median
+distance ``mu`` of its points to it, and has an inner and an outer half (split by rank, so equal vectors can't unbalance it). The
+queries of a block first go down to their nearest leaf, for a bound; then the block walks the tree once. A half is skipped when the
+triangle inequality, relaxed by ``factor``, says that it holds nothing better: outer if ``mu - d > factor * t`` and inner if
+``d - mu > factor * t``, with ``t`` the distance of the k-th best so far. ``factor`` 1 gives the exact result (ties included);
+smaller ones prune more. In a leaf, a matrix product with a margin for its rounding says who may be among the best; their
+distances are then taken from the vectors as given, in double precision.
 
-Distances are Euclidean, in double precision, on the vectors as given. Per shard the ``k`` best of a query leave the task;
-the global ``k`` best are ranked by distance, then id.
+Of exact copies of one vector in a shard, those with the smallest ids stay, as many as a result can need. Per shard the ``k`` best
+of a query leave the task; the global ``k`` best are ranked by distance, then id.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components take no part, neither as query nor as
 candidate; vectors of another length than ``dims`` (by default that of the first valid one by id) neither; a query's own id
@@ -22,154 +24,271 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stash
+from .common import small_batches
 
-LEAF = 48
-#: Blocks of queries that one task takes to a tree.
-TASK_BLOCKS = 16
+LEAF = 512
+#: Bytes of a shard's vectors, unless its rows are given.
+SHARD_BYTES = 32 << 20
+#: Smaller tables are cut further, into shards of so many rows, until there are so many shards.
+SPREAD_ROWS, SPREAD = 4096, 32
+#: Squared norms up to which products can't overflow, and a margin for those too small to be told apart.
+LIMITS = {np.dtype(np.float32): (1e35, 1e-35), np.dtype(np.float64): (1e300, 1e-300)}
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each row of ``x`` to ``y`` (one vector, or as many), in double precision."""
+    out = np.empty(len(x))
+    for i in range(0, len(x), 4096):
+        diff = x[i : i + 4096].astype(np.float64) - (y if y.ndim == 1 else y[i : i + 4096])
+        out[i : i + 4096] = np.sqrt((diff * diff).sum(axis=1))
+    return out
 
 
 def _vantage(vectors: np.ndarray, points: np.ndarray, rng: np.random.Generator, tries: int = 12, sample: int = 96) -> int:
     """Of some points, the one whose distances to a sample spread most."""
-    some = rng.integers(len(points), size=tries)
+    some = points[rng.integers(len(points), size=tries)]
     near = vectors[points[rng.integers(len(points), size=sample)]]
-    spread = [np.sqrt(((near - vectors[points[i]]) ** 2).sum(axis=1)).std() for i in some]
-    return int(some[int(np.argmax(spread))])
-
-
-def build_tree(ids: np.ndarray, vectors: np.ndarray) -> dict[str, np.ndarray]:
-    """Points in tree order and nodes ``(begin, end, mu, near, far)``; the first point of a node is its vantage point."""
-    order = np.arange(len(ids))
-    nodes: list[list[float]] = []
-    todo = [(0, len(ids), -1, 0)]
-    rng = np.random.default_rng(0)
-    while todo:
-        a, b, parent, side = todo.pop()
-        me = len(nodes)
-        if parent >= 0:
-            nodes[parent][side] = me
-        nodes.append([a, b, -1.0, -1, -1])
-        if b - a <= LEAF:
-            continue
-        pick = _vantage(vectors, order[a:b], rng) + a
-        order[[a, pick]] = order[[pick, a]]
-        rest = order[a + 1 : b]
-        d = np.sqrt(((vectors[rest] - vectors[order[a]]) ** 2).sum(axis=1))
-        rank = np.argsort(d, kind="stable")
-        order[a + 1 : b] = rest[rank]
-        half = a + 1 + len(rest) // 2
-        # mu: no inner point is farther, no outer point nearer
-        nodes[me][2] = float(d[rank[len(rest) // 2]])
-        todo.append((half, b, me, 4))
-        todo.append((a + 1, half, me, 3))
-    return {"ids": ids[order], "vectors": vectors[order], "nodes": np.array(nodes)}
+    return int(some[int(np.argmax([_distances(near, vectors[i].astype(np.float64)).std() for i in some]))])
+
+
+def _needed(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that a result can need: of copies of a vector those with the smallest ids, each id ``k`` times at most. With
+    2 ``k`` of them, ``k`` are left whatever the query's own id is."""
+    words = vectors.view(np.uint32).reshape(len(vectors), -1)
+    odd = np.random.default_rng(1).integers(0, 1 << 63, words.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    marks = np.zeros(len(ids), np.uint64)
+    for j, m in enumerate(odd):
+        marks += words[:, j] * m
+    order = np.lexsort((ids, marks))
+    if len(order) < 2 or not (marks[order[1:]] == marks[order[:-1]]).any():
+        return order
+
+    def place(new: np.ndarray) -> np.ndarray:
+        at = np.arange(len(new))
+        return at - np.maximum.accumulate(np.where(new, at, 0))
+
+    first = lambda same: np.concatenate(([True], ~same))
+    alike = marks[order[1:]] == marks[order[:-1]]
+    twins = np.flatnonzero(alike)
+    alike[twins] = (words[order[twins + 1]] == words[order[twins]]).all(axis=1)
+    group = np.cumsum(first(alike))
+    keep = place(first(alike & (ids[order[1:]] == ids[order[:-1]]))) < k
+    order, group = order[keep], group[keep]
+    return order[place(first(group[1:] == group[:-1])) < 2 * k]
+
+
+class Tree:
+    """Points in tree order and nodes ``(begin, end, mu, near, far, vantage point)``; a leaf has no halves."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        order = _needed(ids, vectors, k)
+        self.nodes: list[list] = []
+        todo = [(0, len(order), -1, 0)]
+        rng = np.random.default_rng(0)
+        while todo:
+            a, b, parent, side = todo.pop()
+            me = len(self.nodes)
+            if parent >= 0:
+                self.nodes[parent][side] = me
+            self.nodes.append([a, b, -1.0, -1, -1, None])
+            if b - a <= LEAF:
+                continue
+            points = order[a:b]
+            point = vectors[_vantage(vectors, points, rng)].astype(np.float64)
+            d, half = _distances(vectors[points], point), (b - a) // 2
+            rank = np.argpartition(d, half)
+            # mu: no inner point is farther, no outer point nearer
+            self.nodes[me][2], self.nodes[me][5] = float(d[rank[half]]), point
+            order[a:b] = points[rank]
+            todo.append((a + half, b, me, 4))
+            todo.append((a, a + half, me, 3))
+        self.ids, self.vectors = ids[order], vectors[order]
+        squares = np.concatenate([(self.vectors[i : i + 4096].astype(np.float64) ** 2).sum(axis=1) for i in range(0, len(order), 4096)])
+        self.largest = float(squares.max())
+        small = vectors.dtype == np.float32 and self.largest < LIMITS[vectors.dtype][0]
+        #: Components and minus half the square: times a query and 1, they order the points of a leaf by nearness.
+        self.products = np.empty((len(order), vectors.shape[1] + 1), np.float32 if small else np.float64)
+        self.products[:, :-1] = self.vectors
+        with np.errstate(over="ignore"):
+            self.products[:, -1] = -squares / 2
 
 
 class Search:
     """The ``k`` best of a block of queries in one tree."""
 
-    def __init__(self, tree: dict[str, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
-        self.tree, self.query_ids, self.queries, self.k, self.factor = tree, query_ids, queries, k, factor
+    def __init__(self, tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float):
+        self.tree, self.query_ids, self.queries, self.k, self.factor = tree, query_ids, queries.astype(np.float64), k, factor
+        kind = tree.products.dtype
+        with np.errstate(over="ignore"):
+            self.squares = (self.queries**2).sum(axis=1)
+            self.products = np.concatenate((self.queries, np.ones((len(queries), 1))), axis=1).astype(kind)
+        limit, least = LIMITS[kind]
+        self.plain = max(float(self.squares.max()), tree.largest) < limit  # else each distance is taken by itself
+        self.margin = 2 * (queries.shape[1] + 8) * float(np.finfo(kind).eps) * (self.squares + tree.largest) + least if self.plain else np.zeros(len(queries))
+        self.least = np.full(len(queries), -np.inf, kind)  # products below it are of points beyond the k-th best
         self.best = np.full((len(queries), k), np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.seen = 0
-        if len(tree["ids"]):
-            self.visit(0, np.arange(len(queries)))
-
-    def offer(self, active: np.ndarray, a: int, b: int) -> np.ndarray:
-        diff = self.queries[active][:, None, :] - self.tree["vectors"][a:b][None, :, :]
-        d = np.sqrt((diff * diff).sum(axis=2))
-        self.seen += d.size
-        ids = np.broadcast_to(self.tree["ids"][a:b], d.shape)
-        own = ids == self.query_ids[active][:, None]
-        allowed = np.where(own, np.inf, d)
-        better = (allowed.min(axis=1) <= self.best[active, -1]).nonzero()[0]
-        if len(better):
-            rows = active[better]
-            both_d = np.concatenate((self.best[rows], allowed[better]), axis=1)
-            both_i = np.concatenate((self.found[rows], np.where(own[better], np.iinfo(np.int64).max, ids[better])), axis=1)
-            order = np.lexsort((both_i, both_d), axis=1)[:, : self.k]
-            self.best[rows] = np.take_along_axis(both_d, order, axis=1)
-            self.found[rows] = np.take_along_axis(both_i, order, axis=1)
-        return d
+        self.home = np.full(len(queries), -1)
+        self.descend(0, np.arange(len(queries)))
+        self.visit(0, np.arange(len(queries)))
+
+    def offer(self, active: np.ndarray, a: int, b: int, first: bool = False) -> None:
+        """Points ``a`` to ``b`` to these queries; ``first``: there is no bound yet, so it comes from the points themselves."""
+        tree, k = self.tree, self.k
+        if not self.plain:
+            among = np.arange(len(active) * (b - a))
+        else:
+            s = self.products[active] @ tree.products[a:b].T
+            least = self.least[active]
+            if first:
+                s[tree.ids[a:b] == self.query_ids[active][:, None]] = -np.inf
+                if b - a > k:
+                    least = (np.partition(s, b - a - k, axis=1)[:, b - a - k] - 2 * self.margin[active]).astype(s.dtype)
+            among = np.flatnonzero(s >= least[:, None])
+        rows, cols = np.divmod(among, b - a)
+        ids = tree.ids[a + cols]
+        other = ids != self.query_ids[active[rows]]
+        rows, cols, ids = rows[other], cols[other], ids[other]
+        d = np.empty(len(rows))
+        for i in range(0, len(rows), 1 << 15):
+            part = slice(i, i + (1 << 15))
+            d[part] = _distances(tree.vectors[a + cols[part]], self.queries[active[rows[part]]])
+        better = d <= self.best[active[rows], -1]
+        rows, ids, d = rows[better], ids[better], d[better]
+        if not len(rows):
+            return
+        some, place = np.unique(rows, return_inverse=True)
+        mine = active[some]
+        row = np.concatenate((np.repeat(np.arange(len(some)), k), place))
+        all_d, all_i = np.concatenate((self.best[mine].ravel(), d)), np.concatenate((self.found[mine].ravel(), ids))
+        order = np.lexsort((all_i, all_d, row))
+        picked = order[np.searchsorted(row[order], np.arange(len(some)))[:, None] + np.arange(k)]
+        self.best[mine], self.found[mine] = all_d[picked], all_i[picked]
+        if self.plain:
+            last = self.best[mine, -1]
+            self.least[mine] = np.where(np.isinf(last), -np.inf, (self.squares[mine] - last * last) / 2 - self.margin[mine])
+
+    def descend(self, node: int, active: np.ndarray) -> None:
+        """Each query to the leaf on its own side of every vantage point."""
+        if not len(active):
+            return
+        a, b, mu, near, far, point = self.tree.nodes[node]
+        if near < 0:
+            self.home[active] = node
+            self.offer(active, a, b, first=True)
+            return
+        inside = _distances(self.queries[active], point) < mu
+        self.descend(near, active[inside])
+        self.descend(far, active[~inside])
 
     def visit(self, node: int, active: np.ndarray) -> None:
         if not len(active):
             return
-        a, b, mu, near, far = self.tree["nodes"][node]
-        a, b = int(a), int(b)
+        a, b, mu, near, far, point = self.tree.nodes[node]
         if near < 0:
-            for i in range(0, len(active), 64):
-                self.offer(active[i : i + 64], a, b)
+            active = active[self.home[active] != node]
+            if len(active):
+                self.offer(active, a, b)
             return
-        d = self.offer(active, a, a + 1)[:, 0]
-        inside = d < mu
+        gap = _distances(self.queries[active], point) - mu
         slack = 1e-9 * (1 + mu)  # rounding never prunes
-        self.visit(int(near), active[inside])
-        self.visit(int(far), active[~inside])
-        t = self.factor * self.best[active, -1] + slack
-        self.visit(int(far), active[inside & (mu - d <= t)])
-        self.visit(int(near), active[~inside & (d - mu <= t)])
+        self.visit(near, active[~(gap > self.factor * self.best[active, -1] + slack)])
+        self.visit(far, active[~(-gap > self.factor * self.best[active, -1] + slack)])
 
 
-def _pack_shard(dims: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        tree = build_tree(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(np.float64))
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [len(pdf)], "ids": [tree["ids"].tobytes()], "vectors": [tree["vectors"].tobytes()], "nodes": [tree["nodes"].tobytes()]})
+def _pack(dims: int, query_rows: int):
+    """Vectors of a batch as rows of bytes: one for each of its shards, and its queries as rows without a shard (-1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, shard, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "shard", "asks"))
+            vectors = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            order = np.argsort(shard, kind="stable")
+            parts = [(shard[p[0]], p) for p in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)]
+            asked = np.flatnonzero(asks)
+            parts += [(-1, asked[i : i + query_rows]) for i in range(0, len(asked), query_rows)]
+            yield pa.record_batch([pa.array([int(s) for s, _ in parts], pa.int32()), pa.array([ids[p].tobytes() for _, p in parts]), pa.array([vectors[p].tobytes() for _, p in parts])], names=["shard", "ids", "vectors"])
 
     return run
 
 
-def _search(dims: int, k: int, factor: float):
+def _search(dims: int, kind: str, k: int, factor: float, query_rows: int):
+    """Rows come by shard, its points before the queries."""
+
+    def unpack(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.frombuffer(i, np.int64) for i, _ in rows]), np.concatenate([np.frombuffer(v, kind).reshape(-1, dims) for _, v in rows])
+
+    def answer(tree: Tree, rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        ids, queries = unpack(rows)
+        s = Search(tree, ids, queries, k, factor)
+        ok = np.isfinite(s.best) | (s.found != np.iinfo(np.int64).max)
+        near = pa.StructArray.from_arrays([pa.array(s.best[ok]), pa.array(s.found[ok])], names=["score", "vec_id"])
+        ends = np.concatenate(([0], np.cumsum(ok.sum(axis=1)))).astype(np.int32)
+        return pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), near)], names=["query_id", "near"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, points, tree, waiting, n = None, [], None, [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                tree = {"ids": np.frombuffer(row["ids"], np.int64), "vectors": np.frombuffer(row["vectors"]).reshape(-1, dims), "nodes": np.frombuffer(row["nodes"]).reshape(-1, 5)}
-                ids = np.array([q["vec_id"] for q in row["queries"]], np.int64)
-                queries = np.array([q["embedding"] for q in row["queries"]], np.float64)
-                s = Search(tree, ids, queries, k, factor)
-                ok = np.isfinite(s.best)
-                yield pa.record_batch([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(s.found[ok]), pa.array(s.best[ok])], names=["query_id", "vec_id", "score"])
+            for shard, asks, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("shard", "asks", "ids", "vectors")), strict=True):
+                if shard != at:
+                    if waiting:
+                        yield answer(tree, waiting)
+                    at, points, tree, waiting, n = shard, [], None, [], 0
+                if not asks:
+                    points.append((ids, vectors))
+                    continue
+                if tree is None:
+                    if not points:
+                        continue  # no vector fell to this shard
+                    tree, points = Tree(*unpack(points), k), []
+                waiting.append((ids, vectors))
+                n += len(ids) // 8
+                if n >= query_rows:
+                    yield answer(tree, waiting)
+                    waiting, n = [], 0
+        if waiting:
+            yield answer(tree, waiting)
 
     return run
 
 
-def valid_vectors(rows: DataFrame, dims: int | None = None) -> tuple[DataFrame, int]:
-    """``(vec_id, embedding array<double>)`` of rows that take part, and their number of components."""
-    e = F.col("embedding").cast("array<double>")
+def valid_vectors(rows: DataFrame, dims: int | None = None) -> tuple[DataFrame, int, int]:
+    """``(vec_id, embedding)`` of rows that take part, the number of their components, and their number. Components stay floats where they
+    are, else they become doubles."""
+    kind = rows.schema["embedding"].dataType
+    e = F.col("embedding") if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else F.col("embedding").cast("array<double>")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     rows = rows.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.exists("embedding", lambda x: x != 0))
-    if dims is None:
-        first = rows.agg(F.min(F.struct("vec_id", F.size("embedding").alias("n")))["n"]).first()[0]
-        dims = first or 0
-    return rows.where(F.size("embedding") == dims), dims
+    if dims is not None:
+        rows = rows.where(F.size("embedding") == dims)
+    sizes = rows.groupBy(F.size("embedding").alias("dims")).agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    one = sizes.orderBy("first", "dims").first()
+    return (rows.where(F.size("embedding") == one["dims"]), one["dims"], one["n"]) if one else (rows, dims or 0, 0)
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.18, shard_rows: int = 8192, query_rows: int = 256) -> DataFrame:
+def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.18, shard_rows: int | None = None, query_rows: int = 1024) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found among all rows for each row that ``is_query`` picks."""
-    spark = rows.sparkSession
-    valid, dims = valid_vectors(rows)
-    n = valid.count()
-    schema = "query_id long, vec_id long, score double"
+    spark = small_batches(rows.sparkSession)
+    valid, dims, n = valid_vectors(rows)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards, blocks = -(-n // shard_rows), max(1, -(-valid.where(is_query).count() // query_rows))
-    dealt = valid.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
-    trees = stash(dealt.groupBy("shard").applyInPandas(_pack_shard(dims), "shard int, n long, ids binary, vectors binary, nodes binary"), "trees")
-    block = F.pmod(F.xxhash64("vec_id", "embedding", F.lit(1)), F.lit(blocks)).cast("int")
-    packs = valid.where(is_query).withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
-    # each block of queries goes to each shard: a stated query set against all rows, in blocks. A tree goes to a few tasks, each of
-    # which takes up to ``TASK_BLOCKS`` blocks
-    ways = max(min(blocks, 4), -(-blocks // TASK_BLOCKS))
-    sent = packs.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod("block", F.lit(ways)).alias("way"), "queries")
-    split = trees.withColumn("way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    met = split.repartition(shards * ways, "shard", "way").join(sent, ["shard", "way"]).select("ids", "vectors", "nodes", "queries")
-    found = met.mapInArrow(_search(dims, k, factor), schema)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kind = "float32" if isinstance(valid.schema["embedding"].dataType.elementType, T.FloatType) else "float64"
+    most = shard_rows or max(SPREAD_ROWS, SHARD_BYTES // (dims * np.dtype(kind).itemsize))
+    shards = max(-(-n // most), min(-(-n // SPREAD_ROWS), SPREAD))
+    dealt = valid.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.coalesce(F.expr(is_query), F.lit(False)).alias("asks"))
+    packed = dealt.mapInArrow(_pack(dims, query_rows), "shard int, ids binary, vectors binary")
+    # each query goes to each shard: a stated query set against all rows
+    places = F.when(F.col("shard") >= 0, F.array("shard")).otherwise(F.sequence(F.lit(0), F.lit(shards - 1)))
+    sent = packed.select(F.explode(places).alias("to"), (F.col("shard") < 0).alias("asks"), "ids", "vectors").withColumnRenamed("to", "shard")
+    met = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks")
+    found = met.mapInArrow(_search(dims, kind, k, factor, query_rows), "query_id long, near array<struct<score: double, vec_id: long>>")
+    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    ranked = best.select("query_id", F.posexplode("near").alias("place", "one"))
+    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "one.vec_id", "one.score")

@@ -57,6 +57,38 @@ def test_default_factor_reaches_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_tasks_of_a_search_go_with_its_shards_alone(spark):
+    """However many queries there are: their number of blocks once multiplied the tasks, which the driver keeps track of, and the trees sent."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(600)], "vec_id long, embedding array<float>")
+    plan = vp_tree.nearest(df, "true", shard_rows=100, query_rows=2)._jdf.queryExecution().executedPlan().toString()
+    assert [int(n) for n in re.findall(r"Exchange \w+\([^\n]*?, (\d+)\), REPARTITION", plan)] == [6]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_copies_of_a_vector_keep_the_smallest_ids(spark, kind):
+    """Of many copies only those stay that a result can need, though ids repeat and a query's own id is no candidate."""
+    rows = [(i // 30 if i < 90 else i, [1.0, 2.0, float(i % 7 == 0)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5)
+    got = found(vp_tree.nearest(df, "vec_id IN (2, 100, 700)", k=10, factor=1.0, shard_rows=400))
+    own = sorted((math.dist(rows[100][1], v), i) for i, v in rows if i != 100)[:10]
+    assert got[100] == [(i, d) for d, i in own] and got[700][:1] == [(0, 0.0)]
+    # id 2 asks with 30 rows, all of which find the same
+    assert {i for i, d in got[2]} == {0} and {d for i, d in got[2]} == {0.0}
+    kept = vp_tree._needed(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), 10)
+    assert len(kept) == 40
+
+
+@pytest.mark.parametrize(("kind", "scale"), [("float", 1e-24), ("float", 1e-17), ("float", 1e12), ("float", 1e19), ("double", 1e-160), ("double", 1e150), ("double", 1e152)])
+def test_vectors_of_any_size_give_exact_results(spark, kind, scale):
+    rng = np.random.default_rng(7)
+    values = (rng.normal(size=(1400, 6)) * scale).astype(np.float32 if kind == "float" else np.float64)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got, want = found(vp_tree.nearest(df, "vec_id % 100 = 0", factor=1.0, shard_rows=1400)), brute_nearest(rows, lambda q: q % 100 == 0, 10)
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
 def test_repeated_vector_ids_are_candidates_of_their_own(spark):
     rng = np.random.default_rng(3)
     rows = [(5, [float(x) for x in rng.normal(size=4)]) for _ in range(120)] + [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100, 160)]
