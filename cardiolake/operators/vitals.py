@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,13 +45,38 @@ def _squared(z: np.ndarray) -> np.ndarray:
     return z.real**2 + z.imag**2
 
 
-def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_bin: int | None = None, real: bool = False) -> DataFrame:
+@functools.cache
+def _factors(n: int) -> list[np.ndarray]:
+    """Cosines and sines of bins and samples, by sample first."""
+    return [np.array([[f(2 * math.pi * k * s / n) for k in range(n)] for s in range(n)]) for f in (math.cos, math.sin)]
+
+
+def _by_sums(cube: np.ndarray) -> np.ndarray:
+    """The transform of the last axis as SQL writes it: sums over the samples in their order, with factors as the C library rounds them. Its
+    last bits, which decide halves and ties of thresholds, are then those of the SQL."""
+    cos, sin = _factors(cube.shape[-1])
+    re, im = cube.real[..., None], cube.imag[..., None]
+    z = np.empty(cube.shape, np.complex128)
+    z.real = (re * cos + im * sin).cumsum(axis=-2)[..., -1, :]
+    z.imag = (im * cos - re * sin).cumsum(axis=-2)[..., -1, :]
+    return z
+
+
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Means over chirps and receivers, added up one after the other."""
+    rows = x.reshape(-1, x.shape[-1])
+    return rows.cumsum(axis=0)[-1] / len(rows)
+
+
+def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_bin: int | None = None, real: bool = False, by_sums: bool = False) -> DataFrame:
     """One row of small features per frame; the cube and its transform stay inside the task.
 
     ``frames(session_id, frame_idx, raw)``. ``bin_energy``: mean squared magnitude per bin; ``mean_re/mean_im``: mean phasor
     per bin; ``phasor_re/phasor_im``: the phasors of ``phase_bin`` per chirp and receiver (null without one). Double
     precision throughout. With ``windowed`` a Hann window precedes the transform; ``real`` drops the quadrature part and gives
-    ``samples // 2 + 1`` bins."""
+    ``samples // 2 + 1`` bins; ``by_sums`` takes plain sums instead of a fast transform (for frames of few samples)."""
+    if real and by_sums:
+        raise ValueError("plain sums are of complex samples")
     window = np.hanning(g.samples) if windowed else np.ones(g.samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,11 +88,11 @@ def range_features(frames: DataFrame, g: Geometry, windowed: bool = True, phase_
                 if real:
                     cube = cube.real
                 power = _squared(cube)
-                z = (np.fft.rfft if real else np.fft.fft)(cube * window, axis=2)
-                mean = z.mean(axis=(0, 1))
+                z = _by_sums(cube * window) if by_sums else (np.fft.rfft if real else np.fft.fft)(cube * window, axis=2)
+                mean, energy = (_in_order(z), _in_order(_squared(z))) if by_sums else (z.mean(axis=(0, 1)), _squared(z).mean(axis=(0, 1)))
                 one = z[:, :, phase_bin].ravel() if phase_bin is not None else None
                 peak = max(np.abs(cube.real).max(), np.abs(cube.imag).max())
-                rows.append((session, index, peak, power.mean(), power.mean(axis=(0, 2)), _squared(z).mean(axis=(0, 1)), mean.real, mean.imag, None if one is None else one.real, None if one is None else one.imag))
+                rows.append((session, index, peak, power.mean(), power.mean(axis=(0, 2)), energy, mean.real, mean.imag, None if one is None else one.real, None if one is None else one.imag))
             if rows:
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
