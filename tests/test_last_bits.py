@@ -60,3 +60,15 @@ def test_halves_of_energies_round_as_in_the_sql(spark, many, tmp_path):
         halves = np.concatenate((halves, more[parts(more) % 65536 == 32768]))
     _, rows, want = same(spark, save(tmp_path, halves, np.arange(len(halves)) % 3), "frame_quality_mask")
     assert rows == want
+
+
+def test_ties_with_a_threshold_count_as_in_the_sql(spark, many, tmp_path):
+    """Sessions of equal frames but one, with exactly half their energy; where rounding takes it below, it is a dropout."""
+    n = parts(many)
+    at = {x: i for i, x in enumerate(n)}
+    pairs = [(a, at[x // 2]) for a, x in enumerate(n) if x % 2 == 0 and x // 2 in at][:40]
+    assert len(pairs) == 40
+    words = np.concatenate([np.stack([many[a]] * 5 + [many[b]] + [many[a]] * 5) for a, b in pairs])
+    columns, rows, want = same(spark, save(tmp_path, words, np.repeat(np.arange(40), 11)), "quality_mask_stats")
+    assert rows == want
+    assert 0 < sum(r[columns.index("n_subject_bin_dropout_flagged")] for r in want) < 40
