@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 LEAF = 512
+#: Queries whose products with a leaf are taken at once, so that these stay in the processor's cache.
+PRODUCTS = 256
 #: Bytes of a shard's vectors, unless its rows are given.
 SHARD_BYTES = 32 << 20
 #: Smaller tables are cut further, into shards of so many rows, until there are so many shards.
@@ -134,23 +136,32 @@ class Search:
         self.best = np.full((len(queries), k), np.inf)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.home = np.full(len(queries), -1)
+        self.room = np.empty((PRODUCTS, LEAF), kind)
         self.descend(0, np.arange(len(queries)))
         self.visit(0, np.arange(len(queries)))
 
+    def _near(self, active: np.ndarray, a: int, b: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of these queries and points that may be among the best."""
+        tree, k = self.tree, self.k
+        s = np.matmul(self.products[active], tree.products[a:b].T, out=self.room[: len(active), : b - a])
+        least = self.least[active]
+        if first:
+            s[tree.ids[a:b] == self.query_ids[active][:, None]] = -np.inf
+            if b - a > k:
+                least = (np.partition(s, b - a - k, axis=1)[:, b - a - k] - 2 * self.margin[active]).astype(s.dtype)
+        some = np.flatnonzero(s.max(axis=1) >= least)
+        rows, cols = np.divmod(np.flatnonzero(s[some] >= least[some, None]), b - a)
+        return some[rows], cols
+
     def offer(self, active: np.ndarray, a: int, b: int, first: bool = False) -> None:
         """Points ``a`` to ``b`` to these queries; ``first``: there is no bound yet, so it comes from the points themselves."""
         tree, k = self.tree, self.k
         if not self.plain:
-            among = np.arange(len(active) * (b - a))
+            rows, cols = np.divmod(np.arange(len(active) * (b - a)), b - a)
         else:
-            s = self.products[active] @ tree.products[a:b].T
-            least = self.least[active]
-            if first:
-                s[tree.ids[a:b] == self.query_ids[active][:, None]] = -np.inf
-                if b - a > k:
-                    least = (np.partition(s, b - a - k, axis=1)[:, b - a - k] - 2 * self.margin[active]).astype(s.dtype)
-            among = np.flatnonzero(s >= least[:, None])
-        rows, cols = np.divmod(among, b - a)
+            hits = [self._near(active[i : i + PRODUCTS], a, b, first) for i in range(0, len(active), PRODUCTS)]
+            rows = np.concatenate([i * PRODUCTS + r for i, (r, _) in enumerate(hits)])
+            cols = np.concatenate([c for _, c in hits])
         ids = tree.ids[a + cols]
         other = ids != self.query_ids[active[rows]]
         rows, cols, ids = rows[other], cols[other], ids[other]
@@ -273,7 +284,7 @@ def valid_vectors(rows: DataFrame, dims: int | None = None) -> tuple[DataFrame,
     return (rows.where(F.size("embedding") == one["dims"]), one["dims"], one["n"]) if one else (rows, dims or 0, 0)
 
 
-def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.18, shard_rows: int | None = None, query_rows: int = 1024) -> DataFrame:
+def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.18, shard_rows: int | None = None, query_rows: int = 2048) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found among all rows for each row that ``is_query`` picks."""
     spark = small_batches(rows.sparkSession)
     valid, dims, n = valid_vectors(rows)
