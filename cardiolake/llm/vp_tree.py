@@ -11,7 +11,7 @@ smaller ones prune more. In a leaf, a matrix product with a margin for its round
 distances are then taken from the vectors as given, in double precision.
 
 Of exact copies of one vector in a shard, those with the smallest ids stay, as many as a result can need. Per shard the ``k`` best
-of a query leave the task; the global ``k`` best are ranked by distance, then id.
+of up to ``PACKET`` queries leave the task as one row; rows of the same queries are merged, and ranked by distance, then id.
 
 Defined cases: vectors that are null, all zero, or hold null or non-finite components take no part, neither as query nor as
 candidate; vectors of another length than ``dims`` (by default that of the first valid one by id) neither; a query's own id
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,8 @@ LEAF = 512
 PRODUCTS = 256
 #: Bytes of a shard's vectors, unless its rows are given.
 SHARD_BYTES = 32 << 20
+#: Queries that are packed together; their results from all shards are merged together.
+PACKET = 256
 #: Smaller tables are cut further, into shards of so many rows, until there are so many shards.
 SPREAD_ROWS, SPREAD = 4096, 32
 #: Squared norms up to which products can't overflow, and a margin for those too small to be told apart.
@@ -212,7 +214,7 @@ class Search:
         self.visit(far, active[~(-gap > self.factor * self.best[active, -1] + slack)])
 
 
-def _pack(dims: int, query_rows: int):
+def _pack(dims: int):
     """Vectors of a batch as rows of bytes: one for each of its shards, and its queries as rows without a shard (-1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +226,7 @@ def _pack(dims: int, query_rows: int):
             order = np.argsort(shard, kind="stable")
             parts = [(shard[p[0]], p) for p in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)]
             asked = np.flatnonzero(asks)
-            parts += [(-1, asked[i : i + query_rows]) for i in range(0, len(asked), query_rows)]
+            parts += [(-1, asked[i : i + PACKET]) for i in range(0, len(asked), PACKET)]
             yield pa.record_batch([pa.array([int(s) for s, _ in parts], pa.int32()), pa.array([ids[p].tobytes() for _, p in parts]), pa.array([vectors[p].tobytes() for _, p in parts])], names=["shard", "ids", "vectors"])
 
     return run
@@ -236,30 +238,28 @@ def _search(dims: int, kind: str, k: int, factor: float, query_rows: int):
     def unpack(rows: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate([np.frombuffer(i, np.int64) for i, _ in rows]), np.concatenate([np.frombuffer(v, kind).reshape(-1, dims) for _, v in rows])
 
-    def answer(tree: Tree, rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        ids, queries = unpack(rows)
+    def answer(tree: Tree, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        ids, queries = unpack([r[1:] for r in rows])
         s = Search(tree, ids, queries, k, factor)
-        ok = np.isfinite(s.best) | (s.found != np.iinfo(np.int64).max)
-        near = pa.StructArray.from_arrays([pa.array(s.best[ok]), pa.array(s.found[ok])], names=["score", "vec_id"])
-        ends = np.concatenate(([0], np.cumsum(ok.sum(axis=1)))).astype(np.int32)
-        return pa.record_batch([pa.array(ids), pa.ListArray.from_arrays(pa.array(ends), near)], names=["query_id", "near"])
+        ends = np.cumsum([len(r[1]) // 8 for r in rows])[:-1]
+        return pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), *[pa.array([p.tobytes() for p in np.split(x, ends)]) for x in (s.found, s.best)]], names=["packet", "ids", "found", "best"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, points, tree, waiting, n = None, [], None, [], 0
         for batch in batches:
-            for shard, asks, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("shard", "asks", "ids", "vectors")), strict=True):
+            for shard, packet, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("shard", "packet", "ids", "vectors")), strict=True):
                 if shard != at:
                     if waiting:
                         yield answer(tree, waiting)
                     at, points, tree, waiting, n = shard, [], None, [], 0
-                if not asks:
+                if packet is None:
                     points.append((ids, vectors))
                     continue
                 if tree is None:
                     if not points:
                         continue  # no vector fell to this shard
                     tree, points = Tree(*unpack(points), k), []
-                waiting.append((ids, vectors))
+                waiting.append((packet, ids, vectors))
                 n += len(ids) // 8
                 if n >= query_rows:
                     yield answer(tree, waiting)
@@ -270,6 +270,26 @@ def _search(dims: int, kind: str, k: int, factor: float, query_rows: int):
     return run
 
 
+def _merge(k: int):
+    """The ``k`` best of each query of one packet, from all shards."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        at: dict[bytes, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for ids, found, best in zip(*(rows.column(c).to_pylist() for c in ("ids", "found", "best")), strict=True):
+            at.setdefault(ids, []).append((np.frombuffer(found, np.int64).reshape(-1, k), np.frombuffer(best).reshape(-1, k)))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for ids, parts in at.items():
+            found, best = (np.concatenate(x, axis=1) for x in zip(*parts, strict=True))
+            order = np.lexsort((found, best), axis=1)[:, :k]
+            found, best = np.take_along_axis(found, order, axis=1), np.take_along_axis(best, order, axis=1)
+            ok = np.isfinite(best) | (found != np.iinfo(np.int64).max)
+            for c, x in zip(out, (np.repeat(np.frombuffer(ids, np.int64), ok.sum(axis=1)), found[ok], best[ok]), strict=True):
+                c.append(x)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def valid_vectors(rows: DataFrame, dims: int | None = None) -> tuple[DataFrame, int, int]:
     """``(vec_id, embedding)`` of rows that take part, the number of their components, and their number. Components stay floats where they
     are, else they become doubles."""
@@ -294,12 +314,13 @@ def nearest(rows: DataFrame, is_query: str, k: int = 10, factor: float = 0.18, s
     most = shard_rows or max(SPREAD_ROWS, SHARD_BYTES // (dims * np.dtype(kind).itemsize))
     shards = max(-(-n // most), min(-(-n // SPREAD_ROWS), SPREAD))
     dealt = valid.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int").alias("shard"), F.coalesce(F.expr(is_query), F.lit(False)).alias("asks"))
-    packed = dealt.mapInArrow(_pack(dims, query_rows), "shard int, ids binary, vectors binary")
+    packed = dealt.mapInArrow(_pack(dims), "shard int, ids binary, vectors binary")
     # each query goes to each shard: a stated query set against all rows
     places = F.when(F.col("shard") >= 0, F.array("shard")).otherwise(F.sequence(F.lit(0), F.lit(shards - 1)))
-    sent = packed.select(F.explode(places).alias("to"), (F.col("shard") < 0).alias("asks"), "ids", "vectors").withColumnRenamed("to", "shard")
-    met = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks")
-    found = met.mapInArrow(_search(dims, kind, k, factor, query_rows), "query_id long, near array<struct<score: double, vec_id: long>>")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    ranked = best.select("query_id", F.posexplode("near").alias("place", "one"))
-    return ranked.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "one.vec_id", "one.score")
+    mark = F.when(F.col("shard") < 0, F.xxhash64("ids", "vectors"))  # of a packet of queries
+    sent = packed.select(F.explode(places).alias("to"), mark.alias("packet"), "ids", "vectors").withColumnRenamed("to", "shard")
+    met = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("packet").isNotNull())
+    found = met.mapInArrow(_search(dims, kind, k, factor, query_rows), "packet long, ids binary, found binary, best binary")
+    best = found.groupBy("packet").applyInArrow(_merge(k), "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
